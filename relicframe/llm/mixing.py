@@ -105,3 +105,11 @@ def assign_copies(sized: DataFrame) -> DataFrame:
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop(*keys, "start", "rate", "offset", "rank")
     )
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
+    size = word_count(F.col("text"))
+    planned = assign_copies(docs.withColumn("size", size))
+    repeats = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return planned.where("copies > 0").select(*docs.columns, repeats.alias("repeat")).drop("repeat")
