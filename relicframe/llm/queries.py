@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, simhash, token_counts, toxicity
+from . import language, mixing, packing, quality, sharding, simhash, token_counts, toxicity, vectors, warc
 from .common import id_crc
 
 
@@ -49,6 +49,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return told.select(
+        "doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_accepted"
+    )
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return placed.select(
@@ -65,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
+    "op8_warc": op8_warc,
+    "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
 }
 
