@@ -8,6 +8,8 @@ own partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,9 @@ def schema(table: str) -> str:
 
 
 class Warehouse:
-    """The tables of one warehouse folder, or DataFrames given by name."""
+    """The tables of one warehouse folder, or DataFrames (or functions that make them) given by name."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None) -> None:
         self.spark, self.folder, self.tables = spark, folder, dict(tables or {})
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -58,6 +60,8 @@ class Warehouse:
                 self.tables[name] = self.spark.createDataFrame([], schema(name))
             else:
                 self.tables[name] = self.spark.read.schema(schema(name)).parquet(f"{self.folder}/{name}")
+        if not isinstance(self.tables[name], DataFrame):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
 
     def save(self, name: str, rows: DataFrame) -> None:
