@@ -83,7 +83,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def assign_copies(sized: DataFrame) -> DataFrame:
     """Copies for (doc_id, source, size, ...) rows; other columns pass through."""
-    classes = F.least(F.floor(F.log2(F.col("size") + 1) * 4), F.lit(SIZE_CLASSES - 1)).cast("int")
+    # the small addend keeps whole powers of two on their side of the edge whatever the logarithm's last digit
+    classes = F.least(F.floor(F.log2(F.col("size") + 1) * 4 + 1e-9), F.lit(SIZE_CLASSES - 1)).cast("int")
     cell = F.floor(hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) * CELLS).cast("int")
     keys = ["mix_key", "mix_class", "mix_cell"]
     celled = sized.withColumns({"mix_key": group_key(F.col("source")), "mix_class": classes, "mix_cell": cell})

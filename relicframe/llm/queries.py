@@ -87,4 +87,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    c AS (SELECT *, least(CAST(floor(log2(size + 1) * 4 + 1e-9) AS INT), {mixing.SIZE_CLASSES - 1}) AS class,
+                 CAST(floor(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {1 << 48}.0 * {mixing.CELLS}) AS INT) AS cell FROM d),
+    s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY k = '', k) - 1) % {len(mixing.WEIGHTS)} + 1 AS weight FROM c GROUP BY k),
+    t AS (SELECT *, source_size * {mixing.MAX_REPEATS} AS cap, source_size * {mixing.MAX_REPEATS} / weight AS ratio FROM s),
+    v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, k = '', k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, k = '', k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM t),
+    w AS (SELECT *, least((SELECT level FROM v WHERE level * weight <= cap ORDER BY ratio, level LIMIT 1) * weight, CAST(cap AS DOUBLE)) AS target,
+                 CAST('0x' || substr(md5('{mixing.SEED}:' || k || ':offset'), 1, 12) AS BIGINT) / {1 << 48}.0 AS start FROM v),
+    n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY class, cell, size, doc_id) AS rank FROM c),
+    j AS (SELECT n.*, source_size, target, start, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM n JOIN w USING (k))
+    SELECT doc_id, size, source_size, target,
+           CAST(least(floor(rate * rank + start) - floor(rate * (rank - 1) + start), {mixing.MAX_REPEATS}) * size AS BIGINT) AS taken FROM j"""
+
+WARC_SQL = f"""
+    WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, NULLIF(first, page_id) AS refers_to FROM f"""
+
+VECTORS_SQL = f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= {vectors.COSINE}),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+    c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
+
+ORACLES: dict[str, str] = {"op6_mixing": MIXING_SQL, "op8_warc": WARC_SQL, "op9_near_vectors": VECTORS_SQL}
