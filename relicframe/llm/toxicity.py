@@ -29,7 +29,7 @@ MAX_TERMS = 8192
 FACTORS = 4
 EPOCHS = 25
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>-_/"
 CACHED_WORDS = 300_000
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
     gain = n * (part(p, base) + part(1 - p, 1 - base))
     counted = materialize(counted.withColumn("gain", gain), "toxicity-terms")
     tried = max(counted.count(), 1)
-    kept = counted.where(F.col("gain") >= math.log(tried) + 1).orderBy(F.desc("gain"), "bucket").limit(MAX_TERMS).collect()
+    kept = counted.where(F.col("gain") >= math.log(tried) + 2).orderBy(F.desc("gain"), "bucket").limit(MAX_TERMS).collect()
     places = {row["bucket"]: i for i, row in enumerate(kept)}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
