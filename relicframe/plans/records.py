@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import bcd_version, c_string, even, field, has_bit, i16, i32, mac_text, nul_end, set_bits, u8, u16, u32
 
-P = F.col("payload")
 TEXT_STYLES = {15: "group", 14: "extend", 13: "condense", 12: "shadow", 11: "outline", 10: "underline", 9: "italic", 8: "bold"}
 BUTTON_STYLES = {0: "transparent", 1: "opaque", 2: "rectangle", 3: "roundrect", 4: "shadow", 5: "checkbox", 6: "radiobutton", 8: "standard", 9: "default", 10: "oval", 11: "popup"}
 FIELD_STYLES = {0: "transparent", 1: "opaque", 2: "rectangle", 4: "shadow", 7: "scrolling"}
 ALIGNMENTS = {0: "left", 1: "center", -1: "right", -2: "forceLeft"}
 
 
+def _p() -> Column:
+    return F.col("payload")
+
+
 def _of(blocks: DataFrame, *types: str) -> DataFrame:
     return blocks.where(F.col("type").isin(*types))
 
@@ -46,19 +49,19 @@ def rect(data: Column, at: int | Column) -> Column:
 
 def stacks(blocks: DataFrame) -> DataFrame:
     """STAK: one row a file."""
-    size = F.octet_length(P)
-    flags = i16(P, 64)
+    size = F.octet_length(_p())
+    flags = i16(_p(), 64)
     versions = {"created_by": 84, "last_compacted": 88, "last_edited": 92, "first_edited": 96}
     return _of(blocks, "STAK").select(
-        "file", "id", i32(P, 32).alias("card_count"), i32(P, 36).alias("first_card"), i32(P, 40).alias("list_id"), i16(P, 60).alias("user_level"),
+        "file", "id", i32(_p(), 32).alias("card_count"), i32(_p(), 36).alias("first_card"), i32(_p(), 40).alias("list_id"), i16(_p(), 60).alias("user_level"),
         *[has_bit(flags, bit).alias(name) for bit, name in {15: "cant_modify", 14: "cant_delete", 13: "private_access", 11: "cant_abort", 10: "cant_peek"}.items()],
-        *[F.concat(F.lit("HyperCard "), bcd_version(P, at)).alias(f"{name}_version") for name, at in versions.items()],
-        F.when(size >= 424, i32(P, 420)).otherwise(-1).alias("font_table_id"),
-        F.when(size >= 428, i32(P, 424)).otherwise(-1).alias("style_table_id"),
-        F.when(i16(P, 428) == 0, 342).otherwise(i16(P, 428)).alias("card_height"),
-        F.when(i16(P, 430) == 0, 512).otherwise(i16(P, 430)).alias("card_width"),
+        *[F.concat(F.lit("HyperCard "), bcd_version(_p(), at)).alias(f"{name}_version") for name, at in versions.items()],
+        F.when(size >= 424, i32(_p(), 420)).otherwise(-1).alias("font_table_id"),
+        F.when(size >= 428, i32(_p(), 424)).otherwise(-1).alias("style_table_id"),
+        F.when(i16(_p(), 428) == 0, 342).otherwise(i16(_p(), 428)).alias("card_height"),
+        F.when(i16(_p(), 430) == 0, 512).otherwise(i16(_p(), 430)).alias("card_width"),
         F.when(size >= 692 + 320, 40).otherwise(0).alias("pattern_count"),
-        F.when(size > 1524, c_string(P, 1524)).otherwise("").alias("script"),
+        F.when(size > 1524, c_string(_p(), 1524)).otherwise("").alias("script"),
     )
 
 
@@ -74,9 +77,9 @@ def stack_references(blocks: DataFrame) -> DataFrame:
 
 def patterns(blocks: DataFrame) -> DataFrame:
     """The forty 8 x 8 patterns of a complete pattern table."""
-    rows = _of(blocks, "STAK").where(F.octet_length(P) >= 692 + 320)
+    rows = _of(blocks, "STAK").where(F.octet_length(_p()) >= 692 + 320)
     n = F.explode(F.sequence(F.lit(0), F.lit(39)))
-    return rows.select("file", "payload", n.alias("n")).select("file", (F.col("n") + 1).alias("pattern"), field(P, 692 + F.col("n") * 8, 8).alias("bits"))
+    return rows.select("file", "payload", n.alias("n")).select("file", (F.col("n") + 1).alias("pattern"), field(_p(), 692 + F.col("n") * 8, 8).alias("bits"))
 
 
 def fonts(blocks: DataFrame) -> DataFrame:
@@ -84,23 +87,23 @@ def fonts(blocks: DataFrame) -> DataFrame:
     start = F.struct(F.lit(12).cast("int").alias("at"), F.array().cast("array<struct<n:int,font_id:bigint,name:string>>").alias("found"))
 
     def step(acc: Column, n: Column) -> Column:
-        end = nul_end(P, acc["at"] + 2)
-        entry = F.struct(n.alias("n"), i16(P, acc["at"]).alias("font_id"), c_string(P, acc["at"] + 2).alias("name"))
+        end = nul_end(_p(), acc["at"] + 2)
+        entry = F.struct(n.alias("n"), i16(_p(), acc["at"]).alias("font_id"), c_string(_p(), acc["at"] + 2).alias("name"))
         return F.struct(even(end + 1).cast("int").alias("at"), F.array_append(acc["found"], entry).alias("found"))
 
-    walked = F.aggregate(_numbers(i16(P, 6)), start, step)["found"]
-    rows = _of(blocks, "FTBL").where(F.octet_length(P) >= 8).select("file", "id", F.inline(walked))
+    walked = F.aggregate(_numbers(i16(_p(), 6)), start, step)["found"]
+    rows = _of(blocks, "FTBL").where(F.octet_length(_p()) >= 8).select("file", "id", F.inline(walked))
     return rows.groupBy("file", "font_id").agg(F.max_by("name", F.struct("id", "n")).alias("name"))
 
 
 def styles(blocks: DataFrame, font_names: DataFrame | None = None) -> DataFrame:
     """STBL: entries of 24 bytes with the font's name; size 12 unless the entry has one."""
-    rows = _of(blocks, "STBL").where(F.octet_length(P) >= 12)
-    rows = rows.select("file", "payload", F.explode(_numbers(i32(P, 4))).alias("n")).withColumn("at", 14 + 24 * F.col("n"))
-    rows = rows.where(F.col("at") < F.octet_length(P))
-    flags, size = i16(P, F.col("at") + 12), i16(P, F.col("at") + 14)
+    rows = _of(blocks, "STBL").where(F.octet_length(_p()) >= 12)
+    rows = rows.select("file", "payload", F.explode(_numbers(i32(_p(), 4))).alias("n")).withColumn("at", 14 + 24 * F.col("n"))
+    rows = rows.where(F.col("at") < F.octet_length(_p()))
+    flags, size = i16(_p(), F.col("at") + 12), i16(_p(), F.col("at") + 14)
     styled = rows.select(
-        "file", i16(P, F.col("at")).alias("style_id"), i16(P, F.col("at") + 10).alias("font_id"),
+        "file", i16(_p(), F.col("at")).alias("style_id"), i16(_p(), F.col("at") + 10).alias("font_id"),
         F.when(flags == -1, F.array().cast("array<string>")).otherwise(text_styles(flags)).alias("text_styles"),
         F.when(size == -1, 12).otherwise(size).alias("font_size"),
     )
@@ -128,8 +131,8 @@ def stylesheet(style_rows: DataFrame) -> DataFrame:
 
 def master_entries(blocks: DataFrame) -> DataFrame:
     """MAST: places of blocks as (file_offset, low byte of the id)."""
-    rows = _of(blocks, "MAST").select("file", "payload", F.explode(_numbers(F.floor((F.octet_length(P) - 20) / 4))).alias("n"))
-    entry = u32(P, 20 + F.col("n") * 4)
+    rows = _of(blocks, "MAST").select("file", "payload", F.explode(_numbers(F.floor((F.octet_length(_p()) - 20) / 4))).alias("n"))
+    entry = u32(_p(), 20 + F.col("n") * 4)
     return rows.withColumn("raw", entry).where("raw != 0").select(
         "file", "n", F.shiftleft(F.shiftright("raw", 8), 5).alias("file_offset"), (F.col("raw") % 256).alias("id_low"), "raw"
     )
@@ -137,16 +140,16 @@ def master_entries(blocks: DataFrame) -> DataFrame:
 
 def page_lists(blocks: DataFrame) -> DataFrame:
     """LIST: (file, list_id, n, page_id, entry_count, entry_size). Some lists have the short header; their counts tell."""
-    rows = _of(blocks, "LIST").where(F.octet_length(P) >= 42)
-    most = F.floor(F.octet_length(P) / 6)
-    usual, short = i32(P, 4), i32(P, 0)
+    rows = _of(blocks, "LIST").where(F.octet_length(_p()) >= 42)
+    most = F.floor(F.octet_length(_p()) / 6)
+    usual, short = i32(_p(), 4), i32(_p(), 0)
     compact = ((usual <= 0) | (usual > most)) & (short > 0) & (short <= most)
-    size = F.when(compact, i16(P, 12)).otherwise(i16(P, 16))
+    size = F.when(compact, i16(_p(), 12)).otherwise(i16(_p(), 16))
     rows = rows.withColumns({"entry_size": F.when(size > 0, size).otherwise(-1), "compact": compact, "tables": F.when(compact, short).otherwise(usual)})
     rows = rows.select("file", F.col("id").alias("list_id"), "payload", "entry_size", "compact", F.explode(_numbers(F.col("tables"))).alias("n"))
     at = 36 + 6 * F.col("n")
-    rows = rows.where(at + 4 <= F.octet_length(P))
-    return rows.select("file", "list_id", "n", i32(P, at).cast("int").alias("page_id"), i16(P, at + 4).alias("entry_count"), "entry_size", "compact")
+    rows = rows.where(at + 4 <= F.octet_length(_p()))
+    return rows.select("file", "list_id", "n", i32(_p(), at).cast("int").alias("page_id"), i16(_p(), at + 4).alias("entry_count"), "entry_size", "compact")
 
 
 def page_entries(blocks: DataFrame) -> DataFrame:
@@ -155,8 +158,8 @@ def page_entries(blocks: DataFrame) -> DataFrame:
     pages = _of(blocks, "PAGE").select("file", F.col("id").alias("page_id"), "payload")
     rows = lists.join(pages, ["file", "page_id"])
     places = F.transform(_numbers(F.col("entry_count")), lambda n: 12 + n * F.col("entry_size"))
-    inside = F.filter(places, lambda at: at + 4 <= F.octet_length(P))
-    cards = F.transform(inside, lambda at: F.struct(i32(P, at).cast("int").alias("card_id"), u8(P, at + 4).alias("flags")))
+    inside = F.filter(places, lambda at: at + 4 <= F.octet_length(_p()))
+    cards = F.transform(inside, lambda at: F.struct(i32(_p(), at).cast("int").alias("card_id"), u8(_p(), at + 4).alias("flags")))
     zero = F.array_position(F.transform(cards, lambda c: c["card_id"]), F.lit(0))
     kept = F.when(zero > 0, F.slice(cards, F.lit(1), (zero - 1).cast("int"))).otherwise(cards)
     return rows.select("file", "list_id", "page_id", F.posexplode(kept).alias("n", "c")).select("file", "list_id", "page_id", "n", "c.*")
@@ -177,10 +180,10 @@ PART = "struct<n:int,at:int,length:int>"
 def _layers(blocks: DataFrame) -> DataFrame:
     """CARD and BKGD with places of parts and contents, and where the name starts."""
     rows = _of(blocks, "CARD", "BKGD")
-    size = F.octet_length(P)
+    size = F.octet_length(_p())
     card = F.col("type") == "CARD"
     base = F.when(card, 28).otherwise(24)
-    rows = rows.withColumns({"n_parts": F.greatest(i16(P, base), F.lit(0)), "n_contents": F.greatest(i16(P, base + 8), F.lit(0)), "body": base + 14})
+    rows = rows.withColumns({"n_parts": F.greatest(i16(_p(), base), F.lit(0)), "n_contents": F.greatest(i16(_p(), base + 8), F.lit(0)), "body": base + 14})
 
     def walk(count: Column, first: Column, least: int, head: int, sized) -> Column:
         start = F.struct(first.cast("int").alias("at"), F.lit(True).alias("go"), F.array().cast(f"array<{PART}>").alias("found"))
@@ -196,8 +199,8 @@ def _layers(blocks: DataFrame) -> DataFrame:
 
         return F.aggregate(_numbers(count), start, step)
 
-    rows = rows.withColumn("parts", walk(F.col("n_parts"), F.col("body"), 30, 0, lambda at: i16(P, at)))
-    return rows.withColumn("contents", walk(F.col("n_contents"), F.col("parts.at"), 4, 4, lambda at: i16(P, at + 2)))
+    rows = rows.withColumn("parts", walk(F.col("n_parts"), F.col("body"), 30, 0, lambda at: i16(_p(), at)))
+    return rows.withColumn("contents", walk(F.col("n_contents"), F.col("parts.at"), 4, 4, lambda at: i16(_p(), at + 2)))
 
 
 def layers(blocks: DataFrame) -> DataFrame:
@@ -206,9 +209,9 @@ def layers(blocks: DataFrame) -> DataFrame:
     at = F.col("contents.at")
     card = F.col("type") == "CARD"
     return rows.select(
-        "file", "type", "id", i32(P, 4).alias("bitmap_id"), i16(P, 8).alias("flags"), F.when(card, i32(P, 24)).otherwise(-1).alias("owner"),
-        has_bit(i16(P, 8), 14).alias("cant_delete"), (~has_bit(i16(P, 8), 13)).alias("show_picture"),
-        "n_parts", "n_contents", c_string(P, at).alias("name"), c_string(P, nul_end(P, at) + 1).alias("script"),
+        "file", "type", "id", i32(_p(), 4).alias("bitmap_id"), i16(_p(), 8).alias("flags"), F.when(card, i32(_p(), 24)).otherwise(-1).alias("owner"),
+        has_bit(i16(_p(), 8), 14).alias("cant_delete"), (~has_bit(i16(_p(), 8), 13)).alias("show_picture"),
+        "n_parts", "n_contents", c_string(_p(), at).alias("name"), c_string(_p(), nul_end(_p(), at) + 1).alias("script"),
     )
 
 
@@ -216,21 +219,21 @@ def parts(blocks: DataFrame, font_names: DataFrame | None = None) -> DataFrame:
     """One row a button or field of a layer."""
     rows = _layers(blocks).select("file", F.col("type").alias("layer_type"), F.col("id").alias("layer_id"), "payload", F.inline("parts.found"))
     at = F.col("at")
-    kind, more = F.shiftright(i16(P, at + 4), 8), i16(P, at + 14)
+    kind, more = F.shiftright(i16(_p(), at + 4), 8), i16(_p(), at + 14)
     button = kind == 1
     low = more.bitwiseAND(15)
-    icon, width = i16(P, at + 18), i16(P, at + 16)
+    icon, width = i16(_p(), at + 18), i16(_p(), at + 16)
     last = F.when(width <= 0, icon).otherwise(width)
     selected = F.when(~button & (icon > 0) & (last >= icon), F.sequence(icon, last)).when(button & (low == 11) & (icon != 0), F.array(icon))
-    name_end = nul_end(P, at + 30)
+    name_end = nul_end(_p(), at + 30)
     made = rows.select(
-        "file", "layer_type", "layer_id", "n", i16(P, at + 2).alias("part_id"), F.when(button, "button").otherwise("field").alias("part_type"),
-        (~has_bit(i16(P, at + 4), 7)).alias("visible"), rect(P, at + 6).alias("bounds"),
+        "file", "layer_type", "layer_id", "n", i16(_p(), at + 2).alias("part_id"), F.when(button, "button").otherwise("field").alias("part_type"),
+        (~has_bit(i16(_p(), at + 4), 7)).alias("visible"), rect(_p(), at + 6).alias("bounds"),
         F.when(button, _named(low, BUTTON_STYLES)).otherwise(_named(low, FIELD_STYLES)).alias("style"),
         F.shiftright(more, 8).bitwiseAND(15).alias("family"), F.coalesce(selected, F.array().cast("array<bigint>")).alias("selected_lines"),
-        _named(i16(P, at + 20), ALIGNMENTS).alias("text_align"), i16(P, at + 22).alias("font_id"), i16(P, at + 24).alias("text_size"),
-        text_styles(i16(P, at + 26)).alias("text_styles"), i16(P, at + 28).alias("text_height"),
-        c_string(P, at + 30).alias("name"), c_string(P, name_end + 2).alias("script"),
+        _named(i16(_p(), at + 20), ALIGNMENTS).alias("text_align"), i16(_p(), at + 22).alias("font_id"), i16(_p(), at + 24).alias("text_size"),
+        text_styles(i16(_p(), at + 26)).alias("text_styles"), i16(_p(), at + 28).alias("text_height"),
+        c_string(_p(), at + 30).alias("name"), c_string(_p(), name_end + 2).alias("script"),
     )
     return with_fonts(made, fonts(blocks) if font_names is None else font_names)
 
@@ -243,13 +246,13 @@ def background_buttons(part_rows: DataFrame) -> DataFrame:
 def contents(blocks: DataFrame, part_rows: DataFrame | None = None) -> DataFrame:
     """One row a text of a layer. A card's text for a button of its background is its highlight."""
     walked = _layers(blocks)
-    owner = F.when(F.col("type") == "CARD", i32(P, 24)).otherwise(-1)
+    owner = F.when(F.col("type") == "CARD", i32(_p(), 24)).otherwise(-1)
     rows = walked.select("file", F.col("type").alias("layer_type"), F.col("id").alias("layer_id"), owner.alias("owner"), "payload", F.inline("contents.found"))
     at = F.col("at")
-    raw, head = i16(P, at), u16(P, at + 4)
+    raw, head = i16(_p(), at), u16(_p(), at + 4)
     styled = F.when(head > 32767, head - 32768).otherwise(0).cast("int")
-    text = field(P, at + 4 + styled, F.col("length") - styled)
-    runs = F.transform(_numbers(F.floor((styled - 2) / 4)), lambda k: F.struct(i16(P, at + 6 + 4 * k).alias("start"), i16(P, at + 8 + 4 * k).alias("style_id")))
+    text = field(_p(), at + 4 + styled, F.col("length") - styled)
+    runs = F.transform(_numbers(F.floor((styled - 2) / 4)), lambda k: F.struct(i16(_p(), at + 6 + 4 * k).alias("start"), i16(_p(), at + 8 + 4 * k).alias("style_id")))
     made = rows.where((styled <= F.col("length")) & ((head <= 32767) | (styled >= 2))).select(
         "file", "layer_type", "layer_id", "owner", "n", F.abs(raw).alias("part_id"), F.when(raw < 0, "card").otherwise("background").alias("layer"),
         runs.alias("style_runs"), mac_text(field(text, 0, nul_end(text, 0)), True).alias("text"), F.hex(text).alias("_raw"),
@@ -278,11 +281,11 @@ def scripts(blocks: DataFrame) -> DataFrame:
 
 def print_settings(blocks: DataFrame) -> DataFrame:
     """PRNT: (file, n, report_id, name) of the report templates that it lists."""
-    rows = _of(blocks, "PRNT").select("file", "payload", F.explode(_numbers(i16(P, 0x128))).alias("n"))
+    rows = _of(blocks, "PRNT").select("file", "payload", F.explode(_numbers(i16(_p(), 0x128))).alias("n"))
     at = 0x12A + 36 * F.col("n")
-    rows = rows.where(at + 36 <= F.octet_length(P))
-    length = F.least(u8(P, at + 4), F.lit(31)).cast("int")
-    return rows.select("file", "n", i32(P, at).alias("report_id"), mac_text(field(P, at + 5, length)).alias("name"))
+    rows = rows.where(at + 36 <= F.octet_length(_p()))
+    length = F.least(u8(_p(), at + 4), F.lit(31)).cast("int")
+    return rows.select("file", "n", i32(_p(), at).alias("report_id"), mac_text(field(_p(), at + 5, length)).alias("name"))
 
 
 def source_manifest(blocks: DataFrame) -> DataFrame:
