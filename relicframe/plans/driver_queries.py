@@ -436,3 +436,49 @@ def output_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(name.alias("name"))
     what = classify.logical_file(F.col("name"))
     return rows.select("name", classify.output_kind(F.col("name")).alias("kind"), what["kind"].alias("logical_kind"), what["id"].alias("logical_id"))
+
+
+@query("q32_resource_convert", """
+    SELECT source AS file, 'TEXT' AS type, CAST(doc_id AS INT) AS id, 'text' AS format, text FROM documents WHERE lang = 'en' AND length(text) = strlen(text)
+    UNION ALL SELECT source, 'MBAR', CAST(doc_id AS INT), 'json', '{"menuIds":[' || doc_id % 100 || ',' || -(doc_id % 7) || ']}' FROM documents WHERE lang = 'de'""")
+def resource_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and made menu bars as resources, converted."""
+    from . import resources
+
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.lit("")).withColumn("id", F.col("doc_id").cast("int"))
+    texts = docs.where("lang = 'en' AND length(text) = octet_length(text)").select(F.col("source").alias("file"), F.lit("TEXT").alias("type"), "id", "name", F.encode("text", "utf-8").alias("data"))
+    number = lambda c: F.unhex(F.lpad(F.hex(F.pmod(c, F.lit(65536))), 4, "0"))
+    bar = F.concat(number(F.lit(2)), number(F.col("doc_id") % 100), number(-(F.col("doc_id") % 7)))
+    bars = docs.where("lang = 'de'").select(F.col("source").alias("file"), F.lit("MBAR").alias("type"), "id", "name", bar.alias("data"))
+    return resources.convert(texts.unionByName(bars)).where("format != 'native'").select("file", "type", "id", "format", "text")
+
+
+@query("q33_rom_scan", r"""
+    WITH p AS (SELECT doc_id, string_split_regex(text, '[^\x20-\x7E]') AS p FROM documents WHERE length(text) = strlen(text)),
+    s AS (SELECT doc_id, i, p[i] AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+    o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s),
+    c AS (SELECT *, len(regexp_extract_all(t, '[A-Za-z]')) AS alpha, len(regexp_extract_all(t, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) AS marks FROM o WHERE length(t) >= 4)
+    SELECT CAST(doc_id AS VARCHAR) AS rom_id, CAST(place AS BIGINT) AS "offset", t AS text FROM c WHERE alnum > 0 AND NOT (length(t) < 6 AND alpha < 3) AND NOT (length(t) <= 5 AND marks > 1)""")
+def rom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as firmware images: printable strings with their offsets."""
+    from . import rom
+
+    docs = table(spark, sf_dir, "documents").where("length(text) = octet_length(text)")
+    images = docs.select(F.col("doc_id").cast("string").alias("rom_id"), F.lit(0x40800000).cast("long").alias("base"), F.encode("text", "utf-8").alias("content"))
+    return rom.ascii_strings(images).select("rom_id", "offset", "text")
+
+
+@query("q35_fork_round_trip")
+def fork_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a resource fork of one resource, read back; its name and size must return. Tests hold it against Python."""
+    from ..sources import resfork
+
+    name = F.encode("p_name", "utf-8")
+    number = lambda c, n: F.unhex(F.lpad(F.hex(F.pmod(c.cast("long"), F.lit(1 << (4 * n)))), n, "0"))
+    data = F.concat(number(F.octet_length(name), 8), name)
+    types = F.concat(number(F.lit(0), 4), F.lit(b"STR "), number(F.lit(0), 4), number(F.lit(10), 4), number(F.col("p_size"), 4), number(F.lit(0), 4), number(F.lit(0), 8), number(F.lit(0), 8))
+    label = F.concat(number(F.octet_length(name), 2), name)
+    body = F.concat(F.lit(bytes(24)), number(F.lit(28), 4), number(F.lit(28) + F.octet_length(types), 4), types, label)
+    fork = F.concat(number(F.lit(16), 8), number(F.lit(16) + F.octet_length(data), 8), number(F.octet_length(data), 8), number(F.octet_length(body), 8), data, body)
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), fork.alias("content"))
+    return resfork.read_forks(files).select("file", "type", "id", "name", "payload_bytes", "status")

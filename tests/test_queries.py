@@ -34,3 +34,9 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_forks_return_what_went_in(spark):
+    parts = {str(r.p_partkey): (r.p_name, r.p_size) for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    rows = report_queries.QUERIES["q35_fork_round_trip"](spark, SF).collect()
+    assert {r.file: (r["name"], r.id) for r in rows} == parts and all(r.status == "ok" and r.payload_bytes == len(r["name"]) for r in rows)
