@@ -439,32 +439,35 @@ def output_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q32_resource_convert", """
-    SELECT source AS file, 'TEXT' AS type, CAST(doc_id AS INT) AS id, 'text' AS format, text FROM documents WHERE lang = 'en' AND length(text) = strlen(text)
-    UNION ALL SELECT source, 'MBAR', CAST(doc_id AS INT), 'json', '{"menuIds":[' || doc_id % 100 || ',' || -(doc_id % 7) || ']}' FROM documents WHERE lang = 'de'""")
+    SELECT source AS file, 'TEXT' AS type, CAST(doc_id AS INT) AS id, 'text' AS format, md5(text) AS text FROM documents
+    UNION ALL SELECT source, 'MBAR', CAST(doc_id AS INT), 'json', '{"menuIds":[' || doc_id % 100 || ',' || -(doc_id % 7) || ']}' FROM documents""")
 def resource_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and made menu bars as resources, converted."""
+    """Digests of texts and made menu bars as resources, converted."""
     from . import resources
 
-    docs = table(spark, sf_dir, "documents").withColumn("name", F.lit("")).withColumn("id", F.col("doc_id").cast("int"))
-    texts = docs.where("lang = 'en' AND length(text) = octet_length(text)").select(F.col("source").alias("file"), F.lit("TEXT").alias("type"), "id", "name", F.encode("text", "utf-8").alias("data"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "text", F.col("doc_id").cast("int").alias("id"), F.lit("").alias("name"))
     number = lambda c: F.unhex(F.lpad(F.hex(F.pmod(c, F.lit(65536))), 4, "0"))
     bar = F.concat(number(F.lit(2)), number(F.col("doc_id") % 100), number(-(F.col("doc_id") % 7)))
-    bars = docs.where("lang = 'de'").select(F.col("source").alias("file"), F.lit("MBAR").alias("type"), "id", "name", bar.alias("data"))
-    return resources.convert(texts.unionByName(bars)).where("format != 'native'").select("file", "type", "id", "format", "text")
+    payloads = F.array(
+        F.struct(F.lit("TEXT").alias("type"), F.encode(F.md5(F.encode("text", "utf-8")), "utf-8").alias("data")), F.struct(F.lit("MBAR").alias("type"), bar.alias("data"))
+    )
+    made = docs.select("file", "id", "name", F.inline(payloads))
+    return resources.convert(made, ("TEXT", "MBAR")).where("format != 'native'").select("file", "type", "id", "format", "text")
 
 
 @query("q33_rom_scan", r"""
-    WITH p AS (SELECT doc_id, string_split_regex(text, '[^\x20-\x7E]') AS p FROM documents WHERE length(text) = strlen(text)),
-    s AS (SELECT doc_id, i, p[i] AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+    WITH p AS (SELECT doc_id, text, string_split_regex(text, '[^\x20-\x7E]') AS p FROM documents),
+    s AS (SELECT doc_id, text, i, p[i] AS t FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
     o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM s),
     c AS (SELECT *, len(regexp_extract_all(t, '[A-Za-z]')) AS alpha, len(regexp_extract_all(t, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(t, '[!-/:-@\[-`{-~]')) AS marks FROM o WHERE length(t) >= 4)
-    SELECT CAST(doc_id AS VARCHAR) AS rom_id, CAST(place AS BIGINT) AS "offset", t AS text FROM c WHERE alnum > 0 AND NOT (length(t) < 6 AND alpha < 3) AND NOT (length(t) <= 5 AND marks > 1)""")
+    SELECT CAST(doc_id AS VARCHAR) AS rom_id, CAST(strlen(left(text, CAST(place AS BIGINT))) AS BIGINT) AS "offset", t AS text
+    FROM c WHERE alnum > 0 AND NOT (length(t) < 6 AND alpha < 3) AND NOT (length(t) <= 5 AND marks > 1)""")
 def rom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as firmware images: printable strings with their offsets."""
+    """Texts as firmware images: printable strings with their byte offsets."""
     from . import rom
 
-    docs = table(spark, sf_dir, "documents").where("length(text) = octet_length(text)")
-    images = docs.select(F.col("doc_id").cast("string").alias("rom_id"), F.lit(0x40800000).cast("long").alias("base"), F.encode("text", "utf-8").alias("content"))
+    base = F.lit(0x40800000).cast("long").alias("base")
+    images = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rom_id"), base, F.encode("text", "utf-8").alias("content"))
     return rom.ascii_strings(images).select("rom_id", "offset", "text")
 
 

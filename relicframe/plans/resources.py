@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -182,13 +182,19 @@ JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
 TEXT_TYPES = ("STR ", "TEXT")
 
 
-def convert(resources: DataFrame) -> DataFrame:
-    """(file, type, id, name, format, media_type, text, error) of each resource with a known JSON or text form, and a native row for each."""
+def convert(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
+    """(file, type, id, name, format, media_type, text, error) of each resource with a known JSON or text form, and a native row for each.
+
+    ``wants`` names the types asked for; others are neither read nor planned.
+    """
+    if wants is not None:
+        resources = resources.where(F.col("type").isin(*wants))
     json = F.lit(None).cast("string")
-    for types, make in JSON_TYPES.items():
+    asked = {types: make for types, make in JSON_TYPES.items() if wants is None or set(types) & set(wants)}
+    for types, make in asked.items():
         json = F.when(F.col("type").isin(*types), make()).otherwise(json)
     text = F.when(F.col("type") == "STR ", pascal_string(_data(), 0)).when(F.col("type") == "TEXT", mac_text(_data()))
-    kinds = [t for types in JSON_TYPES for t in types]
+    kinds = [t for types in asked for t in types]
     is_json, is_text = F.col("type").isin(*kinds), F.col("type").isin(*TEXT_TYPES)
     made = resources.select("file", "type", "id", "name", F.when(is_json, json).otherwise(text).alias("text"), is_json.alias("_json"), is_text.alias("_text"))
     known = made.where("_json OR _text")

@@ -93,3 +93,31 @@ def test_streaming_folder(spark, tmp_path):
         folder.into_tables(folder.block_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", lambda b: b.drop("payload")).awaitTermination()
         (tmp_path / "in" / "b").write_bytes(block(b"CARD", 5, b"abc") + TAIL)
     assert sorted((r.type, r.n) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("type").agg(F.count("*").alias("n")).collect()) == [("CARD", 1), ("STAK", 1), ("TAIL", 2)]
+
+
+def bmap(total, mask, picture, mask_data, picture_data):
+    head = bytes(12) + struct.pack(">4h", *total) + struct.pack(">4h", *mask) + struct.pack(">4h", *picture) + bytes(8) + struct.pack(">II", len(mask_data), len(picture_data))
+    return head + mask_data + picture_data
+
+
+def test_card_pictures(spark):
+    from relicframe.plans import bitmaps
+    from tests.test_archives import scan
+
+    box = (0, 0, 8, 32)
+    data = bytes([0x80, 1, 2, 3, 4, 0x82, 0x85, 0x81, 0x83, 0xF0, 0xA2, 0x84, 0x20, 5, 6, 0x02])
+    rows = scan(spark, block(b"BMAP", 1, bmap(box, (0, 0, 0, 0), box, b"", data)) + block(b"BMAP", 2, bmap(box, (2, 8, 4, 16), box, b"", b"")) + block(b"BMAP", 3, b"short") + TAIL)
+    got = {r.id: r for r in bitmaps.decode(rows).collect()}
+    assert set(got) == {1, 2}
+    lines = [bytes(got[1].bits[i : i + 4]).hex() for i in range(0, 32, 4)]
+    assert lines == ["01020304", "ffffffff", "ffffffff", "00000000", "f0f0f0f0", "55555555", "aaaaaaaa", "05060000"]
+    assert got[1].mask == got[1].bits
+    assert bytes(got[2].mask).hex() == "00" * 8 + "00ff0000" * 2 + "00" * 16
+    assert bytes(bitmaps.portable(bitmaps.decode(rows)).where("id = 1").first().content).count(b"P4\n32 8\n") == 2
+
+
+def test_card_picture_shifts():
+    from relicframe.plans.bitmaps import unpack
+
+    # 8C: every bit right of a set one flips on; 8A: a row is XORed with the one above
+    assert [r.hex() for r in unpack(bytes([0x8C, 0x40, 0x80, 0, 0, 0, 0x8A, 0x40, 1, 0, 0, 0]), 4, 2)] == ["ffffffff", "feffffff"]
