@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .tokens import WordIds, default_path
+from .tokens import default_path, word_ids
 
 CAPACITY = 2048
 END_ID = 0
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
 
         def out(batch: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             at, number, data = zip(*rows, strict=True)

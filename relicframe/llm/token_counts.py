@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .tokens import WordIds, default_path
+from .tokens import default_path, word_ids
 
 BLOCK = 1024
 
@@ -28,7 +28,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = word_ids(path)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             lengths = np.fromiter((len(ids.text(t)) // 4 for t in texts), np.int64, len(texts))
