@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize, text_batches
+from .common import id_crc, materialize, smallest_hashes, text_batches
 
 #: Labelled documents to learn from at most, those of the smallest id hashes.
 SAMPLE_DOCS = 15_000
@@ -120,7 +120,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, y) of at most SAMPLE_DOCS labelled ids whose crc32 modulo 3 is not 1, written once."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(id_crc("doc_id") % 3 != 1)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    chosen = materialize(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS), "toxicity-sample-ids")
+    chosen = materialize(smallest_hashes(marked, ["doc_id"], SAMPLE_DOCS), "toxicity-sample-ids")
     # at most SAMPLE_DOCS rows of two numbers
     return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxicity-sample")
 

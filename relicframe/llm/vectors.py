@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, smallest_hashes
 from .components import components
 from .tiles import dealt, runs, tile
 
@@ -235,7 +235,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     alone = other.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not n:
         return _with_kept(alone, id_col)
-    taken = classes.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_VECTORS).toArrow()
+    taken = smallest_hashes(classes.select("vector"), ["vector"], SAMPLE_VECTORS).toArrow()
     sample = _unit(_matrix(taken.column("vector")))
     spill = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(width)
     trees = [grow(sample, n / len(sample), spill, seed) for seed in range(TREES)]

@@ -8,13 +8,14 @@ next may begin: the pointer tables and the resource maps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import address, field, rom_id, sha256_upper, u16, u32
+from ..functions.binary import address, field, i16, rom_id, sha256_upper, u16, u32
 from ..functions.text import string_confidence
 from ..operators.relational import asof_join, contains_join, inside_any, islands
 
@@ -129,23 +130,81 @@ def pointer_tables(images: DataFrame, keep: int = 64) -> DataFrame:
     return images.select("rom_id", "base", "content").mapInArrow(run, "rom_id string, address long, entry_count long, targets array<long>, confidence double")
 
 
+def offsets_of(images: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """(rom_id, base, content, name, offset): where each pattern (over Latin-1 text) begins, overlaps included."""
+    text = _latin(F.col("content"))
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.transform(F.split(text, f"(?s)(?={p})"), lambda x: F.length(x)).alias("lengths")) for n, p in patterns.items()])
+    cut = images.select("rom_id", "base", "content", F.inline(parts)).select("rom_id", "base", "content", "name", F.posexplode("lengths").alias("k", "length"))
+    # each part but perhaps the first begins with a match; it starts where those before it end
+    before = Window.partitionBy("rom_id", "name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.select("rom_id", "base", "name", "k", "length").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).try_cast("int"))
+    joined = placed.join(images.select("rom_id", "content"), "rom_id")
+    found = F.lit(False)
+    for n, p in patterns.items():
+        tail = F.decode(field(F.col("content"), F.col("offset"), 64), "ISO-8859-1")
+        found = F.when(F.col("name") == n, tail.rlike(f"(?s)^(?:{p})")).otherwise(found)
+    return joined.where(found).select("rom_id", "base", "content", "name", "offset")
+
+
 def markers(images: DataFrame, cap: int = MAX_MARKERS) -> DataFrame:
     """Places of resource type names, type by type, at most ``cap`` an image, with printable context."""
-    text = _latin(F.col("content"))
-    typed = images.select("rom_id", "base", "content", F.posexplode(F.array(*map(F.lit, MARKERS))).alias("place", "type"))
-    parts = F.split(text, F.concat(F.lit("(?="), F.concat(F.lit("\\Q"), F.col("type"), F.lit("\\E")), F.lit(")")))
-    placed = typed.withColumn("lengths", F.transform(parts, lambda p: F.length(p)))
-    # each part but perhaps the first begins with the type; its offset is the length of those before it
-    rows = placed.select("rom_id", "base", "content", "place", "type", F.posexplode("lengths").alias("k", "length"), "lengths")
-    at = F.aggregate(F.slice("lengths", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    rows = rows.withColumn("offset", at).where(F.decode(field(F.col("content"), F.col("offset"), 4), "ISO-8859-1") == F.col("type"))
+    rows = offsets_of(images, {t: re.escape(t) for t in MARKERS})
     first = F.greatest(F.col("offset") - 16, F.lit(0))
     context = F.regexp_replace(_latin(field(F.col("content"), first, F.col("offset") + 48 - first)), r"[^\x20-\x7E]", ".")
-    rows = rows.select("rom_id", "place", "type", "offset", (F.col("base") + F.col("offset")).alias("address"), context.alias("context"))
+    place = F.array_position(F.array(*map(F.lit, MARKERS)), F.col("name"))
+    rows = rows.select("rom_id", place.alias("place"), F.col("name").alias("type"), "offset", (F.col("base") + F.col("offset")).alias("address"), context.alias("context"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("rom_id").orderBy("place", "offset")))
     return ranked.where(F.col("n") <= cap).select("rom_id", (F.col("n") - 1).alias("marker_id"), "type", "address", "context")
 
 
+MAX_INLINE_BYTES = 16 << 20
+PLAIN_TYPE = r"[\x20-\x7E]{4}"
+
+
+def inline_resources(images: DataFrame) -> DataFrame:
+    """Resources that stand in an image behind a 16-byte prefix: (rom_id, type, id, name, flags, map_address, address, length, ...)."""
+    rows = offsets_of(images, {"prefix": r"[\x08\x78]\x00{7}.{8}" + PLAIN_TYPE}).withColumn("at", F.col("offset") + 16)
+    c, at = F.col("content"), F.col("at")
+    rows = rows.withColumns({"previous": u32(c, F.col("offset") + 8), "payload_at": u32(c, F.col("offset") + 12), "named": u16(c, at + 6) % 256})
+    rows = rows.where((F.col("payload_at") >= at + 8) & (F.col("payload_at") <= F.octet_length(c)) & (F.col("payload_at") - at <= 512))
+    rows = rows.where(((F.col("previous") == 0) | (F.col("previous") < F.col("payload_at"))) & (F.col("named") <= 63) & (at + 8 + F.col("named") <= F.col("payload_at")))
+    start = F.col("payload_at").try_cast("int")
+    rows = rows.withColumn("length", u32(c, start - 8)).where(_latin(field(c, start, 4)) != "Kurt")
+    rows = rows.where(F.col("length").between(1, MAX_INLINE_BYTES) & (F.col("payload_at") + F.col("length") <= F.octet_length(c)))
+    return _found_resources(rows, at, start, "inline", 0.78)
+
+
+def wrapped_resources(images: DataFrame) -> DataFrame:
+    """Resources in a Kurt wrapper; their type, id and name stand up to 64 bytes before it, with k/c padding between."""
+    rows = offsets_of(images, {"Kurt": "Kurt"}).where("offset >= 8")
+    c, at = F.col("content"), F.col("offset")
+    rows = rows.withColumns({"length": u32(c, at + 8), "unpacked": u32(c, at + 12)})
+    rows = rows.where(F.col("length").between(1, MAX_INLINE_BYTES) & (F.col("unpacked") > 0) & (at + 16 + F.col("length") <= F.octet_length(c)))
+    near = rows.withColumn("back", F.explode(F.sequence(F.lit(8), F.least(at, F.lit(64))))).withColumn("at", at - F.col("back"))
+    near = near.withColumn("named", u16(c, F.col("at") + 6) % 256)
+    padding = F.col("at") + 8 + F.col("named").try_cast("int")
+    between = _latin(field(c, padding, F.col("offset") - padding))
+    near = near.where(_latin(field(c, F.col("at"), 4)).rlike(f"^{PLAIN_TYPE}$") & (padding <= F.col("offset")) & between.rlike("^((kc)*k?|(ck)*c?)$"))
+    nearest = near.withColumn("n", F.row_number().over(Window.partitionBy("rom_id", "offset").orderBy(F.desc("at")))).where("n = 1")
+    return _found_resources(nearest, F.col("at"), F.col("offset") + 16, "Kurt", 0.82)
+
+
+def _found_resources(rows: DataFrame, at: Column, start: Column, wrapper: str, confidence: float) -> DataFrame:
+    c = F.col("content")
+    return rows.select(
+        "rom_id", _latin(field(c, at, 4)).alias("type"), i16(c, at + 4).try_cast("int").alias("id"), _latin(field(c, at + 8, F.col("named").try_cast("int"))).alias("name"),
+        F.shiftright(u16(c, at + 6), 8).alias("flags"), (F.col("base") + at).alias("map_address"), (F.col("base") + start).alias("address"), "length",
+        F.lit(wrapper).alias("wrapper"), F.lit(confidence).alias("confidence"), field(c, start, F.col("length").try_cast("int")).alias("data"),
+    ).dropDuplicates(["rom_id", "type", "id", "address"])
+
+
+def resource_spans(resource_rows: DataFrame) -> DataFrame:
+    """The data region that the resources of each wrapper cover."""
+    return resource_rows.groupBy("rom_id", "wrapper").agg(
+        F.min("map_address").alias("start"), F.max(F.col("address") + F.col("length")).alias("end"), F.count("*").alias("n")
+    ).select("rom_id", "start", "end", F.concat(F.lit("rom_"), F.lower("wrapper"), F.lit("_resources")).alias("kind"), "n", F.when(F.col("wrapper") == "Kurt", 0.72).otherwise(0.78).alias("confidence"))
+
+
 # --- disassembly text ---------------------------------------------------------------------
 
 LINE = r"^([0-9A-Fa-f]{8}) +((?:[0-9A-Fa-f]+\s+)*)(\S+)\s*(.*)$"
@@ -267,10 +326,10 @@ def resource_maps(images: DataFrame, max_types: int = 64, max_resources: int = 4
     left = size - F.col("at")
     heads = heads.where("data_off >= 16 AND map_off >= 16 AND data_len > 0 AND map_len >= 30")
     heads = heads.where((F.col("data_off") + F.col("data_len") <= left) & (F.col("map_off") + F.col("map_len") <= left))
-    start = (F.col("at") + F.col("map_off")).cast("int")
-    heads = heads.withColumn("map_at", start).withColumn("types_off", u16(c, F.col("map_at") + 24).cast("int"))
+    start = (F.col("at") + F.col("map_off")).try_cast("int")
+    heads = heads.withColumn("map_at", start).withColumn("types_off", u16(c, F.col("map_at") + 24).try_cast("int"))
     heads = heads.where((F.col("types_off") + 2 <= F.col("map_len")) & (u16(c, F.col("map_at") + 26) <= F.col("map_len")))
-    heads = heads.withColumn("n_types", u16(c, F.col("map_at") + F.col("types_off")).cast("int") + 1)
+    heads = heads.withColumn("n_types", u16(c, F.col("map_at") + F.col("types_off")).try_cast("int") + 1)
     heads = heads.where((F.col("n_types") <= max_types) & (F.col("types_off") + 2 + F.col("n_types") * 8 <= F.col("map_len")))
     entry = lambda k: F.col("map_at") + F.col("types_off") + 2 + k * 8
     types = F.transform(
@@ -317,7 +376,7 @@ def gap_rows(function_rows: DataFrame, marker_rows: DataFrame, cap: int = 100) -
     return open_ends.unionByName(unparsed).unionByName(phase.select("rom_id", F.lit("phase").alias("kind"), F.lit("linear").alias("subject")))
 
 
-ATLAS = ("strings", "clusters", "pointer_words", "pointer_tables", "markers", "instructions", "xrefs", "traps", "functions", "maps", "regions", "gaps", "images")
+ATLAS = ("strings", "clusters", "pointer_words", "pointer_tables", "markers", "instructions", "xrefs", "traps", "functions", "maps", "regions", "resources", "gaps", "images")
 
 
 def analyze(images: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
@@ -326,12 +385,13 @@ def analyze(images: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
     rows = instructions(listings)
     tables, text = pointer_tables(images), strings(images)
     maps, clusters = resource_maps(images), string_clusters(text)
-    regions = clusters.unionByName(map_regions(maps))
+    inside = inline_resources(images).unionByName(wrapped_resources(images))
+    regions = clusters.unionByName(map_regions(maps)).unionByName(resource_spans(inside))
     refs = lower_in_data(xrefs(rows, bounds, tables), regions)
     found, marked = functions(rows, refs, bounds), markers(images)
     return {
         "strings": text, "clusters": clusters, "pointer_words": pointer_words(images), "pointer_tables": tables, "markers": marked, "instructions": rows,
-        "xrefs": refs, "traps": traps(rows), "functions": found, "maps": maps, "regions": regions, "gaps": gap_rows(found, marked), "images": bounds,
+        "xrefs": refs, "traps": traps(rows), "functions": found, "maps": maps, "regions": regions, "resources": inside.drop("data"), "gaps": gap_rows(found, marked), "images": bounds,
     }
 
 

@@ -29,22 +29,22 @@ def read_forks(forks: DataFrame) -> DataFrame:
     """
     c = F.col("content")
     heads = fork_headers(forks).where("status = 'ok'").drop("status")
-    heads = heads.withColumns({"types_at": (F.col("map_off") + u16(c, (F.col("map_off") + 24).cast("int"))).cast("int"), "names_at": (F.col("map_off") + u16(c, (F.col("map_off") + 26).cast("int"))).cast("int")})
-    n_types = ((u16(c, F.col("types_at")) + 1) % 65536).cast("int")
+    heads = heads.withColumns({"types_at": (F.col("map_off") + u16(c, (F.col("map_off") + 24).try_cast("int"))).try_cast("int"), "names_at": (F.col("map_off") + u16(c, (F.col("map_off") + 26).try_cast("int"))).try_cast("int")})
+    n_types = ((u16(c, F.col("types_at")) + 1) % 65536).try_cast("int")
     typed = heads.where(n_types > 0).withColumn("t", F.explode(F.sequence(F.lit(0), n_types - 1)))
     typed = typed.withColumn("entry", F.col("types_at") + 2 + 8 * F.col("t")).where(F.col("entry") + 8 <= F.octet_length(c))
-    typed = typed.withColumns({"type": four_cc(c, F.col("entry")), "n": u16(c, F.col("entry") + 4).cast("int") + 1, "refs_at": (F.col("types_at") + u16(c, F.col("entry") + 6)).cast("int")})
+    typed = typed.withColumns({"type": four_cc(c, F.col("entry")), "n": u16(c, F.col("entry") + 4).try_cast("int") + 1, "refs_at": (F.col("types_at") + u16(c, F.col("entry") + 6)).try_cast("int")})
     refs = typed.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("ref", F.col("refs_at") + 12 * F.col("r"))
     refs = refs.where(F.col("ref") + 12 <= F.octet_length(c))
     word = u32(c, F.col("ref") + 4)
     name_at = i16(c, F.col("ref") + 2)
     refs = refs.withColumns({
-        "id": i16(c, F.col("ref")).cast("int"), "attributes": F.shiftright(word, 24).cast("int"), "data_at": (F.col("data_off") + word % (1 << 24)).cast("int"),
-        "name": F.when(name_at != -1, pascal_string(c, (F.col("names_at") + name_at).cast("int"))).otherwise(F.lit("")),
+        "id": i16(c, F.col("ref")).try_cast("int"), "attributes": F.shiftright(word, 24).try_cast("int"), "data_at": (F.col("data_off") + word % (1 << 24)).try_cast("int"),
+        "name": F.when(name_at != -1, pascal_string(c, (F.col("names_at") + name_at).try_cast("int"))).otherwise(F.lit("")),
     })
     refs = refs.withColumn("bytes", u32(c, F.col("data_at")))
     good = (F.col("data_at") + 4 <= F.octet_length(c)) & (F.col("data_at") + 4 + F.col("bytes") <= F.col("data_off") + F.col("data_len"))
-    data = F.when(good, field(c, F.col("data_at") + 4, F.col("bytes").cast("int")))
+    data = F.when(good, field(c, F.col("data_at") + 4, F.col("bytes").try_cast("int")))
     return refs.select(
         "file", "type", "id", F.coalesce("name", F.lit("")).alias("name"), "attributes", set_bits(F.col("attributes"), RESOURCE_ATTRIBUTES).alias("attribute_names"),
         (F.col("data_at") + 4).alias("payload_offset"), F.when(good, F.col("bytes")).alias("payload_bytes"), F.sha2(data, 256).alias("payload_sha256"),

@@ -355,7 +355,7 @@ def test_mixing_targets_and_copies(docs):
         assert r.taken == r.copies * r.size and r.copies in (math.floor(r.target / max(r.source_size, 1)), math.floor(r.target / max(r.source_size, 1)) + 1)
         assert r.copies <= 3
         taken[r.source] += r.taken
-    assert sorted(rows) == sorted(mixing.mix(docs.repartition(7)).collect())
+    assert sorted(map(repr, rows)) == sorted(map(repr, mixing.mix(docs.repartition(7)).collect()))
 
 
 def test_mixing_comes_near_on_many_documents(spark):

@@ -300,6 +300,23 @@ def test_rom_scans(image):
     assert row.crc32 == zlib.crc32(bytes(image.first().content)) and row.rom_id.startswith("rom-")
 
 
+def test_resources_inside_images(spark):
+    data = bytearray(0x100)
+    data[0x10:0x1C] = struct.pack(">4shBB", b"clut", 129, 0x20, 4) + b"Test"
+    data[0x1C:0x20] = b"kckc"
+    data[0x20:0x36] = b"Kurt" + bytes(4) + struct.pack(">II", 6, 20) + b"packed"
+    data[0x48:0x58] = b"\x78" + bytes(7) + struct.pack(">II", 0, 0x78)
+    data[0x58:0x67] = struct.pack(">4shBB", b"PICT", 4, 1, 7) + b"4BitStd"
+    data[0x70:0x74] = struct.pack(">I", 16)
+    images = spark.createDataFrame([("r", BASE, data)], "rom_id string, base long, content binary")
+    kurt = rom.wrapped_resources(images).collect()
+    assert [(r.type, r.id, r["name"], r.address - BASE, bytes(r.data)) for r in kurt] == [("clut", 129, "Test", 0x30, b"packed")]
+    inline = rom.inline_resources(images).collect()
+    assert [(r.type, r.id, r["name"], r.flags, r.address - BASE, r.length) for r in inline] == [("PICT", 4, "4BitStd", 1, 0x78, 16)]
+    spans = rom.resource_spans(rom.inline_resources(images)).first()
+    assert (spans.start - BASE, spans.end - BASE, spans.kind) == (0x58, 0x88, "rom_inline_resources")
+
+
 LISTING = """start:
 40800020  4EB9 4080 0030  jsr /* 40800030 */
 40800026  6000 0008  bra /* 40800030 */
