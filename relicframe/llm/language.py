@@ -3,8 +3,8 @@
 As in Joulin et al., "Bag of Tricks for Efficient Text Classification" (2016): a
 text is the mean of its subwords' vectors. Training is stochastic gradient descent in
 numpy on a bounded sample. Because mean and classifier are linear, scoring
-needs only each word's summed class scores, which a worker keeps for the words it
-has seen; every word of a text counts. A temperature, fitted on held-back
+needs only each bucket's class scores; every character of a text counts, also of texts
+without white space. A temperature, fitted on held-back
 sample rows, calibrates the probabilities, and a text whose best one is
 under the rejection level is marked as not accepted.
 """
@@ -33,15 +33,57 @@ EPOCHS = 4
 #: Part of the right held-back texts that rejection may cost.
 REJECTED_PART = 0.005
 UNKNOWN = "und"
-CACHED_WORDS = 200_000
+#: Characters that are hashed at once.
+PIECE = 1 << 16
+BLANKS = " \t\n\v\f\r"
+MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+#: What the characters of a whole word are multiplied by, by place.
+POWERS = np.multiply.accumulate(np.full(4 * PIECE, 0x01000193, np.uint32), dtype=np.uint32)
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def subwords(word: bytes) -> np.ndarray:
-    """Buckets of a word: the whole and its runs of 2 to 4 characters, ends marked."""
-    text = f"<{word.decode('utf-8', 'replace').lower()[:40]}>"
-    grams = [text] + [text[i : i + n] for n in (2, 3, 4) for i in range(len(text) - n + 1)]
-    return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int64, len(grams))
+def pieces(text: str) -> Iterator[str]:
+    """Slices of a text of at most PIECE characters, cut at white space, or within a run longer than that."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            blank = max(text.rfind(c, at + 1, end) for c in BLANKS)
+            end = blank if blank > at else end
+        yield text[at:end]
+        at = end
+
+
+def subwords(piece: str) -> np.ndarray:
+    """Buckets of all words of a piece, for each the whole and its runs of 2 to 4 characters, ends marked."""
+    codes = np.frombuffer(f" {piece.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = (codes != 32) & ((codes < 9) | (codes > 13))
+    codes = np.where(word, codes, np.uint32(1))  # the mark of both ends
+    first, second, third, fourth = (codes * np.uint32(k) for k in MULTIPLIERS)
+    pairs = first[:-1] + second[1:]
+    triples = pairs[:-1] + third[2:]
+    found = [
+        pairs[word[:-1] | word[1:]],
+        triples[word[1:-1]],
+        (triples[:-1] + fourth[3:])[word[1:-2] & word[2:-1]],
+    ]
+    lengths = np.flatnonzero(word[:-1] & ~word[1:]) - np.flatnonzero(~word[:-1] & word[1:])
+    if lengths.size:
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+        found.append(np.add.reduceat(codes[word] * POWERS[place], starts, dtype=np.uint32))
+    h = np.concatenate([f + np.uint32(i) for i, f in enumerate(found)])
+    h = (h ^ (h >> 16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> 13)) * np.uint32(0xC2B2AE35)
+    return ((h ^ (h >> 16)) % BUCKETS).astype(np.int64)
+
+
+def subword_counts(text: str) -> np.ndarray:
+    """How often each bucket occurs in a text."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for piece in pieces(text):
+        counts += np.bincount(subwords(piece), minlength=BUCKETS)
+    return counts
 
 
 class SubwordModel:
@@ -55,7 +97,8 @@ class SubwordModel:
         self.temperature = 1.0
         self.level = 0.0
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, rate: float = 0.5) -> None:
+    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: float = 0.5) -> None:
+        """Learn from (buckets, their counts) of each text."""
         rng = np.random.default_rng(2)
         held = np.arange(len(texts)) % 5 == 4
         learn = np.flatnonzero(~held) if len(texts) >= 50 else np.arange(len(texts))
@@ -65,24 +108,20 @@ class SubwordModel:
             order = rng.permutation(learn)
             for at in range(0, len(order), 16):
                 part = order[at : at + 16]
-                flat, row, weight = self._flat([texts[i] for i in part])
-                mean = np.zeros((len(part), DIMENSIONS))
-                np.add.at(mean, row, self.embedding[flat] * weight[:, None])
+                parts = np.zeros((len(part), BUCKETS))
+                for row, i in enumerate(part):
+                    parts[row, texts[i][0]] = texts[i][1] / texts[i][1].sum()
+                mean = parts @ self.embedding
                 error = _softmax(mean @ self.linear)
                 error[np.arange(len(part)), labels[part]] -= 1
                 pace = rate * (1 - done / steps)
                 back = error @ self.linear.T
                 self.linear -= pace * mean.T @ error
-                np.add.at(self.embedding, flat, -pace * back[row] * weight[:, None])
+                self.embedding -= pace * (parts.T @ back)
                 done += 1
         check = np.flatnonzero(held) if len(texts) >= 50 else learn
-        self._calibrate(np.stack([self.embedding[texts[i]].mean(axis=0) for i in check]) @ self.linear, labels[check])
-
-    @staticmethod
-    def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(t) for t in texts])
-        row = np.repeat(np.arange(len(texts)), lengths)
-        return np.concatenate(texts), row, 1.0 / lengths[row]
+        means = np.stack([texts[i][1] @ self.embedding[texts[i][0]] / texts[i][1].sum() for i in check])
+        self._calibrate(means @ self.linear, labels[check])
 
     def _calibrate(self, scores: np.ndarray, labels: np.ndarray) -> None:
         """The temperature of least log loss, then the level that few right answers fall under."""
@@ -103,34 +142,17 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-class WordScores(dict):
-    """word -> row of a table of summed class scores; the last column counts subwords."""
-
-    def __init__(self, buckets: np.ndarray) -> None:
-        super().__init__()
-        self.buckets = buckets
-        self.table = np.zeros((1024, buckets.shape[1] + 1))
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        found = subwords(word)
-        self.table[at, :-1] = self.buckets[found].sum(axis=0)
-        self.table[at, -1] = len(found)
-        self[word] = at
-        return at
-
-    def text(self, text: bytes) -> np.ndarray:
-        """Mean class scores of all words of a text."""
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        words = text.split()
-        sums = np.zeros(self.table.shape[1])
-        for at in range(0, len(words), 1 << 16):
-            rows = np.fromiter(map(self.__getitem__, words[at : at + (1 << 16)]), np.int64)
-            sums += self.table[rows].sum(axis=0)
-        return sums[:-1] / max(sums[-1], 1)
+def text_scores(buckets: np.ndarray, text: str) -> np.ndarray:
+    """Mean class scores of all subwords of a text."""
+    sums, n = np.zeros(buckets.shape[1]), 0
+    for piece in pieces(text):
+        found = subwords(piece)
+        n += len(found)
+        if len(found) * 4 < BUCKETS:
+            sums += buckets[found].sum(axis=0)
+        else:
+            sums += np.bincount(found, minlength=BUCKETS) @ buckets
+    return sums / max(n, 1)
 
 
 def learning_sample(docs: DataFrame) -> DataFrame:
@@ -150,25 +172,29 @@ def train(docs: DataFrame) -> SubwordModel | None:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, counts = [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 words = sorted(set(text.split()), key=zlib.crc32)[:SAMPLE_WORDS]
-                found.append(np.concatenate([subwords(w) for w in words]) if words else np.zeros(0, np.int64))
+                n = subword_counts(b" ".join(words).decode("utf-8", "replace"))
+                found.append(np.flatnonzero(n))
+                counts.append(n[found[-1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "lang", "found"]
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                names=["doc_id", "lang", "found", "counts"],
             )
 
     sample = learning_sample(docs).select("doc_id", "lang", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.mapInArrow(find, f"doc_id {kind}, lang string, found array<int>").where("size(found) > 0").toArrow()
+    rows = sample.mapInArrow(find, f"doc_id {kind}, lang string, found array<int>, counts array<int>").where("size(found) > 0").toArrow()
     if not rows.num_rows:
         return None
     order = sorted(range(rows.num_rows), key=lambda i: (zlib.crc32(str(rows["doc_id"][i].as_py()).encode()), str(rows["doc_id"][i])))
     langs = rows["lang"].to_pylist()
     languages = sorted(set(langs))
-    found = rows["found"].combine_chunks()
+    found, counts = (rows[name].combine_chunks() for name in ("found", "counts"))
     model = SubwordModel(languages)
-    model.fit([found[i].values.to_numpy().astype(np.int64) for i in order], np.array([languages.index(langs[i]) for i in order]))
+    place = {lang: i for i, lang in enumerate(languages)}
+    model.fit([(found[i].values.to_numpy(), counts[i].values.to_numpy()) for i in order], np.array([place[langs[i]] for i in order]))
     return model
 
 
@@ -186,17 +212,16 @@ def identify(docs: DataFrame) -> DataFrame:
     base = docs.drop("lang_pred", "lang_score", "lang_accepted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordScores(shared.value[0]) if shared.value else None
         for batch in batches:
             names, chances, accepted = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                if words is None or text is None or not LETTER.search(text):
+                if shared.value is None or text is None or not LETTER.search(text):
                     names.append(UNKNOWN)
                     chances.append(0.0)
                     accepted.append(False)
                     continue
-                _, languages, temperature, level = shared.value
-                chance = _softmax(words.text(text.encode())[None, :] / temperature)[0]
+                buckets, languages, temperature, level = shared.value
+                chance = _softmax(text_scores(buckets, text)[None, :] / temperature)[0]
                 best = int(chance.argmax())
                 names.append(languages[best])
                 chances.append(float(chance[best]))

@@ -391,6 +391,17 @@ def test_language_odd_rows(docs, empty):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_counts_all_of_a_long_run(spark):
+    rng = random.Random(7)
+    letters = {"zh": [chr(c) for c in range(0x4E00, 0x4F00)], "ja": [chr(c) for c in range(0x3041, 0x3091)]}
+    rows = [(i, "".join(rng.choices(letters[k], k=200)), k) for i, k in enumerate(["zh", "ja"] * 150)]
+    rows += [(1000, "".join(rng.choices(letters["ja"], k=45) + rng.choices(letters["zh"], k=3000)), None)]
+    rows += [(1001, "".join(rng.choices(letters["zh"], k=45) + rng.choices(letters["ja"], k=200_000)), None)]
+    rows += [(1002, "\u3000".join("".join(rng.choices(letters[k], k=9)) for k in ["ja"] * 5 + ["zh"] * 200), None)]
+    told = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [told[i] for i in (1000, 1001, 1002)] == ["zh", "ja", "zh"]
+
+
 # --- 8 WARC --------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"
