@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialize, smallest_hashes, text_batches
+from .common import id_crc, materialize, small_side, text_batches
 
-#: Documents to learn from at most, and of each language at most.
-SAMPLE_DOCS = 12_000
+#: Documents of each language to learn from at most.
 SAMPLE_PER_LANGUAGE = 1_500
 #: Distinct words of a sample document that are learned from, those of the smallest hashes.
 SAMPLE_WORDS = 60
@@ -156,14 +155,20 @@ def text_scores(buckets: np.ndarray, text: str) -> np.ndarray:
 
 
 def learning_sample(docs: DataFrame) -> DataFrame:
-    """(text, lang) of at most SAMPLE_DOCS documents whose crc32 modulo 4 is not 2, written once."""
+    """(doc_id, lang, text) of each language's SAMPLE_PER_LANGUAGE smallest id hashes whose crc32 modulo 4 is not 2, written once."""
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(id_crc("doc_id") % 4 != 2)
-    ids = smallest_hashes(known.select("doc_id", "lang"), ["doc_id", "lang"], SAMPLE_DOCS)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PER_LANGUAGE).select("doc_id").distinct()
+    mixed = F.xxhash64("doc_id")
+    # about twice the rows that are wanted pass a language's bound; the count may err by a few hundredths
+    n = F.greatest(F.approx_count_distinct("doc_id"), F.lit(1))
+    share = F.when(n > 4 * SAMPLE_PER_LANGUAGE, 2.0 * SAMPLE_PER_LANGUAGE / n).otherwise(1.0)
+    bounds = materialize(known.groupBy("lang").agg(share.alias("share")), "language-bounds")
+    near = known.select("doc_id", "lang").join(small_side(bounds, bounds.count()), "lang")
+    near = near.where(mixed / F.lit(float(1 << 64)) + 0.5 <= F.col("share")).select("doc_id", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(mixed, "doc_id")
+    ids = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang")
     chosen = materialize(ids, "language-sample-ids")
-    # at most SAMPLE_DOCS ids
-    return materialize(known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id"), "language-sample")
+    # at most SAMPLE_PER_LANGUAGE ids a language
+    return materialize(known.select("doc_id", "lang", "text").join(small_side(chosen, chosen.count()), ["doc_id", "lang"]), "language-sample")
 
 
 def train(docs: DataFrame) -> SubwordModel | None:

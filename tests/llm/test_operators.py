@@ -402,6 +402,14 @@ def test_language_counts_all_of_a_long_run(spark):
     assert [told[i] for i in (1000, 1001, 1002)] == ["zh", "ja", "zh"]
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    lang = F.when(F.col("doc_id") % 4000 == 7, "xx").otherwise("en")
+    table = spark.range(40_000).withColumnRenamed("id", "doc_id").select("doc_id", F.lit("a b").alias("text"), lang.alias("lang"))
+    rare = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(7, 40_000, 4000))
+    got = {r.lang: r["count"] for r in language.learning_sample(table).groupBy("lang").count().collect()}
+    assert got == {"en": language.SAMPLE_PER_LANGUAGE, "xx": rare}
+
+
 # --- 8 WARC --------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"
