@@ -24,8 +24,6 @@ from .common import id_crc, materialize, small_side, text_batches
 
 #: Documents of each language to learn from at most.
 SAMPLE_PER_LANGUAGE = 1_500
-#: Distinct words of a sample document that are learned from, those of the smallest hashes.
-SAMPLE_WORDS = 60
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 4
@@ -178,9 +176,8 @@ def train(docs: DataFrame) -> SubwordModel | None:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                words = sorted(set(text.split()), key=zlib.crc32)[:SAMPLE_WORDS]
-                n = subword_counts(b" ".join(words).decode("utf-8", "replace"))
+            for text in batch.column(2).to_pylist():
+                n = subword_counts(text)
                 found.append(np.flatnonzero(n))
                 counts.append(n[found[-1]])
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import zlib
@@ -410,6 +411,15 @@ def test_language_sample_keeps_rare_languages(spark):
     assert got == {"en": language.SAMPLE_PER_LANGUAGE, "xx": rare}
 
 
+def test_language_learns_from_all_words(spark):
+    words = sorted((f"w{i}" for i in range(1000)), key=lambda w: zlib.crc32(w.encode()))
+    own = {k: ["".join(x) for x in itertools.product(letters, repeat=5)] for k, letters in (("aa", "жцщ"), ("bb", "qxz"))}
+    own = {k: [w for w in found if zlib.crc32(w.encode()) > 3 << 30] for k, found in own.items()}
+    rows = [(i, " ".join(words[:80] + own[k] * 10), k) for i, k in enumerate(["aa", "bb"] * 200)]  # the words that tell have large crc32
+    told = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang == r.lang_pred for r in told)
+
+
 # --- 8 WARC --------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string"
