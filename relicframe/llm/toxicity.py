@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct words and their beginnings, hashed into buckets. From a
-bounded sample of labelled documents the buckets are screened (a
-likelihood-ratio bound, corrected for the number of buckets tried), and a
-second-order factorization machine (Rendle 2010) learns a weight for each kept
-bucket and a weight for each pair of them through short factors, so that terms
-which are harmless alone can count together. Texts are scored whole.
+bounded sample of labelled documents a second-order factorization machine (Rendle 2010)
+learns a weight for each bucket of MIN_DOCS documents or more, and a weight for each
+pair of them through short factors, so that terms which are harmless alone can
+count together. A bucket's own weight is regularised by its evidence (likelihood
+ratio against a bound for the number of buckets tried), the factors are not.
+Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import id_crc, materialize, smallest_hashes, text_batches
 #: Labelled documents to learn from at most, those of the smallest id hashes.
 SAMPLE_DOCS = 15_000
 BUCKETS = 1 << 20
-#: Buckets that the model keeps at most.
-MAX_TERMS = 8192
+#: Sample documents that a bucket must be in to be learned from.
+MIN_DOCS = 3
 FACTORS = 4
 EPOCHS = 25
 THRESHOLD = 0.7
@@ -66,30 +67,35 @@ class Terms(dict):
 
 
 class FactorizationMachine:
-    """Logistic FM with binary features, trained by AdaGrad in numpy."""
+    """Logistic FM, trained by AdaGrad in numpy.
 
-    def __init__(self, size: int, factors: int = FACTORS, seed: int = 3) -> None:
+    A term counts by its value with its own weight, and by one through the root
+    of the text's number of terms in pairs.
+    """
+
+    def __init__(self, size: int, factors: int = FACTORS, seed: int = 3, values: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(seed)
         # place 0 stands for the constant that every text has
         self.weights = np.zeros(size + 1)
+        self.values = np.concatenate([[1.0], np.ones(size) if values is None else values])
         self.vectors = rng.normal(0, 0.05, (size + 1, factors))
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        flat, starts, _ = self._flat(rows)
-        return self._margin(flat, starts)[0]
+        return self._margin(*self._flat(rows))[0]
 
     @staticmethod
     def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(r) + 1 for r in rows])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        flat = np.concatenate([np.concatenate([[0], r + 1]) for r in rows]).astype(np.int64)
-        return flat, starts, np.repeat(np.arange(len(rows)), lengths)
+        flat = np.concatenate([x for r in rows for x in ([-1], r)]).astype(np.int64) + 1
+        return flat, starts, lengths
 
-    def _margin(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.vectors[flat]
+    def _margin(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = self.vectors[flat] * np.repeat(1 / np.sqrt(lengths), lengths)[:, None]
         sums = np.add.reduceat(own, starts)
         squares = np.add.reduceat(own * own, starts)
-        return np.add.reduceat(self.weights[flat], starts) + 0.5 * (sums * sums - squares).sum(axis=1), sums
+        linear = np.add.reduceat(self.weights[flat] * self.values[flat], starts)
+        return linear + 0.5 * (sums * sums - squares).sum(axis=1), sums, own
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(5)
@@ -98,18 +104,17 @@ class FactorizationMachine:
             order = rng.permutation(len(rows))
             for at in range(0, len(order), 256):
                 part = order[at : at + 256]
-                flat, starts, row = self._flat([rows[i] for i in part])
-                margin, sums = self._margin(flat, starts)
-                error = (probability(margin) - labels[part]) / len(part)
-                used, place = np.unique(flat, return_inverse=True)
-                grad_w = np.bincount(place, error[row]) + decay * self.weights[used]
-                grad_v = np.zeros((len(used), self.vectors.shape[1]))
-                np.add.at(grad_v, place, error[row, None] * (sums[row] - self.vectors[flat]))
-                grad_v += decay * self.vectors[used]
-                seen_w[used] += grad_w**2
-                seen_v[used] += grad_v**2
-                self.weights[used] -= rate * grad_w / np.sqrt(seen_w[used])
-                self.vectors[used] -= rate * 0.25 * grad_v / np.sqrt(seen_v[used])
+                flat, starts, lengths = self._flat([rows[i] for i in part])
+                margin, sums, own = self._margin(flat, starts, lengths)
+                error = np.repeat((probability(margin) - labels[part]) / len(part), lengths)
+                rest = (np.repeat(sums, lengths, axis=0) - own) * (error / np.sqrt(np.repeat(lengths, lengths)))[:, None]
+                n = len(self.weights)
+                grad_w = np.bincount(flat, error, n) * self.values + decay * self.weights
+                grad_v = np.stack([np.bincount(flat, r, n) for r in rest.T], axis=1) + decay * self.vectors
+                seen_w += grad_w**2
+                seen_v += grad_v**2
+                self.weights -= rate * grad_w / np.sqrt(seen_w)
+                self.vectors -= rate * 0.25 * grad_v / np.sqrt(seen_v)
 
 
 def probability(margin: np.ndarray) -> np.ndarray:
@@ -152,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
     gain = n * (part(p, base) + part(1 - p, 1 - base))
     counted = materialize(counted.withColumn("gain", gain), "toxicity-terms")
     tried = max(counted.count(), 1)
-    kept = counted.where(F.col("gain") >= math.log(tried) + 2).orderBy(F.desc("gain"), "bucket").limit(MAX_TERMS).collect()
-    places = {row["bucket"]: i for i, row in enumerate(kept)}
+    # at most BUCKETS rows of two numbers
+    kept = counted.where(n >= MIN_DOCS).select("bucket", "gain").toArrow().sort_by("bucket")
+    places = {bucket: i for i, bucket in enumerate(kept["bucket"].to_pylist())}
+    values = np.clip(kept["gain"].to_numpy() / (math.log(tried) + 2), 0, 1) ** 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(places)
@@ -161,12 +168,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
             found = [sorted(terms.text(t)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "places"])
 
-    rows = sample.mapInArrow(find, "y int, places array<int>").toArrow().to_pydict()
-    order = sorted(range(len(rows["y"])), key=lambda i: (rows["places"][i], rows["y"][i]))
-    model = FactorizationMachine(len(places))
+    found = sample.mapInArrow(find, "y int, places array<int>").toArrow()
+    lists, labels_of = found["places"].combine_chunks(), found["y"].to_numpy()
+    rows = [lists[i].values.to_numpy() for i in range(len(lists))]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), labels_of[i]))
+    model = FactorizationMachine(len(places), values=values)
     model.weights[0] = math.log(base / (1 - base))
     if total:
-        model.fit([np.asarray(rows["places"][i], np.int64) for i in order], np.array([rows["y"][i] for i in order], float))
+        model.fit([rows[i] for i in order], labels_of[order].astype(float))
     return places, model
 
 
@@ -178,7 +187,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """
     spark = docs.sparkSession
     places, model = train(docs, labels)
-    shared = spark.sparkContext.broadcast((places, model))  # at most MAX_TERMS rows
+    shared = spark.sparkContext.broadcast((places, model))  # at most BUCKETS rows
     base = docs.drop("toxicity", "is_toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,6 +174,18 @@ def test_toxicity_learns_pairs():
     assert both > 0.9 and only_a < 0.1 and only_b < 0.1
 
 
+def test_toxicity_learns_pairs_of_terms_without_a_signal(spark):
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(4500):
+        a, b = rng.randrange(2), rng.randrange(2)
+        docs.append((i, " ".join(["ab"[a], "cd"[b], *rng.sample(WORDS[:100], 4)])))
+        labels.append((i, int(a == b)))
+    scored = toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [r for r in scored.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum((r.toxicity > 0.5) == labels[r.doc_id][1] for r in held) > 0.9 * len(held)
+
+
 def test_toxicity_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(None, 1, 1), (3, None, None), (1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity_scores(docs.withColumn("toxicity", F.lit("clash")), labels).count() == docs.count()
