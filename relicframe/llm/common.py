@@ -20,15 +20,25 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Rows (of a few fixed-width columns) up to which a side may be broadcast.
 BROADCAST_ROWS = 500_000
 
+#: With it, the shuffle files of a write go when the write has ended: nothing reads them again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Arrow batches stay below this many rows, as single texts can be megabytes.
 BATCH_ROWS = 500
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one only where none is set."""
+    """The shared folder for scratch tables.
+
+    Where ``spark.checkpoint.dir`` is unset, a session in one process gets a temporary
+    folder and a cluster a folder in its warehouse, which all executors share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="relicframe-")
+        if spark.sparkContext.master.partition("[")[0] == "local":
+            root = "file://" + tempfile.mkdtemp(prefix="relicframe-")
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/relicframe-scratch"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -56,7 +66,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out
@@ -77,6 +95,7 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 def smallest_hashes(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """The ``limit`` rows of the smallest hashes of ``columns``: a sample that any rerun repeats.
 
+    The columns tell the rows apart: repeated rows would share a hash and fall on one side of the bound.
     Rows of large hashes are left out by a bound before the sort, so it takes about
     ``2 * limit`` rows however many there are.
     """

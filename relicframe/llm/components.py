@@ -37,7 +37,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("hi"), F.col("n_least").alias("lo")))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node reachable.
 
     Self-links and repeated links are allowed; no links give no rows.
@@ -45,17 +45,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     oriented = links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     state = materialize(oriented.distinct(), "links")
     mark = _mark(state)
-    if mark[0]:
-        for _ in range(max_rounds):
-            following = materialize(_small_star(_large_star(state).distinct()).distinct(), "links")
-            after = _mark(following)
-            discard(state)
-            state = following
-            if after == mark:
-                break
-            mark = after
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    settled = not mark[0]
+    while not settled:  # every round but the last moves some link to a smaller node
+        following = materialize(_small_star(_large_star(state).distinct()).distinct(), "links")
+        after = _mark(following)
+        discard(state)
+        state, settled, mark = following, after == mark, after
     roots = state.select(F.col("lo").alias("node")).distinct()
     return state.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
