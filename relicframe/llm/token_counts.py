@@ -16,14 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import materialize, text_batches
 from .tokens import default_path, word_ids
 
-BLOCK = 1024
+#: Lengths a block: its window takes that many rows at most.
+BLOCK = 128
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens): the encoded length of every text; null and empty texts have none."""
+    """(n_tokens): the encoded length of every whole text, a row a document.
+
+    Null and empty texts have none; repeated rows count as often as they occur; other
+    columns, whatever their names, are not read; an empty table gives no rows.
+    """
     text_batches(docs.sparkSession)
     path = tokenizer or default_path()
 
@@ -45,7 +50,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     every text is cut at this length; quantile, the part of documents no longer
     than this. An empty table gives no rows.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts = materialize(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-counts")
     counts = counts.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     below = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

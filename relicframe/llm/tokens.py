@@ -34,7 +34,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.normalize = tokenizer.encode, tokenizer.normalizer.normalize_str
         self.cores: dict[bytes, bytes] = {}
 
     def _encoded(self, word: bytes) -> bytes:
@@ -52,7 +53,8 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         letters = word.rstrip(END_MARKS)
-        if letters and letters.decode("utf-8", "replace").isalpha():
+        # what the tokenizer makes of them decides: letters that it takes apart may end in a combining mark, which joins what follows
+        if letters and (letters.isalpha() or not letters.isascii() and self.normalize(letters.decode("utf-8", "replace")).isalpha()):
             # letters and the marks after them are pieces of their own; case does not count
             data = self._core(letters.lower())
             if len(letters) < len(word):
