@@ -1,7 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of fixed capacity.
 
 Documents become pieces of at most ``capacity`` ids. Pieces are dealt to
-partitions by a hash and taken in hash order, a random order that any rerun repeats. Each partition
+partitions by a hash and taken in hash order, a random order that any rerun repeats; the bytes of the texts alone
+decide the number of partitions. Each partition
 keeps a fixed number of open bins, filed by free space: a piece goes into the
 bin with the least free space that takes it, found by one shift of a bitset
 over free sizes; when too many bins are open, the fullest closes.
@@ -22,9 +23,10 @@ from .tokens import default_path, word_ids
 
 CAPACITY = 2048
 END_ID = 0
-OPEN_BINS = 4096
-#: Documents a partition, so that what its last bins leave free does not count.
-PARTITION_DOCS = 4096
+OPEN_BINS = 256
+#: Bytes of text a partition, and documents: its last bins leave little free against so many, and one task sorts them.
+PARTITION_BYTES = 32 << 20
+PARTITION_DOCS = 1 << 17
 BATCH_BYTES = 8 << 20
 
 
@@ -103,12 +105,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """The pieces of all documents with sequence_id and offset, gapless in each sequence.
 
-    A null or empty text is one piece of the end id. Equal rows are
-    interchangeable. An empty table gives no rows.
+    A null or empty text is one piece of the end id. A long text gives as many pieces as it fills; of
+    bins with equal free space the latest takes a piece. Repeated rows are packed as often as they occur and are
+    interchangeable. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, -(-docs.count() // PARTITION_DOCS)))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n_bytes // PARTITION_BYTES), -(-n_docs // PARTITION_DOCS))
     order = F.xxhash64("doc_id", "piece", "length")
     cut = pieces(docs, tokenizer, capacity).withColumn("order", order)
     dealt = cut.repartition(parts, "order").sortWithinPartitions("order", "doc_id", "piece").drop("order")
