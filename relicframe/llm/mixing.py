@@ -8,9 +8,9 @@ comes near its target. Documents are summed in order of size class, cell and
 size, so that each size has its share.
 
 The prefix sum is distributed: cells of (source, size class, hash) are counted,
-the counts are summed over the cells of a source (at most
-``SIZE_CLASSES * cells`` rows a source), and documents are numbered within
-their cell only.
+the counts are summed over the cells of a size class and over the classes of a source, and
+documents are numbered within their cell only. There are so many cells that one holds about
+CELL_DOCS documents at most, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK
+from .common import materialize
 
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (1, 2, 3)
 #: A target stops at this many times its source's size.
 MAX_REPEATS = 3
 SIZE_CLASSES = 64
-#: Hash cells of a size class; the documents of a cell are numbered together.
+#: Hash cells of a size class, at least; the documents of a cell are numbered together.
 CELLS = 64
+#: Documents a cell if all were of one source and size class.
+CELL_DOCS = 1 << 16
 SEED = 20
 
 
@@ -74,28 +76,37 @@ def targets(sources: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies and taken words.
 
-    Size is the words of the text (null: 0). A null source is a source of its
+    Size is the words of the whole text (null: 0). A null source is a source of its
     own; a source without words takes nothing; equal rows are numbered in any
-    order, which gives equal rows; an empty table gives no rows.
+    order, which gives equal rows; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    return assign_copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "word-counts")
+    return assign_copies(sized)
 
 
 def assign_copies(sized: DataFrame) -> DataFrame:
-    """Copies for (doc_id, source, size, ...) rows; other columns pass through."""
+    """(doc_id, source, size) and any column ``doc`` with source_size, target, copies and taken."""
+    cells = F.lit(max(CELLS, -(-sized.count() // CELL_DOCS)))
     # the small addend keeps whole powers of two on their side of the edge whatever the logarithm's last digit
     classes = F.least(F.floor(F.log2(F.col("size") + 1) * 4 + 1e-9), F.lit(SIZE_CLASSES - 1)).cast("int")
-    cell = F.floor(hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) * CELLS).cast("int")
+    cell = F.floor(hash_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) * cells).cast("int")
     keys = ["mix_key", "mix_class", "mix_cell"]
     celled = sized.withColumns({"mix_key": group_key(F.col("source")), "mix_class": classes, "mix_cell": cell})
-    per_cell = celled.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    per_cell = materialize(celled.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-cells")
     per_source = targets(per_cell.groupBy("mix_key").agg(F.sum("size").alias("source_size")))
-    upto = Window.partitionBy("mix_key").orderBy("mix_class", "mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_cell.select(*keys, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    per_class = per_cell.groupBy("mix_key", "mix_class").agg(F.sum("n").alias("n"))
+
+    def before(window) -> Column:
+        return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    class_starts = per_class.select("mix_key", "mix_class", before(Window.partitionBy("mix_key").orderBy("mix_class")).alias("class_start"))
+    in_class = before(Window.partitionBy("mix_key", "mix_class").orderBy("mix_cell"))
+    starts = per_cell.select(*keys, in_class.alias("cell_start")).join(class_starts, ["mix_key", "mix_class"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = starts.join(per_source, "mix_key").select(
-        *keys, "start", "source_size", "target", rate.alias("rate"), hash_unit(F.col("mix_key"), F.lit("offset")).alias("offset")
-    )
+        *keys, (F.col("class_start") + F.col("cell_start")).alias("start"), "source_size", "target", rate.alias("rate"),
+        hash_unit(F.col("mix_key"), F.lit("offset")).alias("offset"),
+    )
     in_cell = Window.partitionBy(*keys).orderBy("size", "doc_id")
     joined = celled.withColumn("rank", F.row_number().over(in_cell)).join(plan, keys)
     place = F.col("start") + F.col("rank")
@@ -109,8 +120,12 @@ def assign_copies(sized: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    size = word_count(F.col("text"))
-    planned = assign_copies(docs.withColumn("size", size))
-    repeats = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return planned.where("copies > 0").select(*docs.columns, repeats.alias("repeat")).drop("repeat")
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``, whatever their names.
+
+    Null texts and texts without words are taken like others of their source, as their copies add no words. Rows that
+    repeat an id are numbered in any order.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
+    taken = assign_copies(sized).where("copies > 0")
+    repeats = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("repeat"))
+    return repeats.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -90,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 MIXING_SQL = f"""
     WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
     c AS (SELECT *, least(CAST(floor(log2(size + 1) * 4 + 1e-9) AS INT), {mixing.SIZE_CLASSES - 1}) AS class,
-                 CAST(floor(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {1 << 48}.0 * {mixing.CELLS}) AS INT) AS cell FROM d),
+                 CAST(floor(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / {1 << 48}.0 * (SELECT greatest({mixing.CELLS}, ceil(count(*) / {mixing.CELL_DOCS}.0)) FROM documents)) AS INT) AS cell FROM d),
     s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY k = '', k) - 1) % {len(mixing.WEIGHTS)} + 1 AS weight FROM c GROUP BY k),
     t AS (SELECT *, source_size * {mixing.MAX_REPEATS} AS cap, source_size * {mixing.MAX_REPEATS} / weight AS ratio FROM s),
     v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, k = '', k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
