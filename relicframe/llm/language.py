@@ -11,7 +11,6 @@ under the rejection level is marked as not accepted.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,11 @@ BLANKS = " \t\n\v\f\r"
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 #: What the characters of a whole word are multiplied by, by place.
 POWERS = np.multiply.accumulate(np.full(4 * PIECE, 0x01000193, np.uint32), dtype=np.uint32)
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; numbers such as \u00bd or \u2167 are none."""
+    return any(map(str.isalpha, text))
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -204,8 +207,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """``docs`` plus lang_pred, lang_score (calibrated probability) and lang_accepted.
 
     A text that is null or has no letter is ``und`` with score 0 and not
-    accepted, as is every text if nothing could be learned. Input columns named
-    like an output column are replaced; an empty table gives no rows.
+    accepted, as is every text if nothing could be learned. Long texts count whole; of equal
+    chances the first language wins; repeated rows come out as often as they went in. Input columns
+    named like an output column are replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
     model = train(docs)
@@ -217,7 +221,7 @@ def identify(docs: DataFrame) -> DataFrame:
         for batch in batches:
             names, chances, accepted = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                if shared.value is None or text is None or not LETTER.search(text):
+                if shared.value is None or text is None or not has_letter(text):
                     names.append(UNKNOWN)
                     chances.append(0.0)
                     accepted.append(False)
