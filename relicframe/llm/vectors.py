@@ -7,93 +7,157 @@ vector is routed through all of them and compared within its leaves, exactly, in
 precision. Leaves that stay large, as those of one dense cluster do, are compared in
 tiles (see tiles.py).
 
-A pair may share several leaves. It is counted in the first one only: rows carry the codes of
-their leaves, and a bitset per row tells whether two rows met in an earlier leaf. So links are
+Depth and number of trees come from the count of vectors: leaves keep their size, and
+there are so many trees that a pair just at the threshold shares a leaf in one of them with
+probability RECALL. With little spill a vector has about as many copies as there are trees, which
+grow with about the fifth root of the count. Trees are taken a few at a time, so
+that the exchange of one step stays a small multiple of the input.
+
+A pair may share several leaves. It is counted in the first one only: whoever holds two vectors and the
+trees can route them again, and a bitset per row tells whether two rows met in an earlier leaf. So links are
 counted where they are found and never emitted as pairs; what leaves a leaf is a
 count for each vector and a spanning forest of the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, smallest_hashes
+from .common import materialize, small_side, smallest_hashes
 from .components import components
 from .tiles import dealt, runs, tile
 
 COSINE = 0.9
-TREES = 6
-#: Vectors that the trees are fitted on, at most, those of the smallest hashes.
+#: Part of the pairs at just the threshold that the forest is sized to find.
+RECALL = 0.95
+#: Vectors of a width that its trees are fitted on, at most, those of the smallest hashes.
 SAMPLE_VECTORS = 20_000
-LEAF = 256
+#: Vectors a leaf.
+LEAF = 512
 TILE_ROWS = 1024
-MAX_DEPTH = 16
 #: Half the overlap of two sides, in units of a typical projected distance of a linked pair.
-SPILL = 0.5
-TREE_BITS = 40
+SPILL = 0.1
+#: Trees that are routed and compared in one step.
+STEP_TREES = 4
+#: Sample points that a node needs to be split at its own median.
+LEAST_FIT = 16
+NODE_BITS, PATH_BITS = 20, 30
 
 
 @dataclass
 class Tree:
-    """Nodes as arrays: split point (nan: a leaf) and children; a direction for each level."""
+    """Nodes as arrays: split point (nan: a leaf) and children; a direction for each level.
+
+    Where the sample runs out, a leaf is split ``deeper`` levels from level ``start`` on, at the medians of the whole sample.
+    """
 
     directions: np.ndarray
+    medians: np.ndarray
     split: np.ndarray
     left: np.ndarray
     right: np.ndarray
+    deeper: np.ndarray
+    start: np.ndarray
 
     def route(self, unit: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that each row belongs to."""
+        place = unit @ self.directions.T
         rows, nodes = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        for level in range(len(self.directions) + 1):
+        level = 0
+        while rows.size:
             at = self.split[nodes]
             leaf = np.isnan(at)
             done.append((rows[leaf], nodes[leaf]))
             rows, nodes, at = rows[~leaf], nodes[~leaf], at[~leaf]
-            if not rows.size:
-                break
-            place = (unit @ self.directions[level])[rows]
-            low, high = place <= at + spill, place > at - spill
-            nodes = np.concatenate([self.left[nodes[low]], self.right[nodes[high]]])
-            rows = np.concatenate([rows[low], rows[high]])
-        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-
-
-def grow(sample: np.ndarray, scale: float, spill: float, seed: int) -> Tree:
-    """A tree whose leaves hold about LEAF of the population, ``scale`` times the sample."""
+            if rows.size:
+                here = place[rows, level]
+                low, high = here <= at + spill, here > at - spill
+                nodes = np.concatenate([self.left[nodes[low]], self.right[nodes[high]]])
+                rows = np.concatenate([rows[low], rows[high]])
+            level += 1
+        rows, codes = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        more = self.deeper[codes]
+        for step in range(int(more.max(initial=0))):
+            open_ = more > step
+            node = codes[open_] & (1 << NODE_BITS) - 1
+            level_of = self.start[node] + step
+            here, at = place[rows[open_], level_of], self.medians[level_of]
+            low, high = here <= at + spill, here > at - spill
+            path = codes[open_] + (1 << NODE_BITS + step)
+            codes = np.concatenate([codes[~open_], codes[open_][low], path[high]])
+            more = np.concatenate([more[~open_], more[open_][low], more[open_][high]])
+            rows = np.concatenate([rows[~open_], rows[open_][low], rows[open_][high]])
+        return rows, codes
+
+
+def grow(sample: np.ndarray, population: int, levels: int, spill: float, seed: int) -> Tree:
+    """A tree whose leaves hold about LEAF vectors of the population that the sample stands for."""
     rng = np.random.default_rng(seed)
-    directions = rng.normal(size=(MAX_DEPTH, sample.shape[1]))
+    directions = rng.normal(size=(levels, sample.shape[1]))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    split, left, right = [], [], []
-    # (members, points to fit on, level): a node short of sample is split as its ancestor would be
-    todo = [(np.arange(len(sample)), np.arange(len(sample)), 0, len(sample) * scale)]
+    place = sample @ directions.T
+    scale = population / len(sample)
+    split, left, right, deeper, start = [], [], [], [], []
+    todo = [(np.arange(len(sample)), 0)]
     at = 0
     while at < len(todo):
-        own, fit, level, population = todo[at]
+        own, level = todo[at]
         at += 1
-        fit = own if len(own) >= 16 else fit
-        split.append(np.nan)
-        left.append(-1)
-        right.append(-1)
-        if population <= LEAF or level >= MAX_DEPTH or len(fit) < 2:
+        for column, value in ((split, np.nan), (left, -1), (right, -1), (deeper, 0), (start, level)):
+            column.append(value)
+        size = len(own) * scale
+        if size <= LEAF or level >= levels:
+            continue
+        if len(own) < LEAST_FIT:
+            deeper[-1] = min(math.ceil(math.log2(size / LEAF)), levels - level, PATH_BITS)
             continue
-        middle = float(np.median(sample[fit] @ directions[level]))
-        place = sample[own] @ directions[level]
-        low, high = own[place <= middle + spill], own[place > middle - spill]
-        if max(len(low), len(high)) > 0.9 * len(own) and len(own) >= 16:
+        middle = float(np.median(place[own, level]))
+        low, high = own[place[own, level] <= middle + spill], own[place[own, level] > middle - spill]
+        if max(len(low), len(high)) > 0.9 * len(own):
             continue  # one dense cluster: tiles take it from here
-        split[-1] = middle
-        left[-1], right[-1] = len(todo), len(todo) + 1
-        share = [len(side) * scale if len(own) >= 16 else population * 0.6 for side in (low, high)]
-        todo += [(low, fit, level + 1, share[0]), (high, fit, level + 1, share[1])]
-    return Tree(directions, np.array(split), np.array(left), np.array(right))
+        split[-1], left[-1], right[-1] = middle, len(todo), len(todo) + 1
+        todo += [(low, level + 1), (high, level + 1)]
+    numbers = (np.array(x, np.int64) for x in (left, right, deeper, start))
+    return Tree(directions, np.median(place, axis=0), np.array(split, float), *numbers)
+
+
+@dataclass
+class Forest:
+    """The trees for vectors of one width, numbered from ``first`` on."""
+
+    first: int
+    spill: float
+    trees: list[Tree]
+
+
+def plan_forest(sample: np.ndarray, population: int, cosine: float, first: int) -> Forest:
+    """Trees of the depth and number that the population and the spread of the sample ask for.
+
+    A level parts a pair whose projected difference is normal with ``spread`` (in units of the
+    projections' own deviation) with probability ``parted`` and copies a vector with probability ``copied``.
+    """
+    width = sample.shape[1]
+    apart = math.sqrt(max(2 - 2 * cosine, 1e-12) / width)
+    deviation = max(float(sample.std(axis=0).mean()) if len(sample) > 1 else 0.0, apart / 4)
+    x = 2 * SPILL
+    above = math.exp(-x * x / 2) / math.sqrt(2 * math.pi) - x * math.erfc(x / math.sqrt(2)) / 2
+    density = 2 / math.sqrt(2 * math.pi) * apart / deviation
+    parted, copied = min(density * above, 0.5), min(density * SPILL, 0.5)
+    depth = max(0.0, math.log2(population / LEAF)) * math.log(2) / math.log(2 / (1 + copied))
+    together = (1 - parted) ** math.ceil(depth)
+    count = 1 if depth == 0 else math.ceil(math.log(1 - RECALL) / math.log1p(-min(together, 0.999)))
+    levels = math.ceil(1.5 * depth) + 2
+    spill = SPILL * apart
+    return Forest(first, spill, [grow(sample, population, levels, spill, seed) for seed in range(count)])
 
 
 def is_usable(vector: Column) -> Column:
@@ -108,30 +172,48 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy().reshape(len(flat), -1)
+class Vectors:
+    """A list column whose slices come out as matrices of unit vectors; the lists of a slice have one length."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array) -> None:
+        self.lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
+    def __getitem__(self, at: slice) -> np.ndarray:
+        part = self.lists[at]
+        return _unit(part.flatten().to_numpy().reshape(len(part), -1))
 
-def met_before(codes: list[np.ndarray], current: int) -> np.ndarray:
-    """A bitset a row of the leaves before ``current`` that more than one row is in."""
-    lengths = np.fromiter(map(len, codes), np.int64, len(codes))
-    flat, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), lengths)
-    flat, row = flat[flat < current], row[flat < current]
-    known, place, n = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(n > 1) - 1
-    shared = (n > 1)[place]
-    place, row = number[place[shared]], row[shared]
-    bits = np.zeros((len(codes), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
-    np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+
+def met_before(rows: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """A bitset for each of n rows of the leaves (row, code) that more than one of them is in."""
+    _, place, count = np.unique(codes, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = (count > 1)[place]
+    place, rows = number[place[shared]], rows[shared]
+    bits = np.zeros((n, max(1, -(-int((count > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(bits, (rows, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
     return bits
 
 
-def compare(group: dict, across: bool, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def earlier_leaves(unit: np.ndarray, forest: Forest, run_key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, run key) of all leaves of the vectors whose run key is smaller."""
+    last = (run_key >> NODE_BITS + PATH_BITS) - forest.first
+    found = [filed_under(unit, forest, t) for t in range(last + 1)]
+    rows, keys = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return rows[keys < run_key], keys[keys < run_key]
+
+
+def filed_under(unit: np.ndarray, forest: Forest, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, run key) for every leaf of a tree that each row belongs to."""
+    rows, leaves = forest.trees[tree].route(unit, forest.spill)
+    return rows, leaves + (forest.first + tree << NODE_BITS + PATH_BITS)
+
+
+def compare(group: dict, across: bool, cosine: float, forests: dict[int, Forest]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links newly found a row, counting multiplicities; spanning stars of all links) of a run."""
-    unit, many, own = _unit(group["vector"]), group["many"], group["own"]
+    unit, many, own = group["vector"], group["many"], group["own"]
     n = len(unit)
-    bits = met_before(list(group["codes"]), int(group["run_key"][0]))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    bits: np.ndarray | None = None
     degree = np.zeros(n, np.int64)
     touched = np.zeros(n, bool)
     for at in range(0, n, 256):
@@ -140,14 +222,17 @@ def compare(group: dict, across: bool, cosine: float) -> tuple[np.ndarray, list[
         if across:
             near &= own[None, :] != own[at : at + 256, None]
         a, b = np.nonzero(near)
+        if a.size and bits is None:
+            bits = met_before(*earlier_leaves(unit, forests[unit.shape[1]], int(group["run_key"][0])), n)
         a += at
         touched[a] = touched[b] = True
         for s in range(0, len(a), 100_000):
             i, j = a[s : s + 100_000], b[s : s + 100_000]
             fresh = ~(bits[i] & bits[j]).any(axis=1)
-            i, j = i[fresh], j[fresh]
-            np.add.at(degree, i, many[j])
-            np.add.at(degree, j, many[i])
+            pairs.append((i[fresh], j[fresh]))
+            for x, y in (pairs[-1], pairs[-1][::-1]):
+                degree += np.bincount(x, many[y], n).astype(np.int64)
+            pairs.clear()
     stars: list[tuple[int, int]] = []
     rest = np.flatnonzero(touched)
     while rest.size > 1:
@@ -165,45 +250,37 @@ def compare(group: dict, across: bool, cosine: float) -> tuple[np.ndarray, list[
     return degree, stars
 
 
-def filed(classes: DataFrame, trees: list[Tree], spill: float) -> DataFrame:
-    """A row of (cid, many, vector, codes) for each leaf, under run_key = tree and leaf."""
-    shared = classes.sparkSession.sparkContext.broadcast(trees)  # at most TREES * 2**MAX_DEPTH split points
+def filed(classes: DataFrame, shared, trees: range) -> DataFrame:
+    """A row of (run_key, cid, many, vector) for each leaf in the trees of these numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _unit(_matrix(batch.column(2)))
-            found = [tree.route(unit, spill) for tree in shared.value]
-            row = np.concatenate([r for r, _ in found])
-            code = np.concatenate([(t << TREE_BITS) + leaf for t, (_, leaf) in enumerate(found)])
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            starts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            codes = pa.ListArray.from_arrays(pa.array(starts), pa.array(code))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code), *(batch.column(i).take(take) for i in range(3)), codes.take(take)], names=["run_key", "cid", "many", "vector", "codes"]
-            )
+            widths = batch.column(2).value_lengths().to_numpy()
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                forest = shared.value[int(width)]
+                here = [t - forest.first for t in trees if 0 <= t - forest.first < len(forest.trees)]
+                if not here:
+                    continue
+                unit = Vectors(batch.column(2).take(pa.array(at)))[:]
+                found = [filed_under(unit, forest, t) for t in here]
+                take = pa.array(at[np.concatenate([r for r, _ in found])])
+                key = pa.array(np.concatenate([k for _, k in found]))
+                yield pa.RecordBatch.from_arrays([key, *(batch.column(i).take(take) for i in range(3))], names=["run_key", "cid", "many", "vector"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("cid", "many", "vector").mapInArrow(run, f"run_key long, cid long, many long, vector {kind}, codes array<long>")
+    return classes.select("cid", "many", "vector").mapInArrow(run, f"run_key long, cid long, many long, vector {kind}")
 
 
-def compared(rows: DataFrame, cosine: float) -> DataFrame:
+def compared(rows: DataFrame, cosine: float, shared) -> DataFrame:
     """(a, b, n): n new links of class a (b null), or a link of the spanning forest (n null)."""
 
     def columns(table: pa.Table) -> dict:
-        codes = np.empty(table.num_rows, object)
-        whole = table.column("codes").combine_chunks()
-        for i in range(table.num_rows):
-            codes[i] = whole[i].values.to_numpy()
-        numbers = {c: table.column(c).to_numpy() for c in ("run_key", "own", "cid", "many")}
-        return numbers | {"vector": _matrix(table.column("vector")), "codes": codes}
+        return {c: table.column(c).to_numpy() for c in ("run_key", "own", "cid", "many")} | {"vector": Vectors(table.column("vector"))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, across in runs(batches, columns):
-            degree, stars = compare(group, across, cosine)
+            degree, stars = compare(group, across, cosine, shared.value)
             some = np.flatnonzero(degree)
             pairs = group["cid"][np.array(stars, np.int64).reshape(-1, 2)]
             a = pa.array(np.concatenate([group["cid"][some], pairs[:, 0]]))
@@ -215,43 +292,60 @@ def compared(rows: DataFrame, cosine: float) -> DataFrame:
     return dealt(tile(rows, "cid", TILE_ROWS)).mapInArrow(run, "a long, b long, n long")
 
 
+def forests_of(classes: DataFrame, cosine: float) -> dict[int, Forest]:
+    """width -> forest, each fitted on at most SAMPLE_VECTORS vectors of that width."""
+    forests: dict[int, Forest] = {}
+    first = 0
+    for row in classes.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect():
+        taken = smallest_hashes(classes.where(F.size("vector") == row["width"]).select("vector"), ["vector"], SAMPLE_VECTORS).toArrow()
+        forests[row["width"]] = plan_forest(Vectors(taken.column("vector"))[:], row["n"], cosine, first)
+        first += len(forests[row["width"]].trees)
+    return forests
+
+
 def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) a row.
 
     Equal vectors are one class, found by grouping; each of its rows links to all others of
     it. Null, zero, and vectors with null or non-finite components link with
-    nothing, as do vectors of another length than the most frequent one. A row
+    nothing; vectors of different lengths do not link. A row
     that links with nothing is its own component. Null ids count as links, but are a
-    component's id only if all its ids are null. An empty table gives no rows.
+    component's id only if all its ids are null. Repeated rows come out as often as they went in, other
+    columns of any name are not read, and an empty table gives no rows.
     """
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    rows = materialize(rows.withColumn("width", F.when(is_usable(F.col("vector")), F.size("vector"))), "vectors")
-    widths = rows.where("width IS NOT NULL").groupBy("width").agg(F.count("*").alias("n"))
-    width = (widths.orderBy(F.desc("n"), F.desc("width")).first() or {"width": -1})["width"]
-    usable, other = rows.where(F.col("width") == width), rows.where(~F.col("width").eqNullSafe(F.lit(width)))
-    grouped = usable.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("many"))
+    # two hashes stand for a vector where rows are joined with their class
+    rows = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector"), "usable": is_usable(F.col("vector"))})
+    usable, other = rows.where("usable"), rows.where("NOT usable")
+    grouped = usable.groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
-    n = classes.count()
     alone = other.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if not n:
+    forests = forests_of(classes, cosine)
+    if not forests:
         return _with_kept(alone, id_col)
-    taken = smallest_hashes(classes.select("vector"), ["vector"], SAMPLE_VECTORS).toArrow()
-    sample = _unit(_matrix(taken.column("vector")))
-    spill = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(width)
-    trees = [grow(sample, n / len(sample), spill, seed) for seed in range(TREES)]
-    found = materialize(compared(filed(classes, trees, spill), cosine), "vector-links")
+    shared = table.sparkSession.sparkContext.broadcast(forests)  # at most about SAMPLE_VECTORS nodes a tree
+    steps = range(0, max(f.first + len(f.trees) for f in forests.values()), STEP_TREES)
+    tables = [materialize(compared(filed(classes, shared, range(s, s + STEP_TREES)), cosine, shared), "vector-links") for s in steps]
+    found = reduce(DataFrame.unionByName, tables)
     degrees = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     rooted = materialize(components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cid"), "vector-roots")
-    least = classes.join(rooted, "cid").groupBy("root").agg(F.min("least").alias("component"))
-    result = (
-        classes.join(degrees, "cid", "left").join(rooted, "cid", "left").join(least, "root", "left")
+    narrow = classes.select("cid", "least", "many", "h1", "h2")
+    least = narrow.join(rooted, "cid").groupBy("root").agg(F.min("least").alias("component"))
+    told = (
+        narrow.join(degrees, "cid", "left").join(rooted, "cid", "left").join(least, "root", "left").where("many > 1 OR root IS NOT NULL")
         .select(
-            "vector", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
+            "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"),
             F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"),
         )
     )
-    joined = usable.select("id", "vector").join(result, "vector").drop("vector")
-    return _with_kept(joined.unionByName(alone), id_col)
+    # only rows of classes that link are joined; the others are a class of their own
+    linked = materialize(told, "linked-vectors")
+    joined = usable.select("id", "h1", "h2").join(small_side(linked, linked.count()), ["h1", "h2"], "left")
+    of_rows = joined.select(
+        "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    return _with_kept(of_rows.unionByName(alone), id_col)
 
 
 def _with_kept(rows: DataFrame, id_col: str) -> DataFrame:
