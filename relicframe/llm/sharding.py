@@ -1,140 +1,185 @@
 """Sharding by histogram sort: near-equal bytes in key order, one exchange.
 
-The sort key of a document is 62 bits: 31 of its text's hash, then 31 of its
-id's hash, so equal texts lie side by side and a group of copies can still be
+The sort key of a document is its text's hash, then its id's hash, of 63 bits
+each, so equal texts lie side by side and a group of copies can still be
 cut. Each round counts, over all partitions, the exact bytes that lie below a
 grid of candidate keys, and keeps for each splitter the one grid cell that its
 target falls into; the next round probes only inside those cells, until every
-cell is lighter than the tolerance or a single key. Then every document
-is sent once to its key range.
+splitter is within its tolerance. A splitter that falls among rows of one text and id is
+cut by a third number, given to the rows of just these keys. Then every document
+is sent once to its key range, which is a partition of its own.
 
-Only counts of grid cells reach the driver: at most ``splitters * 2**BITS``.
+Only counts of grid cells reach the driver: a few for each splitter and round.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-KEY_BITS = 62
+KEY_BITS = 63
 ROW_OVERHEAD = 16
-#: Probes a splitter and round: 2**BITS.
-BITS = 8
-#: Bytes that a splitter may lie off its target, as a part of a shard.
+#: Probes a splitter in a round after the first: 2**BITS.
+BITS = 5
+#: Bytes that a splitter may lie off its target: as a part of a shard where shards meet, of a range within a shard.
 TOLERANCE = 0.0005
+RANGE_TOLERANCE = 0.05
 #: A key range of a shard is cut further until it holds about this many bytes.
 RANGE_BYTES = 128 << 20
-MAX_RANGES = 1024
+#: Bits that a row's number within its partition takes in monotonically_increasing_id.
+ROW_BITS = 33
+
+Key = tuple[int, ...]
 
 
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def sort_key(text: Column, doc_id: Column) -> Column:
-    """62-bit key: copies of a text share the upper half."""
-    half = (1 << 31) - 1
-    upper = F.shiftleft(F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(half), 31)
-    return upper.bitwiseOR(F.xxhash64(doc_id, F.lit(7)).bitwiseAND(half))
-
-
-def splitters(keyed: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[int]:
-    """``parts - 1`` ascending keys that cut (key, size) rows into near-equal sizes.
-
-    A document belongs to the number of splitters at or below its key. An empty
-    input gives evenly spaced keys.
-    """
-    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if not total:
-        return [i * (1 << KEY_BITS) // parts for i in range(1, parts)]
-    slack = tolerance * total / parts
-    targets = [i * total / parts for i in range(1, parts)]
-    found: dict[int, int] = {}
-    # open cells: start key -> (bytes below it, splitters whose target lies inside)
-    open_cells = {0: (0, list(range(parts - 1)))}
-    width_bits = KEY_BITS
-    while open_cells:
-        step = min(BITS, width_bits)
-        rest = width_bits - step
-        cell = F.shiftright("key", rest)
-        level = keyed
-        if width_bits < KEY_BITS:
-            level = keyed.where(F.shiftright("key", width_bits).isin([k >> width_bits for k in open_cells]))
-        # at most len(open_cells) * 2**BITS rows come to the driver
-        counts: dict[int, list[tuple[int, int]]] = {}
-        for row in level.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).collect():
-            start = row["cell"] << rest
-            counts.setdefault(start >> width_bits << width_bits, []).append((start, row["size"]))
-        following: dict[int, tuple[int, list[int]]] = {}
-        for start, (below, wanted) in open_cells.items():
-            edges, sums = [], []
-            for at, size in sorted(counts.get(start, [])):
-                edges.append((at, below, size))
-                below += size
-                sums.append(below)
-            for i in wanted:
-                j = min(bisect.bisect_left(sums, targets[i]), len(edges) - 1)
-                at, under, size = edges[j]
-                end = at + (1 << rest)
-                if abs(under - targets[i]) <= slack:
-                    found[i] = at
-                elif abs(under + size - targets[i]) <= slack:
-                    found[i] = end
-                elif rest == 0:  # one key: take its nearer side
-                    found[i] = at if targets[i] - under <= under + size - targets[i] else end
-                else:
-                    following.setdefault(at, (under, []))[1].append(i)
-        open_cells, width_bits = following, rest
-    return [found[i] for i in range(parts - 1)]
-
-
-def _bucket(key: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below the key, by halving: log2(cuts) comparisons a row."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(cuts))
+def _hash63(*parts: Column) -> Column:
+    return F.xxhash64(*parts).bitwiseAND((1 << KEY_BITS) - 1)
+
+
+@dataclass
+class Search:
+    """Splitters found, and those whose target lies in an open cell: (key prefix, cell start) -> (bytes below, splitters)."""
+
+    targets: list[float]
+    slack: list[float]
+    found: dict[int, Key] = field(default_factory=dict)
+    open_cells: dict[Key, tuple[int, list[int]]] = field(default_factory=dict)
+
+    def refine(self, keyed: DataFrame, depth: int) -> None:
+        """Search along column ``k<depth>`` until every splitter is found or sits on one value of it.
+
+        Open cells are then the prefixes one value longer.
+        """
+        prefix = [f"k{i}" for i in range(depth)]
+        column = F.col(f"k{depth}")
+        width = KEY_BITS
+        self.open_cells = {(*p, 0): x for p, x in self.open_cells.items()}
+        while self.open_cells and width:
+            bits = BITS if width < KEY_BITS else max(8, math.ceil(math.log2(len(self.targets) + 1)) + 3)
+            rest = max(width - bits, 0)
+            level = keyed
+            for i, name in enumerate(prefix):
+                level = level.where(F.col(name).isin({k[i] for k in self.open_cells}))
+            if width < KEY_BITS:
+                level = level.where(F.shiftright(column, width).isin({k[depth] >> width for k in self.open_cells}))
+            cells: dict[Key, list[tuple[int, int]]] = {}
+            for row in level.groupBy(*prefix, F.shiftright(column, rest).alias("cell")).agg(F.sum("size").alias("bytes")).collect():
+                at = row["cell"] << rest
+                cells.setdefault((*row[:depth], at >> width << width), []).append((at, row["bytes"]))
+            following: dict[Key, tuple[int, list[int]]] = {}
+            for start, (below, wanted) in self.open_cells.items():
+                self._place(start[:depth], sorted(cells.get(start, [])), below, wanted, 1 << rest, following)
+            self.open_cells, width = following, rest
+
+    def _place(self, prefix: Key, cells: list[tuple[int, int]], below: int, wanted: list[int], step: int, following: dict) -> None:
+        ends = []
+        for _, size in cells:
+            ends.append((ends[-1] if ends else below) + size)
+        for i in wanted:
+            j = min(bisect.bisect_left(ends, self.targets[i]), len(cells) - 1)
+            at, size = cells[j]
+            if self.targets[i] - (ends[j] - size) <= self.slack[i]:
+                self.found[i] = (*prefix, at)
+            elif ends[j] - self.targets[i] <= self.slack[i]:
+                self.found[i] = (*prefix, min(at + step, (1 << KEY_BITS) - 1))
+            else:
+                following.setdefault((*prefix, at), (ends[j] - size, []))[1].append(i)
+
+    def settle(self) -> None:
+        """Put the splitters still open before the key that they sit on."""
+        for key, (_, wanted) in self.open_cells.items():
+            self.found |= dict.fromkeys(wanted, key)
+
+    def cuts(self) -> list[Key]:
+        return [(*self.found[i], 0, 0)[:3] for i in range(len(self.targets))]
+
+
+def range_of(cuts: list[Key]) -> Column:
+    """Number of cuts at or below the key (k0, k1, k2): a binary search over constant arrays."""
+    if not cuts:
+        return F.lit(0)
+    arrays = [F.split(F.lit(" ".join(str(c[i]) for c in cuts)), " ").cast("array<long>") for i in range(3)]
+
+    def not_above(at: Column) -> Column:
+        a, b, c = (F.get(x, at) for x in arrays)
+        same = F.col("k0") == a
+        return (F.col("k0") > a) | (same & (F.col("k1") > b)) | (same & (F.col("k1") == b) & (F.col("k2") >= c))
+
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & F.coalesce(not_above(low + step - 1), F.lit(False)), low + step).otherwise(low)
+    )
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, ranges: int | None = None) -> DataFrame:
     """``docs`` plus size, shard and slot (gapless from 0, in key order).
 
     Shards hold near-equal bytes (UTF-8 bytes of the text plus 16 a row). A null
-    text counts as no bytes and a null id has a key of its own; repeated rows
-    have one key and stay together; an empty table gives no rows. Columns of the
-    input named like an output column are replaced.
+    text counts as no bytes and a null id has a hash of its own; repeated rows lie side by side and are cut
+    where a shard ends, like any others; one very long text is one row of one shard; an empty table gives no rows. Columns of the
+    input named like an output column are replaced, others of any name pass through.
     """
-    base = docs.drop("size", "shard", "slot", "key", "range")
-    sized = text_bytes(F.col("text")) + ROW_OVERHEAD
-    key = sort_key(F.col("text"), F.col("doc_id"))
-    narrow = materialize(base.select(key.alias("key"), sized.alias("size")), "shard-keys")
-    if ranges is None:
-        total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        ranges = min(max(MAX_RANGES // shards, 1), max(4, math.ceil(total / shards / RANGE_BYTES)))
-    cuts = splitters(narrow, shards * ranges)
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    keyed = docs.select(
+        F.struct(*kept).alias("doc"), _hash63(F.coalesce("text", F.lit(""))).alias("k0"), _hash63(F.col("doc_id"), F.lit(7)).alias("k1"),
+        F.lit(0).cast("long").alias("k2"), (text_bytes(F.col("text")) + ROW_OVERHEAD).alias("size"),
+    )
+    narrow = materialize(keyed.select("k0", "k1", "k2", "size"), "shard-keys")
+    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    ranges = ranges or max(1, math.ceil(total / shards / RANGE_BYTES))
+    parts = shards * ranges
+    slack = [total * (TOLERANCE / shards if i % ranges == 0 else RANGE_TOLERANCE / parts) for i in range(1, parts)]
+    search = Search([i * total / parts for i in range(1, parts)], slack)
+    if total:
+        search.open_cells = {(): (0, list(range(parts - 1)))}
+        search.refine(narrow, 0)
+        search.refine(narrow, 1)
+        if search.open_cells:
+            keyed, narrow, repeated = number_repeats(keyed, narrow, list(search.open_cells))
+            search.refine(repeated, 2)
+        search.settle()
+    else:
+        search.found = {i: (0,) for i in range(parts - 1)}
+    place = range_of(search.cuts())
     # rows of each range, to number the slots of a shard over its ranges
-    sizes = {r["range"]: r["n"] for r in narrow.groupBy(_bucket(F.col("key"), cuts).alias("range")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["range"]: r["n"] for r in narrow.groupBy(place.alias("range")).agg(F.count("*").alias("n")).collect()}
     offsets, at = [], 0
-    for r in range(shards * ranges):
+    for r in range(parts):
         at = 0 if r % ranges == 0 else at
         offsets.append(at)
-        at += sizes.get(r, 0)
-    offset = F.array(*[F.lit(x).cast("long") for x in offsets])
-    in_range = Window.partitionBy("range").orderBy("key", "doc_id", "size")
+        at += counts.get(r, 0)
+    offset = F.split(F.lit(" ".join(map(str, offsets))), " ").cast("array<long>")
+    sent = keyed.withColumn("range", place).repartitionById(parts, F.col("range")).sortWithinPartitions("k0", "k1", "k2")
+    # a range is a partition, so a row's number in its partition is its number in the range
+    number = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    return sent.select(
+        *[F.col("doc")[c].alias(c) for c in kept], "size", F.floor(F.col("range") / ranges).cast("int").alias("shard"),
+        (number + F.get(offset, F.col("range"))).alias("slot"),
+    )
+
+
+def number_repeats(keyed: DataFrame, narrow: DataFrame, keys: list[Key]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed, narrow, rows of ``keys`` alone) with a number k2 of their own for rows of these (k0, k1).
+
+    The rows are written, numbers included, so that all later reads see the same ones. There are
+    at most as many keys as splitters.
+    """
+    wanted = F.broadcast(keyed.sparkSession.createDataFrame(keys, "k0 long, k1 long"))
+    numbers = _hash63(F.monotonically_increasing_id(), F.lit(3))
+    repeated = materialize(keyed.join(wanted, ["k0", "k1"], "left_semi").withColumn("k2", numbers), "repeated-rows")
+    few = repeated.select("k0", "k1", "k2", "size")
     return (
-        base.withColumns({"key": key, "size": sized})
-        .withColumn("range", _bucket(F.col("key"), cuts))
-        .withColumn("slot", F.row_number().over(in_range).cast("long") - 1)
-        .withColumn("slot", F.col("slot") + F.get(offset, F.col("range")))
-        .withColumn("shard", F.floor(F.col("range") / ranges).cast("int"))
-        .drop("key", "range")
+        keyed.join(wanted, ["k0", "k1"], "left_anti").unionByName(repeated),
+        narrow.join(wanted, ["k0", "k1"], "left_anti").unionByName(few),
+        few,
     )
