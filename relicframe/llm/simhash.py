@@ -138,19 +138,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never is a component's id unless all ids of the component are null. Repeated
     rows come out as often as they went in; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    return grouped(fingerprints(docs, id_col, text_col), id_col).select(id_col, "fp", "component_id")
+
+
+def grouped(prints: DataFrame, id_col: str) -> DataFrame:
+    """Rows with a fingerprint ``fp``, plus root (a fingerprint that stands for the component) and component_id."""
+    prints = materialize(prints, "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     rooted = materialize(components(links(classes.select("fp"))).withColumnRenamed("node", "fp"), "roots")
     linked = classes.join(rooted, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "root", "component_id")
     # classes without a link keep their own smallest id; the linked ones are few
-    alone = classes.join(rooted.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return prints.join(alone.unionByName(moved), "fp").select(id_col, "fp", "component_id")
+    alone = classes.join(rooted.select("fp"), "fp", "left_anti")
+    alone = alone.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return prints.join(alone.unionByName(moved), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to one of a smaller doc_id."""
-    judged = near_duplicates(docs)
-    gone = materialize(judged.where("component_id != doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest doc_id.
+
+    A null doc_id comes after all others; among different texts of one doc_id the one of
+    the smaller hash stays, among repeated rows any one. A text that shares its doc_id with a dropped
+    one stays if its own group has no smaller id. Null and empty texts are one group. An
+    empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], names=["doc_id", "text_hash", "fp"])
+
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = docs.select("doc_id", "text", text_hash.alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    rows = materialize(grouped(prints, "doc_id").select("doc_id", "text_hash", "root"), "near-duplicates")
+    rank = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    # groups of one document need no verdict
+    several = first.where("n > 1").select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    judged = rows.join(several, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    counted = judged.groupBy("doc_id", "text_hash", "stays").agg(F.count("*").alias("n"))
+    # (doc_id, text) whose rows go, all of them or all but one
+    gone = materialize(counted.where("NOT stays OR n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "stays"), "duplicates")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("gone_hash"))
+    kept = docs.join(small_side(gone, gone.count()), same, "left_anti")
+    repeated = gone.where("stays")
+    n = repeated.count()
+    if n:
+        again = docs.join(small_side(repeated, n), same, "left_semi").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+        kept = kept.unionByName(again.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns))
+    return kept.select(*docs.columns)
