@@ -128,23 +128,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``docs`` plus the base counts, base_failed, score and kept.
 
     A null text counts as empty: no words, base_failed, not kept. Labels of
-    absent or null ids count for nothing; a label repeated counts once. Input
-    columns named like an output column are replaced; an empty table gives no rows.
+    absent or null ids count for nothing; a label repeated counts once. Long texts count whole; repeated
+    rows come out as often as they went in. Input columns named like an output column are replaced, others of any name
+    pass through; an empty table gives no rows.
     """
     ratios = ratio_literal(log_ratios(docs, labels))
     outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    base = docs.drop(*outputs, "base_failed", "score", "kept")
+    base = [c for c in docs.columns if c not in (*outputs, "base_failed", "score", "kept")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    judged = base.withColumn(
-        "judged",
+    judged = docs.select(
+        F.struct(*base).alias("doc"),
         let(
             F.struct(words_of(F.col("text")).alias("w"), ratios.alias("r")),
             lambda x: F.struct(base_counts(x["w"], text).alias("base"), score(x["w"], x["r"]).alias("score")),
-        ),
+        ).alias("judged"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return (
-        judged.select(*base.columns, *[F.col("judged.base")[c].alias(c) for c in outputs], F.col("judged.score").alias("score"))
+        judged.select(*[F.col("doc")[c].alias(c) for c in base], *[F.col("judged.base")[c].alias(c) for c in outputs], F.col("judged.score").alias("score"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )

@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus toxicity (0 to 1) and is_toxic (score at or above the threshold).
 
-    Null and empty texts, having no terms, get the score of the constant alone.
-    Columns named like an output column are replaced; an empty table gives no rows.
+    Null and empty texts, having no terms, get the score of the constant alone. Long texts
+    count whole; repeated rows come out as often as they went in, with one score. Columns named like an output column are replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
     places, model = train(docs, labels)
