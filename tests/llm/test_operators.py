@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from relicframe.llm import components, language, mixing, packing, quality, sharding, simhash, tiles, token_counts, toxicity, vectors, warc
+from relicframe.llm import components, language, mixing, packing, quality, sharding, simhash, tiles, token_counts, tokens, toxicity, vectors, warc
 from relicframe.llm.tokens import default_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -143,6 +143,16 @@ def test_simhash_random_bits_lose_no_link(spark):
     assert [set(g) for g in brute_components(len(prints), true)] == [set(g) for g in brute_components(len(prints), [(at[a], at[b]) for a, b in found])]
 
 
+def test_keep_one_of_each_group(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c), (None, c), (None, None), (None, ""), (None, "lone words here")]
+    table = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, fp string").repartition(3)
+    got = Counter((r.doc_id, r.text or "", r.fp or "") for r in simhash.keep_one(table).collect())
+    # text b shares its id with a dropped copy of a, and stays once; null ids stay where their group has no other
+    assert got == Counter((i, t, t) for i, t in [(1, a), (2, b), (3, c), (None, ""), (None, "lone words here")])
+
+
 def test_simhash_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).columns == empty.columns
@@ -186,6 +196,21 @@ def test_toxicity_learns_pairs_of_terms_without_a_signal(spark):
     assert sum((r.toxicity > 0.5) == labels[r.doc_id][1] for r in held) > 0.9 * len(held)
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    docs, labels = real(spark, "documents"), real(spark, "labels")
+    places, model = toxicity.train(docs, labels)
+    for r in toxicity.toxicity_scores(docs, labels).select("text", "toxicity").limit(200).collect():
+        terms = {places[t] + 1 for w in r.text.encode().lower().split() for t in toxicity.word_terms(w) if t in places} | {0}
+        root = 1 / math.sqrt(len(terms))
+        margin = sum(model.weights[t] * model.values[t] for t in terms)
+        if len(terms) <= 150:  # all pairs one by one
+            margin += sum(float(model.vectors[s] @ model.vectors[t]) * root * root for s, t in itertools.combinations(sorted(terms), 2))
+        else:  # the sum of all pairs is half of (square of the sum less the sum of the squares)
+            v = model.vectors[sorted(terms)] * root
+            margin += 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+        assert r.toxicity == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, margin)))), abs=1e-9)
+
+
 def test_toxicity_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(None, 1, 1), (3, None, None), (1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity_scores(docs.withColumn("toxicity", F.lit("clash")), labels).count() == docs.count()
@@ -204,6 +229,23 @@ def tokenizer():
     return Tokenizer.from_file(default_path())
 
 
+def test_word_ids_equal_the_tokenizer_in_all_scripts(tokenizer):
+    import unicodedata
+
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c))[0] in "LMN"]
+    apart = [c for c in letters if len(unicodedata.normalize("NFC", c)) > 1 or len(c.lower()) > 1]
+    marks = ".,;:!?\"'()[]{}|*#$%&<>-_/"
+    ids = tokens.WordIds(default_path())
+    texts = [c + m for c in apart for m in ".'"]
+    for _ in range(20_000):
+        script = rng.randrange(len(letters))
+        pool = letters[max(0, script - 60) : script + 60] + rng.sample(apart, 3) + ["A", "z", "'s", "<|endoftext|>"]
+        texts.append(" ".join("".join(rng.choices(pool, k=rng.randint(1, 6))) + "".join(rng.choices(marks, k=rng.randint(0, 3))) for _ in range(3)))
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.text(text.encode()), "<u4").tolist() == want.ids, text
+
+
 def test_token_histogram_equals_brute_force(docs, empty, tokenizer):
     lengths = sorted(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_documents())
     found = token_counts.length_histogram(token_counts.token_lengths(docs)).orderBy("n_tokens").collect()
@@ -267,11 +309,10 @@ def test_quality_score_equals_brute_force(spark):
         total = sum(counts.values())
         return (counts[g] + quality.SMOOTHING * total / size) / (total + quality.SMOOTHING * total)
 
-    for r in quality.quality_rules(docs, labels).collect():
+    ratio = {g: math.log(share(target, g) / share(raw, g)) for g in raw}
+    for r in quality.quality_rules(docs.withColumns({"judged": F.lit(1), "doc": F.lit("x")}), labels).collect():
         gs = grams[r.doc_id]
-        want = sum(math.log(share(target, g) / share(raw, g)) for g in gs[:2000]) if len(gs) <= 2000 else None
-        if want is not None:
-            assert r.score == pytest.approx(want / max(len(gs), 1), abs=1e-4)
+        assert r.score == pytest.approx(sum(map(ratio.__getitem__, gs)) / max(len(gs), 1), abs=1e-4) and (r.judged, r.doc) == (1, "x")
 
 
 def test_quality_keeps_clean_and_drops_junk(spark):
@@ -334,6 +375,51 @@ def test_best_fit_closes_the_fullest():
     assert fit.place(2) == (1, 5) or fit.place(2)[0] == 2
 
 
+def brute_best_fit(lengths, capacity, most):
+    """(bin, offset) by looking at all open bins; the latest of equal ones is taken."""
+    bins, open_bins, out = [], [], []
+    for n in lengths:
+        fitting = [b for b in open_bins if capacity - bins[b] >= n]
+        if fitting:
+            b = max(fitting, key=lambda x: (bins[x], open_bins.index(x)))
+            open_bins.remove(b)
+        else:
+            b = len(bins)
+            bins.append(0)
+        out.append((b, bins[b]))
+        bins[b] += n
+        if bins[b] < capacity:
+            if len(open_bins) >= most:
+                open_bins.remove(max(open_bins, key=lambda x: (bins[x], open_bins.index(x))))
+            open_bins.append(b)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_best_fit_equals_brute_force(most):
+    rng = random.Random(most)
+    lengths = [min(100, int(rng.expovariate(1 / 40)) + 1) for _ in range(1500)]
+    fit = packing.BestFit(100, most)
+    assert [fit.place(n) for n in lengths] == brute_best_fit(lengths, 100, most)
+    assert fit.open <= most
+
+
+def test_packing_closes_bins(spark):
+    docs = real(spark, "documents")
+    few, many = (packing.pack(docs, open_bins=n).agg(F.count_distinct("sequence_id"), F.sum("length")).first() for n in (4, packing.OPEN_BINS))
+    assert many[0] < few[0] < 1.2 * many[0] and few[1] == many[1]
+
+
+def test_packing_does_not_depend_on_session_settings(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_BYTES", 20_000)
+    got = []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(repr, packing.pack(docs).drop("ids").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and len({r.sequence_id >> 40 for r in packing.pack(docs).collect()}) > 2
+
+
 def test_packing_empty_table(empty):
     assert packing.pack(empty).count() == 0
 
@@ -376,6 +462,23 @@ def test_mixing_comes_near_on_many_documents(spark):
     assert all(abs(r.taken - r.target) < 0.1 * r.target for r in rows)
 
 
+def test_mixed_documents_with_clashing_columns(docs):
+    names = ["doc", "size", "source_size", "target", "copies", "taken", "start", "rate", "offset", "rank", "repeat", "mix_key", "mix_class", "mix_cell", "n"]
+    clash = docs.withColumns({c: F.lit(c) for c in names})
+    rows = mixing.mixed_documents(clash).collect()
+    assert len(rows) == mixing.mixed_documents(docs).count() and all(r[c] == c for r in rows for c in names)
+    assert sorted(map(repr, mixing.mix(clash).collect())) == sorted(map(repr, mixing.mix(docs).collect()))
+
+
+def test_mixing_cells_follow_the_table(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_DOCS", 1)
+    rows = mixing.mix(docs).collect()
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        rate = own[0].target / max(own[0].source_size, 1)
+        assert abs(sum(r.copies for r in own) - rate * len(own)) <= 1
+
+
 def test_mixed_documents_repeat(spark, docs, empty):
     planned = {(r.doc_id, r.size): 0 for r in mixing.mix(docs).collect()}
     for r in mixing.mix(docs).collect():
@@ -395,6 +498,39 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.lang_score <= 1 for r in told)
 
 
+def test_language_scores_equal_brute_force(spark):
+    docs = real(spark, "documents")
+    model = language.train(docs)
+    buckets = model.bucket_scores()
+
+    def brute_hash(units):
+        """Places of a string's characters, each times the multiplier of its place."""
+        return sum(c * k for c, k in units) & 0xFFFFFFFF
+
+    def mixed(h, kind):
+        h = (h + kind) & 0xFFFFFFFF
+        for shift, k in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> shift) * k & 0xFFFFFFFF
+        return (h ^ h >> 16) % language.BUCKETS
+
+    for r in language.identify(docs).select("text", "lang_pred", "lang_score").limit(60).collect():
+        found = []
+        for word in r.text.lower().encode().split():
+            codes = [1, *map(ord, word.decode()), 1]
+            for n in (2, 3, 4):
+                found += [mixed(brute_hash(zip(codes[i : i + n], language.MULTIPLIERS)), n - 2) for i in range(len(codes) - n + 1)]
+            powers = [pow(0x01000193, i + 1, 1 << 32) for i in range(len(codes) - 2)]
+            found.append(mixed(brute_hash(zip(codes[1:-1], powers)), 3))
+        scores = np.array(buckets)[found].sum(axis=0) / len(found) / model.temperature
+        chance = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+        assert r.lang_pred == model.languages[int(chance.argmax())] and r.lang_score == pytest.approx(chance.max(), abs=1e-9)
+
+
+@pytest.mark.parametrize("text", ["\u00bd \u00b2 \u2460", "\u2167 123", "\U0001f600 --", "_ 7"])
+def test_language_of_texts_without_letters(text):
+    assert not language.has_letter(text) and language.has_letter(text + "\u0434")
+
+
 def test_language_odd_rows(docs, empty):
     rows = {r.text: r for r in language.identify(docs.withColumn("lang_pred", F.lit(1))).collect()}
     for text in (None, "", " \n\t"):
@@ -473,11 +609,10 @@ def test_warc_reader_sees_damage():
 
 
 def brute_vectors(rows):
-    usable = [i for i, (_, v) in enumerate(rows) if v is not None and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    unit = np.array([np.float32(rows[i][1]) for i in usable], float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    linked = [(usable[a], usable[b]) for a in range(len(usable)) for b in range(a) if near[a, b]]
+    usable = [i for i, (_, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.float32(rows[i][1]).astype(float) for i in usable}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    linked = [(i, j) for i in usable for j in usable if j < i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9]
     degree = Counter(x for pair in linked for x in pair)
     groups = brute_components(len(rows), linked)
     out = Counter()
@@ -496,6 +631,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile_rows):
     rows += [(100 + i, (np.array([1, 2, 3, 4]) + rng.normal(size=4) * 0.2).tolist()) for i in range(30)]
     rows += [(200 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(20)] + [(300, [2.0, 4.0, 6.0, 8.0]), (None, [1.0, 2.0, 3.0, 4.0])]
     rows += [(400, None), (401, [0.0] * 4), (402, [float("nan")] * 4), (403, [1.0, None, 1.0, 1.0]), (404, [float("inf")] * 4), (405, [1.0, 2.0]), (406, []), (None, None)]
+    rows += [(410, [2.0, 4.0]), (411, [1.0, 2.0]), (412, [5.0, 0.0, 0.0]), (413, [5.0, 0.1, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cid", F.lit("clash"))
     assert Counter(map(tuple, vectors.near_vectors(table).collect())) == brute_vectors(rows)
 
@@ -514,6 +650,43 @@ def test_vectors_recall_with_deep_trees(spark, monkeypatch):
     assert sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def planted_vectors(n, pairs, seed):
+    """n random unit vectors of 64 numbers, and for the first ``pairs`` of them a partner at cosine 0.9 to 0.95."""
+    rng = np.random.default_rng(seed)
+    unit = rng.normal(size=(n, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    aside = rng.normal(size=(pairs, 64))
+    aside -= (aside * unit[:pairs]).sum(axis=1, keepdims=True) * unit[:pairs]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.95, (pairs, 1))
+    return np.concatenate([unit, cosine * unit[:pairs] + np.sqrt(1 - cosine**2) * aside])
+
+
+@pytest.mark.parametrize(("leaf", "sample"), [(64, 20_000), (16, 500)])
+def test_vectors_recall_of_planted_pairs(spark, monkeypatch, tmp_path, leaf, sample):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(vectors, "LEAF", leaf)
+    monkeypatch.setattr(vectors, "SAMPLE_VECTORS", sample)
+    unit = planted_vectors(6000, 2000, 5).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(unit)), "embedding": list(unit)}), tmp_path / "v.parquet")
+    exact = unit.astype(float) / np.linalg.norm(unit.astype(float), axis=1, keepdims=True)
+    want = (exact @ exact.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() > 3000
+
+
+def test_vectors_have_few_copies():
+    unit = planted_vectors(20_000, 0, 6)
+    for population in (2_000, 40_000, 800_000):
+        forest = vectors.plan_forest(unit[: vectors.SAMPLE_VECTORS], population, 0.9, 0)
+        copies = sum(len(t.route(unit[:4000], forest.spill)[0]) for t in forest.trees) / 4000
+        leaves = [np.unique(t.route(unit, forest.spill)[1], return_counts=True)[1] for t in forest.trees]
+        assert copies <= 5 * (population / 2_000) ** 0.25
+        assert np.average(leaves[0], weights=leaves[0]) * population / len(unit) < 4 * vectors.LEAF
+
+
 def test_vectors_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -546,6 +719,36 @@ def test_sharding_is_even_and_gapless(spark, ranges):
             assert slots[-1] - slots[0] == len(slots) - 1
 
 
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_sharding_cuts_repeated_rows(spark, ranges):
+    rows = [(7, "one text of some length" * 4)] * 2000 + [(i, f"text number {i} " * 6) for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    names = ["key", "range", "k0", "k1", "k2", "doc", "size", "slot"]
+    placed = sharding.shard_documents(table.withColumns({c: F.lit(c) for c in names}), 40, ranges).collect()
+    assert all(r[c] == c for r in placed for c in names[:6])
+    assert Counter((r.doc_id, r.text) for r in placed) == Counter(rows)
+    loads, slots = Counter(), defaultdict(list)
+    for r in placed:
+        assert r.size == len(r.text.encode()) + 16
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    ideal = sum(loads.values()) / 40
+    assert all(abs(loads[s] - ideal) <= 0.002 * ideal + 2 * 112 for s in range(40))
+    assert all(sorted(slots[s]) == list(range(len(slots[s]))) for s in range(40))
+    repeats = sorted((r.shard, r.slot) for r in placed if r.text.startswith("one"))
+    assert all((b[0], b[1]) in ((a[0], a[1] + 1), (a[0] + 1, 0)) for a, b in itertools.pairwise(repeats))
+
+
+def test_range_of_is_a_binary_search(spark):
+    rng = random.Random(3)
+    keys = [tuple(rng.randrange(4) for _ in range(3)) for _ in range(200)]
+    for n in (0, 1, 2, 5, 16, 33):
+        cuts = sorted(tuple(rng.randrange(5) for _ in range(3)) for _ in range(n))
+        table = spark.createDataFrame(keys, "k0 long, k1 long, k2 long")
+        got = [r[3] for r in table.select("*", sharding.range_of(cuts)).collect()]
+        assert got == [sum(c <= k for c in cuts) for k in keys]
+
+
 def test_sharding_odd_rows(docs, empty):
     rows = sharding.shard_documents(docs, 5).collect()
     assert sum(r.size for r in rows) == sum(len((r[1] or "").encode()) + 16 for r in odd_documents())
