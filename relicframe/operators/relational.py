@@ -118,19 +118,43 @@ def capped(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], li
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
+#: Needles (or short ones) up to which they are broadcast, after a count.
+BROADCAST_NEEDLES = 100_000
+GRAM = 3
+
+
 def contains_join(lines: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
     """Lines with every needle that they contain.
 
     A word inside a needle, with separators on both sides, is a whole word of any
     line that contains the needle. So needles are filed under their longest inner word and
     lines under their distinct words, an equality join, and the whole needle is
-    checked only there. Needles without an inner word are compared with all lines.
+    checked only there. Needles without an inner word are filed under their first
+    GRAM characters in the same way; those shorter than that, of which there are few different ones, are tried on every
+    line. Kinds of needles that do not occur cost nothing. Few needles are broadcast to the lines; for many, hashes of
+    the lines are joined first and the texts of the hits after.
     """
     words = F.split(F.col(needle), SEPARATOR)
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
     longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = needles.withColumn("_word", longest)
-    filed = lines.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), SEPARATOR))))
-    near = filed.join(anchored.where("_word IS NOT NULL"), "_word").where(F.contains(F.col(text), F.col(needle)))
-    rest = anchored.where("_word IS NULL").drop("_word")
-    return near.drop("_word").unionByName(lines.join(rest, F.contains(F.col(text), F.col(needle))))
+    kind = F.when(longest.isNotNull(), "word").when(F.length(needle) >= GRAM, "gram").otherwise("short")
+    filed = needles.withColumns({"_kind": kind, "_key": F.coalesce(longest, F.left(needle, F.lit(GRAM)))})
+    counts = {r["_kind"]: r["n"] for r in filed.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(GRAM)))
+    keys = {"word": F.split(F.col(text), SEPARATOR), "gram": grams}
+    hit = F.contains(F.col(text), F.col(needle))
+    found = lines.join(needles.where("false"), hit) if not counts else None
+    for name, n in sorted(counts.items()):
+        own = filed.where(F.col("_kind") == name).drop("_kind")
+        if name == "short":
+            # at most as many as there are texts of fewer than GRAM characters
+            part = lines.join(F.broadcast(own.drop("_key")), hit)
+        elif n <= BROADCAST_NEEDLES:
+            part = lines.withColumn("_key", F.explode(F.array_distinct(keys[name]))).join(F.broadcast(own), "_key").where(hit).drop("_key")
+        else:
+            marks = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), F.col(text))}
+            narrow = lines.select(*[x.alias(k) for k, x in marks.items()], F.explode(F.array_distinct(keys[name])).alias("_key")).distinct()
+            near = narrow.join(own, "_key").drop("_key")
+            part = lines.withColumns(marks).join(near, list(marks)).where(hit).drop(*marks)
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -84,6 +84,7 @@ def unpack(data: bytes, width: int, height: int) -> list[bytes]:
         if 0x88 <= code <= 0x8F:
             dx, dy = SHIFTS[code - 0x88]
             continue
+        line.clear()  # a whole row takes the place of a row that is partly filled
         given = take(width) if code == 0x80 else take(1) if code == 0x83 else b""
         for _ in range(times):
             y = len(rows)

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import grouped_counts, sorted_list
+from ..operators.relational import sorted_list
 from .warehouse import Warehouse
 
 #: Listings: base table, joins (table, key in base, how), columns. Columns are of the base unless marked table.column.
+#: The columns of a report and its order below are fixed values.
 LISTINGS: dict[str, tuple[str, list[tuple[str, str, str]], str]] = {
     "summary": ("import_attempts", [("stacks", "", "left")],
         "status exit_code warnings errors status_lines blocks resources stacks.stack_name stacks.card_count_declared "
@@ -181,8 +182,10 @@ def format_gap_counts(warehouse: Warehouse, run: str) -> DataFrame:
 
 # --- disassembly calls -------------------------------------------------------------------
 
-INSTRUCTION = r"^\s*([0-9A-Fa-f]{8})\s+([0-9A-Fa-f]{4,8}(?:\s+[0-9A-Fa-f]{4,8})*)\s+([A-Za-z.]+)\s*(.*)$"
-NOTE = " ; stackimport:"
+#: A listing line: address, groups of instruction bytes, mnemonic, operands; a note may follow after "; word:".
+ADDRESS, GROUPS = r"\s*(\p{XDigit}{8})", r"((?:\s+\p{XDigit}{4,8})+)"
+INSTRUCTION = "^" + ADDRESS + GROUPS + r"\s+([\p{Alpha}.]+)(.*)"
+NOTE = r"^(.*?) ; \w+:(.*)$"
 
 
 def disassembly_calls(texts: DataFrame) -> DataFrame:
@@ -191,12 +194,12 @@ def disassembly_calls(texts: DataFrame) -> DataFrame:
     lines = texts.select(*keep, F.posexplode(F.split("text", "\r\n|\r|\n")).alias("n", "instruction"))
     hit = lines.where(F.col("instruction").rlike(INSTRUCTION))
     whole = F.trim(F.regexp_extract("instruction", INSTRUCTION, 4))
-    cut = F.position(F.lit(NOTE), whole)
+    noted = F.concat(F.lit(" "), whole)
     parsed = hit.withColumns({
         "line": F.col("n") + 1, "address": F.upper(F.regexp_extract("instruction", INSTRUCTION, 1)),
         "mnemonic": F.lower(F.regexp_extract("instruction", INSTRUCTION, 3)),
-        "operands": F.trim(F.when(cut > 0, F.left(whole, cut - 1)).otherwise(whole)),
-        "annotation": F.trim(F.when(cut > 0, F.substring(whole, cut + len(NOTE), F.length(whole))).otherwise("")),
+        "operands": F.trim(F.when(noted.rlike(NOTE), F.regexp_extract(noted, NOTE, 1)).otherwise(whole)),
+        "annotation": F.trim(F.regexp_extract(noted, NOTE, 2)),
     })
     m68k, ppc = F.col("platform") == "mac68k", F.col("platform") == "macppc"
     mnemonic, note, operands = F.col("mnemonic"), F.col("annotation"), F.col("operands")
@@ -245,51 +248,55 @@ def disassembly_call_usage(audit: DataFrame) -> DataFrame:
 
 # --- statistics ----------------------------------------------------------------------------
 
-def _sum(column: str) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0))
-
-
-SCALARS: dict[str, dict[str, Callable[[], Column]]] = {
+#: table -> metric -> what a row adds to it (nulls add nothing).
+SCALARS: dict[str, dict[str, str]] = {
     "output_files": {
-        "output_file_count": lambda: F.count("*"), "output_file_bytes": lambda: _sum("bytes"),
-        **{f"{k}_file_count": lambda k=k: F.count_if(F.col("kind") == k) for k in ("json", "image", "raw")},
+        "output_file_count": "1", "output_file_bytes": "bytes", "json_file_count": "int(kind = 'json')", "image_file_count": "int(kind = 'image')",
+        "raw_file_count": "int(kind = 'raw')",
     },
-    "json_sections": {"json_section_count": lambda: F.count("*")},
-    "parsed_objects": {"parsed_object_count": lambda: F.count("*")},
-    "parsed_parts": {"part_count": lambda: F.count("*"), "part_script_bytes": lambda: _sum("script_bytes")},
-    "parsed_content": {"content_count": lambda: F.count("*"), "content_bytes": lambda: _sum("text_bytes")},
-    "media_refs": {"media_ref_count": lambda: F.count("*")},
-    "binary_chunks": {
-        "binary_chunk_count": lambda: F.count("*"), "understood_chunk_count": lambda: F.count_if(F.col("understood") == 1),
-        "not_understood_chunk_count": lambda: F.count_if(F.col("understood") == 0),
-    },
-    "embedded_files": {"embedded_file_count": lambda: F.count("*"), "embedded_file_bytes": lambda: _sum("bytes")},
-    "external_code_resources": {"external_code_resource_count": lambda: F.count("*")},
+    "json_sections": {"json_section_count": "1"},
+    "parsed_objects": {"parsed_object_count": "1"},
+    "parsed_parts": {"part_count": "1", "part_script_bytes": "script_bytes"},
+    "parsed_content": {"content_count": "1", "content_bytes": "text_bytes"},
+    "media_refs": {"media_ref_count": "1"},
+    "binary_chunks": {"binary_chunk_count": "1", "understood_chunk_count": "int(understood = 1)", "not_understood_chunk_count": "int(understood = 0)"},
+    "embedded_files": {"embedded_file_count": "1", "embedded_file_bytes": "bytes"},
+    "external_code_resources": {"external_code_resource_count": "1"},
 }
-GROUPED = {
-    "output_file_kind": ("output_files", "kind"), "logical_file_kind": ("output_files", "logical_kind"), "object_kind": ("parsed_objects", "object_kind"),
-    "part_type": ("parsed_parts", "part_type"), "json_tag": ("json_sections", "tag"), "binary_chunk_type": ("binary_chunks", "chunk_type"),
-    "binary_chunk_status": ("binary_chunks", "status"), "embedded_file_kind": ("embedded_files", "embedded_kind"),
-    "external_code_platform": ("external_code_resources", "platform || ':' || instruction_format || ':' || container_format"),
-    "external_code_kind": ("external_code_resources", "external_kind"),
+#: table -> metric -> the value that its rows are counted by.
+GROUPED: dict[str, dict[str, str]] = {
+    "output_files": {"output_file_kind": "kind", "logical_file_kind": "logical_kind"},
+    "parsed_objects": {"object_kind": "object_kind"},
+    "parsed_parts": {"part_type": "part_type"},
+    "json_sections": {"json_tag": "tag"},
+    "binary_chunks": {"binary_chunk_type": "chunk_type", "binary_chunk_status": "status"},
+    "embedded_files": {"embedded_file_kind": "embedded_kind"},
+    "external_code_resources": {
+        "external_code_platform": "platform || ':' || instruction_format || ':' || container_format", "external_code_kind": "external_kind",
+    },
 }
 
 
 def stack_statistics(warehouse: Warehouse, run: str) -> DataFrame:
-    """(stack_id, metric, detail, value): one grouped pass a table, whatever the number of stacks."""
+    """(stack_id, metric, detail, value) of every stack: one pass over each table and one aggregation for all.
+
+    Each row is spread to what it adds to each metric, so rows are summed before the one exchange. Every
+    stack has all scalar metrics, at least with 0. A null detail and an empty one stay apart; both show as ''.
+    """
+
+    def additions(table: str) -> DataFrame:
+        scalars = [F.struct(F.lit(m).alias("metric"), F.lit("").alias("detail"), F.expr(x).cast("long").alias("value")) for m, x in SCALARS[table].items()]
+        counts = [F.struct(F.lit(m).alias("metric"), F.expr(d).alias("detail"), F.lit(1).cast("long").alias("value")) for m, d in GROUPED.get(table, {}).items()]
+        return warehouse[table].where("stack_id IS NOT NULL").select("stack_id", F.inline(F.array(*scalars, *counts)))
+
     stacks = _of_run(warehouse, "stacks", run).select(F.col("id").alias("stack_id"))
-    out = None
-    for table, metrics in SCALARS.items():
-        # a stack without rows in the table still has its zeros
-        rows = warehouse[table].where("stack_id IS NOT NULL").groupBy("stack_id").agg(*[m().cast("long").alias(n) for n, m in metrics.items()])
-        full = stacks.join(rows, "stack_id", "left").na.fill(0, list(metrics))
-        part = full.unpivot(["stack_id"], list(metrics), "metric", "value")
-        part = part.select("stack_id", "metric", F.lit("").alias("detail"), "value")
-        out = part if out is None else out.unionByName(part)
-    for metric, (table, detail) in GROUPED.items():
-        rows = warehouse[table].join(stacks, "stack_id", "left_semi")
-        out = out.unionByName(grouped_counts(rows, ["stack_id"], metric, F.expr(detail)))
-    return out
+    names = [m for metrics in SCALARS.values() for m in metrics]
+    zeros = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("").alias("detail"), F.lit(0).cast("long").alias("value")) for m in names])
+    every = stacks.select("stack_id", F.inline(zeros))
+    for table in SCALARS:
+        every = every.unionByName(additions(table))
+    summed = every.groupBy("stack_id", "metric", "detail").agg(F.sum("value").alias("value"))
+    return summed.join(stacks, "stack_id", "left_semi").withColumn("detail", F.coalesce("detail", F.lit("")))
 
 
 # --- export ------------------------------------------------------------------------------

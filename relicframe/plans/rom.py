@@ -9,8 +9,10 @@ next may begin: the pointer tables and the resource maps.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,30 +43,49 @@ def _latin(data: Column) -> Column:
 
 
 def ascii_strings(images: DataFrame, least: int = MIN_STRING) -> DataFrame:
-    """Runs of printable ASCII with their offsets: pieces between other bytes, whose lengths add up."""
-    pieces = images.select("rom_id", "base", F.posexplode(F.split(_latin(F.col("content")), r"[^\x20-\x7E]")).alias("n", "text"))
-    before = Window.partitionBy("rom_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("offset", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
-    return _plausible(placed.where(F.length("text") >= least), False)
+    """Runs of printable ASCII with their offsets."""
+    return _plausible(_found_texts(images, lambda data: ascii_runs(data, least)), False)
 
 
-def pascal_strings(images: DataFrame, least: int = MIN_STRING) -> DataFrame:
-    """Length-prefixed printable strings. One inside an earlier one is dropped, as scanning goes on behind a hit."""
-    text = _latin(F.col("content"))
-    rows = images.select("rom_id", "base", "content", F.explode(F.sequence(F.lit(0), F.octet_length("content") - 1)).alias("offset"))
-    length = F.conv(F.hex(field(F.col("content"), F.col("offset"), 1)), 16, 10).cast("int")
-    rows = rows.withColumn("length", length).where((F.col("length") >= least) & (F.col("offset") + 1 + F.col("length") <= F.octet_length("content")))
-    rows = rows.withColumn("text", F.substring(text, F.col("offset") + 2, F.col("length"))).where(~F.col("text").rlike(r"[^\x20-\x7E]")).drop("content")
-    listed = F.sort_array(F.collect_list(F.struct("offset", "length", "text")))
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<offset:int,length:int,text:string>>").alias("kept"))
+def ascii_runs(data: bytes, least: int) -> Iterator[tuple[int, bytes]]:
+    for m in re.finditer(rb"[\x20-\x7E]{%d,}" % least, data):
+        yield m.start(), m.group()
+
 
-    def step(acc: Column, x: Column) -> Column:
-        take = x["offset"] >= acc["end"]
-        taken = F.struct((x["offset"] + x["length"] + 1).alias("end"), F.array_append(acc["kept"], x).alias("kept"))
-        return F.when(take, taken).otherwise(acc)
+def pascal_runs(data: bytes, least: int) -> Iterator[tuple[int, bytes]]:
+    """Places whose byte counts printable bytes behind it, from left to right, each behind the one before."""
+    code = np.frombuffer(data, np.uint8)
+    # where the printable run that a byte is in ends; its own place for other bytes
+    odd = np.flatnonzero((code < 0x20) | (code > 0x7E))
+    ends = np.append(odd, len(code))[np.searchsorted(odd, np.arange(len(code)))]
+    at = np.flatnonzero(code[:-1] >= least) if len(code) > 1 else np.zeros(0, np.int64)
+    done = 0
+    for i in at[at + 1 + code[at] <= ends[at + 1]].tolist():
+        if i >= done:
+            done = i + 1 + data[i]
+            yield i, data[i + 1 : done]
 
-    walked = rows.groupBy("rom_id", "base").agg(F.aggregate(listed, start, step)["kept"].alias("kept"))
-    return _plausible(walked.select("rom_id", "base", F.inline("kept")), True)
+
+def _found_texts(images: DataFrame, find: Callable[[bytes], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """(rom_id, base, offset, text) of what ``find`` yields for each image: one pass, nothing exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rom, base, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                hits = find(data.as_py() or b"")
+                while part := list(islice(hits, 20_000)):
+                    places, texts = zip(*part, strict=True)
+                    fixed = [pa.array([x.as_py()] * len(part), x.type) for x in (rom, base)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*fixed, pa.array(places, pa.int64()), pa.array([t.decode("ascii") for t in texts])], names=["rom_id", "base", "offset", "text"]
+                    )
+
+    return images.select("rom_id", F.col("base").cast("long").alias("base"), "content").mapInArrow(run, "rom_id string, base long, offset long, text string")
+
+
+def pascal_strings(images: DataFrame, least: int = MIN_STRING) -> DataFrame:
+    """Length-prefixed printable strings. One inside an earlier one is dropped, as scanning goes on behind a hit."""
+    return _plausible(_found_texts(images, lambda data: pascal_runs(data, least)), True)
 
 
 def _plausible(rows: DataFrame, pascal: bool) -> DataFrame:
@@ -131,19 +152,24 @@ def pointer_tables(images: DataFrame, keep: int = 64) -> DataFrame:
 
 
 def offsets_of(images: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(rom_id, base, content, name, offset): where each pattern (over Latin-1 text) begins, overlaps included."""
-    text = _latin(F.col("content"))
-    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.transform(F.split(text, f"(?s)(?={p})"), lambda x: F.length(x)).alias("lengths")) for n, p in patterns.items()])
-    cut = images.select("rom_id", "base", "content", F.inline(parts)).select("rom_id", "base", "content", "name", F.posexplode("lengths").alias("k", "length"))
-    # each part but perhaps the first begins with a match; it starts where those before it end
-    before = Window.partitionBy("rom_id", "name").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.select("rom_id", "base", "name", "k", "length").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).try_cast("int"))
-    joined = placed.join(images.select("rom_id", "content"), "rom_id")
-    found = F.lit(False)
-    for n, p in patterns.items():
-        tail = F.decode(field(F.col("content"), F.col("offset"), 64), "ISO-8859-1")
-        found = F.when(F.col("name") == n, tail.rlike(f"(?s)^(?:{p})")).otherwise(found)
-    return joined.where(found).select("rom_id", "base", "content", "name", "offset")
+    """(rom_id, base, content, name, offset): where each pattern (over bytes) begins, overlaps included.
+
+    The places come as one list an image, spread within its row, so images are neither copied nor exchanged.
+    """
+    compiled = [(name, re.compile(b"(?s)(?=%b)" % pattern.encode("latin-1"))) for name, pattern in patterns.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(2)[i].as_py() or b""
+                hits = [{"name": name, "offset": m.start()} for name, p in compiled for m in p.finditer(data)]
+                if hits:
+                    found = pa.array([hits], pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), found], names=["rom_id", "base", "content", "found"])
+
+    rows = images.select("rom_id", F.col("base").cast("long").alias("base"), "content")
+    listed = rows.mapInArrow(run, "rom_id string, base long, content binary, found array<struct<name:string,offset:int>>")
+    return listed.select("rom_id", "base", "content", F.inline("found"))
 
 
 def markers(images: DataFrame, cap: int = MAX_MARKERS) -> DataFrame:

@@ -22,7 +22,7 @@ def statements(scripts: DataFrame, keys: list[str], text: str = "script") -> Dat
 
 def handlers(lines: DataFrame, keys: list[str]) -> DataFrame:
     function = F.col("lower").startswith("function ")
-    rest = F.when(function, F.substring("text", 10, 1 << 20)).otherwise(F.substring("text", 4, 1 << 20))
+    rest = F.when(function, F.expr("substring(text, 10)")).otherwise(F.expr("substring(text, 4)"))
     found = lines.where(function | F.col("lower").startswith("on ")).select(
         *keys, first_word(rest).alias("name"), F.when(function, "function").otherwise("message").alias("kind"), "line"
     )

@@ -17,6 +17,10 @@ from ..functions.binary import mac_bytes, pack_u32
 from ..functions.classify import BLOCK_TYPES
 
 HEADER = 12
+#: Bytes of rows that a scan hands on at once, bytes of a part of a written stream, and order values a cell of prefix sums.
+BATCH_BYTES = 4 << 20
+PART_BYTES = 16 << 20
+CELL = 1 << 16
 SCHEMA = (
     "file string, seq int, type string, id int, offset long, size long, payload_offset long, payload_bytes long, payload binary, status string"
 )
@@ -26,52 +30,64 @@ ARROW = pa.schema(
 )
 
 
-def walk(data: bytes, strict_tail: bool = False) -> Iterator[tuple]:
+def walk(data: bytes, strict_tail: bool = False, payloads: bool = True, start: int = 0, first: int = 0) -> Iterator[tuple]:
     """(seq, type, id, offset, size, payload_offset, payload_bytes, payload, status) of each block.
 
     A damaged place is a last row with a null type and the error as its status.
-    FREE blocks are skipped (null payload). strict_tail makes bytes after TAIL an error.
+    FREE blocks are skipped (null payload). strict_tail makes bytes after TAIL an error. ``start`` and
+    ``first`` are the offset and number of the first block, where the bytes are a later part of a stream.
     """
-    at = seq = 0
+    at, seq = 0, first
     while at < len(data):
         head = data[at : at + HEADER]
         if len(head) < HEADER:
-            yield seq, None, None, at, None, None, None, None, "truncated header"
+            yield seq, None, None, start + at, None, None, None, None, "truncated header"
             return
         size = int.from_bytes(head[:4], "big")
         kind = head[4:8].decode("mac_roman")
         number = int.from_bytes(head[8:], "big", signed=True)
         body = at + HEADER
         if size < HEADER:
-            yield seq, None, None, at, size, None, None, None, "invalid size"
+            yield seq, None, None, start + at, size, None, None, None, "invalid size"
             return
         if at + size > len(data):
-            yield seq, None, None, at, size, None, None, None, "truncated payload"
+            yield seq, None, None, start + at, size, None, None, None, "truncated payload"
             return
         last = kind == "TAIL" and number == -1
         status = "terminal" if last else "skipped" if kind == "FREE" else "ok"
-        payload = None if kind == "FREE" else data[body : at + size]
-        yield seq, kind, number, at, size, body, size - HEADER, payload, status
+        payload = data[body : at + size] if payloads and kind != "FREE" else None
+        yield seq, kind, number, start + at, size, start + body, size - HEADER, payload, status
         at, seq = at + size, seq + 1
         if last:
             if strict_tail and at < len(data):
-                yield seq, None, None, at, None, None, None, None, "bytes after the end"
+                yield seq, None, None, start + at, None, None, None, None, "bytes after the end"
             return
 
 
 def scan_blocks(files: DataFrame, strict_tail: bool = False, payloads: bool = True) -> DataFrame:
-    """Blocks of (file, content) rows. Without payloads only the block table is made."""
+    """Blocks of (file, content) rows, or of (file, content, start, first) parts of streams. Without payloads only the block table is made."""
+    parts = "start" in files.columns and "first" in files.columns
+    rows = files.select("file", "content", *([F.col("start"), F.col("first")] if parts else [F.lit(0).alias("start"), F.lit(0).alias("first")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [dict(zip(ARROW.names, (file, *row), strict=True)) for row in walk(data.as_py() or b"", strict_tail)]
-                if not payloads:
-                    rows = [row | {"payload": None} for row in rows]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+            for i in range(batch.num_rows):
+                file, content, start, first = (c[i].as_py() for c in batch.columns)
+                held, size = [], 0
+                for row in walk(content or b"", strict_tail, payloads, start, first):
+                    held.append((file, *row))
+                    size += 200 + len(row[7] or b"")
+                    if size > BATCH_BYTES:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
 
-    return files.select("file", "content").mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
 def read_blocks(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -85,12 +101,23 @@ def block_bytes(kind, number, payload):
     return F.concat(pack_u32(F.octet_length(payload) + HEADER), mac_bytes(F.rpad(kind, 4, " ")), pack_u32(number), payload)
 
 
-def write_stream(rows: DataFrame, by: str, kind, number, payload, order: str) -> DataFrame:
-    """(file, content): the blocks of each group in order, then TAIL."""
-    tail = F.unhex(F.lit("0000000C5441494CFFFFFFFF"))
-    blocks = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), block_bytes(kind, number, payload).alias("b"))))
-    joined = F.aggregate(blocks, F.lit(b""), lambda acc, x: F.concat(acc, x["b"]))
-    return rows.groupBy(F.col(by).alias("file")).agg(F.concat(joined, tail).alias("content"))
+def write_stream(rows: DataFrame, by: str, kind, number, payload, order: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(file, part, start, first, content): the blocks of each group in order, then TAIL.
+
+    A stream comes in parts of about ``part_bytes``, each with the offset and number of its first block, as a
+    group may be larger than a value can be. ``order`` is a column of whole numbers.
+    """
+    blocks = rows.select(F.col(by).alias("file"), F.col(order).cast("long").alias("order"), block_bytes(kind, number, payload).alias("block"))
+    sized = blocks.select("file", "order", F.octet_length("block").cast("long").alias("size"))
+    placed = offsets_from_sizes(sized.withColumn("first", F.lit(1).cast("long")), "file", "order", "size", number="first")
+    ends = sized.groupBy("file").agg(F.sum("size").alias("start"), F.count("*").alias("first"))
+    tails = ends.select("file", "start", "first", F.unhex(F.lit("0000000C5441494CFFFFFFFF")).alias("block"))
+    whole = blocks.join(placed.select("file", "order", F.col("offset").alias("start"), F.col("seq").alias("first")), ["file", "order"])
+    every = whole.select("file", "start", "first", "block").unionByName(tails)
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("start", "block"))), lambda x: F.hex(x["block"]))
+    return every.groupBy("file", F.floor(F.col("start") / part_bytes).alias("part")).agg(
+        F.min("start").alias("start"), F.min("first").alias("first"), F.unhex(F.array_join(joined, "")).alias("content")
+    )
 
 
 def block_map(blocks: DataFrame) -> DataFrame:
@@ -108,10 +135,25 @@ def unknown_types(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("type").isNotNull() & ~F.col("type").isin(*BLOCK_TYPES))
 
 
-def offsets_from_sizes(rows: DataFrame, by: str, order: str, size: str) -> DataFrame:
-    """Where each block starts: the sizes before it, summed."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
+def offsets_from_sizes(rows: DataFrame, by: str, order: str, size: str, number: str | None = None) -> DataFrame:
+    """Where each block starts: the sizes before it, summed, as ``offset``; with a column ``number`` also ``seq``, the rows before it.
+
+    Rows with one value of ``by`` are summed in cells of CELL consecutive values of ``order``, a column of
+    whole numbers, and over the cells, so a large group is not one task.
+    """
+    cells = rows.withColumn("_cell", F.floor(F.col(order) / CELL))
+    totals = cells.groupBy(by, "_cell").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+
+    def before(column, partition: list[str], ordered: str):
+        window = Window.partitionBy(*partition).orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    starts = totals.select(by, "_cell", before("_bytes", [by], "_cell").alias("_start"), before("_rows", [by], "_cell").alias("_first"))
+    joined = cells.join(starts, [by, "_cell"])
+    placed = joined.withColumn("offset", F.col("_start") + before(size, [by, "_cell"], order))
+    if number:
+        placed = placed.withColumn("seq", F.col("_first") + before(F.lit(1), [by, "_cell"], order))
+    return placed.drop("_cell", "_start", "_first")
 
 
 def missing_references(blocks: DataFrame, references: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def test_contains_join_equals_nested_loop(spark):
 
 def test_json_tree(spark):
     rows = spark.createDataFrame([(1, '{"a": {"b": [1, "xyz"]}, "c": null}'), (2, "no json"), (3, '"s"')], "id int, j string")
-    nodes = json_tree.walk(rows, ["id"], "j", levels=4).orderBy("id", "path").collect()
+    nodes = json_tree.walk(rows, ["id"], "j").orderBy("id", "path").collect()
     assert [(r.id, r.depth, r.tag, r.text_size) for r in nodes] == [
         (1, 0, "$", 0), (1, 1, "a", 0), (1, 2, "b", 0), (1, 3, "[0]", 1), (1, 3, "[1]", 3), (1, 1, "c", 0), (3, 0, "$", 1),
     ]
