@@ -528,5 +528,5 @@ def fork_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(number(F.octet_length(name), 2), name)
     body = F.concat(F.lit(bytes(24)), number(F.lit(28), 4), number(F.lit(28) + F.octet_length(types), 4), types, label)
     fork = F.concat(number(F.lit(16), 8), number(F.lit(16) + F.octet_length(data), 8), number(F.octet_length(data), 8), number(F.octet_length(body), 8), data, body)
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), fork.alias("content"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file"), fork.alias("content")).repartition("file")
     return resfork.read_forks(files).select("file", "type", "id", "name", "payload_bytes", "status")

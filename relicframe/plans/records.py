@@ -280,12 +280,75 @@ def scripts(blocks: DataFrame) -> DataFrame:
 
 
 def print_settings(blocks: DataFrame) -> DataFrame:
-    """PRNT: (file, n, report_id, name) of the report templates that it lists."""
+    """PRNT: (file, page_setup_id, n, report_id, name) of the report templates that it lists."""
     rows = _of(blocks, "PRNT").select("file", "payload", F.explode(_numbers(i16(_p(), 0x128))).alias("n"))
     at = 0x12A + 36 * F.col("n")
     rows = rows.where(at + 36 <= F.octet_length(_p()))
     length = F.least(u8(_p(), at + 4), F.lit(31)).cast("int")
-    return rows.select("file", "n", i32(_p(), at).alias("report_id"), mac_text(field(_p(), at + 5, length)).alias("name"))
+    return rows.select("file", i32(_p(), 0x24).alias("page_setup_id"), "n", i32(_p(), at).alias("report_id"), mac_text(field(_p(), at + 5, length)).alias("name"))
+
+
+#: Fields of a page setup in order, two bytes each (fixed values): before and after the two single bytes.
+PAGE_FIELDS = (
+    "printerDriverVersion", "iDev", "vertResol", "horizResol", "pageTop", "pageLeft", "pageBottom", "pageRight",
+    "paperTop", "paperLeft", "paperBottom", "paperRight", "printerDeviceNumber", "pageV", "pageH",
+)
+PRINT_FIELDS = ("iDev2", "vertResol2", "horizResol2", "pageTop2", "pageLeft2", "pageBottom2", "pageRight2")
+PRINTING_METHODS = {0: "draft", 1: "deferred"}
+REPORT_UNITS = {0: "centimeters", 1: "millimeters", 2: "inches", 3: "points"}
+
+
+def page_setups(blocks: DataFrame) -> DataFrame:
+    """PRST: one row a page setup; fields that a short block lacks are null."""
+
+    def given(at: int, size: int, value: Column) -> Column:
+        return F.when(F.octet_length(_p()) >= at + size, value)
+
+    first = [given(4 + 2 * i, 2, i16(_p(), 4 + 2 * i)).alias(n) for i, n in enumerate(PAGE_FIELDS)]
+    single = 4 + 2 * len(PAGE_FIELDS)
+    second = [given(single + 2 + 2 * i, 2, i16(_p(), single + 2 + 2 * i)).alias(n) for i, n in enumerate(PRINT_FIELDS)]
+    last = single + 2 + 2 * len(PRINT_FIELDS) + 16
+    return _of(blocks, "PRST").select(
+        "file", "id", *first, given(single, 2, u8(_p(), single)).alias("port"), given(single, 2, u8(_p(), single + 1)).alias("feedType"), *second,
+        *[given(last, 8, i16(_p(), last + 2 * i)).alias(n) for i, n in enumerate(("firstPage", "lastPage", "numCopies"))],
+        given(last, 8, _named(u8(_p(), last + 6), PRINTING_METHODS)).alias("printingMethod"),
+    )
+
+
+REPORT_ITEM = "struct<at:int,size:int>"
+
+
+def report_templates(blocks: DataFrame) -> DataFrame:
+    """PRFT: (file, id, units, margins, spacing, cell_size, flags, header, items); an item's size says where the next begins."""
+    size = F.octet_length(_p())
+    start = F.struct(F.lit(0x11A).alias("at"), F.lit(True).alias("go"), F.array().cast(f"array<{REPORT_ITEM}>").alias("found"))
+
+    def step(acc: Column, _: Column) -> Column:
+        length = i16(_p(), acc["at"]).cast("int")
+        good = acc["go"] & (size >= acc["at"] + 22) & (length > 0) & (size >= acc["at"] + length)
+        found = F.array_append(acc["found"], F.struct(acc["at"].alias("at"), length.alias("size")))
+        return F.when(good, F.struct(even(acc["at"] + length).cast("int").alias("at"), F.lit(True).alias("go"), found.alias("found"))).otherwise(
+            F.struct(acc["at"].alias("at"), F.lit(False).alias("go"), acc["found"].alias("found"))
+        )
+
+    def item(x: Column) -> Column:
+        at, flags = x["at"], i16(_p(), x["at"] + 12)
+        bits = {"change_height": 13, "change_style": 12, "change_size": 11, "change_font": 10, "invert": 4, "frame_top": 0, "frame_left": 1, "frame_bottom": 2, "frame_right": 3}
+        return F.struct(
+            rect(_p(), at + 2).alias("bounds"), i16(_p(), at + 10).alias("columns"), *[has_bit(flags, b).alias(n) for n, b in bits.items()],
+            i16(_p(), at + 14).alias("text_size"), i16(_p(), at + 16).alias("text_height"), u8(_p(), at + 18).alias("text_style"), i16(_p(), at + 20).alias("text_align"),
+            c_string(_p(), at + 22).alias("contents"), c_string(_p(), nul_end(_p(), at + 22) + 1).alias("font"),
+        )
+
+    count = F.when(size >= 0x11A, i16(_p(), 0x118)).otherwise(0)
+    walked = _of(blocks, "PRFT").withColumn("places", F.aggregate(_numbers(count), start, step)["found"])
+    known, flags = size >= 25, i16(_p(), 22)
+    return walked.select(
+        "file", "id", F.when(known, _named(u8(_p(), 4), REPORT_UNITS)).alias("units"), F.when(known, rect(_p(), 6)).alias("margins"),
+        *[F.when(known, i16(_p(), at)).alias(n) for n, at in (("spacing_height", 14), ("spacing_width", 16), ("cell_height", 18), ("cell_width", 20))],
+        F.when(known, has_bit(flags, 8)).alias("left_to_right"), F.when(known, has_bit(flags, 0)).alias("dynamic_height"),
+        F.when(known, mac_text(field(_p(), 25, u8(_p(), 24).cast("int")))).alias("header"), F.transform("places", item).alias("items"),
+    )
 
 
 def source_manifest(blocks: DataFrame) -> DataFrame:

@@ -155,6 +155,79 @@ def _code_fragments() -> Column:
     return F.to_json(F.struct(u16(_data(), 10).alias("version"), entries.alias("entries")))
 
 
+def _font_family() -> Column:
+    size = F.octet_length(_data())
+    names = ("flags", "familyId", "firstChar", "lastChar", "ascent", "descent", "leading", "maxWidth")
+    signed = {"familyId", "ascent", "descent", "leading"}
+    head = [(i16 if n in signed else u16)(_data(), 2 * i).alias(n) for i, n in enumerate(names)]
+    tables = {n: u32(_data(), 16 + 4 * i) for i, n in enumerate(("widthTable", "kerningTable", "styleMappingTable"))}
+    fields = F.struct(
+        *head, *[at.alias(f"{n}Offset") for n, at in tables.items()], (size >= 30).alias("hasVersion"), F.when(size >= 30, u16(_data(), 28)).alias("version"),
+        *[((at == 0) | (at < size)).alias(f"{n}FitsResource") for n, at in tables.items()],
+    )
+    return F.when(size >= 28, F.to_json(fields))
+
+
+def _walked(start: Column, count: Column | None, kind: str, more: Callable[[Column], Column], entry: Callable[[Column], Column], after: Callable[[Column], Column]) -> Column:
+    """Entries one behind another from ``start``, while ``more`` holds at a place; ``after`` says where the next begins."""
+    state = F.struct(start.cast("int").alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+    steps = _range(F.octet_length(_data()) if count is None else count)
+
+    def step(acc: Column, _: Column) -> Column:
+        taken = F.struct(after(acc["at"]).cast("int").alias("at"), F.array_append(acc["found"], entry(acc["at"]).cast(kind)).alias("found"))
+        return F.when(more(acc["at"]), taken).otherwise(acc)
+
+    return F.aggregate(steps, state, step)["found"]
+
+
+MENU_ITEM = "struct<name:string,iconNumber:bigint,keyEquivalent:bigint,markCharacter:bigint,styleFlags:bigint,enabled:boolean>"
+MOST_ITEMS = 128
+
+
+def _menu() -> Column:
+    """A title and items up to an empty name; bit n + 1 of the flags enables item n, bit 0 the menu. Items past the 31st are enabled."""
+    flags, first = u32(_data(), 10), F.lit(15) + u8(_data(), 14)
+    size = F.octet_length(_data())
+    name_bytes = lambda at: u8(_data(), at)
+
+    def entry(at: Column) -> Column:
+        marks = [u8(_data(), at + 1 + name_bytes(at) + i).alias(n) for i, n in enumerate(("iconNumber", "keyEquivalent", "markCharacter", "styleFlags"))]
+        return F.struct(pascal_string(_data(), at).alias("name"), *marks, F.lit(True).alias("enabled"))
+
+    found = _walked(first, F.lit(MOST_ITEMS), MENU_ITEM, lambda at: (name_bytes(at) > 0) & (size >= at + 5 + name_bytes(at)), entry, lambda at: at + 5 + name_bytes(at))
+    items = F.transform(found, lambda x, i: x.withField("enabled", (i >= 31) | (F.floor(flags / F.pow(F.lit(2), i + 1)) % 2 == 1)))
+    title = pascal_string(_data(), 14)
+    head = (u16(_data(), 0).alias("menuId"), u16(_data(), 6).alias("procId"), flags.alias("enabledFlags"), (flags % 2 == 1).alias("enabled"))
+    return F.when(title.isNotNull(), F.to_json(F.struct(*head, title.alias("title"), items.alias("items"))))
+
+
+#: Kinds of dialog items by their type without the disabled bit; they name a resource or hold a text (fixed values).
+DIALOG_KINDS = {4: "button", 5: "checkbox", 6: "radioButton", 7: "resourceControl", 1: "helpBalloon", 8: "text", 16: "editText", 32: "icon", 64: "picture", 0: "custom"}
+DIALOG_RESOURCES = (7, 32, 64)
+DIALOG_ITEM = "struct<bounds:struct<top:bigint,left:bigint,bottom:bigint,right:bigint>,enabled:boolean,kind:string,rawType:bigint,resourceId:bigint,info:string>"
+
+
+def _dialog_items() -> Column:
+    def entry(at: Column) -> Column:
+        raw, length = u8(_data(), at + 12), u8(_data(), at + 13)
+        kind = raw % 128
+        named = F.lit("unknown")
+        for code, name in DIALOG_KINDS.items():
+            named = F.when(kind == code, name).otherwise(named)
+        resource = kind.isin(*DIALOG_RESOURCES)
+        info = F.when(~resource & (length > 0), mac_text(field(_data(), at + 14, length.cast("int"))))
+        return F.struct(
+            rect(_data(), at + 4).alias("bounds"), (raw < 128).alias("enabled"), named.alias("kind"), raw.alias("rawType"),
+            F.when(resource & (length >= 2), i16(_data(), at + 14)).alias("resourceId"), info.alias("info"),
+        )
+
+    count = F.least(i16(_data(), 0) + 1, F.lit(MOST_ITEMS))
+    size = F.octet_length(_data())
+    after = lambda at: at + 14 + u8(_data(), at + 13) + u8(_data(), at + 13) % 2
+    found = _walked(F.lit(2), count, DIALOG_ITEM, lambda at: size >= at + 14 + u8(_data(), at + 13), entry, after)
+    return F.when((size >= 2) & (F.size(found) == F.greatest(count, F.lit(0))), F.to_json(F.struct(found.alias("items"))))
+
+
 JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("STR#",): lambda: _strings(2, 0),
     ("TwCS",): lambda: F.when(u8(_data(), 2) == 0, _strings(4, 0)),
@@ -173,6 +246,9 @@ JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("decl",): lambda: F.to_json(F.struct(F.octet_length(_data()).alias("byteLength"), F.hex(field(_data(), 0, 32)).alias("prefixHex"))),
     ("snd ",): lambda: _sound(),
     ("FONT", "NFNT"): _font_header,
+    ("FOND",): _font_family,
+    ("MENU",): _menu,
+    ("DITL",): _dialog_items,
     ("cfrg",): _code_fragments,
     ("WIND",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u16(_data(), 10) != 0).alias("visible"), (u16(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), pascal_string(_data(), 18).alias("title"))),
     ("DLOG",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u8(_data(), 10) != 0).alias("visible"), (u8(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), i16(_data(), 18).alias("itemListId"), pascal_string(_data(), 20).alias("title"))),
@@ -241,7 +317,7 @@ def sounds(resources: DataFrame) -> DataFrame:
 # --- images ------------------------------------------------------------------------------------
 
 #: type -> (width, height, bytes of one picture, has a mask behind it)
-ONE_BIT = {"ICON": (32, 32, 128, False), "ICN#": (32, 32, 128, True), "CURS": (16, 16, 32, True), "SICN": (16, 16, 32, False), "PAT ": (8, 8, 8, False), "ics#": (16, 16, 32, True), "icm#": (16, 12, 24, True)}
+ONE_BIT = {"ICON": (32, 32, 128, False), "ICN#": (32, 32, 128, True), "CURS": (16, 16, 32, True), "SICN": (16, 16, 32, False), "PAT ": (8, 8, 8, False), "PAT#": (8, 8, 8, False), "ics#": (16, 16, 32, True), "icm#": (16, 12, 24, True)}
 
 
 def png(width: int, height: int, rows: list[bytes], depth: int = 1, kind: int = 0) -> bytes:
@@ -261,7 +337,10 @@ def pictures(resources: DataFrame) -> DataFrame:
     for kind, (width, height, size, masked) in ONE_BIT.items():
         step = 2 * size if masked else size
         start = F.when((F.lit(kind) == "ICON") & (F.octet_length(_data()) == 140), 12).otherwise(0)
-        n = F.floor((F.octet_length(_data()) - start) / step) if kind == "SICN" else F.when(F.octet_length(_data()) - start >= step, 1).otherwise(0)
+        if kind == "PAT#":  # counted
+            start = F.lit(2)
+        whole = F.floor((F.octet_length(_data()) - start) / step)
+        n = whole if kind == "SICN" else F.least(u16(_data(), 0), whole) if kind == "PAT#" else F.when(F.octet_length(_data()) - start >= step, 1).otherwise(0)
         part = rows.where(F.col("type") == kind).select("file", "type", "id", "data", F.explode(_range(n)).alias("variant"), start.alias("start"))
         at = F.col("start") + step * F.col("variant")
         mask = field(_data(), at + size, size) if masked else F.lit(None).cast("binary")
