@@ -90,6 +90,27 @@ def external_kind(finder_type: Column, suffix: Column, binary_type: Column) -> C
     return out.otherwise("unknown_binary")
 
 
+#: Kinds of files beside a stack, by Finder type and suffix, in order (fixed values).
+ASSET_KINDS = (
+    ("myst_resource", ("MYag",), ()), ("movie", ("MYqt", "MooV", "Moov"), ("mov", "moov", "movie")), ("picture", ("PICT",), ("pict", "pic")),
+    ("sound", ("snd ",), ("snd", "aif", "aiff", "wav")), ("text", ("TEXT",), ("txt", "text", "md")), ("application", ("APPL",), ()), ("system_extension", ("INIT",), ()),
+    ("stack_like", ("STAK",), ("stak", "stack", "stk")),
+)
+ASSET_MEDIA = {"movie": "video/quicktime", "picture": "image/x-pict", "sound": "audio/x-mac-sound", "text": "text/plain", "application": "application/x-mac-application"}
+
+
+def asset_kind(finder_type: Column, suffix: Column, size: Column) -> Column:
+    """Kind of a file beside a stack."""
+    out = F.when(size == 0, "empty_placeholder")
+    for kind, types, suffixes in ASSET_KINDS:
+        out = out.when(finder_type.isin(*types) | suffix.isin(*suffixes), kind)
+    return out.otherwise("unknown_binary")
+
+
+def asset_media_type(kind: Column) -> Column:
+    return F.coalesce(_lookup(kind, ASSET_MEDIA), F.lit("application/octet-stream"))
+
+
 def source_class(finder_type: Column, has_stack_data: Column, has_code: Column) -> Column:
     return (
         F.when((finder_type == "APPL") & has_stack_data & has_code, "hypercard_standalone_application")
@@ -109,8 +130,8 @@ def output_kind(path: Column) -> Column:
     return out.otherwise("other")
 
 
-def logical_file(path: Column) -> Column:
-    """struct(kind, id): what a package file holds, read from its name."""
+def listed_code(path: Column) -> Column:
+    """struct(type, number) of the code resource that a listing is of, read from its name; null for other files."""
     name = file_name(path)
     words = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_")
     # listings: a code type, perhaps a platform, then the number; the last such place counts
@@ -118,7 +139,13 @@ def logical_file(path: Column) -> Column:
     number_at = lambda i: F.when(F.get(words, i + 1).isin(*CODE_PLATFORMS), F.get(words, i + 2)).otherwise(F.get(words, i + 1))
     typed = F.transform(places, lambda i: F.struct(F.get(words, i).alias("type"), number_at(i).alias("number")))
     listed = F.try_element_at(F.filter(typed, lambda x: x["type"].isin(*CODE_TYPES) & x["number"].rlike(r"^-?\d+$")), F.lit(-1))
-    code_type = F.when(extension(path).isin(*LISTING_SUFFIXES), listed["type"])
+    return F.when(extension(path).isin(*LISTING_SUFFIXES), listed)
+
+
+def logical_file(path: Column) -> Column:
+    """struct(kind, id): what a package file holds, read from its name."""
+    name, listed = file_name(path), listed_code(path)
+    code_type = listed["type"]
     # package files: what they are, then the number
     whole = F.split(name, "_")
     plain_kind = F.when(F.get(whole, F.lit(0)).isin(*NUMBERED_FILES) & F.get(whole, F.lit(1)).rlike(r"^-?\d"), F.get(whole, F.lit(0)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import address, field, i16, rom_id, sha256_upper, u16, u32
+from ..functions.binary import address, field, i16, rom_id, sha256_upper, u8, u16, u32
 from ..functions.text import string_confidence
 from ..operators.relational import asof_join, contains_join, inside_any, islands
 
@@ -38,6 +38,33 @@ def identify(images: DataFrame) -> DataFrame:
     )
 
 
+def first_bytes(images: DataFrame) -> DataFrame:
+    """(rom_id, start, end, hypothesis, confidence): what the first bytes of an image look like."""
+    c, base = F.col("content"), F.col("base")
+    calm = lambda i: (u8(c, i) == 0) | u8(c, i).between(32, 126)
+    whole = F.octet_length(c) >= 4
+    said = (
+        F.when(whole & (u16(c, 0) == 0x4EF9), F.struct(F.lit("code").alias("hypothesis"), F.lit(0.80).alias("confidence")))
+        .when(whole & calm(0) & calm(1), F.struct(F.lit("header").alias("hypothesis"), F.lit(0.45).alias("confidence")))
+        .otherwise(F.struct(F.lit("mixed").alias("hypothesis"), F.lit(0.20).alias("confidence")))
+    )
+    return images.select("rom_id", base.alias("start"), (base + F.least(F.octet_length(c), F.lit(32))).alias("end"), said.alias("said")).select("rom_id", "start", "end", "said.*")
+
+
+#: First words of images that are no 68K code: BOOT, JOLI, POWS; the word of an instruction without effect (fixed values).
+OTHER_IMAGES = (0x424F4F54, 0x4A4F4C49, 0x504F5753)
+IDLE_WORD = "4E71"
+
+
+def headers(images: DataFrame) -> DataFrame:
+    """(rom_id, machine_family, model): 68K by the reset jump or an idle instruction at an even place, and a printable first word."""
+    c = F.col("content")
+    jump = u32(c, 0) == 0x4EF90020
+    idle = F.hex(c).rlike(f"^(?:.{{4}})*?{IDLE_WORD}") & ~u32(c, 0).isin(*OTHER_IMAGES)
+    model = F.when(_latin(field(c, 0, 4)).rlike(r"^[\x20-\x7E]{4}$"), _latin(field(c, 0, 4)))
+    return images.select("rom_id", F.when((F.octet_length(c) >= 32) & (jump | idle), "68K").otherwise("").alias("machine_family"), model.alias("model"))
+
+
 def _latin(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
