@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     # groups of one document need no verdict
     several = first.where("n > 1").select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    judged = rows.join(several, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    several = materialize(several, "duplicate-groups")
+    judged = rows.join(small_side(several, several.count()), "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
     counted = judged.groupBy("doc_id", "text_hash", "stays").agg(F.count("*").alias("n"))
     # (doc_id, text) whose rows go, all of them or all but one
     gone = materialize(counted.where("NOT stays OR n > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "stays"), "duplicates")
