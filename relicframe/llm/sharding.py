@@ -25,8 +25,9 @@ from .common import materialize
 
 KEY_BITS = 63
 ROW_OVERHEAD = 16
-#: Probes a splitter in a round after the first: 2**BITS.
+#: Probes a splitter in a round after the first: 2**BITS, or 2**FEW_BITS where few cells are open.
 BITS = 5
+FEW_BITS, FEW_CELLS = 9, 256
 #: Bytes that a splitter may lie off its target: as a part of a shard where shards meet, of a range within a shard.
 TOLERANCE = 0.0005
 RANGE_TOLERANCE = 0.05
@@ -65,7 +66,8 @@ class Search:
         width = KEY_BITS
         self.open_cells = {(*p, 0): x for p, x in self.open_cells.items()}
         while self.open_cells and width:
-            bits = BITS if width < KEY_BITS else max(8, math.ceil(math.log2(len(self.targets) + 1)) + 3)
+            later = FEW_BITS if len(self.open_cells) <= FEW_CELLS else BITS
+            bits = later if width < KEY_BITS else max(FEW_BITS, math.ceil(math.log2(len(self.targets) + 1)) + 3)
             rest = max(width - bits, 0)
             level = keyed
             for i, name in enumerate(prefix):
