@@ -29,6 +29,8 @@ BUCKETS = 1 << 20
 MIN_DOCS = 3
 FACTORS = 4
 EPOCHS = 25
+#: Mean log loss of an epoch at which training ends.
+ENOUGH = 0.01
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>-_/"
@@ -81,7 +83,12 @@ class FactorizationMachine:
         self.vectors = rng.normal(0, 0.05, (size + 1, factors))
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        return self._margin(*self._flat(rows))[0]
+        flat, starts, lengths = self._flat(rows)
+        own = self.vectors[flat] * np.repeat(1 / np.sqrt(lengths), lengths)[:, None]
+        sums = np.add.reduceat(own, starts)
+        squares = np.add.reduceat(own * own, starts)
+        linear = np.add.reduceat(self.weights[flat] * self.values[flat], starts)
+        return linear + 0.5 * (sums * sums - squares).sum(axis=1)
 
     @staticmethod
     def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,31 +97,43 @@ class FactorizationMachine:
         flat = np.concatenate([x for r in rows for x in ([-1], r)]).astype(np.int64) + 1
         return flat, starts, lengths
 
-    def _margin(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = self.vectors[flat] * np.repeat(1 / np.sqrt(lengths), lengths)[:, None]
-        sums = np.add.reduceat(own, starts)
-        squares = np.add.reduceat(own * own, starts)
-        linear = np.add.reduceat(self.weights[flat] * self.values[flat], starts)
-        return linear + 0.5 * (sums * sums - squares).sum(axis=1), sums, own
-
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4) -> None:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, enough: float = ENOUGH) -> None:
+        """A step touches the weights of its batch's terms alone; ends early once an epoch's mean log loss is below ``enough``."""
         rng = np.random.default_rng(5)
-        seen_w, seen_v = np.full_like(self.weights, 1e-6), np.full_like(self.vectors, 1e-6)
+        factors = self.vectors.T.copy()
+        seen_w, seen_v = np.full_like(self.weights, 1e-6), np.full_like(factors, 1e-6)
+        place = np.empty(len(self.weights), np.int32)
         for _ in range(epochs):
-            order = rng.permutation(len(rows))
+            order, loss = rng.permutation(len(rows)), 0.0
             for at in range(0, len(order), 256):
                 part = order[at : at + 256]
                 flat, starts, lengths = self._flat([rows[i] for i in part])
-                margin, sums, own = self._margin(flat, starts, lengths)
-                error = np.repeat((probability(margin) - labels[part]) / len(part), lengths)
-                rest = (np.repeat(sums, lengths, axis=0) - own) * (error / np.sqrt(np.repeat(lengths, lengths)))[:, None]
-                n = len(self.weights)
-                grad_w = np.bincount(flat, error, n) * self.values + decay * self.weights
-                grad_v = np.stack([np.bincount(flat, r, n) for r in rest.T], axis=1) + decay * self.vectors
-                seen_w += grad_w**2
-                seen_v += grad_v**2
-                self.weights -= rate * grad_w / np.sqrt(seen_w)
-                self.vectors -= rate * 0.25 * grad_v / np.sqrt(seen_v)
+                marked = np.zeros(len(self.weights), bool)
+                marked[flat] = True
+                used = np.flatnonzero(marked)
+                place[used] = np.arange(len(used), dtype=np.int32)
+                inner = place[flat]
+
+                def gather(x: np.ndarray, inner: np.ndarray = inner, starts: np.ndarray = starts) -> np.ndarray:
+                    return np.add.reduceat(x[inner], starts)
+
+                def spread(x: np.ndarray, inner: np.ndarray = inner, lengths: np.ndarray = lengths, n: int = len(used)) -> np.ndarray:
+                    return np.bincount(inner, np.repeat(x, lengths), n)
+
+                w, v, values, scale = self.weights[used], factors[:, used], self.values[used], 1 / np.sqrt(lengths)
+                sums = np.stack([gather(x) for x in v]) * scale
+                p = probability(gather(w * values) + 0.5 * ((sums * sums).sum(axis=0) - gather((v * v).sum(axis=0)) * scale**2))
+                loss -= np.log(np.where(labels[part] == 1, p, 1 - p)).sum()
+                error = (p - labels[part]) / len(part)
+                grad_w = spread(error) * values + decay * w
+                grad_v = np.stack([spread(error * scale * x) for x in sums]) - spread(error * scale**2) * v + decay * v
+                seen_w[used] += grad_w**2
+                seen_v[:, used] += grad_v**2
+                self.weights[used] = w - rate * grad_w / np.sqrt(seen_w[used])
+                factors[:, used] = v - rate * 0.25 * grad_v / np.sqrt(seen_v[:, used])
+            if loss < enough * len(rows):
+                break
+        self.vectors = factors.T.copy()
 
 
 def probability(margin: np.ndarray) -> np.ndarray:
