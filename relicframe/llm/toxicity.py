@@ -34,7 +34,10 @@ ENOUGH = 0.01
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6, 7)
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>-_/"
+WIDEST = 1 + len(PREFIXES)
 CACHED_WORDS = 300_000
+#: Bytes of the texts looked up together; a longer text is looked up alone.
+PART_BYTES = 2_000_000
 
 
 def word_terms(word: bytes) -> tuple[int, ...]:
@@ -42,30 +45,77 @@ def word_terms(word: bytes) -> tuple[int, ...]:
     bare = word.strip(EDGES)
     if not bare:
         return ()
-    text = bare.decode("utf-8", "replace")
-    terms = [b"w" + bare] + [b"p" + text[:n].encode() for n in PREFIXES if len(text) > n]
-    return tuple(zlib.crc32(t) % BUCKETS for t in terms)
+    text = None if bare.isascii() else bare.decode("utf-8", "replace")
+    size = len(bare if text is None else text)
+    terms, crc, at = [zlib.crc32(b"w" + bare) % BUCKETS], zlib.crc32(b"p"), 0
+    for n in PREFIXES:
+        if size <= n:
+            break
+        crc = zlib.crc32(bare[at:n] if text is None else text[at:n].encode(), crc)  # of the whole beginning
+        terms.append(crc % BUCKETS)
+        at = n
+    return tuple(terms)
+
+
+class Rows(dict):
+    """word -> its row; the buckets of new words wait in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[tuple[int, ...]] = []
 
+    def __missing__(self, word: bytes) -> int:
+        terms = word_terms(word)
+        self.new.append(terms + (BUCKETS,) * (WIDEST - len(terms)))
+        self[word] = row = len(self)
+        return row
 
-class Terms(dict):
-    """word -> its buckets, or their places in a model; remembers a bounded number of words."""
 
-    def __init__(self, places: dict[int, int] | None = None) -> None:
-        super().__init__()
-        self.places = places
+class Terms:
+    """The distinct terms of texts: their buckets, or the places that a model has for them. Remembers a bounded number of words."""
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = word_terms(word)
-        if self.places is not None:
-            found = tuple(self.places[t] for t in found if t in self.places)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-    def text(self, text: bytes | None) -> set[int]:
-        words = set((text or b"").lower().split())
-        return set().union(*filter(None, map(self.__getitem__, words)))
+    def __init__(self, places: dict[int, int] | None = None) -> None:
+        self.places = np.arange(BUCKETS + 1)
+        self.places[BUCKETS] = -1
+        if places is not None:
+            self.places[:] = -1
+            self.places[np.fromiter(places.keys(), np.int64, len(places))] = np.fromiter(places.values(), np.int64, len(places))
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows = Rows()
+        self.table = np.empty((0, WIDEST), np.int64)
+
+    def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of all texts, one text behind the other, ascending in each; and how many each has."""
+        found, lengths, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or b"") <= PART_BYTES):
+                size += len(texts[end] or b"")
+                end += 1
+            for into, part in zip((found, lengths), self._part(texts[at:end]), strict=True):
+                into.append(part)
+            at = end
+        return np.concatenate(found), np.concatenate(lengths)
+
+    def _part(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.rows) >= CACHED_WORDS:
+            self.forget()
+        ids, counts = [], []
+        for text in texts:
+            words = set((text or b"").lower().split())
+            ids.extend(map(self.rows.__getitem__, words))
+            counts.append(len(words))
+        if self.rows.new:
+            self.table = np.concatenate([self.table, self.places[np.array(self.rows.new)]])
+            self.rows.new = []
+        terms = self.table[np.array(ids, np.int64)]
+        keys = (np.repeat(np.arange(len(texts)), counts)[:, None] * BUCKETS + terms)[terms >= 0]
+        keys.sort()
+        if len(keys):
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        return keys % BUCKETS, np.bincount(keys // BUCKETS, minlength=len(texts))
 
 
 class FactorizationMachine:
@@ -83,12 +133,22 @@ class FactorizationMachine:
         self.vectors = rng.normal(0, 0.05, (size + 1, factors))
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        flat, starts, lengths = self._flat(rows)
-        own = self.vectors[flat] * np.repeat(1 / np.sqrt(lengths), lengths)[:, None]
-        sums = np.add.reduceat(own, starts)
-        squares = np.add.reduceat(own * own, starts)
-        linear = np.add.reduceat(self.weights[flat] * self.values[flat], starts)
-        return linear + 0.5 * (sums * sums - squares).sum(axis=1)
+        return self.margins(self.table(), np.concatenate([np.empty(0, np.int64), *rows]), np.array([len(r) for r in rows], np.int64))
+
+    def table(self) -> np.ndarray:
+        """For each place what it adds by itself, the square of its factors, and its factors."""
+        return np.column_stack([self.weights * self.values, (self.vectors**2).sum(axis=1), self.vectors])
+
+    @staticmethod
+    def margins(table: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of texts whose places, and their number, stand one behind another."""
+        if not len(lengths):
+            return np.zeros(0)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        terms = table[np.insert(flat + 1, starts, 0)]
+        own, squares, *sums = (np.add.reduceat(x, starts + np.arange(len(starts))) for x in terms.T)
+        return own + 0.5 * (sum(x * x for x in sums) - squares) / (lengths + 1)
 
     @staticmethod
     def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +215,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
     sample = learning_sample(docs, labels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = Terms(), np.zeros((2, BUCKETS), np.int32)
+        terms, counts = Terms(), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for text, y in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y, np.fromiter(terms.text(text), np.int64)] += 1
+            flat, lengths = terms.texts(batch.column(0).cast(pa.binary()).to_pylist())
+            toxic = np.repeat(batch.column(1).to_numpy() == 1, lengths)
+            counts += [np.bincount(flat[toxic == y], minlength=BUCKETS) for y in (0, 1)]
         some = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some), pa.array(counts[1, some].astype(np.int64)), pa.array(counts[0, some].astype(np.int64))], names=["bucket", "pos", "neg"]
+            [pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["bucket", "pos", "neg"]
         )
 
     counted = sample.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -184,8 +245,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(places)
         for batch in batches:
-            found = [sorted(terms.text(t)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "places"])
+            flat, lengths = terms.texts(batch.column(0).cast(pa.binary()).to_pylist())
+            found = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), flat.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(1), found], names=["y", "places"])
 
     found = sample.mapInArrow(find, "y int, places array<int>").toArrow()
     lists, labels_of = found["places"].combine_chunks(), found["y"].to_numpy()
@@ -211,11 +273,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, model = shared.value
-        terms = Terms(places)
+        terms, table = Terms(places), model.table()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            margins = model.raw([np.fromiter(terms.text(t), np.int64) for t in texts]) if texts else np.zeros(0)
-            scores = probability(margins)
+            scores = probability(model.margins(table, *terms.texts(texts)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array(scores >= threshold)], names=[*batch.schema.names, "toxicity", "is_toxic"]
             )
