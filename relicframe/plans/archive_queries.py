@@ -574,6 +574,8 @@ def _payloads() -> dict[str, Column]:
         "vers": F.concat(F.lit(b"\x01"), _be(0x35, 1), _be(0x80, 1), _be(size, 1), _be(3, 2), pascal, pascal),
         "FOND": F.concat(_be(1, 2), _be(key, 2), _be(2, 2), _be(size, 2), _be(3, 2), _be(-4, 2), _be(5, 2), _be(6, 2), _be(7, 4), _be(99, 4), _be(0, 4), _be(2, 2)),
         "MENU": F.concat(_be(key, 2), _zero(4), _be(size, 2), _zero(2), _be(3, 4), pascal, pascal, _be(1, 1), _be(75, 1), _be(2, 1), _be(4, 1), _zero(1)),
+        "HCbg": F.concat(_be(1, 1), _be(key, 2), _be(2, 2), _be(size, 2), _be(3, 2), _be(4, 2), _be(128 + 3, 1), rect, _be(5, 2), _be(6, 2), _be(7, 2), _be(size, 2)),
+        "HCcd": F.concat(_be(4, 1), rect, _be(1, 1), pascal, _be(2, 1), _be(size, 2), _be(-1, 2), _be(8, 2), _be(9, 2), _be(key, 2), _be(5, 1), rect, _zero(2)),
         "DITL": F.concat(_be(1, 2), _zero(4), rect, _be(4, 1), _be(F.octet_length(name), 1), _even(name), _zero(4), rect, _be(128 + 32, 1), _be(2, 1), _be(size, 2)),
     }
 
@@ -600,6 +602,10 @@ _JSON_SQL = {
     "FOND": """'{"flags":1,"familyId":' || k || ',"firstChar":2,"lastChar":' || p_size || ',"ascent":3,"descent":-4,"leading":5,"maxWidth":6,"widthTableOffset":7,"kerningTableOffset":99,"styleMappingTableOffset":0,'
                     || '"hasVersion":true,"version":2,"widthTableFitsResource":true,"kerningTableFitsResource":false,"styleMappingTableFitsResource":true}'""",
     "MENU": """'{"menuId":' || k || ',"procId":' || p_size || ',"enabledFlags":3,"enabled":true,"title":"' || p_name || '","items":[{"name":"' || p_name || '","iconNumber":1,"keyEquivalent":75,"markCharacter":2,"styleFlags":4,"enabled":true}]}'""",
+    "HCbg": """'{"targetKind":"background","targetId":' || p_partkey || ',"objects":[{"type":"button","hidden":false,"partId":' || k || ',"bevel":2,"color":{"red":' || p_size || ',"green":3,"blue":4}},'
+                    || '{"type":"rect","hidden":true,"bevel":5,"rect":' || """ + _BOUNDS + """ || ',"color":{"red":6,"green":7,"blue":' || p_size || '}}]}'""",
+    "HCcd": """'{"targetKind":"card","targetId":' || p_partkey || ',"objects":[{"type":"pictResource","hidden":false,"rect":' || """ + _BOUNDS + """ || ',"transparent":true,"name":"' || p_name || '"},'
+                    || '{"type":"field","hidden":false,"partId":' || p_size || ',"bevel":-1,"color":{"red":8,"green":9,"blue":' || k || '}},{"type":"pictFile","hidden":false,"rect":' || """ + _BOUNDS + """ || ',"transparent":false}]}'""",
     "DITL": """'{"items":[{"bounds":' || """ + _BOUNDS + """ || ',"enabled":true,"kind":"button","rawType":4,"info":"' || p_name || '"},{"bounds":' || """ + _BOUNDS + """ || ',"enabled":false,"kind":"icon","rawType":160,"resourceId":' || p_size || '}]}'""",
 }
 
@@ -614,3 +620,17 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = F.array(*[F.struct(F.lit(kind).alias("type"), data.alias("data")) for kind, data in _payloads().items()])
     made = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), F.col("p_partkey").alias("id"), F.lit("").alias("name"), F.inline(payloads))
     return resources.convert(made, _JSON_SQL).where("format = 'json'").select("type", "id", "text")
+
+
+@query("a34_compact_pixmaps", """
+    WITH p AS (SELECT p_partkey AS k, p_size % 256 AS a, p_partkey % 256 AS b, ['FFFFFF', 'FCF305', 'FF6402', 'DD0806', 'F20884', '4600A5', '0000D4', '02ABEA', '1FB714', '006411', '562C05', '90713A', 'C0C0C0', '808080', '404040', '000000'] AS c FROM part)
+    SELECT 2 * k AS id, 4 AS width, 1 AS height, 4 AS depth, c[a // 16 + 1] || 'FF' || c[a % 16 + 1] || 'FF' || c[b // 16 + 1] || 'FF' || c[b % 16 + 1] || 'FF' AS rgba FROM p
+    UNION ALL SELECT 2 * k + 1, 1, 2, 8, repeat(lpad(to_hex(a), 2, '0'), 3) || 'FF' || repeat(lpad(to_hex(b), 2, '0'), 3) || 'FF' FROM p""")
+def compact_pixmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pixels of a told depth and two of a depth that follows from the row, for each part."""
+    a, b = _be(F.col("p_size") % 256, 1), _be(F.col("p_partkey") % 256, 1)
+    told = F.concat(_be(2, 2), _zero(4), _be(1, 2), _be(4, 2), _be(4, 2), a, b)
+    inferred = F.concat(_be(0x8001, 2), _zero(4), _be(2, 2), _be(1, 2), a, b)
+    both = F.array(*[F.struct((2 * F.col("p_partkey") + i).alias("id"), d.alias("data")) for i, d in enumerate((told, inferred))])
+    made = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), F.lit("pixs").alias("type"), F.inline(both))
+    return resources.compact_pixmaps(made).select("id", "width", "height", "depth", F.hex("rgba").alias("rgba"))

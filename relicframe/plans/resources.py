@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Callable, Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,7 +170,11 @@ def _font_family() -> Column:
 
 
 def _walked(start: Column, count: Column | None, kind: str, more: Callable[[Column], Column], entry: Callable[[Column], Column], after: Callable[[Column], Column]) -> Column:
-    """Entries one behind another from ``start``, while ``more`` holds at a place; ``after`` says where the next begins."""
+    return _walk(start, count, kind, more, entry, after)["found"]
+
+
+def _walk(start: Column, count: Column | None, kind: str, more: Callable[[Column], Column], entry: Callable[[Column], Column], after: Callable[[Column], Column]) -> Column:
+    """(at, found): entries one behind another from ``start``, while ``more`` holds at a place, and where they end; ``after`` says where the next begins."""
     state = F.struct(start.cast("int").alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
     steps = _range(F.octet_length(_data()) if count is None else count)
 
@@ -177,7 +182,7 @@ def _walked(start: Column, count: Column | None, kind: str, more: Callable[[Colu
         taken = F.struct(after(acc["at"]).cast("int").alias("at"), F.array_append(acc["found"], entry(acc["at"]).cast(kind)).alias("found"))
         return F.when(more(acc["at"]), taken).otherwise(acc)
 
-    return F.aggregate(steps, state, step)["found"]
+    return F.aggregate(steps, state, step)
 
 
 MENU_ITEM = "struct<name:string,iconNumber:bigint,keyEquivalent:bigint,markCharacter:bigint,styleFlags:bigint,enabled:boolean>"
@@ -228,6 +233,39 @@ def _dialog_items() -> Column:
     return F.when((size >= 2) & (F.size(found) == F.greatest(count, F.lit(0))), F.to_json(F.struct(found.alias("items"))))
 
 
+#: Kinds of color overlay objects by their number (fixed values).
+OVERLAY_KINDS = {1: "button", 2: "field", 3: "rect", 4: "pictResource", 5: "pictFile"}
+OVERLAY_OBJECT = (
+    "struct<type:string,hidden:boolean,partId:bigint,bevel:bigint,rect:struct<top:bigint,left:bigint,bottom:bigint,right:bigint>,"
+    "color:struct<red:bigint,green:bigint,blue:bigint>,transparent:boolean,name:string>"
+)
+
+
+def _color_overlay() -> Column:
+    """The objects of a card's or background's color overlay; null if one is unknown or cut off."""
+    size = F.octet_length(_data())
+    kind = lambda at: u8(_data(), at) % 128
+
+    def length(at: Column) -> Column:
+        return F.when(kind(at).isin(1, 2), 11).when(kind(at) == 3, 17).when(kind(at).isin(4, 5), 11 + u8(_data(), at + 10)).otherwise(F.lit(1 << 30))
+
+    def entry(at: Column) -> Column:
+        is_part, is_rect, is_picture = kind(at).isin(1, 2), kind(at) == 3, kind(at).isin(4, 5)
+        named = F.lit("unknown")
+        for code, name in OVERLAY_KINDS.items():
+            named = F.when(kind(at) == code, name).otherwise(named)
+        return F.struct(
+            named.alias("type"), (u8(_data(), at) >= 128).alias("hidden"), F.when(is_part, i16(_data(), at + 1)).alias("partId"),
+            F.when(is_part, i16(_data(), at + 3)).when(is_rect, i16(_data(), at + 9)).alias("bevel"), F.when(~is_part, rect(_data(), at + 1)).alias("rect"),
+            F.when(is_part, _color(at + 5)).when(is_rect, _color(at + 11)).alias("color"), F.when(is_picture, u8(_data(), at + 9) != 0).alias("transparent"),
+            F.when(is_picture, F.nullif(pascal_string(_data(), at + 10), F.lit(""))).alias("name"),
+        )
+
+    walked = _walk(F.lit(0), F.floor(size / 11), OVERLAY_OBJECT, lambda at: (at < size) & (at + length(at) <= size), entry, lambda at: at + length(at))
+    target = F.when(F.col("type") == "HCbg", "background").otherwise("card")
+    return F.transform(F.array(walked), lambda w: F.when(w["at"] == size, F.to_json(F.struct(target.alias("targetKind"), F.col("id").alias("targetId"), w["found"].alias("objects")))))[0]
+
+
 JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("STR#",): lambda: _strings(2, 0),
     ("TwCS",): lambda: F.when(u8(_data(), 2) == 0, _strings(4, 0)),
@@ -249,6 +287,7 @@ JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("FOND",): _font_family,
     ("MENU",): _menu,
     ("DITL",): _dialog_items,
+    ("HCbg", "HCcd"): _color_overlay,
     ("cfrg",): _code_fragments,
     ("WIND",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u16(_data(), 10) != 0).alias("visible"), (u16(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), pascal_string(_data(), 18).alias("title"))),
     ("DLOG",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u8(_data(), 10) != 0).alias("visible"), (u8(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), i16(_data(), 18).alias("itemListId"), pascal_string(_data(), 20).alias("title"))),
@@ -369,6 +408,56 @@ def write_pngs(picture_rows: DataFrame) -> DataFrame:
     return picture_rows.mapInArrow(run, f"{fields}, png binary")
 
 
+#: The 16 colors of 4-bit pictures without a table (fixed values).
+SYSTEM_COLORS = (
+    "FFFFFF", "FCF305", "FF6402", "DD0806", "F20884", "4600A5", "0000D4", "02ABEA",
+    "1FB714", "006411", "562C05", "90713A", "C0C0C0", "808080", "404040", "000000",
+)
+PIXMAP_DEPTHS = (8, 4, 2, 1)
+PIXMAP_SIDE = 512
+
+
+def _palette_of(depth: int) -> np.ndarray:
+    """RGBA of each index: white to black, but the system's colors at 4 bits and black to white at 8."""
+    if depth == 4:
+        colors = np.array([list(bytes.fromhex(c)) for c in SYSTEM_COLORS])
+    else:
+        greys = np.arange(256) if depth == 8 else np.linspace(255, 0, 1 << depth)
+        colors = np.repeat(greys[:, None], 3, axis=1)
+    return np.column_stack([colors, np.full(len(colors), 255)]).astype(np.uint8)
+
+
+def compact_pixmaps(resources: DataFrame) -> DataFrame:
+    """(file, id, width, height, depth, rgba) of ``pixs`` resources that hold a compact indexed picture.
+
+    The depth stands before the pixels or follows from the bytes of a row. Other
+    layouts give no row; rgba is null where rows are shorter than the width needs.
+    """
+    size, row_bytes = F.octet_length(_data()), u16(_data(), 0).bitwiseAND(0x3FFF)
+    box = rect(_data(), 2)
+    width, height = box["right"] - box["left"], box["bottom"] - box["top"]
+    told = u16(_data(), 10).isin(*PIXMAP_DEPTHS) & (size >= 12 + row_bytes * height)
+    depth = F.when(told, u16(_data(), 10))
+    for d in PIXMAP_DEPTHS:
+        spare = row_bytes - F.ceil(width * d / 8)
+        depth = F.coalesce(depth, F.when((size >= 10 + row_bytes * height) & spare.between(0, 1), d))
+    pixels = field(_data(), F.when(told, 12).otherwise(10), (row_bytes * height).cast("int"))
+    whole = (F.col("type") == "pixs") & (size >= 10) & (row_bytes > 0) & width.between(1, PIXMAP_SIDE) & height.between(1, PIXMAP_SIDE)
+    found = resources.where(whole).select("file", "id", *[x.cast("int").alias(n) for n, x in (("width", width), ("height", height), ("depth", depth))], pixels.alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for w, h, d, data in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                bits = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(h, -1, d)
+                index = bits[:, :w] @ (1 << np.arange(d)[::-1])
+                made.append(_palette_of(d)[index].tobytes() if bits.shape[1] >= w else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.binary())], names=["file", "id", "width", "height", "depth", "rgba"])
+
+    kinds = dict(found.dtypes)
+    return found.where("depth IS NOT NULL").mapInArrow(run, f"file {kinds['file']}, id {kinds['id']}, width int, height int, depth int, rgba binary")
+
+
 def cursor_hotspots(resources: DataFrame) -> DataFrame:
     return resources.where("type = 'CURS'").select("file", "id", i16(_data(), 64).alias("hotspot_y"), i16(_data(), 66).alias("hotspot_x"))
 

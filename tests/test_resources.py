@@ -121,3 +121,28 @@ def test_card_picture_shifts():
 
     # 8C: every bit right of a set one flips on; 8A: a row is XORed with the one above
     assert [r.hex() for r in unpack(bytes([0x8C, 0x40, 0x80, 0, 0, 0, 0x8A, 0x40, 1, 0, 0, 0]), 4, 2)] == ["ffffffff", "feffffff"]
+
+
+def test_color_overlays_and_compact_pixmaps(spark):
+    whole = struct.pack(">B4hh3H", 3, 10, 20, 30, 40, 2, 0x1111, 0x2222, 0x3333)
+    rows = [("HCbg", 77, whole), ("HCcd", 1, b""), ("HCcd", 2, whole[:-1]), ("HCcd", 3, whole + b"\x06"), ("HCcd", 4, struct.pack(">B4hBB", 0x84, 1, 2, 3, 4, 0, 3) + b"a\x8eb")]
+    made = spark.createDataFrame([("f", t, i, "", bytearray(d)) for t, i, d in rows], "file string, type string, id long, name string, data binary")
+    got = {r.id: r for r in resources.convert(made).where("format = 'json'").collect()}
+    assert json.loads(got[77].text) == {
+        "targetKind": "background", "targetId": 77,
+        "objects": [{"type": "rect", "hidden": False, "bevel": 2, "rect": {"top": 10, "left": 20, "bottom": 30, "right": 40}, "color": {"red": 4369, "green": 8738, "blue": 13107}}],
+    }
+    assert json.loads(got[1].text) == {"targetKind": "card", "targetId": 1, "objects": []}
+    assert got[2].error == got[3].error == "unexpected end"
+    assert json.loads(got[4].text)["objects"][0] == {"type": "pictResource", "hidden": True, "rect": {"top": 1, "left": 2, "bottom": 3, "right": 4}, "transparent": False, "name": "aéb"}
+
+    def pixs(row_bytes, height, width, body):
+        return struct.pack(">H4h", row_bytes, 0, 0, height, width) + body
+
+    rows = [pixs(1, 1, 9, bytes(2)), pixs(2, 1, 9, b"\x80\x80"), pixs(1, 1, 4, b"\x1b"), pixs(1, 1, 4, b"\0\4\x12"), pixs(0, 1, 1, b""), pixs(600, 1, 513, bytes(600)), b"short"]
+    made = spark.createDataFrame([("f", "pixs", i, bytearray(d)) for i, d in enumerate(rows)], "file string, type string, id long, data binary")
+    got = {r.id: r for r in resources.compact_pixmaps(made).collect()}
+    assert set(got) == {1, 2, 3} and (got[1].depth, got[2].depth, got[3].depth) == (1, 2, 4)
+    assert [p[0] for p in zip(*[iter(bytes(got[1].rgba))] * 4)] == [0, *[255] * 7, 0]
+    assert [p[0] for p in zip(*[iter(bytes(got[2].rgba))] * 4)] == [255, 170, 85, 0]
+    assert got[3].rgba is None
