@@ -106,6 +106,41 @@ def smallest_hashes(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     return df.orderBy(mixed, *columns).limit(limit)
 
 
+def exact_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` alone, whatever else the table holds: names that differ in case only, or hold dots, do not matter.
+
+    A column of just this name is meant, or else one that differs in case.
+    """
+    return hold(df, names).drop("held")
+
+
+def hold(df: DataFrame, names, replaced=()) -> DataFrame:
+    """The columns ``names`` of ``df``, and all columns but those ``replaced`` in one struct ``held``, which release() takes apart.
+
+    Names in the struct are numbers, so no name of the input can clash with what an operator adds. ``replaced``
+    are left out in any case.
+    """
+    at = {}
+    for name in names:
+        alike = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        at[name] = next((i for i in alike if df.columns[i] == name), alike[0] if alike else None)
+        if at[name] is None:
+            raise ValueError(f"no column {name}")
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    through = [f"c{i}" for i in _through(df.columns, replaced)]
+    return numbered.select(F.struct(*through).alias("held") if through else F.lit(None).alias("held"), *[F.col(f"c{i}").alias(name) for name, i in at.items()])
+
+
+def _through(columns: list[str], replaced) -> list[int]:
+    out = {r.lower() for r in replaced}
+    return [i for i, c in enumerate(columns) if c.lower() not in out]
+
+
+def release(columns: list[str], replaced=()) -> list[Column]:
+    """The columns of ``held``, under their names in ``columns``, those of the table that hold() got."""
+    return [F.col("held")[f"c{i}"].alias(columns[i]) for i in _through(columns, replaced)]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
