@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import string
 
 from pyspark.sql import Column
@@ -79,6 +81,11 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ansi(text: Column) -> Column:
     """Without terminal colour sequences; line ends become LF."""
     return F.regexp_replace(F.regexp_replace(text, "\x1b\\[[0-?]*[ -/]*[@-~]", ""), "\r\n?", "\n")

@@ -130,8 +130,8 @@ def contains_join(lines: DataFrame, needles: DataFrame, text: str, needle: str)
     line that contains the needle. So needles are filed under their longest inner word and
     lines under their distinct words, an equality join, and the whole needle is
     checked only there. Needles without an inner word are filed under their first
-    GRAM characters in the same way; those shorter than that, of which there are few different ones, are tried on every
-    line. Kinds of needles that do not occur cost nothing. Few needles are broadcast to the lines; for many, hashes of
+    GRAM characters in the same way, and those shorter than that under themselves, lines then under all their runs of so few
+    characters. Kinds of needles that do not occur cost nothing. Few needles are broadcast to the lines; for many, hashes of
     the lines are joined first and the texts of the hits after.
     """
     words = F.split(F.col(needle), SEPARATOR)
@@ -140,16 +140,17 @@ def contains_join(lines: DataFrame, needles: DataFrame, text: str, needle: str)
     kind = F.when(longest.isNotNull(), "word").when(F.length(needle) >= GRAM, "gram").otherwise("short")
     filed = needles.withColumns({"_kind": kind, "_key": F.coalesce(longest, F.left(needle, F.lit(GRAM)))})
     counts = {r["_kind"]: r["n"] for r in filed.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(GRAM)))
-    keys = {"word": F.split(F.col(text), SEPARATOR), "gram": grams}
+
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+    short = F.concat(F.array(F.lit("")), *[grams(n) for n in range(1, GRAM)])
+    keys = {"word": F.split(F.col(text), SEPARATOR), "gram": grams(GRAM), "short": short}
     hit = F.contains(F.col(text), F.col(needle))
     found = lines.join(needles.where("false"), hit) if not counts else None
     for name, n in sorted(counts.items()):
         own = filed.where(F.col("_kind") == name).drop("_kind")
-        if name == "short":
-            # at most as many as there are texts of fewer than GRAM characters
-            part = lines.join(F.broadcast(own.drop("_key")), hit)
-        elif n <= BROADCAST_NEEDLES:
+        if n <= BROADCAST_NEEDLES:
             part = lines.withColumn("_key", F.explode(F.array_distinct(keys[name]))).join(F.broadcast(own), "_key").where(hit).drop("_key")
         else:
             marks = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), F.col(text))}

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..operators.relational import sorted_list
 from .warehouse import Warehouse
 
@@ -182,25 +183,51 @@ def format_gap_counts(warehouse: Warehouse, run: str) -> DataFrame:
 
 # --- disassembly calls -------------------------------------------------------------------
 
-#: A listing line: address, groups of instruction bytes, mnemonic, operands; a note may follow after "; word:".
-ADDRESS, GROUPS = r"\s*(\p{XDigit}{8})", r"((?:\s+\p{XDigit}{4,8})+)"
-INSTRUCTION = "^" + ADDRESS + GROUPS + r"\s+([\p{Alpha}.]+)(.*)"
-NOTE = r"^(.*?) ; \w+:(.*)$"
+ADDRESS_DIGITS = 8
+#: A group of instruction bytes has so many hexadecimal digits.
+GROUP_DIGITS = (4, 8)
+#: What sets a tool's note off from the operands: a word with a colon.
+NOTE = r" ; \w+:"
+
+
+def _hexadecimal(token: Column, least: int, most: int) -> Column:
+    return F.length(token).between(least, most) & (F.translate(F.lower(token), "0123456789abcdef", "") == "")
+
+
+def listing_line(line: Column) -> Column:
+    """struct(address, mnemonic, operands, annotation) of a line of a disassembly; null for other lines.
+
+    A line is an address, groups of instruction bytes, a mnemonic and the rest. All leading groups of
+    hexadecimal digits are bytes; where no mnemonic follows them, the last is the mnemonic if it begins with a letter.
+    """
+    worded = lambda t: F.coalesce(F.regexp_like(t, F.lit("^[A-Za-z.]")), F.lit(False))
+
+    def fields(bare: Column, tokens: Column, groups: Column) -> Column:
+        def parts(rest: Column) -> Column:
+            mnemonic = F.regexp_extract(rest, "^[A-Za-z.]+", 0)
+            noted = F.split(F.concat(F.lit(" "), F.trim(F.substring(rest, F.length(mnemonic) + 1, F.length(rest)))), NOTE, 2)
+            return F.struct(
+                F.upper(F.get(tokens, F.lit(0))).alias("address"), F.lower(mnemonic).alias("mnemonic"), F.trim(F.get(noted, F.lit(0))).alias("operands"),
+                F.trim(F.coalesce(F.get(noted, F.lit(1)), F.lit(""))).alias("annotation"),
+            )
+
+        return F.when((groups > 0) & worded(F.get(tokens, groups + 1)), bind(F.element_at(F.split(bare, " +", groups + 2), groups + 2), parts))
+
+    def grouped(bare: Column, tokens: Column) -> Column:
+        other = F.array_position(F.transform(F.slice(tokens, F.lit(2), F.size(tokens)), lambda t: _hexadecimal(t, *GROUP_DIGITS)), False)
+        run = F.when(other > 0, other - 1).otherwise(F.size(tokens) - 1).cast("int")
+        groups = bind(run, lambda n: F.when(worded(F.get(tokens, n + 1)), n).otherwise(n - 1))
+        addressed = _hexadecimal(F.get(tokens, F.lit(0)), ADDRESS_DIGITS, ADDRESS_DIGITS)
+        return F.when(addressed, bind(groups, lambda n: fields(bare, tokens, n)))
+
+    return bind(F.trim(F.regexp_replace(line, r"\s", " ")), lambda bare: bind(F.split(bare, " +"), lambda tokens: grouped(bare, tokens)))
 
 
 def disassembly_calls(texts: DataFrame) -> DataFrame:
     """A row for each call, jump out or return in disassembly texts (any columns, platform, text)."""
     keep = [c for c in texts.columns if c != "text"]
     lines = texts.select(*keep, F.posexplode(F.split("text", "\r\n|\r|\n")).alias("n", "instruction"))
-    hit = lines.where(F.col("instruction").rlike(INSTRUCTION))
-    whole = F.trim(F.regexp_extract("instruction", INSTRUCTION, 4))
-    noted = F.concat(F.lit(" "), whole)
-    parsed = hit.withColumns({
-        "line": F.col("n") + 1, "address": F.upper(F.regexp_extract("instruction", INSTRUCTION, 1)),
-        "mnemonic": F.lower(F.regexp_extract("instruction", INSTRUCTION, 3)),
-        "operands": F.trim(F.when(noted.rlike(NOTE), F.regexp_extract(noted, NOTE, 1)).otherwise(whole)),
-        "annotation": F.trim(F.regexp_extract(noted, NOTE, 2)),
-    })
+    parsed = lines.withColumn("said", listing_line(F.col("instruction"))).where("said IS NOT NULL").select("*", (F.col("n") + 1).alias("line"), "said.*")
     m68k, ppc = F.col("platform") == "mac68k", F.col("platform") == "macppc"
     mnemonic, note, operands = F.col("mnemonic"), F.col("annotation"), F.col("operands")
 

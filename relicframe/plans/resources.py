@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import field, four_cc, i16, i32, mac_text, pascal_string, u8, u16, u32
+from ..functions.binary import field, four_cc, i16, i32, mac_text, pascal_string, type_code, u8, u16, u32
+from .color_pictures import JSON_FORMS, SYSTEM_16
 from .records import rect
 
 SIZE_FLAGS = {
@@ -266,6 +267,52 @@ def _color_overlay() -> Column:
     return F.transform(F.array(walked), lambda w: F.when(w["at"] == size, F.to_json(F.struct(target.alias("targetKind"), F.col("id").alias("targetId"), w["found"].alias("objects")))))[0]
 
 
+BUNDLE_TYPE = "struct<type:string,ids:array<struct<localId:bigint,resourceId:bigint>>>"
+
+
+def _bundle() -> Column:
+    """The types that a bundle links, each with its local ids and the resources that these stand for."""
+    size = F.octet_length(_data())
+    n_ids = lambda at: (u16(_data(), at + 4) + 1).cast("int")
+    pair = lambda at: lambda k: F.struct(i16(_data(), at + 6 + 4 * k).alias("localId"), i16(_data(), at + 8 + 4 * k).alias("resourceId"))
+    entry = lambda at: F.struct(four_cc(_data(), at).alias("type"), F.transform(_range(n_ids(at)), pair(at)).alias("ids"))
+    fits = lambda at: (size >= at + 6) & (size >= at + 6 + 4 * n_ids(at))
+    count = F.least(u16(_data(), 6) + 1, F.lit(MOST_BUNDLE_TYPES + 1))
+    types = _walked(F.lit(8), count, BUNDLE_TYPE, fits, entry, lambda at: at + 6 + 4 * n_ids(at))
+    fields = F.struct(
+        u32(_data(), 0).alias("ownerName"), four_cc(_data(), 0).alias("ownerNameString"), i16(_data(), 4).alias("ownerId"),
+        F.transform(types, lambda t: F.struct(type_code(t["type"]).alias("type"), t["type"].alias("typeString"), t["ids"].alias("ids"))).alias("types"),
+    )
+    return F.when((size >= 8) & (F.size(types) == count) & (count <= MOST_BUNDLE_TYPES), F.to_json(fields))
+
+
+#: Types that a bundle may link.
+MOST_BUNDLE_TYPES = 64
+PAIR = "struct<completionChar:bigint,substituteChar:bigint>"
+DEAD_KEY = f"struct<tableIndex:bigint,virtualKeyCode:bigint,completions:array<{PAIR}>,noMatchCompletion:{PAIR}>"
+
+
+def _key_map() -> Column:
+    """A keyboard map: a table for each set of modifiers, then dead keys, each with the pairs that complete it."""
+    size = F.octet_length(_data())
+    n_tables = u16(_data(), 258).cast("int")
+    keys_at = (F.lit(260) + 128 * n_tables).cast("int")
+    n_pairs = lambda at: u16(_data(), at + 2).cast("int")
+    pair = lambda at: F.struct(u8(_data(), at).alias("completionChar"), u8(_data(), at + 1).alias("substituteChar"))
+    after = lambda at: at + 6 + 2 * n_pairs(at)
+
+    def entry(at: Column) -> Column:
+        pairs = F.transform(_range(n_pairs(at)), lambda k: pair(at + 4 + 2 * k))
+        return F.struct(u8(_data(), at).alias("tableIndex"), u8(_data(), at + 1).alias("virtualKeyCode"), pairs.alias("completions"), pair(at + 4 + 2 * n_pairs(at)).alias("noMatchCompletion"))
+
+    # a dead key takes 6 bytes at least, so no more of them fit
+    n_keys = u16(_data(), keys_at)
+    dead = _walked(keys_at + 2, F.least(n_keys, F.floor(size / 6)), DEAD_KEY, lambda at: (size >= at + 4) & (size >= after(at)), entry, after)
+    tables = F.transform(_range(n_tables), lambda i: F.struct(i.alias("index"), F.hex(field(_data(), 260 + 128 * i, 128)).alias("charsHex")))
+    fields = F.struct(F.transform(_range(F.lit(256)), lambda i: u8(_data(), 2 + i)).alias("modifierTableIndexes"), tables.alias("tables"), dead.alias("deadKeys"))
+    return F.when((size >= 260) & (size >= keys_at + 2) & (F.size(dead) == n_keys), F.to_json(fields))
+
+
 JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("STR#",): lambda: _strings(2, 0),
     ("TwCS",): lambda: F.when(u8(_data(), 2) == 0, _strings(4, 0)),
@@ -289,6 +336,9 @@ JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
     ("DITL",): _dialog_items,
     ("HCbg", "HCcd"): _color_overlay,
     ("cfrg",): _code_fragments,
+    ("BNDL",): _bundle,
+    ("KCHR",): _key_map,
+    **{(kind,): lambda form=form: form(_data()) for kind, form in JSON_FORMS.items()},
     ("WIND",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u16(_data(), 10) != 0).alias("visible"), (u16(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), pascal_string(_data(), 18).alias("title"))),
     ("DLOG",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("procId"), (u8(_data(), 10) != 0).alias("visible"), (u8(_data(), 12) != 0).alias("goAway"), i32(_data(), 14).alias("refCon"), i16(_data(), 18).alias("itemListId"), pascal_string(_data(), 20).alias("title"))),
     ("CNTL",): lambda: F.to_json(F.struct(rect(_data(), 0).alias("bounds"), i16(_data(), 8).alias("value"), (u8(_data(), 10) != 0).alias("visible"), i16(_data(), 12).alias("maximum"), i16(_data(), 14).alias("minimum"), i16(_data(), 16).alias("procId"), i32(_data(), 18).alias("refCon"), pascal_string(_data(), 22).alias("title"))),
@@ -394,25 +444,16 @@ def write_pngs(picture_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                stride = len(r["bits"]) // r["height"]
-                bit = lambda data, x, y, stride=stride: data[y * stride + x // 8] >> (7 - x % 8) & 1
-                lines = [
-                    b"".join(bytes((0 if bit(r["bits"], x, y) else 255, 255 if r["mask"] is None or bit(r["mask"], x, y) else 0)) for x in range(r["width"]))
-                    for y in range(r["height"])
-                ]
-                out.append(png(r["width"], r["height"], lines, 8, 4))
+            for w, h, bits, mask in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "bits", "mask")), strict=True):
+                planes = [np.unpackbits(np.frombuffer(x, np.uint8)).reshape(h, -1)[:, :w] if x is not None else np.ones((h, w), np.uint8) for x in (bits, mask)]
+                grey = np.stack([1 - planes[0], planes[1]], axis=-1) * np.uint8(255)
+                out.append(png(w, h, [row.tobytes() for row in grey], 8, 4))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "png"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picture_rows.schema)
     return picture_rows.mapInArrow(run, f"{fields}, png binary")
 
 
-#: The 16 colors of 4-bit pictures without a table (fixed values).
-SYSTEM_COLORS = (
-    "FFFFFF", "FCF305", "FF6402", "DD0806", "F20884", "4600A5", "0000D4", "02ABEA",
-    "1FB714", "006411", "562C05", "90713A", "C0C0C0", "808080", "404040", "000000",
-)
 PIXMAP_DEPTHS = (8, 4, 2, 1)
 PIXMAP_SIDE = 512
 
@@ -420,7 +461,7 @@ PIXMAP_SIDE = 512
 def _palette_of(depth: int) -> np.ndarray:
     """RGBA of each index: white to black, but the system's colors at 4 bits and black to white at 8."""
     if depth == 4:
-        colors = np.array([list(bytes.fromhex(c)) for c in SYSTEM_COLORS])
+        colors = SYSTEM_16
     else:
         greys = np.arange(256) if depth == 8 else np.linspace(255, 0, 1 << depth)
         colors = np.repeat(greys[:, None], 3, axis=1)
@@ -484,8 +525,8 @@ def pbm_to_png(files: DataFrame) -> DataFrame:
         stride = (width + 7) // 8
         if len(data) < at + stride * height:
             raise ValueError("bitmap ends early")
-        rows = [bytes(b ^ 255 for b in data[at + y * stride : at + (y + 1) * stride]) for y in range(height)]
-        return png(width, height, rows)
+        inverted = ~np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)
+        return png(width, height, [row.tobytes() for row in inverted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..functions.text import line_count, sample_of
+from ..functions.text import bind, line_count, sample_of
 from ..operators.relational import anti_null_safe, upsert
+from ..scratch import written
+
+#: Bits that a row's number within its partition takes in monotonically_increasing_id.
+ROW_BITS = 33
 
 #: Columns of each table (fixed values of the data model); text unless a type is given.
 TABLES = {
@@ -74,49 +78,91 @@ class Warehouse:
 def dense_ids(rows: DataFrame, order: list[str], by: list[str] | None = None, start: Column | int = 1) -> DataFrame:
     """``rows`` with ``id`` counting over the order within each of ``by`` (run_id by default).
 
-    Rows are numbered within a value of the first order column, and those values' counts are summed, so
-    a task takes one such value's rows or one count a value, and never a whole run.
+    The order must be total: rows that tie in it may swap numbers between runs. Rows are sorted once into ranges of (by, order),
+    written with their number within the range, and numbered by the counts of the
+    ranges before; no task takes a whole run, and the driver sees one count a range.
     """
     by = by or ["run_id"]
-    within = Window.partitionBy(*by, order[0]).orderBy(*order)
-    before = Window.partitionBy(*by).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*by, order[0]]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    starts = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(ranges.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)}), "dense-ids")
+    before, offsets = 0, []
+    for r in placed.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    starts = rows.sparkSession.createDataFrame(offsets, "_range int, _offset long")
+    numbered = placed.join(F.broadcast(starts), "_range").withColumn("_number", F.col("_offset") + F.col("_row"))
+    firsts = numbered.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_number").alias("_first"))
     same = F.lit(True)
-    for k in keys:
-        same = same & rows[k].eqNullSafe(starts[f"_{k}"])
-    numbered = rows.join(starts, same)
-    return numbered.withColumn("id", F.row_number().over(within) + F.col("_before") + (start - 1)).drop("_before", *[f"_{k}" for k in keys])
+    for c in by:
+        same = same & numbered[c].eqNullSafe(firsts[f"_{c}"])
+    joined = numbered.join(firsts, same)
+    return joined.withColumn("id", F.col("_number") - F.col("_first") + start).select(*[c for c in rows.columns if c != "id"], "id")
 
 
 # --- loaders ---------------------------------------------------------------------------
 
-#: What a log says of a block: a verb, the quoted type, the number, perhaps a word, and the size.
-BLOCK_SAID = r"Status: (Processing|Skipping) '(.+?)' #([-\d]+) (?:\w+ )?\((\d+) bytes\)"
-#: Of a block that nothing handles there is the bare type of four characters and the number.
-BLOCK_LEFT = r"Warning: Skipping block +([\w ]{4}) #([-\d]+)"
-
-
 def log_lines(logs: DataFrame) -> DataFrame:
     """(run_id, attempt_id, line, message) of logs (run_id, attempt_id, log)."""
     lines = F.posexplode(F.split("log", "\n")).alias("n", "message")
     return logs.select("run_id", "attempt_id", lines).select("run_id", "attempt_id", (F.col("n") + 1).cast("long").alias("line"), "message")
 
 
+def _only(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "") == ""
+
+
+def _digits(text: Column) -> Column:
+    """A whole number in decimal digits, perhaps negative; else null."""
+    return bind(F.regexp_replace(text, "^-", ""), lambda bare: F.when((bare != "") & _only(bare, "0123456789"), text.try_cast("long")))
+
+
+def _said(status: str, kind: Column, number: Column, size: Column, understood: int) -> Column:
+    return F.struct(
+        F.upper(F.trim(kind)).alias("chunk_type"), number.alias("chunk_id"), size.cast("long").alias("chunk_bytes"), F.lit(status).alias("status"), F.lit(understood).cast("long").alias("understood"),
+    )
+
+
+def _block_said(told: Column) -> Column:
+    """What a status says of a block: a verb, the type in quotes, ``#`` and the number, perhaps a hexadecimal word, and the size in parentheses."""
+
+    def rest(quoted: Column) -> Column:
+        verb, kind = F.get(quoted, F.lit(0)), F.get(quoted, F.lit(1))
+        marks = F.regexp_replace(F.get(quoted, F.lit(2)), "[^#()]", "")
+
+        def fields(cut: Column) -> Column:
+            words, size = F.split(F.get(cut, F.lit(1)), " "), F.split(F.get(cut, F.lit(2)), " ")
+            number, n = _digits(F.get(words, F.lit(0))), _digits(F.get(size, F.lit(0)))
+            word = F.trim(F.array_join(F.slice(words, 2, F.size(words)), " "))
+            # a blank stands before "#" and before "("
+            fits = F.startswith(marks, F.lit("#()")) & (F.get(cut, F.lit(0)) == " ") & (F.element_at(words, -1) == "") & (F.get(size, F.lit(1)) == "bytes") & (kind != "") & number.isNotNull() & (n >= 0)
+            parsed = fits & (verb == "Processing ") & _only(F.lower(word), "0123456789abcdef")
+            return F.when(parsed, _said("parsed", kind, number, n, 1)).when(fits & (verb == "Skipping ") & (word == ""), _said("skipped", kind, number, n, 1))
+
+        return bind(F.split(F.get(quoted, F.lit(2)), "[#()]"), fields)
+
+    return bind(F.split(told, "'", 3), rest)
+
+
+def _block_left(left: Column) -> Column:
+    """What a warning says of a block that nothing handles: blanks, four letters, digits or blanks, ``#`` and the number."""
+
+    def fields(cut: Column) -> Column:
+        head, tail = F.get(cut, F.lit(0)), F.get(cut, F.lit(1))
+        bare, blank = F.right(head, F.lit(4)), F.left(head, F.length(head) - 4)
+        number = _digits(F.get(F.split(tail, r"(?<=\d)(?!\d)", 2), F.lit(0)))
+        fits = (F.length(head) > 4) & (F.trim(blank) == "") & _only(F.lower(bare), "abcdefghijklmnopqrstuvwxyz0123456789 ") & number.isNotNull()
+        return F.when(fits, _said("unhandled", bare, number, F.lit(None), 0))
+
+    return bind(F.split(left, " #", 2), fields)
+
+
 def chunks_from_log(lines: DataFrame) -> DataFrame:
-    """A row for each block that a log line tells of."""
-
-    def said(status: Column, kind: Column, number: Column, size: Column, understood: int) -> Column:
-        return F.struct(
-            F.upper(F.trim(kind)).alias("chunk_type"), number.try_cast("long").alias("chunk_id"), size.try_cast("long").alias("chunk_bytes"),
-            status.alias("status"), F.lit(understood).cast("long").alias("understood"),
-        )
-
-    verb, kind, number, size = (F.regexp_extract("message", BLOCK_SAID, i) for i in range(1, 5))
-    left_kind, left_number = (F.regexp_extract("message", BLOCK_LEFT, i) for i in range(1, 3))
-    found = F.when(verb != "", said(F.when(verb == "Processing", "parsed").otherwise("skipped"), kind, number, size, 1)).when(
-        left_kind != "", said(F.lit("unhandled"), left_kind, left_number, F.lit(None), 0)
+    """A row for each block that a log line tells of; the first status or warning of a line counts."""
+    part = lambda mark: F.get(F.split("message", mark, 2), F.lit(1))
+    message = F.col("message")
+    found = F.coalesce(
+        F.when(message.contains("Status: "), _block_said(part("Status: "))), F.when(message.contains("Warning: Skipping block"), _block_left(part("Warning: Skipping block")))
     )
     kept = lines.withColumn("found", found).where("found IS NOT NULL")
     return kept.select("run_id", "attempt_id", "found.*", F.col("message").alias("evidence"), F.col("line").alias("log_line"))
@@ -154,7 +200,7 @@ def output_rows(files: DataFrame) -> DataFrame:
         F.col("what.kind").alias("logical_kind"), F.col("what.id").alias("logical_id"),
         F.lit(None).cast("string").alias("referenced_by"), F.sha2("content", 256).alias("sha256"),
     )
-    return dense_ids(rows, ["attempt_id", "rel_path"])
+    return dense_ids(rows, ["attempt_id", "rel_path", "sha256", "bytes"])
 
 
 def content_rows(contents: DataFrame) -> DataFrame:
@@ -163,7 +209,7 @@ def content_rows(contents: DataFrame) -> DataFrame:
         "text_bytes": F.length("text").cast("long"), "line_count": line_count(F.col("text")).cast("long"),
         "sha256": F.sha2(F.encode("text", "utf-8"), 256), "sample": sample_of(F.col("text")),
     })
-    return dense_ids(rows.drop("text"), ["stack_id", "container_id", "part_id"])
+    return dense_ids(rows.drop("text"), ["stack_id", "container_id", "part_id", "sha256"])
 
 
 # --- linking ---------------------------------------------------------------------------

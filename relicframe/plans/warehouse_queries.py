@@ -41,8 +41,9 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w03_file_names", """
     WITH f AS (SELECT page_id, url || ['', '.sit.hqx', '.TXT', '/x.y.Mov', '/noext'][page_id % 5 + 1] AS path FROM pages)
-    SELECT page_id, list_extract(string_split(path, '/'), -1) AS name, CASE page_id % 5 WHEN 1 THEN 'sit.hqx' WHEN 2 THEN 'txt' WHEN 3 THEN 'mov' WHEN 4 THEN ''
-        ELSE regexp_extract(lower(list_extract(string_split(path, '/'), -1)), '[^.]\\.([^.]*)$', 1) END AS suffix, CASE page_id % 5 WHEN 2 THEN 'text/plain' WHEN 3 THEN 'video/quicktime' ELSE 'application/octet-stream' END AS media_type FROM f""")
+    , n AS (SELECT *, list_extract(string_split(path, '/'), -1) AS name FROM f),
+    s AS (SELECT *, CASE WHEN ends_with(lower(name), '.sit.hqx') THEN 'sit.hqx' ELSE regexp_extract(lower(name), '[^.]\\.([^.]*)$', 1) END AS suffix FROM n)
+    SELECT page_id, name, suffix, CASE suffix WHEN 'txt' THEN 'text/plain' WHEN 'mov' THEN 'video/quicktime' ELSE 'application/octet-stream' END AS media_type FROM s""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat("url", _pick("page_id", "", ".sit.hqx", ".TXT", "/x.y.Mov", "/noext"))
     rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
@@ -166,7 +167,7 @@ def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG = """string_agg(CASE l_linenumber % 6
     WHEN 0 THEN 'Status: Processing ''CARD'' #' || l_partkey || ' 1F (' || l_suppkey || ' bytes)' WHEN 1 THEN 'Status: Skipping ''FREE'' #-' || l_partkey || ' (' || l_suppkey || ' bytes)'
     WHEN 2 THEN 'Warning: Skipping block  abcd #' || l_partkey WHEN 3 THEN 'Error: Couldn''t parse ' || l_partkey WHEN 4 THEN l_partkey || ' blocks found' ELSE l_suppkey || ' resources, Segmentation fault. Warning: x' END,
-    chr(10) ORDER BY l_linenumber, l_partkey)"""
+    chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey)"""
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +178,11 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit("Warning: Skipping block  abcd #"), part), (F.lit("Error: Couldn't parse "), part), (part, F.lit(" blocks found")), (supplier, F.lit(" resources, Segmentation fault. Warning: x")),
     )
     line = F.element_at(F.array(*[F.concat(*s) for s in says]), (F.col("l_linenumber") % 6 + 1).cast("int"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t")))), lambda x: x["t"])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("t")))), lambda x: x["t"])
     return table(spark, sf_dir, "lineitem").groupBy(F.lit("r").alias("run_id"), F.col("l_orderkey").alias("attempt_id")).agg(F.array_join(listed, "\n").alias("log"))
 
 
-_LOG_LINES = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS line FROM lineitem) """
+_LOG_LINES = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem) """
 
 
 @query("w13_chunks_from_log", _LOG_LINES + """
@@ -212,13 +213,13 @@ def attempt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as output files of their order's stack."""
     return table(spark, sf_dir, "lineitem").select(
-        F.lit("r").alias("run_id"), F.col("l_orderkey").alias("attempt_id"), F.col("l_orderkey").alias("stack_id"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.lit("r").alias("run_id"), F.col("l_orderkey").alias("attempt_id"), F.col("l_orderkey").alias("stack_id"), (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("id"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 9).cast("string")).alias("rel_path"), _pick("l_suppkey", "card", "bmap", "background", "pat", "other").alias("logical_kind"), (F.col("l_partkey") % 4).alias("logical_id"),
         _pick("l_linenumber", "json", "image", "raw", "sound", "assembly").alias("kind"),
     )
 
 
-_OUTPUTS = """WITH o AS (SELECT l_orderkey AS stack_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, 'f' || l_partkey % 9 AS rel_path, ['card', 'bmap', 'background', 'pat', 'other'][l_suppkey % 5 + 1] AS logical_kind,
+_OUTPUTS = """WITH o AS (SELECT l_orderkey AS stack_id, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS id, 'f' || l_partkey % 9 AS rel_path, ['card', 'bmap', 'background', 'pat', 'other'][l_suppkey % 5 + 1] AS logical_kind,
     l_partkey % 4 AS logical_id, ['json', 'image', 'raw', 'sound', 'assembly'][l_linenumber % 5 + 1] AS kind FROM lineitem),
     t AS (SELECT *, CASE logical_kind WHEN 'card' THEN 'CARD' WHEN 'bmap' THEN 'BMAP' WHEN 'background' THEN 'BKGD' ELSE upper(logical_kind) END AS chunk_type FROM o),
     c AS (SELECT o_orderkey AS stack_id, ['CARD', 'BMAP', 'PAT'][o_custkey % 3 + 1] AS chunk_type, NULLIF(o_custkey % 5, 4) AS chunk_id FROM orders)"""

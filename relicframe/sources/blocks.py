@@ -105,18 +105,17 @@ def write_stream(rows: DataFrame, by: str, kind, number, payload, order: str, pa
     """(file, part, start, first, content): the blocks of each group in order, then TAIL.
 
     A stream comes in parts of about ``part_bytes``, each with the offset and number of its first block, as a
-    group may be larger than a value can be. ``order`` is a column of whole numbers.
+    group may be larger than a value can be. ``order`` is a column of whole numbers, nulls first; blocks of one order
+    stand in order of their bytes, equal ones as often as they are there. The payloads are exchanged twice: by cell, to be placed, and by part.
     """
     blocks = rows.select(F.col(by).alias("file"), F.col(order).cast("long").alias("order"), block_bytes(kind, number, payload).alias("block"))
-    sized = blocks.select("file", "order", F.octet_length("block").cast("long").alias("size"))
-    placed = offsets_from_sizes(sized.withColumn("first", F.lit(1).cast("long")), "file", "order", "size", number="first")
+    sized = blocks.withColumn("size", F.octet_length("block").cast("long"))
+    placed = offsets_from_sizes(sized, "file", "order", "size", number="first", ties=("block",))
+    whole = placed.select("file", F.col("offset").alias("start"), "first", "block")
     ends = sized.groupBy("file").agg(F.sum("size").alias("start"), F.count("*").alias("first"))
     tails = ends.select("file", "start", "first", F.unhex(F.lit("0000000C5441494CFFFFFFFF")).alias("block"))
-    whole = blocks.join(placed.select("file", "order", F.col("offset").alias("start"), F.col("seq").alias("first")), ["file", "order"])
-    every = whole.select("file", "start", "first", "block").unionByName(tails)
-    joined = F.transform(F.sort_array(F.collect_list(F.struct("start", "block"))), lambda x: F.hex(x["block"]))
-    return every.groupBy("file", F.floor(F.col("start") / part_bytes).alias("part")).agg(
-        F.min("start").alias("start"), F.min("first").alias("first"), F.unhex(F.array_join(joined, "")).alias("content")
+    return whole.unionByName(tails).groupBy("file", F.floor(F.col("start") / part_bytes).alias("part")).agg(
+        F.min("start").alias("start"), F.min("first").alias("first"), F.expr("listagg(block) WITHIN GROUP (ORDER BY start)").alias("content")
     )
 
 
@@ -135,25 +134,29 @@ def unknown_types(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("type").isNotNull() & ~F.col("type").isin(*BLOCK_TYPES))
 
 
-def offsets_from_sizes(rows: DataFrame, by: str, order: str, size: str, number: str | None = None) -> DataFrame:
-    """Where each block starts: the sizes before it, summed, as ``offset``; with a column ``number`` also ``seq``, the rows before it.
+def offsets_from_sizes(rows: DataFrame, by: str, order: str, size: str, number: str | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Where each block starts: the sizes before it, summed, as ``offset``; with ``number``, so named, the rows before it.
 
     Rows with one value of ``by`` are summed in cells of CELL consecutive values of ``order``, a column of
-    whole numbers, and over the cells, so a large group is not one task.
+    whole numbers, and over the cells, so a large group is not one task. Nulls come first; rows of one order are told apart by the
+    columns ``ties``.
     """
-    cells = rows.withColumn("_cell", F.floor(F.col(order) / CELL))
+    nowhere = -(1 << 62)
+    cells = rows.withColumn("_cell", F.coalesce(F.floor(F.col(order) / CELL), F.lit(nowhere)))
     totals = cells.groupBy(by, "_cell").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+    place = [F.col(order).asc_nulls_first(), *ties]
 
-    def before(column, partition: list[str], ordered: str):
-        window = Window.partitionBy(*partition).orderBy(ordered).rowsBetween(Window.unboundedPreceding, -1)
+    def before(column, partition: list[str], ordered: list):
+        window = Window.partitionBy(*partition).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(window), F.lit(0))
 
-    starts = totals.select(by, "_cell", before("_bytes", [by], "_cell").alias("_start"), before("_rows", [by], "_cell").alias("_first"))
-    joined = cells.join(starts, [by, "_cell"])
-    placed = joined.withColumn("offset", F.col("_start") + before(size, [by, "_cell"], order))
+    starts = totals.select(F.col(by).alias("_by"), F.col("_cell").alias("_at"), before("_bytes", [by], ["_cell"]).alias("_start"), before("_rows", [by], ["_cell"]).alias("_first"))
+    joined = cells.join(starts, cells[by].eqNullSafe(starts["_by"]) & (cells["_cell"] == starts["_at"]))
+    placed = joined.withColumn("offset", F.col("_start") + before(size, [by, "_cell"], place))
     if number:
-        placed = placed.withColumn("seq", F.col("_first") + before(F.lit(1), [by, "_cell"], order))
-    return placed.drop("_cell", "_start", "_first")
+        placed = placed.withColumn(number, F.col("_first") + before(F.lit(1), [by, "_cell"], place))
+    dropped = ["_cell", "_by", "_at", "_start", *([] if number == "_first" else ["_first"])]
+    return placed.drop(*dropped)
 
 
 def missing_references(blocks: DataFrame, references: DataFrame) -> DataFrame:
