@@ -7,13 +7,11 @@ loss of an executor.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import delete, scratch_path
+
 #: A word is a longest run without ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -27,41 +25,6 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 500
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables.
-
-    Where ``spark.checkpoint.dir`` is unset, a session in one process gets a temporary
-    folder and a cluster a folder in its warehouse, which all executors share.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if spark.sparkContext.master.partition("[")[0] == "local":
-            root = "file://" + tempfile.mkdtemp(prefix="relicframe-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/relicframe-scratch"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{scratch_dir(spark)}/relicframe/{label}-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by then
-            pass
-
-    atexit.register(clean)
-    return path
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     spark = df.sparkSession
@@ -84,7 +47,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nobody reads any more."""
     path = getattr(df, "_scratch", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -107,38 +70,45 @@ def smallest_hashes(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
 
 
 def exact_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The columns ``names`` alone, whatever else the table holds: names that differ in case only, or hold dots, do not matter.
-
-    A column of just this name is meant, or else one that differs in case.
-    """
+    """The columns ``names`` alone, whatever else the table holds: names that differ in case only, or hold dots, do not matter."""
     return hold(df, names).drop("held")
 
 
-def hold(df: DataFrame, names, replaced=()) -> DataFrame:
-    """The columns ``names`` of ``df``, and all columns but those ``replaced`` in one struct ``held``, which release() takes apart.
-
-    Names in the struct are numbers, so no name of the input can clash with what an operator adds. ``replaced``
-    are left out in any case.
-    """
+def _picked(columns: list[str], names) -> dict[str, int]:
+    """Place of each of ``names``: the column of just this name, or else one that differs in case."""
     at = {}
     for name in names:
-        alike = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        at[name] = next((i for i in alike if df.columns[i] == name), alike[0] if alike else None)
-        if at[name] is None:
+        alike = [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+        if not alike:
             raise ValueError(f"no column {name}")
-    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    through = [f"c{i}" for i in _through(df.columns, replaced)]
-    return numbered.select(F.struct(*through).alias("held") if through else F.lit(None).alias("held"), *[F.col(f"c{i}").alias(name) for name, i in at.items()])
+        at[name] = next((i for i in alike if columns[i] == name), alike[0])
+    return at
+
 
+def _through(columns: list[str], replaced, apart) -> list[int]:
+    out, own = {r.lower() for r in replaced}, set(_picked(columns, apart).values())
+    return [i for i, c in enumerate(columns) if c.lower() not in out and i not in own]
 
-def _through(columns: list[str], replaced) -> list[int]:
-    out = {r.lower() for r in replaced}
-    return [i for i, c in enumerate(columns) if c.lower() not in out]
 
+def hold(df: DataFrame, names, replaced=(), apart: bool = False) -> DataFrame:
+    """The columns ``names`` of ``df``, and all others but those ``replaced`` in one struct ``held``, which release() takes apart.
 
-def release(columns: list[str], replaced=()) -> list[Column]:
-    """The columns of ``held``, under their names in ``columns``, those of the table that hold() got."""
-    return [F.col("held")[f"c{i}"].alias(columns[i]) for i in _through(columns, replaced)]
+    Names in the struct are numbers, so no name of the input can clash with what an operator adds. ``replaced``
+    are left out in any case. The columns ``names`` are in the struct too, unless they are to be held ``apart``.
+    """
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    through = [f"c{i}" for i in _through(df.columns, replaced, names if apart else ())]
+    held = F.struct(*through) if through else F.lit(True)
+    return numbered.select(held.alias("held"), *[F.col(f"c{i}").alias(name) for name, i in _picked(df.columns, names).items()])
+
+
+def release(columns: list[str], replaced=(), apart=()) -> list[Column]:
+    """The columns that hold() got, in their order and under their names in ``columns``; those held ``apart`` come from their own columns."""
+    own = {i: name for name, i in _picked(columns, apart).items()}
+    through = _through(columns, replaced, apart)
+    gone = {r.lower() for r in replaced}
+    every = [i for i, c in enumerate(columns) if i in through or i in own and c.lower() not in gone]
+    return [(F.col(own[i]) if i in own else F.col("held")[f"c{i}"]).alias(columns[i]) for i in every]
 
 
 def words_of(text: Column) -> Column:

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import id_crc, materialize, small_side, text_batches
+from .common import exact_columns, hold, id_crc, materialize, release, small_side, text_batches
 
 #: Documents of each language to learn from at most.
 SAMPLE_PER_LANGUAGE = 1_500
@@ -209,13 +210,13 @@ def identify(docs: DataFrame) -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0 and not
     accepted, as is every text if nothing could be learned. Long texts count whole; of equal
     chances the first language wins; repeated rows come out as often as they went in. Input columns
-    named like an output column are replaced; an empty table gives no rows.
+    named like an output column, in any case, are replaced, others of any name pass through; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = train(docs)
+    spark, own, outputs = docs.sparkSession, ("doc_id", "text"), ("lang_pred", "lang_score", "lang_accepted")
+    model = train(exact_columns(docs, "doc_id", "text", "lang"))
     compact = (model.bucket_scores(), model.languages, model.temperature, model.level) if model else None
     shared = spark.sparkContext.broadcast(compact)  # BUCKETS rows of a number a language
-    base = docs.drop("lang_pred", "lang_score", "lang_accepted")
+    base = hold(docs, own, outputs, apart=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,5 +238,5 @@ def identify(docs: DataFrame) -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "lang_score", "lang_accepted"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_accepted boolean")
+    told = base.mapInArrow(run, StructType([*base.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_accepted", "boolean"))
+    return told.select(*release(docs.columns, outputs, own), *outputs)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import exact_columns, hold, materialize, release
 
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (1, 2, 3)
@@ -80,12 +80,12 @@ def mix(docs: DataFrame) -> DataFrame:
     own; a source without words takes nothing; equal rows are numbered in any
     order, which gives equal rows; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "word-counts")
+    sized = materialize(exact_columns(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size")), "word-counts")
     return assign_copies(sized)
 
 
 def assign_copies(sized: DataFrame) -> DataFrame:
-    """(doc_id, source, size) and any column ``doc`` with source_size, target, copies and taken."""
+    """(doc_id, source, size) and any column ``held`` with source_size, target, copies and taken."""
     cells = F.lit(max(CELLS, -(-sized.count() // CELL_DOCS)))
     # the small addend keeps whole powers of two on their side of the edge whatever the logarithm's last digit
     classes = F.least(F.floor(F.log2(F.col("size") + 1) * 4 + 1e-9), F.lit(SIZE_CLASSES - 1)).cast("int")
@@ -125,7 +125,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Null texts and texts without words are taken like others of their source, as their copies add no words. Rows that
     repeat an id are numbered in any order.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("doc"))
+    sized = hold(docs, ("doc_id", "source", "text")).select("doc_id", "source", word_count(F.col("text")).alias("size"), "held")
     taken = assign_copies(sized).where("copies > 0")
-    repeats = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("repeat"))
-    return repeats.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    repeats = taken.select("held", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("repeat"))
+    return repeats.select(*release(docs.columns))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import exact_columns, text_batches
 from .tokens import default_path, word_ids
 
 CAPACITY = 2048
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     bins with equal free space the latest takes a piece. Repeated rows are packed as often as they occur and are
     interchangeable. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
+    docs = exact_columns(docs, "doc_id", "text")
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n_bytes // PARTITION_BYTES), -(-n_docs // PARTITION_DOCS))
     order = F.xxhash64("doc_id", "piece", "length")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small_side, words_of
+from .common import exact_columns, hold, let, release, small_side, words_of
 
 BUCKET_BITS = 14
 #: Counts added to every bucket, as a part of the mean count of a bucket.
@@ -129,23 +129,29 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     A null text counts as empty: no words, base_failed, not kept. Labels of
     absent or null ids count for nothing; a label repeated counts once. Long texts count whole; repeated
-    rows come out as often as they went in. Input columns named like an output column are replaced, others of any name
+    rows come out as often as they went in. Input columns named like an output column, in any case, are replaced, others of any name
     pass through; an empty table gives no rows.
     """
-    ratios = ratio_literal(log_ratios(docs, labels))
-    outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    base = [c for c in docs.columns if c not in (*outputs, "base_failed", "score", "kept")]
+    ratios = ratio_literal(log_ratios(exact_columns(docs, "doc_id", "text"), exact_columns(labels, "doc_id", "quality")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    outputs = (*counts, "base_failed", "score", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    judged = docs.select(
-        F.struct(*base).alias("doc"),
+    judged = hold(docs, ("text",), outputs).select(
+        "held",
         let(
             F.struct(words_of(F.col("text")).alias("w"), ratios.alias("r")),
             lambda x: F.struct(base_counts(x["w"], text).alias("base"), score(x["w"], x["r"]).alias("score")),
         ).alias("judged"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return (
-        judged.select(*[F.col("doc")[c].alias(c) for c in base], *[F.col("judged.base")[c].alias(c) for c in outputs], F.col("judged.score").alias("score"))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    n_words, repeated = F.col("judged.base.n_words"), F.col("judged.base.n_repeat_words")
+    failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n_words)
+    kept = ~failed & (F.col("judged.score") >= threshold)
+    return judged.select(
+        *release(docs.columns, outputs), *[F.col("judged.base")[c].alias(c) for c in counts], F.col("judged.score").alias("score"), failed.alias("base_failed"), kept.alias("kept")
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that quality_rules() keeps, with all their columns as they were, whatever their names."""
+    rows = hold(docs, ("doc_id", "text"), apart=True)
+    return quality_rules(rows, labels, threshold).where("kept").select(*release(docs.columns, apart=("doc_id", "text")))

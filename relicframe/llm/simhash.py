@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_batches
+from .common import exact_columns, hold, materialize, release, small_side, text_batches
 from .components import components
 from .tiles import dealt, runs, tile
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return exact_columns(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
 
 
 def _block_bits() -> list[int]:
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and link like any other. A null id
     never is a component's id unless all ids of the component are null. Repeated
-    rows come out as often as they went in; an empty table gives no rows.
+    rows come out as often as they went in; long texts count whole; columns besides these two are not read, whatever their names; an empty table gives no rows.
     """
     return grouped(fingerprints(docs, id_col, text_col), id_col).select(id_col, "fp", "component_id")
 
@@ -160,10 +160,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A null doc_id comes after all others; among different texts of one doc_id the one of
     the smaller hash stays, among repeated rows any one. A text that shares its doc_id with a dropped
-    one stays if its own group has no smaller id. Null and empty texts are one group. An
+    one stays if its own group has no smaller id. Null and empty texts are one group; long texts count whole. All columns come out as they were, whatever their names. An
     empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
+    docs = hold(docs, ("doc_id", "text"), apart=True)
     text_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -192,4 +193,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if n:
         again = docs.join(small_side(repeated, n), same, "left_semi").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
         kept = kept.unionByName(again.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns))
-    return kept.select(*docs.columns)
+    return kept.select(*release(columns, apart=("doc_id", "text")))

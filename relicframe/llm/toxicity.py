@@ -12,15 +12,18 @@ Texts are scored whole.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import id_crc, materialize, smallest_hashes, text_batches
+from .common import exact_columns, hold, id_crc, materialize, release, smallest_hashes, text_batches
 
 #: Labelled documents to learn from at most, those of the smallest id hashes.
 SAMPLE_DOCS = 15_000
@@ -260,20 +263,32 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], Factoriza
     return places, model
 
 
+_WARM: dict[str, tuple] = {}
+
+
+def _warm(name: str, shared: Broadcast) -> tuple[Terms, np.ndarray, FactorizationMachine]:
+    """What scoring needs of a model, made once in a worker process: later tasks find the words of earlier ones. Only the latest model is kept."""
+    if name not in _WARM:
+        places, model = shared.value
+        _WARM.clear()
+        _WARM[name] = Terms(places), model.table(), model
+    return _WARM[name]
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` plus toxicity (0 to 1) and is_toxic (score at or above the threshold).
 
     Null and empty texts, having no terms, get the score of the constant alone. Long texts
-    count whole; repeated rows come out as often as they went in, with one score. Columns named like an output column are replaced; an empty table gives no rows.
+    count whole; repeated rows come out as often as they went in, with one score. Columns named like an output column, in any case, are replaced, others of any name pass through; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    places, model = train(docs, labels)
+    spark, outputs, own = docs.sparkSession, ("toxicity", "is_toxic"), ("doc_id", "text")
+    base = hold(docs, own, outputs, apart=True)
+    places, model = train(base, exact_columns(labels, "doc_id", "toxic"))
     shared = spark.sparkContext.broadcast((places, model))  # at most BUCKETS rows
-    base = docs.drop("toxicity", "is_toxic")
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, model = shared.value
-        terms, table = Terms(places), model.table()
+        terms, table, model = _warm(name, shared)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             scores = probability(model.margins(table, *terms.texts(texts)))
@@ -281,9 +296,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
                 [*batch.columns, pa.array(scores), pa.array(scores >= threshold)], names=[*batch.schema.names, "toxicity", "is_toxic"]
             )
 
-    return base.mapInArrow(run, _schema(base, "toxicity double, is_toxic boolean"))
+    scored = base.mapInArrow(run, StructType([*base.schema.fields]).add("toxicity", "double").add("is_toxic", "boolean"))
+    return scored.select(*release(docs.columns, outputs, own), *outputs)
 
 
-def _schema(df: DataFrame, more: str) -> str:
-    fields: Iterable[str] = (f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return ", ".join([*fields, more])
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that toxicity_scores() does not call toxic, with all their columns as they were, whatever their names."""
+    rows = hold(docs, ("doc_id", "text"), apart=True)
+    return toxicity_scores(rows, labels, threshold).where("NOT is_toxic").select(*release(docs.columns, apart=("doc_id", "text")))
