@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Every stage takes rows as they come: a null or empty text counts as a text without words, a null
+doc_id as an id of its own, and repeated rows as rows, each judged alike; only the near-duplicate stage keeps one of
+a group. Columns besides those that a stage reads come out of all stages but the last as they went in, whatever their names: none is
+overwritten by what a stage computes. Without rows, a stage returns none.
 """
 
 from __future__ import annotations
@@ -10,33 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relicframe.llm import mixing, packing, quality, simhash, toxicity
-from relicframe.llm.common import scratch_path
+from relicframe.scratch import scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go, as all texts of too few words."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_rules(docs, labels).where("kept").select(*docs.columns)
+    return quality.kept_documents(docs, labels)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic. Texts without words have the score of the constant alone and stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity_scores(docs, labels).where("NOT is_toxic").select(*docs.columns)
+    return toxicity.clean_documents(docs, labels)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
+    """One document, that of the smallest doc_id, of each group of near-duplicates; texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, up to three times; a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenized documents, each with its place in a sequence."""
+    """Pieces of the tokenized documents, each with its place in a sequence; a text without tokens is one piece, its end mark."""
     packed = packing.pack(docs)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
