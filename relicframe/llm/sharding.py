@@ -199,9 +199,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, ranges: int | None = None
         search.refine(narrow, 1)
         open_keys = list(search.open_cells)
         if open_keys or n_large:
-            repeats = large.select(F.explode("texts").alias("t")).select(F.col("t.k0").alias("k0"), F.explode("t.ids.k1").alias("k1"))
-            if open_keys:
-                repeats = repeats.unionByName(docs.sparkSession.createDataFrame(open_keys, "k0 long, k1 long")).distinct()
+            repeats = docs.sparkSession.createDataFrame(open_keys, "k0 long, k1 long")
+            if n_large:
+                ids = large.select(F.explode("texts").alias("t")).select(F.col("t.k0").alias("k0"), F.explode("t.ids.k1").alias("k1"))
+                repeats = repeats.unionByName(ids).distinct()
             keyed, narrow, repeated = number_repeats(keyed, narrow, repeats)
             search.refine(repeated, 2)
         search.settle()
