@@ -8,7 +8,7 @@ lacks it, and any other missing value is an error, as is a picture that its payl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import field, i16, i32, u16, u32
+from ..functions.text import bind
 from .records import rect
 
 PIXMAP_BYTES = 50
@@ -60,11 +61,11 @@ _PATTERN = 28
 
 def pattern(data: Column) -> Column:
     """The head of a pixel pattern; pixelMap is null for the old kind without one."""
-    at = _int(u32(data, 2))
-    has_map = (u16(data, 0) == 1) & (F.octet_length(data) >= at + PIXMAP_BYTES)
+    has_map = lambda at: (u16(data, 0) == 1) & (F.octet_length(data) >= at + PIXMAP_BYTES)
+    found = bind(_int(u32(data, 2)), lambda at: F.when(has_map(at), pixel_map(data, at)))
     return F.struct(
         u16(data, 0).alias("type"), u32(data, 2).alias("pixelMapOffset"), u32(data, 6).alias("pixelDataOffset"), u32(data, 10).alias("expandedData"), u16(data, 14).alias("expandedDepth"),
-        u32(data, 16).alias("reserved"), F.hex(field(data, 20, 8)).alias("monochromePatternHex"), F.when(has_map, pixel_map(data, at)).alias("pixelMap"),
+        u32(data, 16).alias("reserved"), F.hex(field(data, 20, 8)).alias("monochromePatternHex"), found.alias("pixelMap"),
     )
 
 
@@ -80,38 +81,47 @@ def pattern_slices(data: Column) -> Column:
     numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     start = lambda i: _int(u32(data, 2 + 4 * i))
     end = lambda i: F.when(i + 1 < n, start(i + 1)).otherwise(size)
-    slices = F.transform(numbers, lambda i: F.struct(start(i).alias("offset"), field(data, start(i), end(i) - start(i)).alias("data"), (start(i) < end(i)).alias("fits")))
-    return F.when((size >= 2 + 4 * n) & F.forall(slices, lambda s: F.coalesce(s["fits"] & (s["offset"] < size), F.lit(False))), slices)
+    places = F.transform(numbers, lambda i: F.struct(start(i).alias("start"), end(i).alias("end")))
+    slices = F.transform(places, lambda p: F.struct(p["start"].alias("offset"), field(data, p["start"], p["end"] - p["start"]).alias("data"), (p["start"] < p["end"]).alias("fits")))
+    inside = lambda all_: F.forall(all_, lambda s: F.coalesce(s["fits"] & (s["offset"] < size), F.lit(False)))
+    return bind(slices, lambda all_: F.when((size >= 2 + 4 * n) & inside(all_), all_))
 
 
 def pattern_json(data: Column) -> Column:
-    return F.when(pattern_is_whole(data), F.to_json(pattern(data)))
+    return bind(data, lambda d: F.when(pattern_is_whole(d), F.to_json(pattern(d))))
 
 
 def pattern_list_json(data: Column) -> Column:
-    slices = pattern_slices(data)
+    return bind(data, lambda d: bind(pattern_slices(d), _slices_json))
+
+
+def _slices_json(slices: Column) -> Column:
     entries = F.transform(slices, lambda s: F.struct(s["offset"].alias("offset"), pattern(s["data"]).alias("p")))
     flat = F.transform(entries, lambda e: F.struct(e["offset"].alias("offset"), *[e["p"][n].alias(n) for n in ("type", "pixelMapOffset", "pixelDataOffset", "expandedData", "expandedDepth", "reserved", "monochromePatternHex", "pixelMap")]))
     return F.when(F.forall(slices, lambda s: pattern_is_whole(s["data"])), F.to_json(F.struct(flat.alias("patterns"))))
 
 
-def _spot(data: Column, map_at: Column | int, pixels_at: Column, table_at: Column, mask: Column, mask_row_bytes: Column, alpha: bool) -> Column:
+def _spot(data: Column, map_at: Column, pixels_at: Column, table_at: Column, mask: Column, mask_row_bytes: Column, alpha: bool) -> Column:
     """struct of what the task needs of a picture whose pixel map is at ``map_at``."""
-    map_at = F.lit(map_at) if isinstance(map_at, int) else map_at
-    box, row_bytes = rect(data, map_at + 6), u16(data, map_at + 4).bitwiseAND(0x3FFF)
-    width, height = box["right"] - box["left"], box["bottom"] - box["top"]
-    whole = (width > 0) & (height > 0) & (width * height <= MOST_PIXELS) & (F.octet_length(data) >= pixels_at + row_bytes * height)
-    pixels = F.when(whole, field(data, pixels_at, _int(row_bytes * height)))
-    return F.struct(
-        _int(width).alias("width"), _int(height).alias("height"), _int(u16(data, map_at + 32)).alias("depth"), _int(row_bytes).alias("row_bytes"), pixels.alias("pixels"),
-        color_table_bytes(data, table_at).alias("table"), mask.alias("mask"), _int(mask_row_bytes).alias("mask_row_bytes"), F.lit(alpha).alias("alpha"),
-    )
+
+    def measured(m: Column, at: Column) -> Column:
+        box, row_bytes = m["box"], m["row_bytes"]
+        width, height = box["right"] - box["left"], box["bottom"] - box["top"]
+        whole = (width > 0) & (height > 0) & (width * height <= MOST_PIXELS) & (F.octet_length(data) >= at["pixels"] + row_bytes * height)
+        return F.struct(
+            _int(width).alias("width"), _int(height).alias("height"), _int(m["depth"]).alias("depth"), _int(row_bytes).alias("row_bytes"), F.when(whole, field(data, at["pixels"], _int(row_bytes * height))).alias("pixels"),
+            color_table_bytes(data, at["table"]).alias("table"), mask.alias("mask"), _int(mask_row_bytes).alias("mask_row_bytes"), F.lit(alpha).alias("alpha"),
+        )
+
+    heads = lambda at: F.struct(rect(data, at["map"] + 6).alias("box"), u16(data, at["map"] + 4).bitwiseAND(0x3FFF).alias("row_bytes"), u16(data, at["map"] + 32).alias("depth"))
+    places = F.struct(map_at.alias("map"), pixels_at.alias("pixels"), table_at.alias("table"))
+    return bind(places, lambda at: bind(heads(at), lambda m: measured(m, at)))
 
 
 def _pattern_spot(data: Column) -> Column:
     no_mask = F.lit(None).cast("binary"), F.lit(None).cast("int")
-    at = _int(u32(data, 2))
-    return F.when(u16(data, 0) == 1, _spot(data, at, _int(u32(data, 6)), _int(u32(data, at + 42)), *no_mask, alpha=False))
+    spot = bind(_int(u32(data, 2)), lambda at: _spot(data, at, _int(u32(data, 6)), _int(u32(data, at + 42)), *no_mask, alpha=False))
+    return F.when(u16(data, 0) == 1, spot)
 
 
 # --- icons and cursors ---------------------------------------------------------------------------
@@ -119,43 +129,45 @@ def _pattern_spot(data: Column) -> Column:
 _ICON_HEAD, _CURSOR_HEAD = 82, 96
 
 
-def _icon_places(data: Column) -> dict[str, Column]:
-    """Where an icon's mask, bitmap, color table and pixels begin; they lie one behind another."""
+def _with_icon_places(data: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of where an icon's mask, bitmap, color table and pixels begin; they lie one behind another."""
     rows = lambda at: u16(data, at + 4).bitwiseAND(0x3FFF) * (i16(data, at + 10) - i16(data, at + 6))
-    mask = F.lit(_ICON_HEAD)
-    bitmap = _int(mask + rows(50))
-    table = _int(bitmap + rows(64))
-    return {"mask": mask, "bitmap": bitmap, "table": table, "pixels": _int(table + 8 + 8 * (u16(data, table + 6) + 1))}
+    first = F.struct(F.lit(_ICON_HEAD).alias("mask"), _int(F.lit(_ICON_HEAD) + rows(50)).alias("bitmap"), _int(F.lit(_ICON_HEAD) + rows(50) + rows(64)).alias("table"))
+    pixels = lambda at: _int(at["table"] + 8 + 8 * (u16(data, at["table"] + 6) + 1))
+    return bind(first, lambda at: bind(F.struct(at["mask"].alias("mask"), at["bitmap"].alias("bitmap"), at["table"].alias("table"), pixels(at).alias("pixels")), body))
 
 
 def icon_json(data: Column) -> Column:
-    at = _icon_places(data)
-    fields = F.struct(
-        u32(data, 0).alias("pixMapUnused"), pixel_map(data, F.lit(0)).alias("pixelMap"), u32(data, 50).alias("maskUnused"), bitmap_header(data, 50).alias("mask"),
-        u32(data, 64).alias("bitmapUnused"), bitmap_header(data, 64).alias("bitmap"), u32(data, 78).alias("iconData"),
-        at["mask"].alias("maskDataOffset"), at["bitmap"].alias("bitmapDataOffset"), at["table"].alias("colorTableOffset"),
-    )
-    return F.when((F.octet_length(data) >= _ICON_HEAD) & (at["table"] <= F.octet_length(data)), F.to_json(fields))
+    def form(d: Column, at: Column) -> Column:
+        fields = F.struct(
+            u32(d, 0).alias("pixMapUnused"), pixel_map(d, F.lit(0)).alias("pixelMap"), u32(d, 50).alias("maskUnused"), bitmap_header(d, 50).alias("mask"),
+            u32(d, 64).alias("bitmapUnused"), bitmap_header(d, 64).alias("bitmap"), u32(d, 78).alias("iconData"),
+            at["mask"].alias("maskDataOffset"), at["bitmap"].alias("bitmapDataOffset"), at["table"].alias("colorTableOffset"),
+        )
+        return F.when((F.octet_length(d) >= _ICON_HEAD) & (at["table"] <= F.octet_length(d)), F.to_json(fields))
+
+    return bind(data, lambda d: _with_icon_places(d, lambda at: form(d, at)))
 
 
 def _icon_spot(data: Column) -> Column:
-    at = _icon_places(data)
-    mask = field(data, at["mask"], at["bitmap"] - at["mask"])
-    return _spot(data, 0, at["pixels"], at["table"], mask, u16(data, 54).bitwiseAND(0x3FFF), alpha=True)
+    mask_rows = u16(data, 54).bitwiseAND(0x3FFF)
+    spot = lambda at: _spot(data, F.lit(0), at["pixels"], at["table"], field(data, at["mask"], at["bitmap"] - at["mask"]), mask_rows, alpha=True)
+    return _with_icon_places(data, spot)
 
 
 def cursor_json(data: Column) -> Column:
-    at = _int(u32(data, 2))
-    fields = F.struct(
-        u16(data, 0).alias("type"), u32(data, 2).alias("pixelMapOffset"), u32(data, 6).alias("pixelDataOffset"), u32(data, 10).alias("expandedData"), u16(data, 14).alias("expandedDepth"),
-        u32(data, 16).alias("reserved"), u16(data, 84).alias("hotspotY"), u16(data, 86).alias("hotspotX"), u32(data, 88).alias("colorTableOffset"), i32(data, 92).alias("cursorId"), pixel_map(data, at).alias("pixelMap"),
-    )
-    return F.when((F.octet_length(data) >= _CURSOR_HEAD) & (F.octet_length(data) >= at + PIXMAP_BYTES), F.to_json(fields))
+    def form(d: Column, at: Column) -> Column:
+        fields = F.struct(
+            u16(d, 0).alias("type"), u32(d, 2).alias("pixelMapOffset"), u32(d, 6).alias("pixelDataOffset"), u32(d, 10).alias("expandedData"), u16(d, 14).alias("expandedDepth"),
+            u32(d, 16).alias("reserved"), u16(d, 84).alias("hotspotY"), u16(d, 86).alias("hotspotX"), u32(d, 88).alias("colorTableOffset"), i32(d, 92).alias("cursorId"), pixel_map(d, at).alias("pixelMap"),
+        )
+        return F.when((F.octet_length(d) >= _CURSOR_HEAD) & (F.octet_length(d) >= at + PIXMAP_BYTES), F.to_json(fields))
+
+    return bind(data, lambda d: bind(_int(u32(d, 2)), lambda at: form(d, at)))
 
 
 def _cursor_spot(data: Column) -> Column:
-    at = _int(u32(data, 2))
-    return _spot(data, at, _int(u32(data, 6)), _int(u32(data, at + 42)), field(data, 52, 32), F.lit(2), alpha=True)
+    return bind(_int(u32(data, 2)), lambda at: _spot(data, at, _int(u32(data, 6)), _int(u32(data, at + 42)), field(data, 52, 32), F.lit(2), alpha=True))
 
 
 JSON_FORMS = {"ppat": pattern_json, "ppt#": pattern_list_json, "cicn": icon_json, "crsr": cursor_json}
@@ -223,6 +235,7 @@ def one_bit(bits: bytes, side: int, mask: bytes | None = None) -> np.ndarray:
     return with_alpha(np.repeat(255 * (1 - black)[..., None], 3, axis=-1), alpha)
 
 
+SPOT = "struct<width:int,height:int,depth:int,row_bytes:int,pixels:binary,table:binary,mask:binary,mask_row_bytes:int,alpha:boolean>"
 PICTURES = "variant int, label string, width int, height int, rgba binary, hotspot_y int, hotspot_x int, error string"
 
 
@@ -260,28 +273,28 @@ def color_pictures(resources: DataFrame) -> DataFrame:
     resource without a payload, or of another type, gives no row.
     """
     data, kind = F.col("data"), F.col("type")
-    none = F.lit(None)
-    zero = F.lit(0)
+    none, zero = F.lit(None), F.lit(0)
 
     def work(what: str, order: Column, spot: Column, bits: Column, fits: Column) -> Column:
         return F.struct(F.lit(what).alias("what"), order.alias("first"), F.when(fits, spot).alias("spot"), bits.alias("bits"), F.coalesce(fits, F.lit(False)).alias("fits"))
 
-    one_pattern = F.array(work("pattern", zero, _pattern_spot(data), field(data, 20, 8), pattern_is_whole(data)))
-    slices = pattern_slices(data)
-    many = F.transform(slices, lambda s, i: work("pattern", (4 * i).cast("int"), _pattern_spot(s["data"]), field(s["data"], 20, 8), pattern_is_whole(s["data"])))
-    bad_list = F.array(work("pattern", zero, _pattern_spot(data), none.cast("binary"), F.lit(False)))
-    size = F.octet_length(data)
-    icon = F.array(work("icon", zero, _icon_spot(data), none.cast("binary"), size >= _ICON_HEAD))
-    cursor = F.array(work("cursor", zero, _cursor_spot(data), field(data, 20, 64), (size >= _CURSOR_HEAD) & (size >= _int(u32(data, 2)) + PIXMAP_BYTES)))
-    indexed = F.array(work("indexed", zero, F.when(F.lit(False), _icon_spot(data)), data, F.lit(True)))
+    nothing = none.cast("binary")
+    one_pattern = lambda d: F.array(work("pattern", zero, _pattern_spot(d), field(d, 20, 8), pattern_is_whole(d)))
+    bad_list = lambda d: F.array(work("pattern", zero, _pattern_spot(d), nothing, F.lit(False)))
+    in_list = lambda s, i: work("pattern", (4 * i).cast("int"), _pattern_spot(s["data"]), field(s["data"], 20, 8), pattern_is_whole(s["data"]))
+    many = lambda d: bind(pattern_slices(d), lambda all_: F.coalesce(F.transform(all_, in_list), bad_list(d)))
+    icon = lambda d: F.array(work("icon", zero, _icon_spot(d), nothing, F.octet_length(d) >= _ICON_HEAD))
+    cursor_fits = lambda d: (F.octet_length(d) >= _CURSOR_HEAD) & (F.octet_length(d) >= _int(u32(d, 2)) + PIXMAP_BYTES)
+    cursor = lambda d: F.array(work("cursor", zero, _cursor_spot(d), field(d, 20, 64), cursor_fits(d)))
+    indexed = lambda d: F.array(work("indexed", zero, none.cast(SPOT), d, F.lit(True)))
     # each type's expression runs on its own rows alone
     found = None
     for types, jobs in (
-        (("ppat",), one_pattern), (("ppt#",), F.coalesce(many, bad_list)), (("cicn",), icon), (("crsr",), cursor), (tuple(INDEXED_ICONS), indexed),
+        (("ppat",), one_pattern), (("ppt#",), many), (("cicn",), icon), (("crsr",), cursor), (tuple(INDEXED_ICONS), indexed),
     ):
         hot = kind == "crsr"
         part = resources.where(kind.isin(*types) & data.isNotNull()).select(
-            "file", "type", "id", F.when(hot, _int(u16(data, 84))).alias("hotspot_y"), F.when(hot, _int(u16(data, 86))).alias("hotspot_x"), F.explode(jobs).alias("job")
+            "file", "type", "id", F.when(hot, _int(u16(data, 84))).alias("hotspot_y"), F.when(hot, _int(u16(data, 86))).alias("hotspot_x"), F.explode(bind(data, jobs)).alias("job")
         )
         found = part if found is None else found.unionByName(part)
     kinds = dict(found.dtypes)

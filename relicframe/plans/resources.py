@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import field, four_cc, i16, i32, mac_text, pascal_string, type_code, u8, u16, u32
+from ..functions.text import bind
 from .color_pictures import JSON_FORMS, SYSTEM_16
 from .records import rect
 
@@ -347,29 +348,36 @@ JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
 TEXT_TYPES = ("STR ", "TEXT")
 
 
-def convert(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
-    """(file, type, id, name, format, media_type, text, error) of each resource with a known JSON or text form, and a native row for each.
+def converted(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
+    """(file, type, id, name, format, media_type, text, error) of each resource with a known JSON or text form.
 
     ``wants`` names the types asked for; others are neither read nor planned.
     """
-    if wants is not None:
-        resources = resources.where(F.col("type").isin(*wants))
-    json = F.lit(None).cast("string")
+    kind = F.col("type")
     asked = {types: make for types, make in JSON_TYPES.items() if wants is None or set(types) & set(wants)}
-    for types, make in asked.items():
-        json = F.when(F.col("type").isin(*types), make()).otherwise(json)
-    text = F.when(F.col("type") == "STR ", pascal_string(_data(), 0)).when(F.col("type") == "TEXT", mac_text(_data()))
     kinds = [t for types in asked for t in types]
-    is_json, is_text = F.col("type").isin(*kinds), F.col("type").isin(*TEXT_TYPES)
-    made = resources.select("file", "type", "id", "name", F.when(is_json, json).otherwise(text).alias("text"), is_json.alias("_json"), is_text.alias("_text"))
-    known = made.where("_json OR _text")
-    converted = known.select(
-        "file", "type", "id", "name", F.when(F.col("_json"), "json").otherwise("text").alias("format"),
-        F.when(F.col("_json"), "application/json").otherwise("text/plain").alias("media_type"), "text",
-        F.when(F.col("text").isNull(), "unexpected end").alias("error"),
-    )
+    texts = [t for t in TEXT_TYPES if wants is None or t in wants]
+    text = F.when(kind == "STR ", pascal_string(_data(), 0)).when(kind == "TEXT", mac_text(_data()))
+    for types, make in asked.items():
+        text = text.when(kind.isin(*types), make())
+    is_text = kind.isin(*texts)
+    # the text is worked out once, inside a lambda, however often it is named
+    told = bind(
+        text,
+        lambda t: F.struct(
+            F.when(is_text, "text").otherwise("json").alias("format"), F.when(is_text, "text/plain").otherwise("application/json").alias("media_type"), t.alias("text"),
+            F.when(t.isNull(), "unexpected end").alias("error"),
+        ),
+    )
+    return resources.where(kind.isin(*kinds, *texts)).select("file", "type", "id", "name", told.alias("told")).select("file", "type", "id", "name", "told.*")
+
+
+def convert(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
+    """The rows of converted(), and a native row for each resource."""
+    if wants is not None:
+        resources = resources.where(F.col("type").isin(*wants))
     native = resources.select("file", "type", "id", "name", F.lit("native").alias("format"), F.lit("application/octet-stream").alias("media_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
-    return converted.unionByName(native)
+    return converted(resources, wants).unionByName(native)
 
 
 # --- sound -----------------------------------------------------------------------------------
