@@ -116,7 +116,10 @@ def conversions(resources: DataFrame, stem: Column | None = None) -> tuple[DataF
             as_column(variant).cast("int").alias("variant"), content.alias("content"),
         )
 
-    told = written(forms.converted(rows), "converted")
+    # only forms of types that are there are planned; at most as many as there are forms
+    known = [*(t for types in forms.JSON_TYPES for t in types), *forms.TEXT_TYPES]
+    present = [r["type"] for r in rows.where(F.col("type").isin(*known)).select("type").distinct().collect()]
+    told = written(forms.converted(rows, present), "converted")
     is_text = F.col("format") == "text"
     text_path = F.when(is_text, F.concat(F.lit("resource-text/"), _named(stem, F.col("type"), ".txt"))).otherwise(_plain(".json"))
     texts = shaped(told.where(F.col("text").isNotNull() & (is_text | F.col("type").isin(*JSON_FILES))), 0, text_path, F.col("format"), F.when(is_text, "text/plain; charset=utf-8").otherwise("application/json"), 0, F.encode("text", "utf-8"))
@@ -132,7 +135,7 @@ def conversions(resources: DataFrame, stem: Column | None = None) -> tuple[DataF
     in_list = F.when(F.col("type") == "ppt#", F.concat(F.lit("_"), _two_digits(F.floor(F.col("variant") / 4)))).otherwise("")
     color = shaped(drawn, 1 + F.col("variant"), _plain(F.concat(in_list, label, F.lit(".png"))), "png", "image/png", F.col("variant"), F.col("png"))
 
-    heard = rows.where("type = 'snd '").select(*keys, "name", forms.wav_bytes().alias("wav"))
+    heard = written(rows.where("type = 'snd '").select(*keys, "name", forms.wav_bytes().alias("wav")), "sounds")
     sounds = shaped(heard.where("wav IS NOT NULL"), 1, F.concat(F.lit("sounds/"), _named(stem, F.lit("snd"), ".wav")), "wav", "audio/wav", 0, F.col("wav"))
 
     listed = forms.with_code_strings(rows).join(names, keys)

@@ -369,7 +369,8 @@ def converted(resources: DataFrame, wants: Collection[str] | None = None) -> Dat
             F.when(t.isNull(), "unexpected end").alias("error"),
         ),
     )
-    return resources.where(kind.isin(*kinds, *texts)).select("file", "type", "id", "name", told.alias("told")).select("file", "type", "id", "name", "told.*")
+    known = kind.isin(*kinds, *texts) if kinds or texts else F.lit(False)
+    return resources.where(known).select("file", "type", "id", "name", told.alias("told")).select("file", "type", "id", "name", "told.*")
 
 
 def convert(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
@@ -392,18 +393,23 @@ def wav_bytes() -> Column:
     """WAV of an uncompressed 8-bit ``snd `` resource; null for other encodings."""
     kind = u16(_data(), 0)
     first = F.when(kind == 1, 10).otherwise(4)
-    n = u16(_data(), first)
-    places = F.transform(_range(n), lambda k: F.when(u16(_data(), first + 2 + 8 * k).isin(0x8050, 0x8051), u32(_data(), first + 6 + 8 * k)))
-    at = F.coalesce(F.try_element_at(F.filter(places, lambda p: p.isNotNull() & (p != 0)), F.lit(1)), (first + 2 + 8 * n)).cast("int")
-    count, rate = u32(_data(), at + 4), u16(_data(), at + 8)
-    samples = field(_data(), at + 22, count.cast("int"))
-    pad = F.when(count % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))
-    head = F.concat(
-        F.lit(b"RIFF"), _little(36 + count + count % 2, 4), F.lit(b"WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(F.lit(1), 2),
-        _little(rate, 4), _little(rate, 4), _little(F.lit(1), 2), _little(F.lit(8), 2), F.lit(b"data"), _little(count, 4),
-    )
-    plain = kind.isin(1, 2) & (u8(_data(), at + 20) == 0) & (F.octet_length(_data()) >= at + 22 + count) & (count > 0)
-    return F.when(plain, F.concat(head, samples, pad))
+
+    def header_at(commands: Column) -> Column:
+        n = u16(_data(), commands)
+        places = F.transform(_range(n), lambda k: F.when(u16(_data(), commands + 2 + 8 * k).isin(0x8050, 0x8051), u32(_data(), commands + 6 + 8 * k)))
+        return F.coalesce(F.try_element_at(F.filter(places, lambda p: p.isNotNull() & (p != 0)), F.lit(1)), (commands + 2 + 8 * n)).try_cast("int")
+
+    def made(at: Column, count: Column, rate: Column) -> Column:
+        samples = field(_data(), at + 22, count.try_cast("int"))
+        pad = F.when(count % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))
+        head = F.concat(
+            F.lit(b"RIFF"), _little(36 + count + count % 2, 4), F.lit(b"WAVEfmt "), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(F.lit(1), 2),
+            _little(rate, 4), _little(rate, 4), _little(F.lit(1), 2), _little(F.lit(8), 2), F.lit(b"data"), _little(count, 4),
+        )
+        plain = kind.isin(1, 2) & (u8(_data(), at + 20) == 0) & (F.octet_length(_data()) >= at + 22 + count) & (count > 0)
+        return F.when(plain, F.concat(head, samples, pad))
+
+    return bind(bind(first, header_at), lambda at: bind(u32(_data(), at + 4), lambda count: bind(u16(_data(), at + 8), lambda rate: made(at, count, rate))))
 
 
 def sounds(resources: DataFrame) -> DataFrame:
