@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_path
-from . import artifacts, color_pictures, resources
+from ..scratch import scratch_path, written
+from . import artifacts, color_pictures, resources, rom, rom_index
 from .archive_queries import _be, _zero
 from .driver_queries import query, table
 
@@ -171,3 +171,92 @@ def resource_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, errors = artifacts.conversions(rows)
     found = artifacts.summaries(rows, made, errors)
     return found.select("id", "type", "bytes", "status", "output_file", F.array_join(F.transform("artifacts", lambda a: a["format"]), ",").alias("formats"))
+
+
+@query("c08_dumps_and_side_cars", """
+    WITH l AS (SELECT p_partkey, unnest(range(2)) AS k, p_name, p_size FROM part),
+    d AS (SELECT 'disk/f' || p_partkey AS file, 'CARD_' || (p_partkey * 2 + k) || '.data' AS path, encode(p_name || k) AS content, p_partkey, p_name, k FROM l)
+    SELECT file, path, CAST(octet_length(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM d
+    UNION ALL SELECT file, path || '.provenance.json', CAST(strlen(j) AS BIGINT), sha256(j) FROM (SELECT file, path, '{"converter":{"name":"dumps","version":"1","converted_at":"7"},"source":{"embedded_file_id":' || (p_partkey * 2 + k) || ',"sha256":"' || sha256(p_name)
+        || '"},"target":{"path":"' || path || '","sha256":"' || sha256(content) || '","status":"exported","message":null}}' AS j FROM d) x""")
+def dumps_and_side_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as files, and beside each a side-car that ties its digest to that of its source."""
+    folder = scratch_path(spark, "dump-files")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("disk/f"), F.col("p_partkey").cast("string")).alias("file"), "p_partkey", "p_name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"))
+    number = (F.col("p_partkey") * 2 + F.when(F.col("seq") == 2, 1).otherwise(F.col("seq"))).cast("int")
+    # the second block of each file is written over by the third, of the same number
+    blocks = rows.select("file", "seq", F.lit("CARD").alias("type"), number.alias("id"), F.lit("ok").alias("status"), F.encode(F.concat("p_name", F.when(F.col("seq") == 1, "gone").otherwise(F.least(F.col("seq"), F.lit(1)).cast("string"))), "utf-8").alias("payload"))
+    told, _ = artifacts.save(artifacts.raw_dumps(blocks), folder)
+    sources = rows.where("seq < 2").select("file", F.concat(F.lit("CARD_"), number.cast("string"), F.lit(".data")).alias("path"), number.alias("embedded_file_id"), F.sha2(F.encode("p_name", "utf-8"), 256).alias("source_sha256"))
+    converted = told.join(sources, ["file", "path"]).select(
+        "file", "embedded_file_id", F.col("source_sha256").alias("sha256"), F.col("path").alias("target_path"), F.col("sha256").alias("target_sha256"), "status", F.lit(None).cast("string").alias("message"), F.lit(7).alias("converted_at")
+    )
+    cars, _ = artifacts.save(artifacts.provenance(converted, "dumps", "1"), folder)
+    return told.unionByName(cars).select("file", "path", "bytes", "sha256")
+
+
+def _index_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each customer."""
+    from .archive_queries import _images
+
+    return _images(table(spark, sf_dir, "customer"), F.col("c_custkey"), F.concat(F.encode("c_name", "utf-8"), F.lit(b"\xff" * 40)))
+
+
+def _index_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    from .archive_queries import BASE, _listing
+
+    images = _index_images(spark, sf_dir)
+    bounds = images.select("rom_id", "base", F.octet_length("content").cast("long").alias("bytes"))
+    rows = rom.instructions(_listing(spark, sf_dir))
+    data = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
+        F.col("c_custkey").cast("string").alias("rom_id"), F.lit(BASE + 4).cast("long").alias("start"), F.lit(BASE + 8).cast("long").alias("end"), F.lit("string_cluster").alias("kind"), F.lit(3).cast("long").alias("n"), F.lit(0.6).alias("confidence")
+    )
+    return bounds, {"regions": rom_index.regions(rom.first_bytes(images), rows, bounds, data), "traps": rom.traps(rows), "instructions": rows}
+
+
+_INDEX_SQL = """
+    WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS rom_id, CAST(strlen(c_name) AS BIGINT) + 40 AS bytes, c_acctbal FROM customer),
+    o AS (SELECT CAST(o_custkey AS VARCHAR) AS rom_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'P') AS traps FROM orders GROUP BY 1),
+    r AS (SELECT rom_id, 'region-' || rom_id || '-first-bytes' AS id, 1082130432 AS start, 1082130464 AS "end", 'header' AS kind, 1 AS items, CAST(0.45 AS DOUBLE) AS confidence, 'identity:first-bytes' AS source FROM c
+        UNION ALL SELECT rom_id, 'region-40800000', 1082130432, 1082130432 + bytes, 'code', n, 0.95, 'disassembly' FROM c JOIN o USING (rom_id)
+        UNION ALL SELECT rom_id, 'data-40800004', 1082130436, 1082130440, 'string_cluster', 3, 0.6, 'scanner' FROM c WHERE c_acctbal > 0)"""
+
+
+@query("c09_regions", _INDEX_SQL + """ SELECT * FROM r""")
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What first bytes, listings and scans say of each image, in one table."""
+    return _index_tables(spark, sf_dir)[1]["regions"]
+
+
+@query("c10_analysis_documents", _INDEX_SQL + """,
+    t AS (SELECT rom_id, 'regions' AS section, count(*) AS n FROM r GROUP BY rom_id UNION ALL SELECT rom_id, 'traps', traps FROM o WHERE traps > 0),
+    p AS (SELECT rom_id, section, n, unnest(range(CAST(ceil(n / 2.0) AS BIGINT))) AS part FROM t)
+    SELECT rom_id, section || '-' || part AS part, least(2, n - 2 * part) AS items, CASE WHEN section = 'regions' AND part = 0 THEN '40800000' END AS start FROM p
+    UNION ALL SELECT c.rom_id, 'head', coalesce(a.n, 0) * 1000 + coalesce(b.n, 0), 'header' FROM c LEFT JOIN t a ON a.rom_id = c.rom_id AND a.section = 'regions' LEFT JOIN t b ON b.rom_id = c.rom_id AND b.section = 'traps'""")
+def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each image's document, two items each, and its head with the counts of regions and traps."""
+    bounds, tables = _index_tables(spark, sf_dir)
+    parts = written(rom_index.document_parts(rom_index.items(tables), 2), "parts")
+    heads = rom_index.document_heads(bounds, parts, F.lit("now"))
+    count = lambda s: F.get_json_object("content", f"$.counts.{s}").cast("long")
+    first = F.when((F.col("section") == "regions") & (F.col("part") == 0), F.get_json_object("content", "$[0].start"))
+    shown = parts.select("rom_id", F.concat("section", F.lit("-"), F.col("part").cast("string")).alias("part"), "items", first.alias("start"))
+    return shown.unionByName(heads.select("rom_id", F.lit("head").alias("part"), (count("regions") * 1000 + count("traps")).alias("items"), F.lit("header").alias("start")))
+
+
+@query("c11_image_resource_index", """
+    WITH p AS (SELECT p_partkey AS k, p_size AS s, p_name AS t FROM part), h AS (SELECT *, 'clut_' || s || '_40800022' AS stem FROM p)
+    SELECT CAST(k AS VARCHAR) AS file, 'resources/' || stem || '.bin' AS path, CAST(strlen(t) AS BIGINT) AS bytes, sha256(t) AS sha256, NULL AS raw FROM h
+    UNION ALL SELECT CAST(k AS VARCHAR), 'index.json', NULL, NULL, sha256(t) || ':resources/' || stem || '.bin' FROM h""")
+def image_resource_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resource inside each image as a file, and the index that tells its path and digest."""
+    from .archive_queries import _images
+
+    name = F.encode("p_name", "utf-8")
+    head = F.concat(F.lit(b"\x78" + bytes(7)), _zero(4), _be(34, 4))
+    inline = F.concat(F.lit(b"clut"), _be(F.col("p_size"), 2), _be(2, 2), F.lit(b"nm"), _be(F.octet_length(name), 4), _zero(4), name)
+    found = rom.inline_resources(_images(table(spark, sf_dir, "part"), F.col("p_partkey"), F.concat(head, inline)))
+    files = rom_index.resource_index(found).where("path NOT LIKE 'converted/%'")
+    told = F.when(F.col("path") == "index.json", F.decode("content", "utf-8"))
+    raw = F.concat(F.get_json_object(told, "$.resources[0].raw_sha256"), F.lit(":"), F.get_json_object(told, "$.resources[0].raw_file"))
+    return files.select("file", "path", F.when(told.isNull(), F.octet_length("content").cast("long")).alias("bytes"), F.when(told.isNull(), F.sha2("content", 256)).alias("sha256"), raw.alias("raw"))
