@@ -156,7 +156,7 @@ def master_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list for each nation, a page for each customer of it that has no debt, a card for each order that is not pending."""
+    """A list for each nation, a page for each customer of it, missing for those in debt, a card for each order, missing for pending ones."""
     customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     counted = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count("*").alias("n"), _listed("o_orderkey", F.concat(_be(F.col("o_orderkey") + 1, 4), _be(F.length("o_orderpriority"), 1), _zero(5))).alias("cards")
@@ -165,9 +165,11 @@ def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.concat(_be(F.col("c_custkey"), 4), _be(F.col("n"), 2))
     lists = pages.groupBy("c_nationkey").agg(F.count("*").alias("pages"), _listed("c_custkey", entry).alias("e"))
     listed = _block(lists, "LIST", F.col("c_nationkey"), F.lit(7), F.concat(_zero(4), _be(F.col("pages"), 4), _zero(8), _be(10, 2), _zero(18), F.col("e"), _zero(6)))
-    paged = _block(pages.where("c_acctbal >= 0"), "PAGE", F.col("c_nationkey"), F.col("c_custkey"), F.concat(_zero(12), F.coalesce("cards", _zero(0))))
-    owned = orders.where("o_orderstatus <> 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return listed.unionByName(paged).unionByName(_block(owned, "CARD", F.col("c_nationkey"), F.col("o_orderkey") + 1, _zero(50)))
+    # what is in debt or pending has a number that no list and no page names
+    paged = _block(pages, "PAGE", F.col("c_nationkey"), F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")), F.concat(_zero(12), F.coalesce("cards", _zero(0))))
+    owned = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    card = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") + 1).otherwise(-F.col("o_orderkey") - 1)
+    return listed.unionByName(paged).unionByName(_block(owned, "CARD", F.col("c_nationkey"), card, _zero(50)))
 
 
 @query("a08_page_entries", """
@@ -199,7 +201,7 @@ def _layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = _even(F.concat(_be(F.octet_length(body) + 2 + (F.octet_length(body) % 2), 2), body))
     said = F.encode(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")), "utf-8")
-    content = F.concat(_be(F.when(F.col("l_linestatus") == "O", -number).otherwise(number), 2), _be(F.octet_length(said) + 1, 2), _even(F.concat(_zero(1), said)))
+    content = F.concat(_be(F.when(F.col("l_linestatus") == "O", -number).otherwise(number), 2), _be(F.octet_length(said), 2), _even(said))
     grouped = lines.groupBy("l_orderkey").agg(
         F.count("*").alias("n"), _listed("l_linenumber", part).alias("parts"), F.count_if(button).alias("m"), _listed("l_linenumber", F.when(button, content).otherwise(_zero(0))).alias("contents")
     )
@@ -210,7 +212,7 @@ def _layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(head, _be(n, 2), _zero(6), _be(m, 2), _zero(4), F.coalesce("parts", _zero(0)), F.coalesce("contents", _zero(0)), tail)
     made = _block(cards, "CARD", F.lit("f"), F.col("o_orderkey"), payload)
     name = F.encode(F.lit("ok"), "utf-8")
-    one = F.concat(_be(34, 2), _be(1, 2), _be(256, 2), _zero(24), name, _zero(2))
+    one = F.concat(_be(36, 2), _be(1, 2), _be(256, 2), _zero(24), name, _zero(4))
     ground = F.concat(_zero(24), _be(1, 2), _zero(6), _be(0, 2), _zero(4), one, _c(F.col("c_name")), _c(F.lit("")))
     return made.unionByName(_block(table(spark, sf_dir, "customer"), "BKGD", F.lit("f"), F.col("c_custkey"), ground))
 
@@ -226,21 +228,46 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a11_parts", """
-    SELECT l_orderkey AS layer_id, l_linenumber AS part_id, CASE WHEN l_returnflag = 'R' THEN 'button' ELSE 'field' END AS part_type, l_linestatus <> 'F' AS visible,
+    WITH n AS (SELECT CASE WHEN n_nationkey < 15 THEN n_nationkey ELSE n_nationkey + 100 END AS k, n_name FROM nation)
+    SELECT 'BKGD' AS layer_type, c_custkey AS layer_id, 1 AS part_id, 'button' AS part_type, true AS visible, 0 AS "top", 0 AS "left", 0 AS "right", 'transparent' AS style, 0 AS family, 'left' AS text_align, 0 AS font_id,
+        'plain' AS text_styles, 'ok' AS name, '' AS script, (SELECT n_name FROM n WHERE k = 0) AS font_name FROM customer
+    UNION ALL SELECT 'CARD', l_orderkey AS layer_id, l_linenumber AS part_id, CASE WHEN l_returnflag = 'R' THEN 'button' ELSE 'field' END AS part_type, l_linestatus <> 'F' AS visible,
         l_linenumber AS "top", CAST(l_quantity AS BIGINT) AS "left", CAST(l_quantity AS BIGINT) + 9 AS "right",
         CASE WHEN l_returnflag <> 'R' THEN 'scrolling' ELSE ['opaque', 'rectangle', 'roundrect', 'shadow', 'checkbox', 'radiobutton', 'unknown'][l_linenumber] END AS style, l_linenumber AS family,
         CASE l_linenumber % 4 WHEN 0 THEN 'forceLeft' WHEN 1 THEN 'right' WHEN 2 THEN 'left' ELSE 'center' END AS text_align, l_suppkey % 20 AS font_id,
-        CASE WHEN l_linenumber % 2 = 1 THEN 'bold' ELSE 'plain' END AS text_styles, 'p' || l_partkey AS name, l_returnflag AS script FROM lineitem""")
+        CASE WHEN l_linenumber % 2 = 1 THEN 'bold' ELSE 'plain' END AS text_styles, 'p' || l_partkey AS name, l_returnflag AS script, coalesce(n_name, '') FROM lineitem LEFT JOIN n ON k = l_suppkey % 20""")
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buttons and fields of cards."""
+    """Buttons and fields of cards and backgrounds, with the names of their fonts."""
     made = _layer_blocks(spark, sf_dir)
-    found = records.parts(made, font_names=spark.createDataFrame([], "file string, font_id long, name string")).where("layer_type = 'CARD'")
+    found = records.parts(made, font_names=_font_names(spark, sf_dir))
     return found.select(
-        "layer_id", "part_id", "part_type", "visible", F.col("bounds.top").alias("top"), F.col("bounds.left").alias("left"), F.col("bounds.right").alias("right"), "style", "family",
-        "text_align", "font_id", F.array_join("text_styles", ",").alias("text_styles"), "name", "script",
+        "layer_type", "layer_id", "part_id", "part_type", "visible", F.col("bounds.top").alias("top"), F.col("bounds.left").alias("left"), F.col("bounds.right").alias("right"), "style", "family",
+        "text_align", "font_id", F.array_join("text_styles", ",").alias("text_styles"), "name", "script", "font_name",
     )
 
 
+def _font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts named after nations; parts use some numbers that none has."""
+    key = F.col("n_nationkey").cast("long")
+    return table(spark, sf_dir, "nation").select(F.lit("f").alias("file"), F.when(key < 15, key).otherwise(key + 100).alias("font_id"), F.col("n_name").alias("name"))
+
+
+_CONTENTS_SQL = """WITH t AS (SELECT l_orderkey, l_linenumber, l_linestatus, 'q' || CAST(l_quantity AS INT) AS said, l_linestatus <> 'O' AND l_linenumber = 1 AS marks FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')"""
+
+
+@query("a35_contents", _CONTENTS_SQL + """
+    SELECT l_orderkey AS layer_id, l_linenumber AS part_id, CASE WHEN l_linestatus = 'O' THEN 'card' ELSE 'background' END AS layer, CASE WHEN marks THEN false END AS highlight, CASE WHEN NOT marks THEN said END AS text FROM t""")
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of cards; one for a button of the background is its highlight, and no text."""
+    return records.contents(_layer_blocks(spark, sf_dir)).select("layer_id", "part_id", "layer", "highlight", "text")
+
+
+@query("a36_text_bytes", _CONTENTS_SQL + """
+    SELECT l_orderkey AS layer_id, CAST(coalesce(sum(CASE WHEN NOT marks THEN strlen(said) END), 0) AS BIGINT) AS text_bytes FROM t GROUP BY l_orderkey""")
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.text_bytes(records.contents(_layer_blocks(spark, sf_dir))).select("layer_id", "text_bytes")
+
+
 # --- print records ---------------------------------------------------------------------------
 
 

@@ -298,7 +298,9 @@ def scalar_subquery_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     outputs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("referenced_by"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("output_file_id"), "o_orderstatus", "o_orderpriority")
-    media = orders.where("o_orderstatus = 'P'").withColumnRenamed("o_orderpriority", "rel_path")
+    # what is not pending refers to no file that there is
+    file = F.when(F.col("o_orderstatus") == "P", F.col("output_file_id")).otherwise(-F.col("output_file_id"))
+    media = orders.withColumn("output_file_id", file).withColumnRenamed("o_orderpriority", "rel_path")
     contents = orders.select("id", "output_file_id", F.col("o_orderpriority").alias("container_kind"), F.col("id").alias("container_id"))
     return warehouse.link_references(outputs, media, contents)
 
@@ -349,11 +351,12 @@ def null_safe_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q23_upsert_latest", """
     WITH u AS (SELECT c_custkey AS k, c_name AS v, 0 AS late, 0 AS seq FROM customer
-               UNION ALL SELECT o_custkey, o_orderpriority, 1, o_orderkey FROM orders WHERE o_orderstatus = 'F')
+               UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END, o_orderpriority, 1, o_orderkey FROM orders)
     SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY late DESC, seq DESC) AS n FROM u) WHERE n = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit(0).cast("long").alias("seq"))
-    changes = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("seq"))
+    key = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    changes = table(spark, sf_dir, "orders").select(key.alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("seq"))
     return relational.upsert(base, changes, ["k"], "seq").select("k", "v")
 
 
@@ -435,14 +438,14 @@ def call_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q29_two_key_fallback", """
-    WITH r AS (SELECT l_orderkey AS a, l_partkey % 7 AS b, l_linenumber AS c, max_by(l_suppkey, l_orderkey * 10 + l_linenumber + l_suppkey / 1e6) AS v FROM lineitem WHERE l_linenumber < 4 GROUP BY ALL),
-    p AS (SELECT l_orderkey AS a, l_partkey % 7 AS b, max_by(l_suppkey, l_orderkey * 10 + l_linenumber + l_suppkey / 1e6) AS v FROM lineitem WHERE l_linenumber < 4 GROUP BY ALL)
+    WITH s AS (SELECT l_orderkey AS a, CASE WHEN l_linenumber < 4 THEN l_partkey % 7 ELSE -1 - l_partkey % 7 END AS b, l_linenumber AS c, l_suppkey, l_orderkey * 10 + l_linenumber + l_suppkey / 1e6 AS o FROM lineitem),
+    r AS (SELECT a, b, c, max_by(l_suppkey, o) AS v FROM s GROUP BY ALL), p AS (SELECT a, b, max_by(l_suppkey, o) AS v FROM s GROUP BY ALL)
     SELECT l_orderkey AS a, l_partkey % 7 AS b, l_linenumber AS c, coalesce(r.v, p.v) AS v FROM lineitem l
     LEFT JOIN r ON r.a = l_orderkey AND r.b = l_partkey % 7 AND r.c = l_linenumber LEFT JOIN p ON p.a = l_orderkey AND p.b = l_partkey % 7""")
 def two_key_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match on three keys, else on two; the last of several counts."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") % 7).alias("b"), F.col("l_linenumber").alias("c"), F.col("l_suppkey").alias("v"))
-    right = lines.where("c < 4").withColumn("at", F.col("a") * 10 + F.col("c") + F.col("v") / 1e6)
+    right = lines.withColumn("b", F.when(F.col("c") < 4, F.col("b")).otherwise(-1 - F.col("b"))).withColumn("at", F.col("a") * 10 + F.col("c") + F.col("v") / 1e6)
     return relational.two_step_lookup(lines.select("a", "b", "c"), right, ["a", "b", "c"], ["a", "b"], "v", "at").select("a", "b", "c", "v")
 
 

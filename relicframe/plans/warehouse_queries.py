@@ -369,8 +369,8 @@ def package_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w29_code_resources", """
     WITH r AS (SELECT p_partkey, p_size, ['XCMD', 'XFCN', 'xcmd', 'cfrg', 'ICON'][p_partkey % 5 + 1] AS type, p_name FROM part),
-    f AS (SELECT p_partkey AS id, p_size AS stack_id, 'resource-disassembly/a_' || ['XCMD', 'XFCN', 'xcmd', 'cfrg', 'ICON'][p_partkey % 5 + 1] || '_' || p_partkey || '.s' AS rel_path FROM part WHERE p_retailprice < 1500),
-    j AS (SELECT r.*, f.id, f.rel_path FROM r LEFT JOIN f ON f.id = p_partkey AND f.stack_id = p_size WHERE type <> 'ICON')
+    f AS (SELECT p_partkey AS id, p_size AS stack_id, 'resource-disassembly/a_' || ['XCMD', 'XFCN', 'xcmd', 'cfrg', 'ICON'][p_partkey % 5 + 1] || '_' || CASE WHEN p_retailprice < 1500 THEN p_partkey ELSE -p_partkey END || '.s' AS rel_path, p_retailprice FROM part),
+    j AS (SELECT r.*, f.id, f.rel_path FROM r LEFT JOIN f ON f.id = p_partkey AND f.stack_id = p_size AND p_retailprice < 1500 WHERE type <> 'ICON')
     SELECT p_size AS stack_id, type AS resource_type, p_partkey AS resource_id, p_name AS resource_name, CASE WHEN type = 'cfrg' THEN 'code_fragment' WHEN lower(type) = 'xcmd' THEN 'externalcommand' ELSE 'externalfunction' END AS external_kind,
         CASE WHEN type = upper(type) THEN 'mac68k' ELSE 'macppc' END AS platform, CAST(strlen(p_name) AS BIGINT) AS payload_bytes, id AS output_file_id, coalesce(rel_path, '') AS disassembly_rel_path,
         CASE WHEN id IS NULL THEN 'missing' ELSE 'present' END AS disassembly_status FROM j""")
@@ -381,8 +381,10 @@ def code_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.select(
         F.lit("r").alias("run_id"), F.lit(1).alias("attempt_id"), F.col("p_size").alias("stack_id"), kind.alias("type"), key.alias("id"), F.col("p_name").alias("name"), F.encode("p_name", "utf-8").alias("data"), F.lit("").alias("disassembly_file")
     )
-    path = F.concat(F.lit("resource-disassembly/a_"), kind, F.lit("_"), key.cast("string"), F.lit(".s"))
-    files = rows.where("p_retailprice < 1500").select(key.alias("id"), F.col("p_size").alias("stack_id"), path.alias("rel_path"))
+    # a dear part's listing bears a number that no resource has
+    number = F.when(F.col("p_retailprice") < 1500, key).otherwise(-key)
+    path = F.concat(F.lit("resource-disassembly/a_"), kind, F.lit("_"), number.cast("string"), F.lit(".s"))
+    files = rows.select(key.alias("id"), F.col("p_size").alias("stack_id"), path.alias("rel_path"))
     made = packages.code_resources(found, files)
     return made.select("stack_id", "resource_type", "resource_id", "resource_name", "external_kind", "platform", "payload_bytes", "output_file_id", "disassembly_rel_path", "disassembly_status")
 
