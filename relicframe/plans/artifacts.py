@@ -26,13 +26,12 @@ from ..scratch import delete, written
 from . import resources as forms
 from .color_pictures import color_pictures
 
-#: Types whose conversion error is one of parsing, and types of code (fixed values).
+#: Types whose conversion error is one of parsing (fixed values).
 PARSED = (
     "PLTE", "HCbg", "HCcd", "vers", "cfrg", "clut", "CTBL", "actb", "cctb", "dctb", "fctb", "wctb", "pltt", "ppat", "ppt#", "cicn", "crsr", "SIZE", "finf", "CNTL", "DLOG", "WIND", "MENU",
     "DITL", "MBAR", "ALRT", "FREF", "BNDL", "ROv#", "RSSC", "TxSt", "styl", "KCHR", "RECT", "TOOL", "PICK", "KBDN", "PAPA", "LAYO", "FONT", "NFNT", "FOND", "decl", "STR ", "STR#", "TwCS",
     "CODE", "DRVR", "dcmp", "TEXT",
 )
-CODE = ("XCMD", "XFCN", "xcmd", "xfcn", "CODE", "DRVR", "dcmp", "PACK", "boot", "ptch")
 CONVERTED = ("snd ", "PICT")
 #: Types whose JSON form is a file.
 JSON_FILES = (*(t for t in PARSED if t not in ("STR ", "TEXT")), "CURS")
@@ -46,7 +45,7 @@ ARTIFACT = ("file", "type", "id", "name", "place", "path", "format", "media_type
 def error_status(kind: Column) -> Column:
     """What a failed conversion makes of a resource; null for types that nothing converts."""
     return (
-        F.when(kind.isin(*PARSED), "parse_failed").when(kind.isin(*CONVERTED), "convert_failed").when(kind.isin(*CODE), "disassembly_failed")
+        F.when(kind.isin(*PARSED), "parse_failed").when(kind.isin(*CONVERTED), "convert_failed").when(kind.isin(*forms.CODE_TYPES), "disassembly_failed")
     )
 
 

@@ -557,7 +557,11 @@ def pbm_to_png(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, png binary, error string")
 
 
+#: Types that hold code (fixed values).
+CODE_TYPES = ("XCMD", "XFCN", "xcmd", "xfcn", "CODE", "DRVR", "dcmp", "PACK", "boot", "ptch")
+
+
 def with_code_strings(resources: DataFrame) -> DataFrame:
     """Words of code resources as dc.w lines, for types whose instructions are not decoded here."""
     words = F.transform(_range(F.floor(F.octet_length(_data()) / 2)), lambda k: F.concat(F.lpad(F.hex(2 * k), 8, "0"), F.lit("  dc.w $"), F.hex(field(_data(), 2 * k, 2))))
-    return resources.where(F.col("type").isin("XCMD", "XFCN", "CODE", "DRVR", "PACK", "boot", "ptch")).select("file", "type", "id", F.array_join(words, "\n").alias("listing"))
+    return resources.where(F.col("type").isin(*CODE_TYPES)).select("file", "type", "id", F.array_join(words, "\n").alias("listing"))
