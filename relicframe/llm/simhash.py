@@ -103,10 +103,14 @@ def spanning_stars(values: np.ndarray, own: np.ndarray | None, max_bits: int = M
     return links
 
 
+#: Block keys of a fingerprint, and rows of one task that compares those of one key, about.
+BLOCK_KEYS, TASK_ROWS = 10, 1_000_000
+
+
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): links that connect the fingerprints ``fp`` as all pairs within MAX_BITS would."""
     files = classes.select("fp", F.explode(block_keys(F.col("fp"))).alias("run_key"))
-    ready = dealt(tile(files, "fp", TILE_ROWS)).select("run_key", "tile_a", "tile_b", "own", "fp")
+    ready = dealt(tile(files, "fp", TILE_ROWS), -(-BLOCK_KEYS * classes.count() // TASK_ROWS)).select("run_key", "tile_a", "tile_b", "own", "fp")
 
     def columns(table: pa.Table) -> dict:
         return {"fp": table.column("fp").to_numpy().view(np.uint64), "own": table.column("own").to_numpy()}

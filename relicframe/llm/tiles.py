@@ -42,9 +42,9 @@ def tile(rows: DataFrame, member: str, cap: int) -> DataFrame:
     return spread.withColumns({"tile_a": F.least("own", "other"), "tile_b": F.greatest("own", "other")}).drop("tiles", "other")
 
 
-def dealt(tiled: DataFrame) -> DataFrame:
-    """Each run in one partition, sorted."""
-    parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(tiled: DataFrame, tasks: int = 0) -> DataFrame:
+    """Each run in one partition, sorted. There are ``tasks`` partitions, which follow the rows, or as many as the session's exchanges have, if those are more."""
+    parts = max(tasks, int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return tiled.repartition(parts, *RUN).sortWithinPartitions(*RUN)
 
 

@@ -45,8 +45,14 @@ LEAF = 512
 TILE_ROWS = 1024
 #: Half the overlap of two sides, in units of a typical projected distance of a linked pair.
 SPILL = 0.1
-#: Trees that are routed and compared in one step.
-STEP_TREES = 4
+#: Copies of the vectors that one step exchanges at most, unless a single tree has more.
+STEP_COPIES = 2.0
+#: Directions that a node tries, beyond its level's own, before it is left as one dense leaf.
+RETRIES = 3
+#: Rows of one task that compares leaves, about.
+TASK_ROWS = 100_000
+#: Sample vectors by which the copies of a tree are measured.
+MEASURED = 2_000
 #: Sample points that a node needs to be split at its own median.
 LEAST_FIT = 16
 NODE_BITS, PATH_BITS = 20, 30
@@ -54,9 +60,9 @@ NODE_BITS, PATH_BITS = 20, 30
 
 @dataclass
 class Tree:
-    """Nodes as arrays: split point (nan: a leaf) and children; a direction for each level.
+    """Nodes as arrays: split point (nan: a leaf), children and the direction (``start``) that parts them.
 
-    Where the sample runs out, a leaf is split ``deeper`` levels from level ``start`` on, at the medians of the whole sample.
+    Where the sample runs out, a leaf is split ``deeper`` levels from direction ``start`` on, at the medians of the whole sample.
     """
 
     directions: np.ndarray
@@ -72,18 +78,16 @@ class Tree:
         place = unit @ self.directions.T
         rows, nodes = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        level = 0
         while rows.size:
             at = self.split[nodes]
             leaf = np.isnan(at)
             done.append((rows[leaf], nodes[leaf]))
             rows, nodes, at = rows[~leaf], nodes[~leaf], at[~leaf]
             if rows.size:
-                here = place[rows, level]
+                here = place[rows, self.start[nodes]]
                 low, high = here <= at + spill, here > at - spill
                 nodes = np.concatenate([self.left[nodes[low]], self.right[nodes[high]]])
                 rows = np.concatenate([rows[low], rows[high]])
-            level += 1
         rows, codes = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         more = self.deeper[codes]
         for step in range(int(more.max(initial=0))):
@@ -120,12 +124,14 @@ def grow(sample: np.ndarray, population: int, levels: int, spill: float, seed: i
         if len(own) < LEAST_FIT:
             deeper[-1] = min(math.ceil(math.log2(size / LEAF)), levels - level, PATH_BITS)
             continue
-        middle = float(np.median(place[own, level]))
-        low, high = own[place[own, level] <= middle + spill], own[place[own, level] > middle - spill]
-        if max(len(low), len(high)) > 0.9 * len(own):
-            continue  # one dense cluster: tiles take it from here
-        split[-1], left[-1], right[-1] = middle, len(todo), len(todo) + 1
-        todo += [(low, level + 1), (high, level + 1)]
+        for axis in range(level, min(level + 1 + RETRIES, levels)):
+            middle = float(np.median(place[own, axis]))
+            low, high = own[place[own, axis] <= middle + spill], own[place[own, axis] > middle - spill]
+            if max(len(low), len(high)) <= 0.9 * len(own):
+                split[-1], left[-1], right[-1], start[-1] = middle, len(todo), len(todo) + 1, axis
+                todo += [(low, axis + 1), (high, axis + 1)]
+                break
+        # else no direction parts them: one dense cluster, which tiles take from here
     numbers = (np.array(x, np.int64) for x in (left, right, deeper, start))
     return Tree(directions, np.median(place, axis=0), np.array(split, float), *numbers)
 
@@ -137,6 +143,17 @@ class Forest:
     first: int
     spill: float
     trees: list[Tree]
+    copies: list[float]
+
+    def steps(self) -> list[range]:
+        """The numbers of trees to be routed together: as many as have no more than STEP_COPIES copies a vector, one at least."""
+        out, begun, held = [], 0, 0.0
+        for i, n in enumerate(self.copies):
+            if i > begun and held + n > STEP_COPIES:
+                out.append(range(self.first + begun, self.first + i))
+                begun, held = i, 0.0
+            held += n
+        return [*out, range(self.first + begun, self.first + len(self.copies))]
 
 
 def plan_forest(sample: np.ndarray, population: int, cosine: float, first: int) -> Forest:
@@ -157,7 +174,9 @@ def plan_forest(sample: np.ndarray, population: int, cosine: float, first: int)
     count = 1 if depth == 0 else math.ceil(math.log(1 - RECALL) / math.log1p(-min(together, 0.999)))
     levels = math.ceil(1.5 * depth) + 2
     spill = SPILL * apart
-    return Forest(first, spill, [grow(sample, population, levels, spill, seed) for seed in range(count)])
+    trees = [grow(sample, population, levels, spill, seed) for seed in range(count)]
+    few = sample[:MEASURED]
+    return Forest(first, spill, trees, [len(t.route(few, spill)[0]) / max(len(few), 1) for t in trees])
 
 
 def is_usable(vector: Column) -> Column:
@@ -272,8 +291,8 @@ def filed(classes: DataFrame, shared, trees: range) -> DataFrame:
     return classes.select("cid", "many", "vector").mapInArrow(run, f"run_key long, cid long, many long, vector {kind}")
 
 
-def compared(rows: DataFrame, cosine: float, shared) -> DataFrame:
-    """(a, b, n): n new links of class a (b null), or a link of the spanning forest (n null)."""
+def compared(rows: DataFrame, cosine: float, shared, count: float) -> DataFrame:
+    """Of about ``count`` rows, (a, b, n): n new links of class a (b null), or a link of the spanning forest (n null)."""
 
     def columns(table: pa.Table) -> dict:
         return {c: table.column(c).to_numpy() for c in ("run_key", "own", "cid", "many")} | {"vector": Vectors(table.column("vector"))}
@@ -289,7 +308,7 @@ def compared(rows: DataFrame, cosine: float, shared) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([a, b, n], names=["a", "b", "n"])
 
-    return dealt(tile(rows, "cid", TILE_ROWS)).mapInArrow(run, "a long, b long, n long")
+    return dealt(tile(rows, "cid", TILE_ROWS), math.ceil(count / TASK_ROWS)).mapInArrow(run, "a long, b long, n long")
 
 
 def forests_of(classes: DataFrame, cosine: float) -> dict[int, Forest]:
@@ -324,8 +343,12 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     if not forests:
         return _with_kept(alone, id_col)
     shared = table.sparkSession.sparkContext.broadcast(forests)  # at most about SAMPLE_VECTORS nodes a tree
-    steps = range(0, max(f.first + len(f.trees) for f in forests.values()), STEP_TREES)
-    tables = [materialize(compared(filed(classes, shared, range(s, s + STEP_TREES)), cosine, shared), "vector-links") for s in steps]
+    n = classes.count()
+    tables = []
+    for forest in forests.values():
+        for trees in forest.steps():
+            copies = sum(forest.copies[t - forest.first] for t in trees)
+            tables.append(materialize(compared(filed(classes, shared, trees), cosine, shared, n * copies), "vector-links"))
     found = reduce(DataFrame.unionByName, tables)
     degrees = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     rooted = materialize(components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cid"), "vector-roots")
