@@ -260,3 +260,27 @@ def image_resource_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.col("path") == "index.json", F.decode("content", "utf-8"))
     raw = F.concat(F.get_json_object(told, "$.resources[0].raw_sha256"), F.lit(":"), F.get_json_object(told, "$.resources[0].raw_file"))
     return files.select("file", "path", F.when(told.isNull(), F.octet_length("content").cast("long")).alias("bytes"), F.when(told.isNull(), F.sha2("content", 256)).alias("sha256"), raw.alias("raw"))
+
+
+@query("c12_strikes_and_swatches", f"""
+    SELECT p_partkey AS id, 'NFNT' AS type, 16 AS width, 2 AS height, sha256({_ROW} || repeat('FFFFFFFF', 8) || repeat('000000FF', 16)) AS pixels FROM part
+    UNION ALL SELECT p_partkey, 'clut', 256, 16, sha256(repeat(repeat({_HEX[0]} || {_HEX[1]} || '07FF', 16) || repeat('010203FF', 16) || repeat('FFFFFFFF', 224), 16)) FROM part""")
+def strikes_and_swatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strikes of fonts, and color tables as tiles; fonts of deeper strikes give none."""
+    head = lambda flags: F.concat(_be(flags, 2), _zero(12), _be(2, 2), _zero(8), _be(1, 2))
+    strike = F.concat(_be(_SIZE, 1), _zero(1), _be(0xFFFF, 2))
+    colors = _colors((0, _KEY, _SIZE, F.lit(7)), (1, F.lit(1), F.lit(2), F.lit(3)))
+    found = color_pictures.color_pictures(_made(spark, sf_dir, {"NFNT": F.concat(head(0x9000), strike), "FONT": F.concat(head(4), strike), "clut": colors}))
+    return found.select("id", "type", "width", "height", F.sha2(F.hex("rgba"), 256).alias("pixels"))
+
+
+@query("c13_font_headers", """
+    SELECT p_partkey AS id, '{"typeFlags":' || p_size || ',"bitDepth":"' || [1, 2, 4, 8][(p_size & 12) // 4 + 1] || '","containsImageHeightTable":' || (p_size & 1 <> 0) || ',"containsGlyphWidthTable":' || (p_size & 2 <> 0) || ',"hasColorTable":false,"isDynamic":' || (p_size & 16 <> 0)
+        || ',"hasNonBlackColors":' || (p_size & 32 <> 0) || ',"fixedWidth":false,"cannotExpand":false,"firstChar":32,"lastChar":' || 32 + p_size || ',"glyphCountIncludingMissing":' || p_size + 2 || ',"maxWidth":7,"maxKerning":-1,"descentOrWidthOffsetHighWord":-2,"rectWidth":8,"rectHeight":3,"bitmapWidth":32,'
+        || '"widthOffsetTableOffset":9,"maxAscent":10,"maxDescent":-3,"leading":1,"bitmapRowWidthWords":2,"bitmapByteCount":12,"bitmapFitsResource":' || (p_size % 2 = 0) || '}' AS text FROM part""")
+def font_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of bitmap fonts, every other one cut before its strike ends."""
+    size = F.col("p_size")
+    numbers = F.concat(*[_be(n, 2) for n in (size, 32, size + 32, 7, -1, -2, 8, 3, 9, 10, -3, 1, 2)])
+    made = _made(spark, sf_dir, {"NFNT": F.concat(numbers, F.when(size % 2 == 0, _zero(12)).otherwise(_zero(11)))})
+    return resources.convert(made, ("NFNT",)).where("format = 'json'").select("id", "text")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.binary import mac_bytes, short_sha1
 from ..scratch import delete, written
 from . import resources as forms
-from .color_pictures import color_pictures
+from .color_pictures import SWATCH, color_pictures
 
 #: Types whose conversion error is one of parsing (fixed values).
 PARSED = (
@@ -129,7 +129,8 @@ def conversions(resources: DataFrame, stem: Column | None = None) -> tuple[DataF
     one_bit = shaped(bits, 1 + F.col("variant"), F.when(F.col("type") == "PAT ", F.concat(F.lit("PAT_"), F.col("id").cast("string"), F.lit(".png"))).otherwise(_plain(F.concat(numbered, F.lit(".png")))), "png", "image/png", F.col("variant"), F.col("png"))
 
     colored = written(color_pictures(rows), "color-pictures")
-    drawn = png_of_rgba(colored.where("rgba IS NOT NULL").select(*keys, "variant", "label", "width", "height", "rgba")).join(names, keys)
+    # swatches are previews and no files
+    drawn = png_of_rgba(colored.where(F.col("rgba").isNotNull() & (F.col("label") != SWATCH)).select(*keys, "variant", "label", "width", "height", "rgba")).join(names, keys)
     label = F.when(F.col("label") != "", F.concat(F.lit("_"), F.col("label"))).otherwise("")
     in_list = F.when(F.col("type") == "ppt#", F.concat(F.lit("_"), _two_digits(F.floor(F.col("variant") / 4)))).otherwise("")
     color = shaped(drawn, 1 + F.col("variant"), _plain(F.concat(in_list, label, F.lit(".png"))), "png", "image/png", F.col("variant"), F.col("png"))

@@ -245,6 +245,41 @@ def _pattern_pictures(spot: dict | None, bits: bytes) -> list[tuple[str, np.ndar
     return list(zip(PATTERN_KINDS, (color, np.tile(color, (TILES, TILES, 1)), plain, np.tile(plain, (TILES, TILES, 1))), strict=True))
 
 
+#: Types of color tables, of bitmap fonts, and pixels of the largest strike that is drawn.
+TABLES = ("clut", "CTBL", "actb", "cctb", "dctb", "fctb", "wctb")
+FONTS = ("FONT", "NFNT")
+MOST_STRIKE_PIXELS = 1 << 20
+SWATCH = "swatch"
+#: Sides of a swatch's tiles, and tiles a row.
+TILE, TILES_A_ROW, MOST_COLORS = 16, 16, 256
+
+
+def _strike(data: Column) -> Column:
+    """The strike of a one-bit font; null for deeper, empty, cut and very large ones."""
+    row_bytes, height = u16(data, 24) * 2, u16(data, 14)
+    fits = (F.octet_length(data) >= 26) & (u16(data, 0).bitwiseAND(12) == 0) & (row_bytes > 0) & (height > 0) & (row_bytes * 8 * height <= MOST_STRIKE_PIXELS) & (F.octet_length(data) >= 26 + row_bytes * height)
+    none = F.lit(None)
+    spot = F.struct(
+        _int(row_bytes * 8).alias("width"), _int(height).alias("height"), F.lit(1).alias("depth"), _int(row_bytes).alias("row_bytes"), field(data, 26, _int(row_bytes * height)).alias("pixels"),
+        none.cast("binary").alias("table"), none.cast("binary").alias("mask"), none.cast("int").alias("mask_row_bytes"), F.lit(False).alias("alpha"),
+    )
+    return F.when(fits, spot)
+
+
+def _swatch_picture(table: bytes) -> np.ndarray:
+    """The colors of a table as tiles, sixteen a row, on white."""
+    colors = (np.frombuffer(table, ">u2").reshape(-1, 4)[:MOST_COLORS, 1:] >> 8).astype(np.uint8)
+    rows = max(1, -(-len(colors) // TILES_A_ROW))
+    tiles = np.full((rows * TILES_A_ROW, 3), 255, np.uint8)
+    tiles[: len(colors)] = colors
+    return with_alpha(tiles.reshape(rows, TILES_A_ROW, 3).repeat(TILE, axis=0).repeat(TILE, axis=1))
+
+
+def _strike_picture(spot: dict) -> np.ndarray:
+    black = indexes(spot["pixels"], spot["row_bytes"], spot["width"], spot["height"], 1)
+    return with_alpha(np.repeat(255 * (1 - black)[..., None], 3, axis=-1))
+
+
 def _cursor_pictures(spot: dict, bits: bytes) -> list[tuple[str, np.ndarray]]:
     return [("", gathered(**spot)), ("bitmap", one_bit(bits[:32], CURSOR_SIDE, bits[32:]))]
 
@@ -269,7 +304,7 @@ def color_pictures(resources: DataFrame) -> DataFrame:
     """(file, type, id, variant, label, width, height, rgba, hotspot_y, hotspot_x, error): the color pictures in resources.
 
     A pixel pattern gives four: its colors, these tiled 8 x 8, its one-bit pattern, and this tiled; a list gives four for each pattern, numbered on, and
-    an icon one whose mask is the alpha. A cursor gives its colors and its one-bit picture, with the hot spot. A picture that cannot be decoded is one row with the error and no pixels; a
+    an icon one whose mask is the alpha. A cursor gives its colors and its one-bit picture, with the hot spot; a one-bit font its strike, a color table a swatch. A picture that cannot be decoded is one row with the error and no pixels; a
     resource without a payload, or of another type, gives no row.
     """
     data, kind = F.col("data"), F.col("type")
@@ -287,10 +322,12 @@ def color_pictures(resources: DataFrame) -> DataFrame:
     cursor_fits = lambda d: (F.octet_length(d) >= _CURSOR_HEAD) & (F.octet_length(d) >= _int(u32(d, 2)) + PIXMAP_BYTES)
     cursor = lambda d: F.array(work("cursor", zero, _cursor_spot(d), field(d, 20, 64), cursor_fits(d)))
     indexed = lambda d: F.array(work("indexed", zero, none.cast(SPOT), d, F.lit(True)))
+    strike = lambda d: bind(_strike(d), lambda s: F.filter(F.array(work("strike", zero, s, nothing, s.isNotNull())), lambda w: w["fits"]))
+    swatch = lambda d: bind(color_table_bytes(d, zero), lambda t: F.array(work("swatch", zero, none.cast(SPOT), t, t.isNotNull())))
     # each type's expression runs on its own rows alone
     found = None
     for types, jobs in (
-        (("ppat",), one_pattern), (("ppt#",), many), (("cicn",), icon), (("crsr",), cursor), (tuple(INDEXED_ICONS), indexed),
+        (("ppat",), one_pattern), (("ppt#",), many), (("cicn",), icon), (("crsr",), cursor), (tuple(INDEXED_ICONS), indexed), (FONTS, strike), (TABLES, swatch),
     ):
         hot = kind == "crsr"
         part = resources.where(kind.isin(*types) & data.isNotNull()).select(
@@ -313,6 +350,10 @@ def color_pictures(resources: DataFrame) -> DataFrame:
                         made = [("", gathered(**job["spot"]))]
                     elif job["what"] == "cursor":
                         made = _cursor_pictures(job["spot"], job["bits"])
+                    elif job["what"] == "strike":
+                        made = [("", _strike_picture(job["spot"]))]
+                    elif job["what"] == SWATCH:
+                        made = [(SWATCH, _swatch_picture(job["bits"]))]
                     else:
                         made = _indexed_pictures(r["type"], job["bits"])
                 except ValueError as e:

@@ -130,13 +130,24 @@ def _sound() -> Column:
 
 
 def _font_header() -> Column:
-    names = (
-        "fontType", "firstChar", "lastChar", "maximumWidth", "maximumKerning", "negatedDescent", "rectangleWidth", "rectangleHeight",
-        "offsetTableOffset", "ascent", "descent", "leading", "rowWords",
+    """The 26 bytes before a bitmap font's strike, and what follows from them."""
+    flags, first, last = u16(_data(), 0), u16(_data(), 2), u16(_data(), 4)
+    bit = lambda mask: flags.bitwiseAND(mask) != 0
+    strike = u16(_data(), 24) * 2 * u16(_data(), 14)
+    fields = F.struct(
+        flags.alias("typeFlags"), F.element_at(F.array(*[F.lit(d) for d in "1248"]), (flags.bitwiseAND(12) / 4).cast("int") + 1).alias("bitDepth"),
+        *[bit(mask).alias(n) for n, mask in FONT_FLAGS.items()], first.alias("firstChar"), last.alias("lastChar"), F.when(last >= first, last - first + 2).otherwise(0).alias("glyphCountIncludingMissing"),
+        u16(_data(), 6).alias("maxWidth"), i16(_data(), 8).alias("maxKerning"), i16(_data(), 10).alias("descentOrWidthOffsetHighWord"), u16(_data(), 12).alias("rectWidth"), u16(_data(), 14).alias("rectHeight"),
+        (u16(_data(), 24) * 16).alias("bitmapWidth"), u16(_data(), 16).alias("widthOffsetTableOffset"), i16(_data(), 18).alias("maxAscent"), i16(_data(), 20).alias("maxDescent"), i16(_data(), 22).alias("leading"),
+        u16(_data(), 24).alias("bitmapRowWidthWords"), strike.alias("bitmapByteCount"), (strike + 26 <= F.octet_length(_data())).alias("bitmapFitsResource"),
     )
-    signed = {"maximumKerning", "negatedDescent"}
-    fields = [(i16 if n in signed else u16)(_data(), 2 * i).alias(n) for i, n in enumerate(names)]
-    return F.when(F.octet_length(_data()) >= 26, F.to_json(F.struct(*fields)))
+    return F.when(F.octet_length(_data()) >= 26, F.to_json(fields))
+
+
+#: Bits of a bitmap font's type (fixed values).
+FONT_FLAGS = {
+    "containsImageHeightTable": 0x0001, "containsGlyphWidthTable": 0x0002, "hasColorTable": 0x0080, "isDynamic": 0x0010, "hasNonBlackColors": 0x0020, "fixedWidth": 0x2000, "cannotExpand": 0x4000,
+}
 
 
 def _code_fragments() -> Column:
