@@ -284,3 +284,20 @@ def font_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers = F.concat(*[_be(n, 2) for n in (size, 32, size + 32, 7, -1, -2, 8, 3, 9, 10, -3, 1, 2)])
     made = _made(spark, sf_dir, {"NFNT": F.concat(numbers, F.when(size % 2 == 0, _zero(12)).otherwise(_zero(11)))})
     return resources.convert(made, ("NFNT",)).where("format = 'json'").select("id", "text")
+
+
+@query("c14_side_car_forks", """
+    WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+    SELECT 'v/' || o_orderkey AS file, CASE WHEN o_orderkey % 4 < 2 OR n IS NULL THEN 'missing_or_empty' WHEN o_orderkey % 4 = 2 THEN 'empty' ELSE 'ok' END AS status,
+        CASE WHEN o_orderkey % 4 = 3 AND n IS NOT NULL THEN n ELSE 0 END AS n_resources FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def side_car_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files: some without a fork, some with an empty or a cut one, and some whose lines are its resources."""
+    from ..sources import resfork
+    from .archive_queries import _forks
+
+    key = F.col("file").cast("long")
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("v/"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(b"data").alias("content"))
+    content = F.when(key % 4 == 1, F.lit(b"")).when(key % 4 == 2, F.substring("content", 1, 10)).otherwise(F.col("content"))
+    suffix = F.when(key % 8 < 4, resfork.SIDE_CARS[0]).otherwise(resfork.SIDE_CARS[1])
+    made = _forks(spark, sf_dir).where("cast(file AS bigint) % 4 <> 0").select(F.concat(F.lit("v/"), "file", suffix).alias("path"), content.alias("content"))
+    return resfork.fork_statuses(resfork.side_cars(files.unionByName(made))).drop("fork_bytes")

@@ -54,3 +54,38 @@ def read_forks(forks: DataFrame) -> DataFrame:
 
 def resource_counts(resources: DataFrame) -> DataFrame:
     return resources.groupBy("file", "type").agg(F.count("*").alias("n"))
+
+
+#: Where the fork of a file lies beside it (fixed values).
+SIDE_CARS = ("/..namedfork/rsrc", ".rsrc")
+
+
+def side_cars(files: DataFrame) -> DataFrame:
+    """(file, content): of files (path, content), each that is no fork, with the bytes of its fork; null where it has none.
+
+    Of several side-cars the one named first in SIDE_CARS counts. A fork without its file is left out.
+    """
+    path = F.col("path")
+    of = F.lit(None).cast("string")
+    rank = F.lit(None).cast("int")
+    for i, suffix in enumerate(SIDE_CARS):
+        ends = F.endswith(path, F.lit(suffix))
+        of = F.coalesce(of, F.when(ends, F.left(path, F.length(path) - len(suffix))))
+        rank = F.coalesce(rank, F.when(ends, i))
+    named = files.select("path", "content", of.alias("of"), rank.alias("rank"))
+    forks = named.where("of IS NOT NULL").select(F.col("of").alias("file"), "rank", "content")
+    first = forks.groupBy("file").agg(F.min("rank").alias("rank"))
+    chosen = forks.join(first, ["file", "rank"]).dropDuplicates(["file"]).drop("rank")
+    return named.where("of IS NULL").select(F.col("path").alias("file")).join(chosen, "file", "left")
+
+
+def fork_statuses(forks: DataFrame) -> DataFrame:
+    """(file, status, fork_bytes, n_resources) of (file, content) rows, content being null where there is no fork.
+
+    missing_or_empty without bytes, empty without a resource, parse_failed if the data of one lies outside, else ok.
+    """
+    found = read_forks(forks.where("content IS NOT NULL")).groupBy("file").agg(F.count("*").alias("n"), F.bool_or(F.col("status") != "ok").alias("bad"))
+    joined = forks.select("file", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("fork_bytes")).join(found, "file", "left")
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    status = F.when(F.col("fork_bytes") == 0, "missing_or_empty").when(n == 0, "empty").when(F.col("bad"), "parse_failed").otherwise("ok")
+    return joined.select("file", status.alias("status"), "fork_bytes", n.alias("n_resources"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from relicframe import __main__ as cli
 from relicframe.functions.text import bind
 from relicframe.operators import relational
 from relicframe.plans import artifacts, color_pictures, reports, resources, rom_index, warehouse
@@ -225,3 +226,34 @@ def test_many_short_needles(spark):
     assert sorted((r.i, r.n) for r in relational.contains_join(table, wanted, "line", "n").collect()) == want
     many = wanted.unionByName(spark.range(110_000).select(F.concat(F.lit("§"), (F.col("id") % 10).cast("string")).alias("n")))
     assert sorted((r.i, r.n) for r in relational.contains_join(table, many, "line", "n").collect()) == want
+
+
+# --- command line ------------------------------------------------------------------------------
+
+
+def one_resource_fork(kind, number, data):
+    area = struct.pack(">I", len(data)) + data
+    body = bytes(24) + struct.pack(">HH", 28, 28 + 2 + 8 + 12) + struct.pack(">H", 0) + kind + struct.pack(">HH", 0, 10) + struct.pack(">hhII", number, -1, 0, 0)
+    return struct.pack(">IIII", 16, 16 + len(area), len(area), len(body)) + area + body
+
+
+def test_verbs_write_files_and_documents(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.rsrc").write_bytes(one_resource_fork(b"TEXT", 7, b"hello"))
+    cli.main(["resources", str(tmp_path / "in"), str(tmp_path / "out")])
+    found = listed(tmp_path / "out" / "files")
+    assert len(found) == 1 and found.pop().endswith("/resource-text/a.rsrc_TEXT_7.txt")
+    assert spark.read.parquet(str(tmp_path / "out" / "summaries")).first().status == "exported"
+
+    (tmp_path / "rom").mkdir()
+    (tmp_path / "rom" / "r.bin").write_bytes(b"BootROM\0TableMap\0" + bytes(64) + b"DRVR")
+    cli.main(["rom", str(tmp_path / "rom"), str(tmp_path / "atlas"), "--base", "0x40800000"])
+    documents = {os.path.basename(p) for p in listed(tmp_path / "atlas" / "documents")}
+    assert {"analysis.json", "regions-0.json"} <= documents and not any("_staging" in p for p in listed(tmp_path / "atlas" / "documents"))
+
+    (tmp_path / "stack").mkdir()
+    (tmp_path / "stack" / "s").write_bytes(b"".join(struct.pack(">I4si", 12, kind, n) for kind, n in ((b"STAK", -1), (b"CARD", 5), (b"TAIL", -1))))
+    capsys.readouterr()
+    cli.main(["scan", str(tmp_path / "stack")])
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert [(x[2], x[3]) for x in lines] == [("STAK", "-1"), ("CARD", "5"), ("TAIL", "-1")]
