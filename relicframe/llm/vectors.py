@@ -46,7 +46,7 @@ TILE_ROWS = 1024
 #: Half the overlap of two sides, in units of a typical projected distance of a linked pair.
 SPILL = 0.1
 #: Copies of the vectors that one step exchanges at most, unless a single tree has more.
-STEP_COPIES = 2.0
+STEP_COPIES = 2.6
 #: Directions that a node tries, beyond its level's own, before it is left as one dense leaf.
 RETRIES = 3
 #: Rows of one task that compares leaves, about.
