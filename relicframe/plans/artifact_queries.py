@@ -29,7 +29,16 @@ def _colors(*entries: tuple[int, Column, Column, Column]) -> Column:
     return F.concat(_be(9, 4), _be(0x8000, 2), _be(len(entries) - 1, 2), *parts)
 
 
-_KEY, _SIZE = F.col("p_partkey") % 256, F.col("p_size") % 256
+def _key() -> Column:
+    """A byte of a part's number."""
+    return F.col("p_partkey") % 256
+
+
+def _size() -> Column:
+    """A byte of a part's size."""
+    return F.col("p_size") % 256
+
+
 #: For SQL: two bytes of a part in hex, and a row of eight pixels of a byte.
 _HEX = "lpad(upper(to_hex(p_partkey % 256)), 2, '0')", "lpad(upper(to_hex(p_size % 256)), 2, '0')"
 _ROW = "array_to_string([CASE WHEN (p_size % 256) & (128 >> b) <> 0 THEN '000000FF' ELSE 'FFFFFFFF' END FOR b IN range(8)], '')"
@@ -42,7 +51,7 @@ def color_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Icons of three pixels: two colors of their own tables, the missing highest value, and a mask from the size."""
     icon = F.concat(
         _pixel_map(3, 1, 4, 8), _zero(4), _be(1, 2), _zero(4), _be(1, 2), _be(3, 2), _zero(4), _be(1, 2), _zero(4), _be(1, 2), _be(3, 2), _zero(4),
-        _be((F.col("p_size") % 8) * 32, 1), _zero(1), _colors((5, _KEY, _SIZE, F.lit(7)), (1, F.lit(1), F.lit(2), F.lit(3))), _be(5, 1), _be(1, 1), _be(255, 1), _zero(1),
+        _be((F.col("p_size") % 8) * 32, 1), _zero(1), _colors((5, _key(), _size(), F.lit(7)), (1, F.lit(1), F.lit(2), F.lit(3))), _be(5, 1), _be(1, 1), _be(255, 1), _zero(1),
     )
     found = color_pictures.color_pictures(_made(spark, sf_dir, {"cicn": icon}))
     return found.select("id", "width", "height", F.hex("rgba").alias("rgba"))
@@ -53,10 +62,10 @@ def color_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT p_partkey, 1, 'bitmap', p_size, 3, repeat(array_to_string([CASE WHEN (p_size % 256) & (128 >> b) <> 0 THEN '000000' ELSE 'FFFFFF' END || CASE WHEN b = 0 THEN 'FF' ELSE '00' END FOR b IN range(8)], '') || repeat('FFFFFF00', 8), 16) FROM part""")
 def color_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursors of two pixels of one bit, of which the mask shows the first, with their old pictures."""
-    rows = F.concat(*[F.concat(_be(_SIZE, 1), _zero(1))] * 16)
+    rows = F.concat(*[F.concat(_be(_size(), 1), _zero(1))] * 16)
     cursor = F.concat(
         _be(0x8001, 2), _be(96, 4), _be(146 + 16, 4), _zero(4), _zero(2), _zero(4), rows, F.lit(b"\x80\x00" * 16), _be(F.col("p_size"), 2), _be(3, 2), _be(146, 4), _be(55, 4),
-        _pixel_map(2, 1, 1, 1, 146), _colors((0, _KEY, _SIZE, F.lit(9))), _be(0b01000000, 1),
+        _pixel_map(2, 1, 1, 1, 146), _colors((0, _key(), _size(), F.lit(9))), _be(0b01000000, 1),
     )
     found = color_pictures.color_pictures(_made(spark, sf_dir, {"crsr": cursor}))
     return found.select("id", "variant", "label", "hotspot_y", "hotspot_x", F.hex("rgba").alias("rgba"))
@@ -70,8 +79,8 @@ def color_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(CASE WHEN k >= 2 OR first = 4 THEN repeat(bits, CASE WHEN k % 2 = 1 THEN 512 ELSE 8 END) ELSE repeat(colors, CASE WHEN k = 1 THEN 64 ELSE 1 END) END) AS pixels FROM v, t""")
 def pixel_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns, and lists of a pattern with a pixel map and one without: four pictures each."""
-    bits = F.concat(*[_be(_SIZE, 1)] * 8)
-    colors = _colors((2, _KEY, _SIZE, F.lit(7)), (3, F.lit(1), F.lit(2), F.lit(3)))
+    bits = F.concat(*[_be(_size(), 1)] * 8)
+    colors = _colors((2, _key(), _size(), F.lit(7)), (3, F.lit(1), F.lit(2), F.lit(3)))
     new = F.concat(_be(1, 2), _be(28, 4), _be(28 + 50 + 24, 4), _zero(4), _zero(2), _zero(4), bits, _pixel_map(2, 1, 2, 4, 78), colors, _be(0x23, 1), _zero(1))
     old = F.concat(_zero(20), bits)
     many = F.concat(_be(2, 2), _be(10, 4), _be(F.lit(10) + F.octet_length(new), 4), new, old)
@@ -89,7 +98,7 @@ def pixel_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Icons of one color of the system each, in all six forms."""
     nibble = F.col("p_partkey") % 16
-    one = {8: F.lpad(F.hex(_KEY), 2, "0"), 4: F.lpad(F.hex(nibble * 17), 2, "0")}
+    one = {8: F.lpad(F.hex(_key()), 2, "0"), 4: F.lpad(F.hex(nibble * 17), 2, "0")}
     payloads = {kind: F.unhex(F.repeat(one[depth], F.lit(w * h * depth // 8))) for kind, (w, h, depth) in color_pictures.INDEXED_ICONS.items()}
     return color_pictures.color_pictures(_made(spark, sf_dir, payloads)).select("id", "type", "width", "height", F.hex("rgba").alias("rgba"))
 
@@ -114,7 +123,7 @@ def bundles_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.concat(
         _be(0, 2), F.unhex(F.repeat(byte, F.lit(256))), _be(2, 2), F.lit(b"a" * 128), F.unhex(F.repeat(byte, F.lit(128))), _be(2, 2), _be(1, 1), _be(12, 1), _be(2, 2), F.lit(b"`"), _be(size, 1), F.lit(b"\1\2\0`"), _be(0, 1), _be(size, 1), _be(0, 2), F.lit(b"\3\4")
     )
-    icon = F.concat(_pixel_map(3, 1, 4, 8), *[F.concat(_zero(4), _be(1, 2), _zero(4), _be(1, 2), _be(3, 2))] * 2, _be(size, 4), _zero(2), _colors((0, _KEY, _SIZE, F.lit(1))), _zero(4))
+    icon = F.concat(_pixel_map(3, 1, 4, 8), *[F.concat(_zero(4), _be(1, 2), _zero(4), _be(1, 2), _be(3, 2))] * 2, _be(size, 4), _zero(2), _colors((0, _key(), _size(), F.lit(1))), _zero(4))
     made = _made(spark, sf_dir, {"BNDL": bundle, "KCHR": keys, "ppat": F.concat(_zero(20), F.unhex(F.repeat(byte, F.lit(8)))), "cicn": icon})
     return resources.convert(made, ("BNDL", "KCHR", "ppat", "cicn")).where("format = 'json'").select("id", "type", "text")
 
@@ -125,9 +134,9 @@ def bundles_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources that come out as text, JSON, sound, listing, picture, error and not at all."""
     name = F.encode("p_name", "utf-8")
-    samples = F.concat(_be(2, 2), _zero(2), _be(1, 2), _be(0x8051, 2), _zero(2), _be(14, 4), _zero(4), _be(4, 4), _be(22050, 2), _zero(2), _zero(8), _be(0, 1), _be(60, 1), F.concat(*[_be(_SIZE, 1)] * 4))
+    samples = F.concat(_be(2, 2), _zero(2), _be(1, 2), _be(0x8051, 2), _zero(2), _be(14, 4), _zero(4), _be(4, 4), _be(22050, 2), _zero(2), _zero(8), _be(0, 1), _be(60, 1), F.concat(*[_be(_size(), 1)] * 4))
     kinds = {
-        "TEXT": name, "FREF": F.concat(F.lit(b"APPL"), _be(_SIZE, 2), _be(F.octet_length(name), 1), name), "snd ": samples, "XCMD": F.concat(_be(0x4E75, 2), _be(_SIZE, 2)), "vers": F.lit(b"\1"), "zzzz": name,
+        "TEXT": name, "FREF": F.concat(F.lit(b"APPL"), _be(_size(), 2), _be(F.octet_length(name), 1), name), "snd ": samples, "XCMD": F.concat(_be(0x4E75, 2), _be(_size(), 2)), "vers": F.lit(b"\1"), "zzzz": name,
         "ics8": F.lit(b"\0" * 9),
     }
     return _made(spark, sf_dir, kinds, F.concat("p_brand", F.lit(" é")))
@@ -268,8 +277,8 @@ def image_resource_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strikes_and_swatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strikes of fonts, and color tables as tiles; fonts of deeper strikes give none."""
     head = lambda flags: F.concat(_be(flags, 2), _zero(12), _be(2, 2), _zero(8), _be(1, 2))
-    strike = F.concat(_be(_SIZE, 1), _zero(1), _be(0xFFFF, 2))
-    colors = _colors((0, _KEY, _SIZE, F.lit(7)), (1, F.lit(1), F.lit(2), F.lit(3)))
+    strike = F.concat(_be(_size(), 1), _zero(1), _be(0xFFFF, 2))
+    colors = _colors((0, _key(), _size(), F.lit(7)), (1, F.lit(1), F.lit(2), F.lit(3)))
     found = color_pictures.color_pictures(_made(spark, sf_dir, {"NFNT": F.concat(head(0x9000), strike), "FONT": F.concat(head(4), strike), "clut": colors}))
     return found.select("id", "type", "width", "height", F.sha2(F.hex("rgba"), 256).alias("pixels"))
 
