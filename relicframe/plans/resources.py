@@ -50,12 +50,11 @@ def _pascal_list(count: Column, start: int) -> Column:
         return F.struct((acc["at"] + 1 + u8(_data(), acc["at"]).cast("int")).alias("at"), F.array_append(acc["found"], text).alias("found"))
 
     walked = F.aggregate(_range(count), state, step)["found"]
-    return F.when(~F.exists(walked, lambda x: x.isNull()), walked)
+    return bind(walked, lambda found: F.when(~F.exists(found, lambda x: x.isNull()), found))
 
 
 def _strings(start: int, count_at: int) -> Column:
-    found = _pascal_list(u16(_data(), count_at), start)
-    return F.when(found.isNotNull(), F.to_json(F.struct(found.alias("strings"))))
+    return bind(_pascal_list(u16(_data(), count_at), start), lambda found: F.when(found.isNotNull(), F.to_json(F.struct(found.alias("strings")))))
 
 
 def _colors() -> Column:
@@ -212,7 +211,9 @@ def _menu() -> Column:
         marks = [u8(_data(), at + 1 + name_bytes(at) + i).alias(n) for i, n in enumerate(("iconNumber", "keyEquivalent", "markCharacter", "styleFlags"))]
         return F.struct(pascal_string(_data(), at).alias("name"), *marks, F.lit(True).alias("enabled"))
 
-    found = _walked(first, F.lit(MOST_ITEMS), MENU_ITEM, lambda at: (name_bytes(at) > 0) & (size >= at + 5 + name_bytes(at)), entry, lambda at: at + 5 + name_bytes(at))
+    # an item takes 6 bytes at least, so no more of them fit
+    most = F.least(F.lit(MOST_ITEMS), F.floor(size / 6))
+    found = _walked(first, most, MENU_ITEM, lambda at: (name_bytes(at) > 0) & (size >= at + 5 + name_bytes(at)), entry, lambda at: at + 5 + name_bytes(at))
     items = F.transform(found, lambda x, i: x.withField("enabled", (i >= 31) | (F.floor(flags / F.pow(F.lit(2), i + 1)) % 2 == 1)))
     title = pascal_string(_data(), 14)
     head = (u16(_data(), 0).alias("menuId"), u16(_data(), 6).alias("procId"), flags.alias("enabledFlags"), (flags % 2 == 1).alias("enabled"))
@@ -243,7 +244,7 @@ def _dialog_items() -> Column:
     size = F.octet_length(_data())
     after = lambda at: at + 14 + u8(_data(), at + 13) + u8(_data(), at + 13) % 2
     found = _walked(F.lit(2), count, DIALOG_ITEM, lambda at: size >= at + 14 + u8(_data(), at + 13), entry, after)
-    return F.when((size >= 2) & (F.size(found) == F.greatest(count, F.lit(0))), F.to_json(F.struct(found.alias("items"))))
+    return bind(found, lambda items: F.when((size >= 2) & (F.size(items) == F.greatest(count, F.lit(0))), F.to_json(F.struct(items.alias("items")))))
 
 
 #: Kinds of color overlay objects by their number (fixed values).
@@ -290,12 +291,12 @@ def _bundle() -> Column:
     entry = lambda at: F.struct(four_cc(_data(), at).alias("type"), F.transform(_range(n_ids(at)), pair(at)).alias("ids"))
     fits = lambda at: (size >= at + 6) & (size >= at + 6 + 4 * n_ids(at))
     count = F.least(u16(_data(), 6) + 1, F.lit(MOST_BUNDLE_TYPES + 1))
-    types = _walked(F.lit(8), count, BUNDLE_TYPE, fits, entry, lambda at: at + 6 + 4 * n_ids(at))
-    fields = F.struct(
+    walked = _walked(F.lit(8), count, BUNDLE_TYPE, fits, entry, lambda at: at + 6 + 4 * n_ids(at))
+    fields = lambda types: F.struct(
         u32(_data(), 0).alias("ownerName"), four_cc(_data(), 0).alias("ownerNameString"), i16(_data(), 4).alias("ownerId"),
         F.transform(types, lambda t: F.struct(type_code(t["type"]).alias("type"), t["type"].alias("typeString"), t["ids"].alias("ids"))).alias("types"),
     )
-    return F.when((size >= 8) & (F.size(types) == count) & (count <= MOST_BUNDLE_TYPES), F.to_json(fields))
+    return bind(walked, lambda types: F.when((size >= 8) & (F.size(types) == count) & (count <= MOST_BUNDLE_TYPES), F.to_json(fields(types))))
 
 
 #: Types that a bundle may link.
@@ -319,10 +320,10 @@ def _key_map() -> Column:
 
     # a dead key takes 6 bytes at least, so no more of them fit
     n_keys = u16(_data(), keys_at)
-    dead = _walked(keys_at + 2, F.least(n_keys, F.floor(size / 6)), DEAD_KEY, lambda at: (size >= at + 4) & (size >= after(at)), entry, after)
+    walked = _walked(keys_at + 2, F.least(n_keys, F.floor(size / 6)), DEAD_KEY, lambda at: (size >= at + 4) & (size >= after(at)), entry, after)
     tables = F.transform(_range(n_tables), lambda i: F.struct(i.alias("index"), F.hex(field(_data(), 260 + 128 * i, 128)).alias("charsHex")))
-    fields = F.struct(F.transform(_range(F.lit(256)), lambda i: u8(_data(), 2 + i)).alias("modifierTableIndexes"), tables.alias("tables"), dead.alias("deadKeys"))
-    return F.when((size >= 260) & (size >= keys_at + 2) & (F.size(dead) == n_keys), F.to_json(fields))
+    fields = lambda dead: F.struct(F.transform(_range(F.lit(256)), lambda i: u8(_data(), 2 + i)).alias("modifierTableIndexes"), tables.alias("tables"), dead.alias("deadKeys"))
+    return bind(walked, lambda dead: F.when((size >= 260) & (size >= keys_at + 2) & (F.size(dead) == n_keys), F.to_json(fields(dead))))
 
 
 JSON_TYPES: dict[tuple[str, ...], Callable[[], Column]] = {
@@ -372,16 +373,11 @@ def converted(resources: DataFrame, wants: Collection[str] | None = None) -> Dat
     for types, make in asked.items():
         text = text.when(kind.isin(*types), make())
     is_text = kind.isin(*texts)
-    # the text is worked out once, inside a lambda, however often it is named
-    told = bind(
-        text,
-        lambda t: F.struct(
-            F.when(is_text, "text").otherwise("json").alias("format"), F.when(is_text, "text/plain").otherwise("application/json").alias("media_type"), t.alias("text"),
-            F.when(t.isNull(), "unexpected end").alias("error"),
-        ),
-    )
+    # the text is worked out once, inside a lambda, however often it is named; what the type alone says stands outside, so that a filter on it needs no text
+    told = bind(text, lambda t: F.struct(t.alias("text"), F.when(t.isNull(), "unexpected end").alias("error")))
     known = kind.isin(*kinds, *texts) if kinds or texts else F.lit(False)
-    return resources.where(known).select("file", "type", "id", "name", told.alias("told")).select("file", "type", "id", "name", "told.*")
+    form, media = F.when(is_text, "text").otherwise("json"), F.when(is_text, "text/plain").otherwise("application/json")
+    return resources.where(known).select("file", "type", "id", "name", form.alias("format"), media.alias("media_type"), told.alias("told")).select("file", "type", "id", "name", "format", "media_type", "told.*")
 
 
 def convert(resources: DataFrame, wants: Collection[str] | None = None) -> DataFrame:
