@@ -332,7 +332,7 @@ def conditional_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     finder = F.when(nation % 5 == 0, "STAK").when(nation % 5 == 1, "APPL").when(nation % 5 == 2, "MYag").otherwise("")
     path = F.concat(F.when(nation > 12, "Myst Files/").otherwise("x/"), "c_name", F.when(key % 3 == 0, ".stak").when(key % 3 == 1, ".Txt").otherwise(""))
     kind = F.when(F.col("c_acctbal") > 2000, "STAK").otherwise("TEXT")
-    said = classify.stack_decision(finder, path, kind, F.round("c_acctbal").cast("long"), F.lit(5000).cast("long"))
+    said = classify.stack_decision(finder, path, kind, F.rint("c_acctbal").cast("long"), F.lit(5000).cast("long"))
     return table(spark, sf_dir, "customer").select(key.alias("id"), said["decision"].alias("decision"), said["reason"].alias("reason"))
 
 
