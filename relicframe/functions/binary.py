@@ -103,8 +103,10 @@ def mac_bytes(text: Column) -> Column:
 
 def nul_end(data: Column, offset: int | Column = 0) -> Column:
     """Offset of the first NUL at or after ``offset``; the length if there is none."""
-    found = F.position(F.lit("\0"), F.decode(data, "ISO-8859-1"), _offset(offset) + 1)
-    return F.when(found > 0, found - 1).otherwise(F.octet_length(data))
+    at = _offset(offset)
+    # only what follows is decoded
+    found = F.position(F.lit("\0"), F.decode(F.substring(data, at + 1, F.octet_length(data)), "ISO-8859-1"))
+    return F.when((at >= 0) & (found > 0), at + found - 1).otherwise(F.octet_length(data))
 
 
 def c_string(data: Column, offset: int | Column = 0, command_key: bool = True) -> Column:

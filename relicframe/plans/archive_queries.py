@@ -6,7 +6,7 @@ through the decoders; the SQL says from the same tables what must come out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import blocks, resfork
@@ -48,7 +48,8 @@ def _even(data: Column) -> Column:
 
 def _block(frame: DataFrame, kind: str, file: Column, number: Column, payload: Column) -> DataFrame:
     made = frame.select(file.cast("string").alias("file"), F.lit(kind).alias("type"), number.cast("int").alias("id"), payload.alias("payload"), F.lit("ok").alias("status"))
-    return made.repartition("id")  # else the bytes are made afresh for every field that is read from them
+    # dealt out, else the bytes are made afresh for every field that is read from them; by both keys, as many files hold one block of one id
+    return made.repartition("file", "id")
 
 
 # --- stacks ----------------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def style_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         || CASE WHEN list_contains(styles, 'bold') THEN 'font-weight: bold; ' ELSE '' END || CASE WHEN list_contains(styles, 'italic') THEN 'font-style: italic; ' ELSE '' END
         || CASE WHEN list_contains(styles, 'underline') THEN 'text-decoration: underline; ' ELSE '' END || 'font-size: ' || size || 'pt; }', chr(10) ORDER BY id) AS css FROM f GROUP BY r""")
 def stylesheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.stylesheet(records.styles(_styles(spark, sf_dir).unionByName(_fonts(spark, sf_dir))))
+    return records.stylesheet(records.styles(_styles(spark, sf_dir).unionByName(_fonts(spark, sf_dir)), places=True))
 
 
 @query("a07_master_entries", """
@@ -202,9 +203,10 @@ def _layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _even(F.concat(_be(F.octet_length(body) + 2 + (F.octet_length(body) % 2), 2), body))
     said = F.encode(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")), "utf-8")
     content = F.concat(_be(F.when(F.col("l_linestatus") == "O", -number).otherwise(number), 2), _be(F.octet_length(said), 2), _even(said))
-    grouped = lines.groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), _listed("l_linenumber", part).alias("parts"), F.count_if(button).alias("m"), _listed("l_linenumber", F.when(button, content).otherwise(_zero(0))).alias("contents")
-    )
+    # made before the exchange: inside an aggregate the bytes of a part would be worked out once for each place that names them
+    made = lines.select("l_orderkey", "l_linenumber", button.alias("button"), part.alias("part"), F.when(button, content).otherwise(_zero(0)).alias("content")).repartition("l_orderkey")
+    joined = lambda c: F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY l_linenumber, {c})")
+    grouped = made.groupBy("l_orderkey").agg(F.count("*").alias("n"), joined("part").alias("parts"), F.count_if("button").alias("m"), joined("content").alias("contents"))
     cards = table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
     head = F.concat(_zero(4), _be(F.col("o_orderkey") % 3, 4), _be(F.when(F.col("o_orderstatus") == "F", 1 << 14).otherwise(1 << 13), 2), _zero(14), _be(F.col("o_custkey"), 4))
@@ -350,7 +352,7 @@ def damaged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.concat(_be(12 + F.octet_length("p_name"), 4), F.lit(b"CARD"), _be(key, 4), F.encode("p_name", "utf-8"))
     tail = F.unhex(F.lit("0000000C5441494CFFFFFFFF"))
     ends = F.when(key % 5 == 0, tail).when(key % 5 == 1, F.lit(b"\0\0\0")).when(key % 5 == 2, _zero(12)).when(key % 5 == 3, F.concat(_be(99, 4), F.lit(b"CARD"), _zero(5))).otherwise(F.concat(tail, _zero(1)))
-    files = table(spark, sf_dir, "part").select(key.cast("string").alias("file"), F.concat(good, ends).alias("content"))
+    files = table(spark, sf_dir, "part").select(key.cast("string").alias("file"), F.concat(good, ends).alias("content")).repartition("file")
     found = blocks.scan_blocks(files, strict_tail=True).where("coalesce(type, '') <> 'CARD'")
     return found.select(F.col("file").cast("long").alias("part"), "type", "offset", "status")
 
@@ -361,19 +363,21 @@ def _forks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("l_linestatus") == "O", "ICON").otherwise("STR ")
     named = F.encode(F.concat(F.lit("n"), F.col("l_partkey").cast("string")), "utf-8")
     data = F.encode(F.col("l_suppkey").cast("string"), "utf-8")
-    one = F.struct(F.col("l_linenumber").alias("id"), kind.alias("kind"), F.octet_length(data).alias("size"), F.octet_length(named).alias("label"), F.hex(F.concat(_be(F.octet_length(data), 4), data)).alias("data"), F.hex(F.concat(_be(F.octet_length(named), 1), named)).alias("name"))
-    grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("all"))
-    before = lambda i, x: F.aggregate(F.slice("all", 1, i), F.lit(0), lambda a, r: a + r[x] + (4 if x == "size" else 1))
-    entry = F.transform("all", lambda r, i: F.struct(r["kind"].alias("kind"), F.hex(F.concat(_be(r["id"], 2), _be(before(i, "label"), 2), _be(r["id"], 1), _be(before(i, "size"), 3), _zero(4))).alias("e")))
-    rows = grouped.withColumn("entries", entry).withColumn("kinds", F.sort_array(F.array_distinct(F.transform("entries", lambda e: e["kind"]))))
-    of = lambda k: F.filter("entries", lambda e: e["kind"] == k)
-    n_types = F.size("kinds")
-    types = F.transform("kinds", lambda k, j: F.hex(F.concat(F.encode(k, "utf-8"), _be(F.size(of(k)) - 1, 2), _be(2 + 8 * n_types + F.when(j == 0, 0).otherwise(12 * F.size(of(F.get("kinds", F.lit(0))))), 2))))
-    refs = F.flatten(F.transform("kinds", lambda k: F.transform(of(k), lambda e: e["e"])))
-    hexed = lambda parts: F.unhex(F.array_join(parts, ""))
-    listed = F.concat(_be(n_types - 1, 2), hexed(types), hexed(refs))
-    labels, datas = hexed(F.transform("all", lambda r: r["name"])), hexed(F.transform("all", lambda r: r["data"]))
-    rows = rows.select("l_orderkey", listed.alias("listed"), labels.alias("labels"), datas.alias("datas")).repartition("l_orderkey")
+    one = lines.select("l_orderkey", F.col("l_linenumber").alias("id"), kind.alias("kind"), F.concat(_be(F.octet_length(data), 4), data).alias("data"), F.concat(_be(F.octet_length(named), 1), named).alias("name"))
+    # where a line's data and name stand is a sum over the lines before it, by a window, so nothing is worked out line by line inside an array
+    lined = Window.partitionBy("l_orderkey").orderBy("id", "kind", F.octet_length("data"), F.octet_length("name"), "data", "name").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(F.octet_length(c)).over(lined), F.lit(0))
+    placed = one.withColumns({"data_at": before("data"), "name_at": before("name")})
+    placed = placed.withColumn("entry", F.concat(_be(F.col("id"), 2), _be(F.col("name_at"), 2), _be(F.col("id"), 1), _be(F.col("data_at"), 3), _zero(4)))
+    joined = lambda c, order: F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY {order})")
+    rows = placed.groupBy("l_orderkey").agg(
+        F.count_if(F.col("kind") == "ICON").alias("icons"), F.count_if(F.col("kind") == "STR ").alias("strings"), joined("entry", "kind, data_at").alias("refs"), joined("name", "data_at").alias("labels"), joined("data", "data_at").alias("datas")
+    )
+    icons, strings = F.col("icons"), F.col("strings")
+    n_types = (icons > 0).cast("int") + (strings > 0).cast("int")
+    typed = lambda k, n, skipped: F.when(n > 0, F.concat(F.lit(k), _be(n - 1, 2), _be(2 + 8 * n_types + 12 * skipped, 2))).otherwise(_zero(0))
+    listed = F.concat(_be(n_types - 1, 2), typed(b"ICON", icons, F.lit(0)), typed(b"STR ", strings, icons), "refs")
+    rows = rows.select("l_orderkey", listed.alias("listed"), "labels", "datas")
     body = F.concat(_zero(24), _be(28, 2), _be(F.lit(28) + F.octet_length("listed"), 2), F.col("listed"), F.col("labels"))
     size, length = F.octet_length("datas"), F.octet_length("listed") + F.octet_length("labels") + 28
     content = F.concat(_be(16, 4), _be(F.lit(16) + size, 4), _be(size, 4), _be(length, 4), F.col("datas"), body)
@@ -646,7 +650,8 @@ def converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources of many types, made of parts, as JSON."""
     payloads = F.array(*[F.struct(F.lit(kind).alias("type"), data.alias("data")) for kind, data in _payloads().items()])
     made = table(spark, sf_dir, "part").select(F.lit("f").alias("file"), F.col("p_partkey").alias("id"), F.lit("").alias("name"), F.inline(payloads))
-    return resources.convert(made, _JSON_SQL).where("format = 'json'").select("type", "id", "text")
+    # dealt out: the parts are few bytes and so few tasks, what is made of them is much work
+    return resources.convert(made.repartition("id", "type"), _JSON_SQL).where("format = 'json'").select("type", "id", "text")
 
 
 @query("a34_compact_pixmaps", """

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import bcd_version, c_string, even, field, has_bit, i16, i32, mac_text, nul_end, set_bits, u8, u16, u32
+from ..functions.text import bind
 
 TEXT_STYLES = {15: "group", 14: "extend", 13: "condense", 12: "shadow", 11: "outline", 10: "underline", 9: "italic", 8: "bold"}
 BUTTON_STYLES = {0: "transparent", 1: "opaque", 2: "rectangle", 3: "roundrect", 4: "shadow", 5: "checkbox", 6: "radiobutton", 8: "standard", 9: "default", 10: "oval", 11: "popup"}
@@ -96,16 +97,17 @@ def fonts(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("file", "font_id").agg(F.max_by("name", F.struct("id", "n")).alias("name"))
 
 
-def styles(blocks: DataFrame, font_names: DataFrame | None = None) -> DataFrame:
-    """STBL: entries of 24 bytes with the font's name; size 12 unless the entry has one."""
+def styles(blocks: DataFrame, font_names: DataFrame | None = None, places: bool = False) -> DataFrame:
+    """STBL: entries of 24 bytes with the font's name; size 12 unless the entry has one. With ``places``, also ``n``, the entry's place in its table."""
     rows = _of(blocks, "STBL").where(F.octet_length(_p()) >= 12)
-    rows = rows.select("file", "payload", F.explode(_numbers(i32(_p(), 4))).alias("n")).withColumn("at", 14 + 24 * F.col("n"))
-    rows = rows.where(F.col("at") < F.octet_length(_p()))
-    flags, size = i16(_p(), F.col("at") + 12), i16(_p(), F.col("at") + 14)
+    # each entry takes its own bytes along, not the whole table's
+    entry = F.transform(_numbers(i32(_p(), 4)), lambda n: F.struct(n.alias("n"), field(_p(), 14 + 24 * n, 24).alias("entry")))
+    rows = rows.select("file", F.inline(entry)).where(F.octet_length("entry") > 0)
+    flags, size = i16(F.col("entry"), 12), i16(F.col("entry"), 14)
     styled = rows.select(
-        "file", i16(_p(), F.col("at")).alias("style_id"), i16(_p(), F.col("at") + 10).alias("font_id"),
+        "file", i16(F.col("entry"), 0).alias("style_id"), i16(F.col("entry"), 10).alias("font_id"),
         F.when(flags == -1, F.array().cast("array<string>")).otherwise(text_styles(flags)).alias("text_styles"),
-        F.when(size == -1, 12).otherwise(size).alias("font_size"),
+        F.when(size == -1, 12).otherwise(size).alias("font_size"), *(["n"] if places else []),
     )
     return with_fonts(styled, fonts(blocks) if font_names is None else font_names)
 
@@ -117,7 +119,7 @@ def with_fonts(rows: DataFrame, font_names: DataFrame) -> DataFrame:
 
 
 def stylesheet(style_rows: DataFrame) -> DataFrame:
-    """(file, css): a rule for each style in order of its id."""
+    """(file, css): a rule for each style in order of its id, those of one id in order of their place ``n`` where the rows tell it."""
     has = lambda name: F.array_contains("text_styles", name)
     lines = F.array_compact(F.array(
         F.when(F.col("font_id") != -1, F.concat(F.lit('font-family: "'), "font_name", F.lit('";'))),
@@ -125,7 +127,7 @@ def stylesheet(style_rows: DataFrame) -> DataFrame:
         F.when(has("underline"), "text-decoration: underline;"), F.concat(F.lit("font-size: "), F.col("font_size").cast("string"), F.lit("pt;")),
     ))
     rule = F.concat(F.lit(".style"), F.col("style_id").cast("string"), F.lit(" { "), F.array_join(lines, " "), F.lit(" }"))
-    ruled = F.sort_array(F.collect_list(F.struct("style_id", rule.alias("rule"))))
+    ruled = F.sort_array(F.collect_list(F.struct("style_id", *(["n"] if "n" in style_rows.columns else []), rule.alias("rule"))))
     return style_rows.groupBy("file").agg(F.array_join(F.transform(ruled, lambda x: x["rule"]), "\n").alias("css"))
 
 
@@ -332,12 +334,16 @@ def report_templates(blocks: DataFrame) -> DataFrame:
         )
 
     def item(x: Column) -> Column:
-        at, flags = x["at"], i16(_p(), x["at"] + 12)
+        # where the font begins is worked out once
+        return bind(nul_end(_p(), x["at"] + 22) + 1, lambda font: fields(x["at"], font))
+
+    def fields(at: Column, font: Column) -> Column:
+        flags = i16(_p(), at + 12)
         bits = {"change_height": 13, "change_style": 12, "change_size": 11, "change_font": 10, "invert": 4, "frame_top": 0, "frame_left": 1, "frame_bottom": 2, "frame_right": 3}
         return F.struct(
             rect(_p(), at + 2).alias("bounds"), i16(_p(), at + 10).alias("columns"), *[has_bit(flags, b).alias(n) for n, b in bits.items()],
             i16(_p(), at + 14).alias("text_size"), i16(_p(), at + 16).alias("text_height"), u8(_p(), at + 18).alias("text_style"), i16(_p(), at + 20).alias("text_align"),
-            c_string(_p(), at + 22).alias("contents"), c_string(_p(), nul_end(_p(), at + 22) + 1).alias("font"),
+            c_string(_p(), at + 22).alias("contents"), c_string(_p(), font).alias("font"),
         )
 
     count = F.when(size >= 0x11A, i16(_p(), 0x118)).otherwise(0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import address, field, i16, rom_id, sha256_upper, u8, u16, u32
+from ..functions.binary import address, field, i16, pack_u32, rom_id, sha256_upper, u8, u16, u32
 from ..functions.text import string_confidence
 from ..operators.relational import asof_join, contains_join, inside_any, islands
 
@@ -373,8 +373,11 @@ def resource_maps(images: DataFrame, max_types: int = 64, max_resources: int = 4
     Every even offset is tested by its header, in the JVM; the types of what passes are unpacked and checked.
     """
     size = F.octet_length("content")
-    rows = images.where(size >= 32).select("rom_id", "base", "content", F.explode(F.sequence(F.lit(0), size - 32, F.lit(2))).alias("at"))
+    rows = images.where(size >= 32).select("rom_id", "base", "content", pack_u32(size).alias("most")).select("*", F.explode(F.sequence(F.lit(0), size - 32, F.lit(2))).alias("at"))
     c, at = F.col("content"), F.col("at")
+    # bytes compare as the numbers that they hold, so most places fall out before a number is read
+    told = lambda place, least: field(c, at + place, 4).between(F.lit(least.to_bytes(4, "big")), F.col("most"))
+    rows = rows.where(told(0, 16)).where(told(4, 16)).where(told(8, 1)).where(told(12, 30)).drop("most")
     heads = rows.withColumns({"data_off": u32(c, at), "map_off": u32(c, at + 4), "data_len": u32(c, at + 8), "map_len": u32(c, at + 12)})
     left = size - F.col("at")
     heads = heads.where("data_off >= 16 AND map_off >= 16 AND data_len > 0 AND map_len >= 30")
