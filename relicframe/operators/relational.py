@@ -29,6 +29,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, tak
     return both.withColumn("_found", carried).where("_left IS NOT NULL").select("_left.*", *[F.col("_found")[c].alias(c) for c in take])
 
 
+#: Narrow rows that one side of a join may have to be sent to every task.
+MOST_BROADCAST = 500_000
+
+
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """``rows``, a narrow side of a join, marked to be sent to every task if a count finds few; so few keys do not put the other side into few tasks."""
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
+
+
 def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, width: int, by: Sequence[str] = ()) -> DataFrame:
     """Points with every span [start, end) that holds them (inner).
 

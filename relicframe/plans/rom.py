@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import address, field, i16, pack_u32, rom_id, sha256_upper, u8, u16, u32
 from ..functions.text import string_confidence
-from ..operators.relational import asof_join, contains_join, inside_any, islands
+from ..operators.relational import asof_join, contains_join, inside_any, islands, sent_if_small
 
 #: Types whose names mark a resource (fixed values).
 MARKERS = ("DRVR", "ndrv", "decl", "boot", "CODE", "PACK", "STR#", "STR ", "MENU", "ALRT", "DITL", "cfrg", "ptch", "rsrc")
@@ -296,7 +296,7 @@ def xrefs(instruction_rows: DataFrame, bounds: DataFrame, tables: DataFrame | No
     """
     noted = F.regexp_extract("operands", r"/\* ([0-9A-Fa-f]{8})", 1)
     rows = instruction_rows.withColumn("target", F.conv(F.nullif(noted, F.lit("")), 16, 10).cast("long")).where("target IS NOT NULL")
-    rows = rows.join(bounds.select("rom_id", "base", "bytes"), "rom_id").where("target >= base AND target < base + bytes")
+    rows = rows.join(sent_if_small(bounds.select("rom_id", "base", "bytes")), "rom_id").where("target >= base AND target < base + bytes")
     kind = xref_kind(F.col("mnemonic"))
     found = rows.select(
         "rom_id", F.col("address").alias("source"), "target", kind.alias("kind"), "mnemonic", F.col("line_index").alias("line"),
@@ -334,7 +334,7 @@ def function_scores(xref_rows: DataFrame) -> DataFrame:
 
 def functions(instruction_rows: DataFrame, xref_rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """Function candidates with the nearest label, a provisional end, and instructions inside."""
-    starts = function_scores(xref_rows).join(bounds.select("rom_id", "base", "bytes"), "rom_id")
+    starts = function_scores(xref_rows).join(sent_if_small(bounds.select("rom_id", "base", "bytes")), "rom_id")
     following = F.lead("address").over(Window.partitionBy("rom_id").orderBy("address"))
     starts = starts.withColumn("next", F.coalesce(following, F.col("base") + F.col("bytes"))).drop("base", "bytes")
     labels = instruction_rows.where("label IS NOT NULL").groupBy("rom_id", "address").agg(F.min_by("label", "line_index").alias("label"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.text import bind, line_count, sample_of
-from ..operators.relational import anti_null_safe, upsert
+from ..operators.relational import anti_null_safe, sent_if_small, upsert
 from ..scratch import written
 
 #: Bits that a row's number within its partition takes in monotonically_increasing_id.
@@ -92,7 +92,8 @@ def dense_ids(rows: DataFrame, order: list[str], by: list[str] | None = None, st
         before += r["n"]
     starts = rows.sparkSession.createDataFrame(offsets, "_range int, _offset long")
     numbered = placed.join(F.broadcast(starts), "_range").withColumn("_number", F.col("_offset") + F.col("_row"))
-    firsts = numbered.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_number").alias("_first"))
+    # few groups are sent to every task: joined by their keys, all rows of one run would be read by one task
+    firsts = sent_if_small(written(numbered.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("_number").alias("_first")), "first-ids"))
     same = F.lit(True)
     for c in by:
         same = same & numbered[c].eqNullSafe(firsts[f"_{c}"])

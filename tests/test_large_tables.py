@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from relicframe.functions.binary import c_string, nul_end
-from relicframe.plans import archive_queries, records, report_queries, resources, rom
+from relicframe.plans import archive_queries, records, report_queries, resources, rom, warehouse
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +82,14 @@ def test_places_of_maps_fall_out_by_their_bytes(spark):
     found = rom.resource_maps(images)
     assert [(r.address, r.data_address, r.map_address, r.n_resources) for r in found.collect()] == [(8, 24, 30, 1)]
     assert "most#" in plan(found)
+
+
+def test_few_images_and_runs_are_sent_to_all_tasks(spark):
+    rows = spark.createDataFrame([("O", i, i, "jsr", "D0 /* 00000010 */") for i in range(20)], "rom_id string, line_index int, address long, mnemonic string, operands string")
+    bounds = spark.createDataFrame([("O", 5, 900)], "rom_id string, base int, bytes int")
+    found = rom.xrefs(rows, bounds)
+    assert "hint=(strategy=broadcast)" in plan(found) or "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString()
+    assert found.count() == 20
+    numbered = warehouse.dense_ids(spark.range(50).selectExpr("'r' AS run_id", "50 - id AS n"), ["n"])
+    assert plan(numbered).count("strategy=broadcast") == 2
+    assert {(r.n, r.id) for r in numbered.collect()} == {(i, i) for i in range(1, 51)}
