@@ -65,8 +65,18 @@ class BestFit:
         return bin_id, self.capacity - free
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids are little-endian 32-bit, END_ID last in a document."""
+def _narrow(data: bytes) -> bytes:
+    """Ids in 16 bits each, where all of them fit."""
+    ids = np.frombuffer(data, "<u4")
+    return ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else data
+
+
+def _widened(data: bytes, length: int) -> bytes:
+    return np.frombuffer(data, "<u2").astype("<u4").tobytes() if len(data) == 2 * length else data
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, narrow: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids): ids are little-endian 32-bit, END_ID last in a document. With ``narrow``, a piece whose ids all fit has them in 16 bits."""
     text_batches(docs.sparkSession)
     path = tokenizer or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -80,6 +90,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             at, number, data = zip(*rows, strict=True)
             number = np.asarray(number, np.int32)
             length = np.fromiter(map(len, data), np.int64, len(data)) // 4
+            if narrow:
+                data = list(map(_narrow, data))
             columns = [batch.column(0).take(pa.array(at)), pa.array(number), pa.array(number.astype(np.int64) * capacity)]
             return pa.RecordBatch.from_arrays(
                 [*columns, pa.array(length), pa.array(data, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"]
@@ -113,15 +125,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, -(-n_bytes // PARTITION_BYTES), -(-n_docs // PARTITION_DOCS))
     order = F.xxhash64("doc_id", "piece", "length")
-    cut = pieces(docs, tokenizer, capacity).withColumn("order", order)
+    # narrow on their way: a task sorts its pieces with their ids
+    cut = pieces(docs, tokenizer, capacity, narrow=True).withColumn("order", order)
     dealt = cut.repartition(parts, "order").sortWithinPartitions("order", "doc_id", "piece").drop("order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [fit.place(n) for n in batch.column("length").to_pylist()]
+            lengths = batch.column("length").to_pylist()
+            placed = [fit.place(n) for n in lengths]
             bins, offsets = zip(*placed, strict=True) if placed else ((), ())
+            at = batch.schema.get_field_index("ids")
+            ids = pa.array(map(_widened, batch.column(at).to_pylist(), lengths), pa.binary())
+            batch = batch.set_column(at, "ids", ids)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([base + x for x in bins], pa.int64()), pa.array(offsets, pa.int64())],
                 names=[*batch.schema.names, "sequence_id", "offset"],
