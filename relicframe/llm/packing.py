@@ -27,7 +27,7 @@ OPEN_BINS = 256
 #: Bytes of text a partition, and documents: its last bins leave little free against so many, and one task sorts them.
 PARTITION_BYTES = 32 << 20
 PARTITION_DOCS = 1 << 17
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class BestFit:
@@ -80,17 +80,19 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     text_batches(docs.sparkSession)
     path = tokenizer or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.asarray([END_ID], "<u4").tobytes()
-    step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
+        end = np.asarray([END_ID], ids.kind).tobytes()
+        step = ids.width * capacity
 
         def out(batch: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             at, number, data = zip(*rows, strict=True)
             number = np.asarray(number, np.int32)
-            length = np.fromiter(map(len, data), np.int64, len(data)) // 4
-            if narrow:
+            length = np.fromiter(map(len, data), np.int64, len(data)) // ids.width
+            if ids.width == 2 and not narrow:
+                data = list(map(_widened, data, length.tolist()))
+            elif ids.width == 4 and narrow:
                 data = list(map(_narrow, data))
             columns = [batch.column(0).take(pa.array(at)), pa.array(number), pa.array(number.astype(np.int64) * capacity)]
             return pa.RecordBatch.from_arrays(
@@ -100,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for batch in batches:
             rows: list[tuple[int, int, bytes]] = []
             held = 0
-            for i, text in enumerate(batch.column(1)):
-                data = ids.text(text.as_py().encode() if text.is_valid else None) + end
+            for i, found in enumerate(ids.texts(batch.column(1))):
+                data = found + end
                 for number, at in enumerate(range(0, len(data), step)):
                     rows.append((i, number, data[at : at + step]))
                     held += step

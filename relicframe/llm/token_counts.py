@@ -35,8 +35,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            lengths = np.fromiter((len(ids.text(t)) // 4 for t in texts), np.int64, len(texts))
+            lengths = np.fromiter((len(found) // ids.width for found in ids.texts(batch.column(0))), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(lengths)], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(run, "n_tokens long")

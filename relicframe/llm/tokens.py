@@ -2,20 +2,31 @@
 
 The word tokenizer drops white space and never joins pieces across it, so a
 text's ids are its words' ids in a row. Each worker keeps the ids of the words
-it has seen, and a text costs one lookup a word.
+it has seen, and a text costs one lookup a word. Words of letters that it has not
+seen are encoded many at a time, as one text; the marks of words' ends part their ids.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: What a worker remembers before it starts afresh: words, and words without their end marks.
-CACHED_WORDS = 300_000
-CACHED_CORES = 600_000
+#: What a worker remembers before it starts afresh with the next group: other words, and words of letters without their end marks.
+CACHED_WORDS = 50_000
+CACHED_CORES = 200_000
 CACHED_LENGTH = 64
+#: Bytes of texts whose words are looked up together, each word once, and new words that are encoded together.
+GROUP_BYTES = 1 << 20
+JOINED_WORDS = 1000
+#: Latin letters below the first stay one letter each in lower case, but for the second.
+FIRST_UNSURE, TAKEN_APART = "\u0250", "\u0130"
+#: What the tokenizer puts at the end of a word's last piece.
+WORD_END = "</w>"
 #: ASCII marks that the tokenizer always cuts from letters before them (the apostrophe is not one).
 END_MARKS = b".,;:!?\"()[]{}|*#$%&<>-_/"
 
@@ -27,7 +38,10 @@ def default_path() -> str:
 
 
 class WordIds(dict):
-    """word (bytes) -> its ids as little-endian 32-bit bytes."""
+    """word (bytes) -> its ids as little-endian numbers of ``kind``: 16 bits if all ids of the tokenizer fit, else 32.
+
+    Words of letters, and the marks after them, are kept apart in ``cores``.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,41 +49,109 @@ class WordIds(dict):
 
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.normalize = tokenizer.encode, tokenizer.normalizer.normalize_str
+        self.encode, self.encode_fast, self.normalize = tokenizer.encode, tokenizer.encode_batch_fast, tokenizer.normalizer.normalize_str
+        vocabulary = tokenizer.get_vocab()
+        most = max(vocabulary.values(), default=0)
+        self.kind = "<u2" if most < 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
+        self.ends = np.zeros(most + 1, bool)
+        self.ends[[number for piece, number in vocabulary.items() if piece.endswith(WORD_END)]] = True
         self.cores: dict[bytes, bytes] = {}
 
     def _encoded(self, word: bytes) -> bytes:
-        return np.asarray(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
 
     def _core(self, core: bytes) -> bytes:
         data = self.cores.get(core)
         if data is None:
             data = self._encoded(core)
             if len(core) <= CACHED_LENGTH:
-                if len(self.cores) >= CACHED_CORES:
-                    self.cores.clear()
                 self.cores[core] = data
         return data
 
-    def __missing__(self, word: bytes) -> bytes:
-        letters = word.rstrip(END_MARKS)
+    def _plain(self, letters: bytes) -> bool:
+        if not letters or letters.isascii():
+            return letters.isalpha()
+        text = letters.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < FIRST_UNSURE and TAKEN_APART not in text:
+            return True
         # what the tokenizer makes of them decides: letters that it takes apart may end in a combining mark, which joins what follows
-        if letters and (letters.isalpha() or not letters.isascii() and self.normalize(letters.decode("utf-8", "replace")).isalpha()):
-            # letters and the marks after them are pieces of their own; case does not count
-            data = self._core(letters.lower())
-            if len(letters) < len(word):
-                data += self._core(word[len(letters) :])
-        else:
-            data = self._encoded(word)
+        return self.normalize(text).isalpha()
+
+    def __missing__(self, word: bytes) -> bytes:
+        data = self._encoded(word)
         if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
             self[word] = data
         return data
 
+    def _joined(self, cores: list[bytes]) -> None:
+        """Keep the ids of words of letters, encoded as one text; if its pieces are not one a word, each is left to be encoded by itself."""
+        [found] = self.encode_fast([b" ".join(cores).decode("utf-8", "replace")], add_special_tokens=False)
+        ids = np.asarray(found.ids, self.kind)
+        last = (self.width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(last) == len(cores):
+            data, at = ids.tobytes(), 0
+            for core, to in zip(cores, last, strict=True):
+                self.cores[core], at = data[at:to], to
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; those of new letters are kept."""
+        known, new, parts = self.cores, set(), []
+        for word in words:
+            letters = word.rstrip(END_MARKS)
+            core = letters.lower()
+            if core in known or core in new:
+                parts.append(core)
+            elif self._plain(core):
+                if len(core) <= CACHED_LENGTH:
+                    new.add(core)
+                parts.append(core)
+            else:
+                parts.append(None)
+        cores = list(new)
+        for at in range(0, len(cores), JOINED_WORDS):
+            self._joined(cores[at : at + JOINED_WORDS])
+        out = []
+        for word, core in zip(words, parts, strict=True):
+            if core is None:
+                out.append(self[word])
+            else:
+                # letters and the marks after them are pieces of their own; case does not count
+                data = known.get(core) or self._core(core)
+                out.append(data + self._core(word[len(core) :]) if len(core) < len(word) else data)
+        return out
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """All ids of each of the texts, as numbers of ``kind``; none for null."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            upto = (ends[at - 1] if at else 0) + GROUP_BYTES
+            to = max(at + 1, int(np.searchsorted(ends, upto, "right")))
+            yield from self._ids(texts.slice(at, to - at))
+            at = to
+
+    def _ids(self, texts: pa.Array) -> Iterator[bytes]:
+        # between groups alone: within one, what was just kept would go
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        if len(self.cores) >= CACHED_CORES:
+            self.cores.clear()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = pa.array(self._of_words(words), pa.binary()).take(coded.indices)
+        _, starts, data = found.buffers()
+        starts = np.frombuffer(starts, np.int32)[split.offsets.to_numpy()].tolist() if len(found) else [0] * (len(texts) + 1)
+        ids = memoryview(data or b"")
+        for start, end in zip(starts, starts[1:], strict=False):
+            yield bytes(ids[start:end])
+
     def text(self, text: bytes | None) -> bytes:
-        """All ids of a text; none for null."""
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        """All ids of a text in 32 bits each; none for null."""
+        [ids] = self.texts(pa.array([text], pa.binary()))
+        return np.frombuffer(ids, self.kind).astype("<u4").tobytes()
 
 
 _OPEN: dict[str, WordIds] = {}
