@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import delete, scratch_path
+from ..scratch import delete, scratch_path, write_once
 
 #: A word is a longest run without ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -18,9 +18,6 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Rows (of a few fixed-width columns) up to which a side may be broadcast.
 BROADCAST_ROWS = 500_000
 
-#: With it, the shuffle files of a write go when the write has ended: nothing reads them again.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 #: Arrow batches stay below this many rows, as single texts can be megabytes.
 BATCH_ROWS = 500
 
@@ -29,15 +26,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+    write_once(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out

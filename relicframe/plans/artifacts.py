@@ -4,21 +4,24 @@ A resource gives none, one or many artifacts, each a row with its path and bytes
 the bytes of their rows below a staging folder of their own attempt and report digests; Spark
 keeps the report of one attempt a task, and only what it names is then moved to its
 place. So an attempt that is repeated, or runs twice at once, leaves nothing behind, and writing
-again gives the same files. No bytes pass through the driver.
+again gives the same files. No bytes pass through the driver. Where artifacts are many and small,
+a file and its folders take far more room than what is in it: save_archives() then writes them into ZIP archives.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import posixpath
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binary import mac_bytes, short_sha1
@@ -36,6 +39,8 @@ CONVERTED = ("snd ", "PICT")
 #: Types whose JSON form is a file.
 JSON_FILES = (*(t for t in PARSED if t not in ("STR ", "TEXT")), "CURS")
 POWER_PC = ("xcmd", "xfcn")
+#: Bytes and members of an archive, after which a task begins another; it holds that much at once.
+ARCHIVE_BYTES, ARCHIVE_MEMBERS = 16 << 20, 10_000
 #: One-bit pictures of which a resource may hold several, and so numbers them.
 NUMBERED = ("PAT#", "SICN", "icm#", "ics#")
 
@@ -261,3 +266,91 @@ def save(artifacts: DataFrame, folder: str) -> tuple[DataFrame, dict]:
     table = written(published.observe(counts, F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")), "artifacts")
     delete(spark, f"{root}/{staging}")
     return table, counts.get
+
+
+def save_archives(artifacts: DataFrame, folder: str, name: str) -> tuple[DataFrame, dict]:
+    """Write (file, path, content) into ZIP archives ``<name>-<task>-<number>.zip`` in ``folder``; returns as save() does, with the archive of each row.
+
+    Unpacked, the archives give what save() writes. They are staged as files are, by attempts, and are moved to their places when all are written; archives of
+    this ``name`` that an earlier call left are replaced. What the driver moves are archives, one for up to 10,000 rows of a task.
+    """
+    spark = artifacts.sparkSession
+    staging = f"_staging-{uuid.uuid4().hex}"
+    root = folder.rstrip("/")
+    columns = ("file", "path", "target", "bytes", "sha256", "status", "archive", "staged")
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        task = TaskContext.get()
+        attempt = posixpath.join(staging, f"{task.partitionId()}-{task.taskAttemptId()}")
+        rows: list[tuple] = []
+        held = io.BytesIO()
+        archive = zipfile.ZipFile(held, "w")
+        number = 0
+
+        def closed() -> pa.RecordBatch:
+            archive.close()
+            own = f"{name}-{task.partitionId():06d}-{number:06d}.zip"
+            system.create_dir(posixpath.join(base, attempt), recursive=True)
+            with system.open_output_stream(posixpath.join(base, attempt, own)) as out:
+                out.write(held.getbuffer())
+            told = [*map(pa.array, zip(*rows, strict=True)), *(pa.array([x] * len(rows), pa.string()) for x in ("exported", own, posixpath.join(attempt, own)))]
+            return pa.RecordBatch.from_arrays(told, names=columns)
+
+        for batch in batches:
+            for file, path, target, content in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "target", "content")), strict=True):
+                content = content or b""
+                archive.writestr(zipfile.ZipInfo(target), content)
+                rows.append((file, path, target, len(content), hashlib.sha256(content).hexdigest()))
+                if len(rows) >= ARCHIVE_MEMBERS or held.tell() >= ARCHIVE_BYTES:
+                    yield closed()
+                    rows, held, number = [], io.BytesIO(), number + 1
+                    archive = zipfile.ZipFile(held, "w")
+        if rows:
+            yield closed()
+
+    target = F.concat(package_of(F.col("file").cast("string")), F.lit("/"), "path")
+    rows = artifacts.select(F.col("file").cast("string").alias("file"), "path", target.alias("target"), "content")
+    counts = Observation("archives")
+    staged = rows.mapInArrow(stage, "file string, path string, target string, bytes long, sha256 string, status string, archive string, staged string")
+    table = written(staged.observe(counts, F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")), "archived-artifacts")
+
+    system, base = fs.FileSystem.from_uri(root)
+    system.create_dir(base, recursive=True)
+    made = {r["archive"]: r["staged"] for r in table.select("archive", "staged").distinct().toLocalIterator()}
+    for own, place in made.items():
+        system.move(posixpath.join(base, place), posixpath.join(base, own))
+    for info in system.get_file_info(fs.FileSelector(base)):
+        stem = info.base_name.removesuffix(".zip").rsplit("-", 2)
+        if info.type == fs.FileType.File and stem[0] == name and len(stem) == 3 and info.base_name not in made:
+            system.delete_file(info.path)
+    delete(spark, f"{root}/{staging}")
+    return table.drop("staged"), counts.get
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, target, content): the members of all archives in ``folder``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+                    rows: list[tuple[str, bytes]] = []
+                    held = 0
+                    for info in archive.infolist():
+                        rows.append((info.filename, archive.read(info)))
+                        held += info.file_size
+                        if held >= ARCHIVE_BYTES // 4 or len(rows) >= ARCHIVE_MEMBERS:
+                            yield told(path, rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield told(path, rows)
+
+    def told(path: str, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        names, contents = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([posixpath.basename(path)] * len(rows)), pa.array(names), pa.array(contents, pa.binary())], names=["archive", "target", "content"])
+
+    # tasks open the archives themselves: members are read one by one
+    found = spark.read.format("binaryFile").load(folder).select("path")
+    return found.mapInArrow(run, "archive string, target string, content binary")

@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, the shuffle files of a write go when the write has ended: nothing reads them again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Schemes of folders on one machine's disk.
 LOCAL_SCHEMES = ("", "file")
 
@@ -53,8 +56,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def write_once(df: DataFrame, path: str) -> None:
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, then read from there."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

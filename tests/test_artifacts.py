@@ -123,6 +123,26 @@ def test_a_repeated_attempt_leaves_one_file(spark, tmp_path):
     assert artifacts.save(table.limit(0), folder)[1]["files"] == 0
 
 
+def test_many_small_artifacts_are_few_archives(spark, tmp_path):
+    rows = [(f"disk/f{i}", f"a/{i}.txt", f"text {i}".encode()) for i in range(300)] + [("disk/f0", "null.bin", None), ("disk/f1", "long.bin", bytes(artifacts.ARCHIVE_BYTES + 1))]
+    table = spark.createDataFrame(rows, "file string, path string, content binary").repartition(3)
+    folder = f"file://{tmp_path}/out"
+    artifacts.save_archives(table.where("path = 'null.bin'"), folder, "art")
+    artifacts.save_archives(table.where("path = 'null.bin'"), folder, "art-b")
+    for n in (6, 3):
+        told, counts = artifacts.save_archives(table.repartition(n), folder, "art")
+        assert counts == {"files": 302, "bytes": sum(len(c or b"") for _, _, c in rows)}
+        # archives of an earlier call are replaced, those of another name stay
+        names = {r.archive for r in told.select("archive").distinct().collect()}
+        assert listed(tmp_path / "out") == names | {x for x in listed(tmp_path / "out") if x.startswith("art-b-")} and len(listed(tmp_path / "out")) <= n + 2
+    told_of = {(r.archive, r.target): (r.bytes, r.sha256) for r in told.collect()}
+    read = {(r.archive, r.target): (len(r.content), hashlib.sha256(r.content).hexdigest()) for r in artifacts.archived(spark, folder).collect() if not r.archive.startswith("art-b-")}
+    assert read == told_of and len(read) == 302
+    # unpacked they are the files that save() writes
+    assert {t for _, t in told_of} == {r.target for r in artifacts.save(table, f"file://{tmp_path}/files")[0].collect()}
+    assert artifacts.save_archives(table.limit(0), f"file://{tmp_path}/none", "art")[1]["files"] == 0
+
+
 def test_names_and_statuses_by_type(spark):
     rows = [
         ("d/My Stack", "ICON", -7, "", 0, bytes(128)), ("d/My Stack", "ICON", -7, "", 1, b"\xff" * 128), ("d/My Stack", "TEXT", 1, "n/é", 2, b"hi"), ("d/My Stack", "SICN", 2, "", 3, bytes(64)), ("d/My Stack", "vers", 3, "", 4, b"\1"),
