@@ -275,22 +275,9 @@ def disassembly_call_usage(audit: DataFrame) -> DataFrame:
 
 # --- statistics ----------------------------------------------------------------------------
 
-#: table -> metric -> what a row adds to it (nulls add nothing).
-SCALARS: dict[str, dict[str, str]] = {
-    "output_files": {
-        "output_file_count": "1", "output_file_bytes": "bytes", "json_file_count": "int(kind = 'json')", "image_file_count": "int(kind = 'image')",
-        "raw_file_count": "int(kind = 'raw')",
-    },
-    "json_sections": {"json_section_count": "1"},
-    "parsed_objects": {"parsed_object_count": "1"},
-    "parsed_parts": {"part_count": "1", "part_script_bytes": "script_bytes"},
-    "parsed_content": {"content_count": "1", "content_bytes": "text_bytes"},
-    "media_refs": {"media_ref_count": "1"},
-    "binary_chunks": {"binary_chunk_count": "1", "understood_chunk_count": "int(understood = 1)", "not_understood_chunk_count": "int(understood = 0)"},
-    "embedded_files": {"embedded_file_count": "1", "embedded_file_bytes": "bytes"},
-    "external_code_resources": {"external_code_resource_count": "1"},
-}
-#: table -> metric -> the value that its rows are counted by.
+#: table -> the number that its rows carry, if any.
+NUMBERS = {"output_files": "bytes", "parsed_parts": "script_bytes", "parsed_content": "text_bytes", "binary_chunks": "understood", "embedded_files": "bytes"}
+#: table -> metric -> the value that its rows are counted by; at most two, which are d1 and d2 below.
 GROUPED: dict[str, dict[str, str]] = {
     "output_files": {"output_file_kind": "kind", "logical_file_kind": "logical_kind"},
     "parsed_objects": {"object_kind": "object_kind"},
@@ -302,28 +289,60 @@ GROUPED: dict[str, dict[str, str]] = {
         "external_code_platform": "platform || ':' || instruction_format || ':' || container_format", "external_code_kind": "external_kind",
     },
 }
+#: table -> metric -> what a row of number n and values d1 and d2 adds to it (nulls add nothing).
+SCALARS: dict[str, dict[str, str]] = {
+    "output_files": {
+        "output_file_count": "1", "output_file_bytes": "n", "json_file_count": "int(d1 = 'json')", "image_file_count": "int(d1 = 'image')", "raw_file_count": "int(d1 = 'raw')",
+    },
+    "json_sections": {"json_section_count": "1"},
+    "parsed_objects": {"parsed_object_count": "1"},
+    "parsed_parts": {"part_count": "1", "part_script_bytes": "n"},
+    "parsed_content": {"content_count": "1", "content_bytes": "n"},
+    "media_refs": {"media_ref_count": "1"},
+    "binary_chunks": {"binary_chunk_count": "1", "understood_chunk_count": "int(n = 1)", "not_understood_chunk_count": "int(n = 0)"},
+    "embedded_files": {"embedded_file_count": "1", "embedded_file_bytes": "n"},
+    "external_code_resources": {"external_code_resource_count": "1"},
+}
+#: Stacks a task: what it sums by metric and value stays in memory.
+STACKS_A_TASK = 25_000
 
 
 def stack_statistics(warehouse: Warehouse, run: str) -> DataFrame:
-    """(stack_id, metric, detail, value) of every stack: one pass over each table and one aggregation for all.
+    """(stack_id, metric, detail, value) of every stack: one pass over each table, one exchange of narrow rows for all.
 
-    Each row is spread to what it adds to each metric, so rows are summed before the one exchange. Every
-    stack has all scalar metrics, at least with 0. A null detail and an empty one stay apart; both show as ''.
+    A row goes to its stack's task with its number and values alone, and is spread to what it adds to each metric there, so
+    no metric's name is exchanged or sorted. Every stack has all scalar metrics, at least with 0. A null detail and an empty one stay apart; both show as ''.
     """
+    tables = list(SCALARS)
+
+    def addition(metric: str, detail: Column, value: str) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), detail.alias("detail"), F.expr(value).cast("long").alias("value"))
+
+    def carried(at: int, table: str) -> DataFrame:
+        values = [F.expr(x) for x in GROUPED.get(table, {}).values()]
+        values += [F.lit(None)] * (2 - len(values))
+        number = F.expr(NUMBERS.get(table, "NULL")).cast("long")
+        rows = warehouse[table].where("stack_id IS NOT NULL")
+        return rows.select("stack_id", F.lit(at).alias("source"), number.alias("n"), *[x.cast("string").alias(f"d{i}") for i, x in enumerate(values, 1)])
 
-    def additions(table: str) -> DataFrame:
-        scalars = [F.struct(F.lit(m).alias("metric"), F.lit("").alias("detail"), F.expr(x).cast("long").alias("value")) for m, x in SCALARS[table].items()]
-        counts = [F.struct(F.lit(m).alias("metric"), F.expr(d).alias("detail"), F.lit(1).cast("long").alias("value")) for m, d in GROUPED.get(table, {}).items()]
-        return warehouse[table].where("stack_id IS NOT NULL").select("stack_id", F.inline(F.array(*scalars, *counts)))
+    def additions(table: str) -> Column:
+        scalars = [addition(m, F.lit(""), x) for m, x in SCALARS[table].items()]
+        return F.array(*scalars, *[addition(m, F.col(f"d{i}"), "1") for i, m in enumerate(GROUPED.get(table, {}), 1)])
 
     stacks = _of_run(warehouse, "stacks", run).select(F.col("id").alias("stack_id"))
-    names = [m for metrics in SCALARS.values() for m in metrics]
-    zeros = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("").alias("detail"), F.lit(0).cast("long").alias("value")) for m in names])
-    every = stacks.select("stack_id", F.inline(zeros))
-    for table in SCALARS:
-        every = every.unionByName(additions(table))
-    summed = every.groupBy("stack_id", "metric", "detail").agg(F.sum("value").alias("value"))
-    return summed.join(stacks, "stack_id", "left_semi").withColumn("detail", F.coalesce("detail", F.lit("")))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("d1", "string"), ("d2", "string"))]
+    every = stacks.select("stack_id", F.lit(-1).alias("source"), *none)
+    for at, table in enumerate(tables):
+        every = every.unionByName(carried(at, table))
+    spread = F.when(F.col("source") == -1, F.array(*[addition(m, F.lit(""), "0") for metrics in SCALARS.values() for m in metrics]))
+    for at, table in enumerate(tables):
+        spread = spread.when(F.col("source") == at, additions(table))
+    parts = max(warehouse.spark.sparkContext.defaultParallelism, -(-stacks.count() // STACKS_A_TASK))
+    # an inner join with single ids: a semi join would go below the union, with an exchange for each table
+    known = stacks.repartition(parts, "stack_id").distinct().hint("shuffle_hash")
+    rows = every.repartition(parts, "stack_id").join(known, "stack_id").select("stack_id", F.inline(spread))
+    summed = rows.groupBy("stack_id", "metric", "detail").agg(F.sum("value").alias("value"))
+    return summed.withColumn("detail", F.coalesce("detail", F.lit("")))
 
 
 # --- export ------------------------------------------------------------------------------
