@@ -74,15 +74,24 @@ ORDER = {
 DISASSEMBLY = "resource-disassembly/%"
 
 
+def _points_to(base: str, key: str, table: str, how: str) -> Column:
+    """``key`` of ``base`` is the id of a row of ``table``. In a left join rows without a key are dealt out by their own id, else one task would read them all."""
+    same = F.col(f"{base}.{key}") == F.col(f"{table}.id")
+    return (F.coalesce(F.col(f"{base}.{key}"), F.col(f"{base}.id")) == F.col(f"{table}.id")) & same if how == "left" else same
+
+
 def listing(warehouse: Warehouse, name: str, run: str) -> DataFrame:
-    """A listing report. Small sides are left to the optimizer to broadcast by their size."""
+    """A listing report."""
     base_name, joins, columns = LISTINGS[name]
     rows = warehouse[base_name].alias(base_name).where(F.col(f"{base_name}.run_id") == run)
     if name in CONDITIONS:
         rows = rows.where(CONDITIONS[name])
     for table, key, how in joins:
         other = warehouse[table].alias(table)
-        test = F.col(f"{base_name}.{key}") == F.col(f"{table}.id") if key else F.col(f"{table}.attempt_id") == F.col(f"{base_name}.id")
+        if key:
+            test = _points_to(base_name, key, table, how)
+        else:
+            test = F.col(f"{table}.attempt_id") == F.col(f"{base_name}.id")
         rows = rows.join(other, test, how)
     chosen = []
     for column in columns.split():
@@ -92,6 +101,11 @@ def listing(warehouse: Warehouse, name: str, run: str) -> DataFrame:
     return rows.select(*chosen)
 
 
+def _file_of_row() -> Column:
+    """A row's output_file_id is file_id; rows without a file are dealt out as in listings."""
+    return F.expr("coalesce(output_file_id, id) = file_id AND output_file_id = file_id")
+
+
 def _of_stacks(warehouse: Warehouse, table: str, run: str) -> DataFrame:
     """Rows of a table with the name of their stack, for stacks of the run."""
     stacks = warehouse["stacks"].where(F.col("run_id") == run).select(F.col("id").alias("stack_id"), "stack_name", "import_input")
@@ -142,8 +156,8 @@ def external_code_usage(warehouse: Warehouse, run: str) -> DataFrame:
 
 
 def disassembly_summary(warehouse: Warehouse, run: str) -> DataFrame:
-    files = warehouse["output_files"].select(F.col("id").alias("output_file_id"), F.col("bytes").alias("file_bytes"))
-    rows = _of_run(warehouse, "external_code_resources", run).join(files, "output_file_id", "left")
+    files = warehouse["output_files"].select(F.col("id").alias("file_id"), F.col("bytes").alias("file_bytes"))
+    rows = _of_run(warehouse, "external_code_resources", run).join(files, _file_of_row(), "left")
     path = F.when(F.col("disassembly_rel_path") != "", F.col("disassembly_rel_path"))
     return rows.groupBy("platform", "instruction_format", "disassembly_status").agg(
         F.count("*").alias("resource_count"),
@@ -256,8 +270,8 @@ def disassembly_call_audit(warehouse: Warehouse, run: str, texts: DataFrame) ->
     present = "disassembly_status = 'present' AND disassembly_rel_path != ''"
     code = _of_run(warehouse, "external_code_resources", run).where(present).drop("run_id")
     stacks = warehouse["stacks"].select(F.col("id").alias("stack_id"), "stack_name", "import_input", "output_package")
-    files = warehouse["output_files"].select(F.col("id").alias("output_file_id"), F.col("path").alias("file_path"))
-    joined = code.join(stacks, "stack_id").join(files, "output_file_id", "left")
+    files = warehouse["output_files"].select(F.col("id").alias("file_id"), F.col("path").alias("file_path"))
+    joined = code.join(stacks, "stack_id").join(files, _file_of_row(), "left")
     path = F.coalesce("file_path", F.concat("output_package", F.lit("/"), "disassembly_rel_path"))
     named = joined.withColumn("path", path).join(texts, "path").select(
         "stack_name", "import_input", "resource_type", "resource_id", "resource_name", "platform", "instruction_format", "disassembly_rel_path", "text"
@@ -363,8 +377,8 @@ def ordered(report: DataFrame, name: str) -> DataFrame:
 
 def embedded_selection(warehouse: Warehouse, run: str, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Embedded files to convert, of the given kinds, the first ``limit`` in order."""
-    files = warehouse["output_files"].select(F.col("id").alias("output_file_id"), F.col("path").alias("source_path"))
-    rows = _of_stacks(warehouse, "embedded_files", run).join(files, "output_file_id", "left")
+    files = warehouse["output_files"].select(F.col("id").alias("file_id"), F.col("path").alias("source_path"))
+    rows = _of_stacks(warehouse, "embedded_files", run).join(files, _file_of_row(), "left")
     if kinds:
         rows = rows.where(F.col("embedded_kind").isin(*kinds))
     rows = rows.select("id", "stack_name", "rel_path", "embedded_kind", "logical_kind", "logical_id", "sha256", "source_path")

@@ -23,3 +23,15 @@ def test_statistics_of_odd_rows(spark):
     assert len(found) == 2 * 18 + 3
     assert {(r.stack_id, r.value) for r in found if r.metric == "json_section_count"} == {(1, 4), (2, 0)}
     assert sorted((r.stack_id, r.detail, r.value) for r in found if r.metric == "json_tag") == [(1, "", 1), (1, "", 1), (1, "a", 2)]
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("json_sections", "output_files", "binary_chunks", "parsed_parts", "disassembly_summary"):
+            found = executed(reports.REPORTS[name](report_queries.driver_warehouse(spark, SF), report_queries.RUN))
+            outer = [line for line in found.splitlines() if "Join" in line and "LeftOuter" in line]
+            assert outer and all("coalesce(" in line for line in outer), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
