@@ -74,6 +74,10 @@ ORDER = {
 DISASSEMBLY = "resource-disassembly/%"
 
 
+#: Tables of a row or two for many of others, of which listings take a column or two: kept in memory by key, so that the long rows need no sort.
+PARENTS = ("source_files", "import_attempts", "stacks")
+
+
 def _points_to(base: str, key: str, table: str, how: str) -> Column:
     """``key`` of ``base`` is the id of a row of ``table``. In a left join rows without a key are dealt out by their own id, else one task would read them all."""
     same = F.col(f"{base}.{key}") == F.col(f"{table}.id")
@@ -92,7 +96,7 @@ def listing(warehouse: Warehouse, name: str, run: str) -> DataFrame:
             test = _points_to(base_name, key, table, how)
         else:
             test = F.col(f"{table}.attempt_id") == F.col(f"{base_name}.id")
-        rows = rows.join(other, test, how)
+        rows = rows.join(other.hint("shuffle_hash") if table in PARENTS else other, test, how)
     chosen = []
     for column in columns.split():
         path, _, alias = column.partition("=")

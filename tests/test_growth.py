@@ -35,3 +35,14 @@ def test_rows_without_a_key_are_dealt_out(spark):
             assert outer and all("coalesce(" in line for line in outer), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_rows_of_listings_are_not_sorted(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("json_sections", "output_files", "diagnostics", "classifications"):
+            found = executed(reports.listing(report_queries.driver_warehouse(spark, SF), name, report_queries.RUN))
+            assert "ShuffledHashJoin" in found and "SortMergeJoin" not in found, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
