@@ -9,6 +9,7 @@ lacks it, and any other missing value is an error, as is a picture that its payl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ PIXMAP_BYTES = 50
 DEPTHS = (1, 2, 4, 8)
 #: Pixels of the largest picture that is decoded.
 MOST_PIXELS = 1 << 26
+#: Rows that a task takes apart at a time, bytes of pictures that it gives back at a time, and what a row counts besides its pixels.
+READ_ROWS, BATCH_BYTES, ROW_BYTES = 256, 4 << 20, 500
 TILES = 8
 PATTERN_SIDE, CURSOR_SIDE = 8, 16
 PATTERN_KINDS = ("color", "color_tiled", "bitmap", "bitmap_tiled")
@@ -199,7 +202,9 @@ def indexes(pixels: bytes, row_bytes: int, width: int, height: int, depth: int)
 
 def with_alpha(colors: np.ndarray, alpha: np.ndarray | int = 255) -> np.ndarray:
     """RGBA of RGB values."""
-    return np.concatenate([colors, np.broadcast_to(np.asarray(alpha, np.uint8), colors.shape[:-1])[..., None]], axis=-1).astype(np.uint8)
+    out = np.empty((*colors.shape[:-1], 4), np.uint8)
+    out[..., :3], out[..., 3] = colors, alpha
+    return out
 
 
 def gathered(width: int, height: int, depth: int, row_bytes: int, pixels: bytes | None, table: bytes | None, mask: bytes | None, mask_row_bytes: int | None, alpha: bool) -> np.ndarray:
@@ -213,10 +218,11 @@ def gathered(width: int, height: int, depth: int, row_bytes: int, pixels: bytes
     if pixels is None or table is None or row_bytes * 8 < width * depth:
         raise ValueError("unexpected end")
     entries = np.frombuffer(table, ">u2").reshape(-1, 4)
-    known, colors = np.zeros(1 << 16, bool), np.zeros((1 << 16, 3), np.uint8)
-    # of equal values the first counts
-    values, first = np.unique(entries[:, 0], return_index=True)
-    known[values], colors[values] = True, entries[first, 1:] >> 8
+    # pixels reach no further than the depth does
+    known, colors = np.zeros(1 << depth, bool), np.zeros((1 << depth, 3), np.uint8)
+    # of equal values the first counts, so it is put in last
+    entries = entries[entries[:, 0] < 1 << depth][::-1]
+    known[entries[:, 0]], colors[entries[:, 0]] = True, entries[:, 1:] >> 8
     known[(1 << depth) - 1] = True
     index = indexes(pixels, row_bytes, width, height, depth)
     if not known[index].all():
@@ -239,10 +245,19 @@ SPOT = "struct<width:int,height:int,depth:int,row_bytes:int,pixels:binary,table:
 PICTURES = "variant int, label string, width int, height int, rgba binary, hotspot_y int, hotspot_x int, error string"
 
 
+def _tiled(picture: np.ndarray) -> np.ndarray:
+    height, width, channels = picture.shape
+    return np.broadcast_to(picture[None, :, None], (TILES, height, TILES, width, channels)).reshape(TILES * height, TILES * width, channels)
+
+
 def _pattern_pictures(spot: dict | None, bits: bytes) -> list[tuple[str, np.ndarray]]:
     plain = one_bit(bits, PATTERN_SIDE)
-    color = gathered(**spot) if spot else plain
-    return list(zip(PATTERN_KINDS, (color, np.tile(color, (TILES, TILES, 1)), plain, np.tile(plain, (TILES, TILES, 1))), strict=True))
+    tiled = _tiled(plain)
+    color, colors_tiled = plain, tiled
+    if spot:
+        color = gathered(**spot)
+        colors_tiled = _tiled(color)
+    return list(zip(PATTERN_KINDS, (color, colors_tiled, plain, tiled), strict=True))
 
 
 #: Types of color tables, of bitmap fonts, and pixels of the largest strike that is drawn.
@@ -338,8 +353,11 @@ def color_pictures(resources: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
+            out, held = [], 0
+            for r in chain.from_iterable(batch.slice(at, READ_ROWS).to_pylist() for at in range(0, batch.num_rows, READ_ROWS)):
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
                 job, base = r["job"], {n: r[n] for n in ("file", "type", "id", "hotspot_y", "hotspot_x")}
                 try:
                     if not job["fits"]:
@@ -358,10 +376,13 @@ def color_pictures(resources: DataFrame) -> DataFrame:
                         made = _indexed_pictures(r["type"], job["bits"])
                 except ValueError as e:
                     out.append({**base, "variant": job["first"], "error": str(e)})
+                    held += ROW_BYTES
                     continue
                 for i, (label, image) in enumerate(made):
                     out.append({**base, "variant": job["first"] + i, "label": label, "width": image.shape[1], "height": image.shape[0], "rgba": image.tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema)
+                    held += image.nbytes + ROW_BYTES
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     arrow = {"file": batch_type(kinds["file"]), "type": pa.string(), "id": batch_type(kinds["id"])}
     schema = pa.schema([

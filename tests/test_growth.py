@@ -46,3 +46,13 @@ def test_long_rows_of_listings_are_not_sorted(spark):
             assert "ShuffledHashJoin" in found and "SortMergeJoin" not in found, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pictures_are_held_by_their_bytes():
+    from relicframe.plans import color_pictures
+
+    # of equal values the first counts, and a value beyond the depth is never looked up
+    table = b"".join(bytes(x) for x in ((0, 0, 1, 0, 2, 0, 3, 0), (0, 0, 9, 0, 9, 0, 9, 0), (1, 0, 7, 0, 7, 0, 7, 0)))
+    found = color_pictures.gathered(2, 1, 1, 1, b"\x40", table, None, None, False)
+    assert found.tolist() == [[[1, 2, 3, 255], [0, 0, 0, 255]]]
+    assert color_pictures.BATCH_BYTES <= 8 << 20
