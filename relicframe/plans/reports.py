@@ -380,10 +380,14 @@ def ordered(report: DataFrame, name: str) -> DataFrame:
 
 
 def embedded_selection(warehouse: Warehouse, run: str, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Embedded files to convert, of the given kinds, the first ``limit`` in order."""
+    """Embedded files to convert, of the given kinds, the first ``limit`` in order.
+
+    Nulls come last, as in the SQL; rows that tie in the order are told apart by their other columns, so that the same rows are cut off in every run.
+    """
     files = warehouse["output_files"].select(F.col("id").alias("file_id"), F.col("path").alias("source_path"))
     rows = _of_stacks(warehouse, "embedded_files", run).join(files, _file_of_row(), "left")
     if kinds:
         rows = rows.where(F.col("embedded_kind").isin(*kinds))
     rows = rows.select("id", "stack_name", "rel_path", "embedded_kind", "logical_kind", "logical_id", "sha256", "source_path")
-    return rows.orderBy("stack_name", "embedded_kind", "rel_path", "id").limit(limit) if limit else rows
+    order = [F.col(c).asc_nulls_last() for c in ("stack_name", "embedded_kind", "rel_path", "id", "source_path", "logical_kind", "logical_id", "sha256")]
+    return rows.orderBy(*order).limit(limit) if limit else rows
