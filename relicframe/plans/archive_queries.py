@@ -6,9 +6,14 @@ through the decoders; the SQL says from the same tables what must come out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import groups, octets, whole_groups
 from ..sources import blocks, resfork
 from . import records, resources, rom
 from .driver_queries import query, table
@@ -191,6 +196,25 @@ def lookup_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cards -----------------------------------------------------------------------------------
 
 
+def _cards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, payload) of orders, each followed by its lines: the counts and the bytes of the lines between an order's head and tail."""
+    for batch in whole_groups(batches, "key"):
+        places, line = groups(batch.column("key")), batch.column("line").to_numpy()
+        held = [octets(batch.column(c)) for c in ("part", "content")]
+        ends = [np.append(starts, starts[-1] + sizes[-1]) for _, starts, sizes in held]
+        button = np.cumsum(np.append(0, batch.column("button").fill_null(False).to_numpy(zero_copy_only=False)))
+        heads, tails, payloads = batch.column("head"), batch.column("tail"), []
+        orders = np.flatnonzero(line == 0)
+        group = np.searchsorted(places, orders, "right") - 1
+        lines = np.cumsum(np.append(0, line))
+        for order, first, last in zip(orders.tolist(), places[group].tolist(), places[group + 1].tolist()):
+            head, tail = heads[order].as_py(), tails[order].as_py()
+            counts = (int(lines[last] - lines[first]) % 65536).to_bytes(2, "big") + bytes(6) + (int(button[last] - button[first]) % 65536).to_bytes(2, "big") + bytes(4)
+            listed = [data[end[first] : end[last]].tobytes() for (data, _, _), end in zip(held, ends)]
+            payloads.append(None if head is None or tail is None else b"".join([head, counts, *listed, tail]))
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(orders)), pa.array(payloads, pa.binary())], ["id", "payload"])
+
+
 def _layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order a card of its customer's background; lines are parts and, those returned, contents too; each customer a background with one button."""
     lines, number = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
@@ -203,16 +227,14 @@ def _layer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _even(F.concat(_be(F.octet_length(body) + 2 + (F.octet_length(body) % 2), 2), body))
     said = F.encode(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")), "utf-8")
     content = F.concat(_be(F.when(F.col("l_linestatus") == "O", -number).otherwise(number), 2), _be(F.octet_length(said), 2), _even(said))
-    # made before the exchange: inside an aggregate the bytes of a part would be worked out once for each place that names them
-    made = lines.select("l_orderkey", "l_linenumber", button.alias("button"), part.alias("part"), F.when(button, content).otherwise(_zero(0)).alias("content")).repartition("l_orderkey")
-    joined = lambda c: F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY l_linenumber, {c})")
-    grouped = made.groupBy("l_orderkey").agg(F.count("*").alias("n"), joined("part").alias("parts"), F.count_if("button").alias("m"), joined("content").alias("contents"))
-    cards = table(spark, sf_dir, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
+    made = lines.where("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("key"), F.lit(1).alias("line"), number.alias("number"), button.alias("button"), part.alias("part"), F.when(button, content).otherwise(_zero(0)).alias("content"))
     head = F.concat(_zero(4), _be(F.col("o_orderkey") % 3, 4), _be(F.when(F.col("o_orderstatus") == "F", 1 << 14).otherwise(1 << 13), 2), _zero(14), _be(F.col("o_custkey"), 4))
     tail = F.concat(_c(F.concat(F.lit("card "), F.col("o_orderkey").cast("string"))), _c(F.col("o_orderpriority")))
-    payload = F.concat(head, _be(n, 2), _zero(6), _be(m, 2), _zero(4), F.coalesce("parts", _zero(0)), F.coalesce("contents", _zero(0)), tail)
-    made = _block(cards, "CARD", F.lit("f"), F.col("o_orderkey"), payload)
+    # lines go to their order once, behind it; aggregates that list bytes fall back to sorts of their buffers
+    cards = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit(0).alias("line"), head.alias("head"), tail.alias("tail"))
+    placed = cards.unionByName(made, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "line", "number", "part", "content")
+    filled = placed.select("key", "line", "head", "tail", "button", "part", "content").mapInArrow(_cards, "id long, payload binary")
+    made = filled.select(F.lit("f").alias("file"), F.lit("CARD").alias("type"), F.col("id").cast("int").alias("id"), "payload", F.lit("ok").alias("status"))
     name = F.encode(F.lit("ok"), "utf-8")
     one = F.concat(_be(36, 2), _be(1, 2), _be(256, 2), _zero(24), name, _zero(4))
     ground = F.concat(_zero(24), _be(1, 2), _zero(6), _be(0, 2), _zero(4), one, _c(F.col("c_name")), _c(F.lit("")))

@@ -2,15 +2,22 @@
 
 Fixed layouts are projections; tables of equal entries explode a sequence of offsets; where an
 entry's length decides the next one's place, ``aggregate`` walks the payload
-inside one expression. Nothing here leaves the JVM. Short payloads keep defaults.
+inside one expression. Only parts of layers leave the JVM: Arrow tasks walk
+all payloads of a batch at once. Short payloads keep defaults.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import bcd_version, c_string, even, field, has_bit, i16, i32, mac_text, nul_end, set_bits, u8, u16, u32
+from ..functions.batches import cuts, octets, signed, stretches
 from ..functions.text import bind
 
 TEXT_STYLES = {15: "group", 14: "extend", 13: "condense", 12: "shadow", 11: "outline", 10: "underline", 9: "italic", 8: "bold"}
@@ -217,25 +224,83 @@ def layers(blocks: DataFrame) -> DataFrame:
     )
 
 
+#: Fields of a part in order, two bytes each: its number comes behind the length.
+PART_FIELDS = ("part_id", "flags", "top", "left", "bottom", "right", "more", "width", "icon", "align", "font_id", "text_size", "styles", "text_height")
+
+
+def _walked(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, count: np.ndarray, at: np.ndarray, least: int, head: int, told: int) -> tuple[np.ndarray, ...]:
+    """(row, n, at, length) of the entries of all rows, and where the walk of each row ends. An entry's length stands ``told`` bytes behind its start and counts all but ``head`` bytes."""
+    at, row, n, found = at.copy(), np.flatnonzero(count > 0), 0, []
+    while len(row):
+        here, size = at[row], sizes[row]
+        length = signed(data, starts[row], size, here + told, 2)
+        good = (size >= here + least) & (length >= (0 if head else least)) & (size >= here + head + length)
+        row, here, length = row[good], here[good], length[good]
+        found.append((row, np.full(len(row), n), here, length))
+        at[row] = here + head + length + (length if head else here + length) % 2
+        n += 1
+        row = row[count[row] > n]
+    rows, ns, places, lengths = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
+    order = np.lexsort((ns, rows))
+    return rows[order], ns[order], places[order], lengths[order], at
+
+
+def _layer_parts(batch: pa.RecordBatch) -> tuple:
+    """The bytes of a batch of layers, their counts of contents, and the walk over their parts."""
+    data, starts, sizes = octets(batch.column("payload"))
+    base = np.where(pc.equal(batch.column("type"), "CARD").to_numpy(zero_copy_only=False), 28, 24)
+    walk = _walked(data, starts, sizes, signed(data, starts, sizes, base, 2), base + 14, 30, 0, 0)
+    return data, starts, sizes, signed(data, starts, sizes, base + 8, 2), walk
+
+
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, starts, sizes, _, (row, n, at, _, _) = _layer_parts(batch)
+        start, size = starts[row], sizes[row]
+        zeros = np.flatnonzero(data == 0)
+
+        def nul(place: np.ndarray, end: np.ndarray) -> np.ndarray:
+            # zeros stand behind the last row, so there is always one
+            return np.minimum(zeros[np.minimum(np.searchsorted(zeros, place), len(zeros) - 1)], end)
+
+        name = start + at + 30
+        name_end = nul(name, start + size)
+        script = name_end + 2
+        name_size, script_size = np.maximum(name_end - name, 0), np.maximum(nul(script, start + size) - script, 0)
+        fields = [signed(data, start, size, at + 2 + 2 * i, 2) for i in range(len(PART_FIELDS))]
+        for c in cuts(name_size + script_size + 64):
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x).take(pa.array(row[c])) for x in ("file", "type", "id")), pa.array(n[c], pa.int32()), *(pa.array(f[c]) for f in fields),
+                 stretches(data, name[c], name_size[c]), stretches(data, script[c], script_size[c])],
+                ["file", "layer_type", "layer_id", "n", *PART_FIELDS, "name", "script"],
+            )
+
+
+def _part_rows(blocks: DataFrame) -> DataFrame:
+    """Parts of layers with their fields as numbers, name and script as bytes."""
+    rows = _of(blocks, "CARD", "BKGD").select("file", "type", "id", "payload")
+    return rows.mapInArrow(
+        _part_batches,
+        f"file {rows.schema['file'].dataType.simpleString()}, layer_type string, layer_id {rows.schema['id'].dataType.simpleString()}, n int, " + "".join(f"{f} long, " for f in PART_FIELDS) + "name binary, script binary",
+    )
+
+
 def parts(blocks: DataFrame, font_names: DataFrame | None = None) -> DataFrame:
     """One row a button or field of a layer."""
-    rows = _layers(blocks).select("file", F.col("type").alias("layer_type"), F.col("id").alias("layer_id"), "payload", F.inline("parts.found"))
-    at = F.col("at")
-    kind, more = F.shiftright(i16(_p(), at + 4), 8), i16(_p(), at + 14)
+    kind, more, icon, width = F.shiftright("flags", 8), F.col("more"), F.col("icon"), F.col("width")
     button = kind == 1
     low = more.bitwiseAND(15)
-    icon, width = i16(_p(), at + 18), i16(_p(), at + 16)
     last = F.when(width <= 0, icon).otherwise(width)
     selected = F.when(~button & (icon > 0) & (last >= icon), F.sequence(icon, last)).when(button & (low == 11) & (icon != 0), F.array(icon))
-    name_end = nul_end(_p(), at + 30)
-    made = rows.select(
-        "file", "layer_type", "layer_id", "n", i16(_p(), at + 2).alias("part_id"), F.when(button, "button").otherwise("field").alias("part_type"),
-        (~has_bit(i16(_p(), at + 4), 7)).alias("visible"), rect(_p(), at + 6).alias("bounds"),
+    made = _part_rows(blocks).select(
+        "file", "layer_type", "layer_id", "n", "part_id", F.when(button, "button").otherwise("field").alias("part_type"),
+        (~has_bit(F.col("flags"), 7)).alias("visible"), F.struct("top", "left", "bottom", "right").alias("bounds"),
         F.when(button, _named(low, BUTTON_STYLES)).otherwise(_named(low, FIELD_STYLES)).alias("style"),
         F.shiftright(more, 8).bitwiseAND(15).alias("family"), F.coalesce(selected, F.array().cast("array<bigint>")).alias("selected_lines"),
-        _named(i16(_p(), at + 20), ALIGNMENTS).alias("text_align"), i16(_p(), at + 22).alias("font_id"), i16(_p(), at + 24).alias("text_size"),
-        text_styles(i16(_p(), at + 26)).alias("text_styles"), i16(_p(), at + 28).alias("text_height"),
-        c_string(_p(), at + 30).alias("name"), c_string(_p(), name_end + 2).alias("script"),
+        _named(F.col("align"), ALIGNMENTS).alias("text_align"), "font_id", "text_size", text_styles(F.col("styles")).alias("text_styles"), "text_height",
+        mac_text(F.col("name"), True).alias("name"), mac_text(F.col("script"), True).alias("script"),
     )
     return with_fonts(made, fonts(blocks) if font_names is None else font_names)
 
