@@ -2,7 +2,7 @@
 
 Fixed layouts are projections; tables of equal entries explode a sequence of offsets; where an
 entry's length decides the next one's place, ``aggregate`` walks the payload
-inside one expression. Only parts of layers leave the JVM: Arrow tasks walk
+inside one expression. Only parts and contents of layers leave the JVM: Arrow tasks walk
 all payloads of a batch at once. Short payloads keep defaults.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binary import bcd_version, c_string, even, field, has_bit, i16, i32, mac_text, nul_end, set_bits, u8, u16, u32
-from ..functions.batches import cuts, octets, signed, stretches
+from ..functions.batches import cuts, octets, signed, stretches, unsigned
 from ..functions.text import bind
 
 TEXT_STYLES = {15: "group", 14: "extend", 13: "condense", 12: "shadow", 11: "outline", 10: "underline", 9: "italic", 8: "bold"}
@@ -278,6 +278,24 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _content_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, starts, sizes, count, walk = _layer_parts(batch)
+        row, n, at, length, _ = _walked(data, starts, sizes, count, walk[-1], 4, 4, 2)
+        card = pc.equal(batch.column("type"), "CARD").to_numpy(zero_copy_only=False)
+        owner = np.where(card, signed(data, starts, sizes, np.full(len(starts), 24), 4), -1)[row]
+        start, size = starts[row], sizes[row]
+        raw, head = signed(data, start, size, at, 2), unsigned(data, start, size, at + 4, 2)
+        for c in cuts(length + 64):
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x).take(pa.array(row[c])) for x in ("file", "type", "id")), pa.array(owner[c]), pa.array(n[c], pa.int32()), pa.array(raw[c]), pa.array(head[c]),
+                 pa.array(length[c], pa.int32()), stretches(data, (start + at + 4)[c], length[c])],
+                ["file", "layer_type", "layer_id", "owner", "n", "raw", "head", "length", "data"],
+            )
+
+
 def _part_rows(blocks: DataFrame) -> DataFrame:
     """Parts of layers with their fields as numbers, name and script as bytes."""
     rows = _of(blocks, "CARD", "BKGD").select("file", "type", "id", "payload")
@@ -312,19 +330,23 @@ def background_buttons(part_rows: DataFrame) -> DataFrame:
 
 def contents(blocks: DataFrame, part_rows: DataFrame | None = None) -> DataFrame:
     """One row a text of a layer. A card's text for a button of its background is its highlight."""
-    walked = _layers(blocks)
-    owner = F.when(F.col("type") == "CARD", i32(_p(), 24)).otherwise(-1)
-    rows = walked.select("file", F.col("type").alias("layer_type"), F.col("id").alias("layer_id"), owner.alias("owner"), "payload", F.inline("contents.found"))
-    at = F.col("at")
-    raw, head = i16(_p(), at), u16(_p(), at + 4)
+    layers_ = _of(blocks, "CARD", "BKGD").select("file", "type", "id", "payload")
+    rows = layers_.mapInArrow(
+        _content_batches,
+        f"file {layers_.schema['file'].dataType.simpleString()}, layer_type string, layer_id {layers_.schema['id'].dataType.simpleString()}, owner long, n int, raw long, head long, length int, data binary",
+    )
+    raw, head, data = F.col("raw"), F.col("head"), F.col("data")
     styled = F.when(head > 32767, head - 32768).otherwise(0).cast("int")
-    text = field(_p(), at + 4 + styled, F.col("length") - styled)
-    runs = F.transform(_numbers(F.floor((styled - 2) / 4)), lambda k: F.struct(i16(_p(), at + 6 + 4 * k).alias("start"), i16(_p(), at + 8 + 4 * k).alias("style_id")))
+    text = field(data, styled, F.col("length") - styled)
+    runs = F.transform(_numbers(F.floor((styled - 2) / 4)), lambda k: F.struct(i16(data, 2 + 4 * k).alias("start"), i16(data, 4 + 4 * k).alias("style_id")))
     made = rows.where((styled <= F.col("length")) & ((head <= 32767) | (styled >= 2))).select(
         "file", "layer_type", "layer_id", "owner", "n", F.abs(raw).alias("part_id"), F.when(raw < 0, "card").otherwise("background").alias("layer"),
         runs.alias("style_runs"), mac_text(field(text, 0, nul_end(text, 0)), True).alias("text"), F.hex(text).alias("_raw"),
     )
-    buttons = background_buttons(parts(blocks) if part_rows is None else part_rows).withColumn("_button", F.lit(True))
+    if part_rows is None:
+        # backgrounds alone: the walk over cards would not be left out by a filter behind it
+        part_rows = _part_rows(_of(blocks, "BKGD")).withColumn("part_type", F.when(F.shiftright("flags", 8) == 1, "button").otherwise("field"))
+    buttons = background_buttons(part_rows).withColumn("_button", F.lit(True))
     joined = made.join(buttons, ["file", "owner", "part_id"], "left")
     is_button = F.coalesce(F.col("_button"), F.lit(False)) & (F.col("layer") == "background") & (F.col("owner") != -1)
     highlight = F.when(is_button, F.col("_raw") == "0031")

@@ -85,3 +85,28 @@ def test_parts_are_walked_many_layers_at_once(spark):
 def test_layers_are_made_without_listing_aggregates(spark):
     assert "listagg" not in plan(archive_queries._layer_blocks(spark, SF))
     against_sql(spark, "a11_parts", 5)
+
+
+def content(number, text, styles=b""):
+    data = (styles and (32768 + 2 + len(styles)).to_bytes(2, "big") + styles) + text
+    return (number % 65536).to_bytes(2, "big") + len(data).to_bytes(2, "big") + data + bytes(len(data) % 2)
+
+
+def test_contents_are_walked_many_layers_at_once(spark):
+    many = b"".join(content(-1 - i % 9, b"\0t") for i in range(5000))
+    payloads = [
+        ("BKGD", 3, layer("BKGD", 1, 0, part(4, 1, b"b", b""))), ("CARD", 1, layer("CARD", 0, 5000, many)),
+        ("CARD", 2, layer("CARD", 1, 4, part(9, 2, b"p", b"") + content(4, b"\0" + b"1") + content(-4, b"ab\x8a") + content(5, b"st", b"\0\1\0\2") + b"\0\1\0\x09x")), ("CARD", 4, None),
+    ]
+    blocks = spark.createDataFrame([("f", k, i, p and bytearray(p)) for k, i, p in payloads], "file string, type string, id int, payload binary")
+    found = records.contents(blocks)
+    assert "aggregate(" not in plan(found)
+    rows = [(r.layer_id, r.n, r.part_id, r.layer, r.text, r.highlight, [tuple(x) for x in r.style_runs]) for r in found.collect()]
+    assert sorted(x[:4] for x in rows if x[0] == 1) == [(1, i, 1 + i % 9, "card") for i in range(5000)]
+    assert sorted((x for x in rows if x[0] == 2), key=lambda x: x[1]) == [(2, 0, 4, "background", None, True, []), (2, 1, 4, "card", "abä", None, []), (2, 2, 5, "background", "st", None, [(1, 2)])]
+
+
+def test_sizes_of_texts_need_no_walk_in_expressions(spark):
+    found = records.text_bytes(records.contents(archive_queries._layer_blocks(spark, SF)))
+    assert "aggregate(" not in plan(found) and "listagg" not in plan(found)
+    against_sql(spark, "a36_text_bytes", 5)
