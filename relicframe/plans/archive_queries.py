@@ -379,31 +379,50 @@ def damaged_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("file").cast("long").alias("part"), "type", "offset", "status")
 
 
+def _fork_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, content) of sorted lines: an order's data, one behind the other, then the map: types, references by type, names."""
+    be = lambda n, size: (n % (1 << (8 * size))).to_bytes(size, "big")
+    for batch in whole_groups(batches, "key"):
+        places = groups(batch.column("key"))
+        group = np.repeat(np.arange(len(places) - 1), np.diff(places))
+        (data, data_starts, data_sizes), (names, name_starts, name_sizes) = (octets(batch.column(c)) for c in ("data", "name"))
+        # where a line's data and name stand: what the lines before it take
+        data_at, name_at = data_starts - data_starts[places[group]], name_starts - name_starts[places[group]]
+        icon, number = batch.column("icon").to_numpy(zero_copy_only=False), batch.column("id")
+        numbers = number.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = np.zeros((len(group), 12), np.uint8)
+        for at, value in ((0, numbers >> 8), (1, numbers), (2, name_at >> 8), (3, name_at), (4, numbers), (5, data_at >> 16), (6, data_at >> 8), (7, data_at)):
+            entries[:, at] = value & 255
+        # a line without a number has no entry
+        order = np.lexsort((~icon, group))
+        known = number.is_valid().to_numpy(zero_copy_only=False)[order]
+        refs, ref_ends = entries[order][known].tobytes(), 12 * np.cumsum(np.append(0, known))
+        icons = np.cumsum(np.append(0, icon))
+        data_ends, name_ends = np.append(data_starts, data_starts[-1] + data_sizes[-1]), np.append(name_starts, name_starts[-1] + name_sizes[-1])
+        datas, labels, contents = data.tobytes(), names.tobytes(), []
+        for first, last in zip(places[:-1].tolist(), places[1:].tolist()):
+            n_icons = int(icons[last] - icons[first])
+            n_strings = last - first - n_icons
+            n_types = (n_icons > 0) + (n_strings > 0)
+            typed = lambda kind, n, skipped: kind + be(n - 1, 2) + be(2 + 8 * n_types + 12 * skipped, 2) if n else b""
+            listed = be(n_types - 1, 2) + typed(b"ICON", n_icons, 0) + typed(b"STR ", n_strings, n_icons) + refs[ref_ends[first] : ref_ends[last]]
+            held, named = datas[data_ends[first] : data_ends[last]], labels[name_ends[first] : name_ends[last]]
+            head = be(16, 4) + be(16 + len(held), 4) + be(len(held), 4) + be(len(listed) + len(named) + 28, 4)
+            contents.append(b"".join([head, held, bytes(24), be(28, 2), be(28 + len(listed), 2), listed, named]))
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(places[:-1])), pa.array(contents, pa.binary())], ["key", "content"])
+
+
 def _forks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order a fork: lines are resources of two types, with their names and attributes."""
-    lines = table(spark, sf_dir, "lineitem")
-    kind = F.when(F.col("l_linestatus") == "O", "ICON").otherwise("STR ")
     named = F.encode(F.concat(F.lit("n"), F.col("l_partkey").cast("string")), "utf-8")
     data = F.encode(F.col("l_suppkey").cast("string"), "utf-8")
-    one = lines.select("l_orderkey", F.col("l_linenumber").alias("id"), kind.alias("kind"), F.concat(_be(F.octet_length(data), 4), data).alias("data"), F.concat(_be(F.octet_length(named), 1), named).alias("name"))
-    # where a line's data and name stand is a sum over the lines before it, by a window, so nothing is worked out line by line inside an array
-    lined = Window.partitionBy("l_orderkey").orderBy("id", "kind", F.octet_length("data"), F.octet_length("name"), "data", "name").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(F.octet_length(c)).over(lined), F.lit(0))
-    placed = one.withColumns({"data_at": before("data"), "name_at": before("name")})
-    placed = placed.withColumn("entry", F.concat(_be(F.col("id"), 2), _be(F.col("name_at"), 2), _be(F.col("id"), 1), _be(F.col("data_at"), 3), _zero(4)))
-    joined = lambda c, order: F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY {order})")
-    rows = placed.groupBy("l_orderkey").agg(
-        F.count_if(F.col("kind") == "ICON").alias("icons"), F.count_if(F.col("kind") == "STR ").alias("strings"), joined("entry", "kind, data_at").alias("refs"), joined("name", "data_at").alias("labels"), joined("data", "data_at").alias("datas")
+    icon = F.coalesce(F.col("l_linestatus") == "O", F.lit(False))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("id"), icon.alias("icon"), F.concat(_be(F.octet_length(data), 4), data).alias("data"), F.concat(_be(F.octet_length(named), 1), named).alias("name")
     )
-    icons, strings = F.col("icons"), F.col("strings")
-    n_types = (icons > 0).cast("int") + (strings > 0).cast("int")
-    typed = lambda k, n, skipped: F.when(n > 0, F.concat(F.lit(k), _be(n - 1, 2), _be(2 + 8 * n_types + 12 * skipped, 2))).otherwise(_zero(0))
-    listed = F.concat(_be(n_types - 1, 2), typed(b"ICON", icons, F.lit(0)), typed(b"STR ", strings, icons), "refs")
-    rows = rows.select("l_orderkey", listed.alias("listed"), "labels", "datas")
-    body = F.concat(_zero(24), _be(28, 2), _be(F.lit(28) + F.octet_length("listed"), 2), F.col("listed"), F.col("labels"))
-    size, length = F.octet_length("datas"), F.octet_length("listed") + F.octet_length("labels") + 28
-    content = F.concat(_be(16, 4), _be(F.lit(16) + size, 4), _be(size, 4), _be(length, 4), F.col("datas"), body)
-    return rows.select(F.col("l_orderkey").cast("string").alias("file"), content.alias("content")).repartition("file")
+    order = ("key", "id", ~F.col("icon"), F.octet_length("data"), F.octet_length("name"), "data", "name")
+    made = lines.repartition("key").sortWithinPartitions(*order).mapInArrow(_fork_bytes, "key long, content binary")
+    return made.select(F.col("key").cast("string").alias("file"), "content")
 
 
 _FORK_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS file, CASE WHEN l_linestatus = 'O' THEN 'ICON' ELSE 'STR ' END AS type, l_linenumber AS id, 'n' || l_partkey AS name, l_linenumber AS attributes,
@@ -566,7 +585,9 @@ def lower_in_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forks inside images, eight bytes behind their start."""
     forks_ = _forks(spark, sf_dir)
-    return rom.resource_maps(_images(forks_, F.col("file"), F.concat(F.lit(b"\xff" * 8), F.col("content")))).drop("types", "confidence")
+    # forks leave a task whole, so they need not be dealt out
+    images = forks_.select(F.col("file").alias("rom_id"), F.lit(BASE).cast("long").alias("base"), F.concat(F.lit(b"\xff" * 8), F.col("content")).alias("content"))
+    return rom.resource_maps(images).drop("types", "confidence")
 
 
 @query("a31_rom_resources", f"""

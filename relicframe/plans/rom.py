@@ -9,15 +9,18 @@ next may begin: the pointer tables and the resource maps.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import address, field, i16, pack_u32, rom_id, sha256_upper, u8, u16, u32
+from ..functions.batches import octets, unsigned
+from ..functions.binary import address, field, i16, rom_id, sha256_upper, u8, u16, u32
 from ..functions.text import string_confidence
 from ..operators.relational import asof_join, contains_join, inside_any, islands, sent_if_small
 
@@ -27,6 +30,11 @@ MAX_MARKERS = 1000
 MAX_OVERLAYS = 250
 CLUSTER_GAP = 256
 MIN_STRING = 4
+#: Places that are tested for a resource map's header at once.
+MAP_WINDOW = 1 << 20
+PRINTABLE = re.compile(rb"[\x20-\x7E]{4}")
+#: Types of a resource map with their counts and where their references begin.
+MAP_TYPES = pa.list_(pa.struct([("type", pa.string()), ("n", pa.int64()), ("refs", pa.int64())]))
 
 
 def identify(images: DataFrame) -> DataFrame:
@@ -367,39 +375,71 @@ def lower_in_data(xref_rows: DataFrame, regions: DataFrame) -> DataFrame:
     return marked.withColumns({"confidence": F.least("confidence", cap), "origin": F.concat("origin", note)}).drop("from_data", "to_data")
 
 
+def _map_heads(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(image, place, four numbers of the header) of the even places whose bytes may be a fork's header, window by window."""
+    found, largest = [], int(most.max())
+    for low in range(0, len(data), MAP_WINDOW):
+        part = data[low : low + MAP_WINDOW + 15].astype(np.uint32)
+        if len(part) < 16:
+            break
+        word = part[:-3] << 24 | part[1:-2] << 16 | part[2:-1] << 8 | part[3:]
+        words = [word[k : len(word) - 12 + k] for k in (0, 4, 8, 12)]
+        good = np.ones(len(words[0]), bool)
+        for held, least in zip(words, (16, 16, 1, 30)):
+            good &= (held >= least) & (held <= largest)
+        places = np.flatnonzero(good)
+        found.append((places + low, *(held[places].astype(np.int64) for held in words)))
+    place, data_off, map_off, data_len, map_len = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 5))
+    image = np.searchsorted(starts, place, "right") - 1
+    at = place - starts[image]
+    left = sizes[image] - at
+    good = (left >= 32) & (at % 2 == 0) & (data_off + data_len <= left) & (map_off + map_len <= left)
+    return tuple(x[good] for x in (image, at, data_off, map_off, data_len, map_len))
+
+
 def resource_maps(images: DataFrame, max_types: int = 64, max_resources: int = 4096) -> DataFrame:
     """Resource forks inside images: (rom_id, address, data and map addresses and lengths, types, resources, confidence).
 
-    Every even offset is tested by its header, in the JVM; the types of what passes are unpacked and checked.
+    Every even offset is tested by its header, all images of a batch at once; the types of what passes are unpacked and checked.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, starts, sizes = octets(batch.column("content"))
+            image, at, data_off, map_off, data_len, map_len = _map_heads(data, starts, sizes, batch.column("most").fill_null(0).to_numpy(zero_copy_only=False))
+            start, size, map_at = starts[image], sizes[image], at + map_off
+            types_off = unsigned(data, start, size, map_at + 24, 2)
+            n_types = unsigned(data, start, size, map_at + types_off, 2) + 1
+            good = (types_off + 2 <= map_len) & (unsigned(data, start, size, map_at + 26, 2) <= map_len) & (n_types <= max_types) & (types_off + 2 + n_types * 8 <= map_len)
+            kept, typed, counts = [], [], []
+            for k in np.flatnonzero(good).tolist():
+                first, types, n_resources = int(start[k] + map_at[k] + types_off[k]) + 2, [], 0
+                for name, n, refs in struct.iter_unpack(">4sHH", data[first : first + 8 * int(n_types[k])].tobytes()):
+                    if not PRINTABLE.fullmatch(name) or types_off[k] + refs + (n + 1) * 12 > map_len[k]:
+                        break
+                    types.append({"type": name.decode("ascii"), "n": n + 1, "refs": refs})
+                    n_resources += n + 1
+                else:
+                    if n_resources <= max_resources:
+                        kept.append(k)
+                        typed.append(types)
+                        counts.append(n_resources)
+            rows = np.array(kept, np.int64)
+            ids, base = (batch.column(c).take(pa.array(image[rows])) for c in ("rom_id", "base"))
+            start_address, data_address, map_address = (pc.add(base, pa.array(at[rows] + x)) for x in (0, data_off[rows], map_off[rows]))
+            yield pa.RecordBatch.from_arrays(
+                [ids, start_address, data_address, pa.array(data_len[rows]), map_address, pa.array(map_len[rows]), pa.array(typed, MAP_TYPES), pa.array(counts, pa.int64())],
+                ["rom_id", "address", "data_address", "data_length", "map_address", "map_length", "types", "n_resources"],
+            )
+
     size = F.octet_length("content")
-    rows = images.where(size >= 32).select("rom_id", "base", "content", pack_u32(size).alias("most")).select("*", F.explode(F.sequence(F.lit(0), size - 32, F.lit(2))).alias("at"))
-    c, at = F.col("content"), F.col("at")
-    # bytes compare as the numbers that they hold, so most places fall out before a number is read
-    told = lambda place, least: field(c, at + place, 4).between(F.lit(least.to_bytes(4, "big")), F.col("most"))
-    rows = rows.where(told(0, 16)).where(told(4, 16)).where(told(8, 1)).where(told(12, 30)).drop("most")
-    heads = rows.withColumns({"data_off": u32(c, at), "map_off": u32(c, at + 4), "data_len": u32(c, at + 8), "map_len": u32(c, at + 12)})
-    left = size - F.col("at")
-    heads = heads.where("data_off >= 16 AND map_off >= 16 AND data_len > 0 AND map_len >= 30")
-    heads = heads.where((F.col("data_off") + F.col("data_len") <= left) & (F.col("map_off") + F.col("map_len") <= left))
-    start = (F.col("at") + F.col("map_off")).try_cast("int")
-    heads = heads.withColumn("map_at", start).withColumn("types_off", u16(c, F.col("map_at") + 24).try_cast("int"))
-    heads = heads.where((F.col("types_off") + 2 <= F.col("map_len")) & (u16(c, F.col("map_at") + 26) <= F.col("map_len")))
-    heads = heads.withColumn("n_types", u16(c, F.col("map_at") + F.col("types_off")).try_cast("int") + 1)
-    heads = heads.where((F.col("n_types") <= max_types) & (F.col("types_off") + 2 + F.col("n_types") * 8 <= F.col("map_len")))
-    entry = lambda k: F.col("map_at") + F.col("types_off") + 2 + k * 8
-    types = F.transform(
-        F.sequence(F.lit(0), F.col("n_types") - 1),
-        lambda k: F.struct(_latin(field(c, entry(k), 4)).alias("type"), (u16(c, entry(k) + 4) + 1).alias("n"), u16(c, entry(k) + 6).alias("refs")),
+    rows = images.where(size >= 32).select("rom_id", F.col("base").cast("long").alias("base"), "content", size.cast("long").alias("most"))
+    found = rows.mapInArrow(
+        run, "rom_id string, address long, data_address long, data_length long, map_address long, map_length long, types array<struct<type: string, n: long, refs: long>>, n_resources long"
     )
-    found = heads.withColumn("types", types)
-    good = F.forall("types", lambda t: t["type"].rlike(r"^[\x20-\x7E]{4}$") & (F.col("types_off") + t["refs"] + t["n"] * 12 <= F.col("map_len")))
-    found = found.withColumn("n_resources", F.aggregate("types", F.lit(0).cast("long"), lambda a, t: a + t["n"])).where(good).where(F.col("n_resources") <= max_resources)
-    base = F.col("base") + F.col("at")
-    return found.select(
-        "rom_id", base.alias("address"), (base + F.col("data_off")).alias("data_address"), F.col("data_len").alias("data_length"),
-        (base + F.col("map_off")).alias("map_address"), F.col("map_len").alias("map_length"), "types", "n_resources", F.lit(0.90).alias("confidence"),
-    )
+    return found.withColumn("confidence", F.lit(0.90))
 
 
 def map_regions(maps: DataFrame) -> DataFrame:

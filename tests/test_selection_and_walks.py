@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from relicframe.functions import batches
-from relicframe.plans import archive_queries, records, report_queries, reports
+from relicframe.plans import archive_queries, records, report_queries, reports, rom
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,3 +110,32 @@ def test_sizes_of_texts_need_no_walk_in_expressions(spark):
     found = records.text_bytes(records.contents(archive_queries._layer_blocks(spark, SF)))
     assert "aggregate(" not in plan(found) and "listagg" not in plan(found)
     against_sql(spark, "a36_text_bytes", 5)
+
+
+def fork(data, name):
+    listed = (0).to_bytes(2, "big") + b"ICON" + (0).to_bytes(2, "big") + (10).to_bytes(2, "big") + (5).to_bytes(2, "big") + bytes(10) + name
+    numbers = (16, 16 + len(data), len(data), 28 + len(listed))
+    return b"".join(x.to_bytes(4, "big") for x in numbers) + data + bytes(24) + (28).to_bytes(2, "big") + (28 + len(listed)).to_bytes(2, "big") + listed
+
+
+def test_maps_are_found_in_all_images_of_a_batch(spark):
+    small = fork(b"\0\0\0\1x", b"\1n")
+    places = (0, 4, rom.MAP_WINDOW - 6, 2 * rom.MAP_WINDOW - 2, 2 * rom.MAP_WINDOW + 100)
+    large = bytearray(b"\xff" * (2 * rom.MAP_WINDOW + 400))
+    for at in places[2:]:
+        large[at : at + len(small)] = small
+    images = [("none", 0, None), ("odd", 0, b"\xff" + small), ("two", 8, b"\xff\xff" + small + b"\xff" * (len(small) % 2) + small), ("cut", 0, small[:-12]), ("short", 0, b"\0"), ("large", 100, large), ("", None, small)]
+    rows = spark.createDataFrame([(r, b, c and bytearray(c)) for r, b, c in images], "rom_id string, base long, content binary").coalesce(1)
+    found = rom.resource_maps(rows)
+    assert "Generate" not in plan(found)
+    second = 2 + len(small) + len(small) % 2
+    assert sorted((r.rom_id, r.address or 0, r.map_length, r.n_resources) for r in found.collect()) == sorted(
+        [("two", 10, 52, 1), ("two", 8 + second, 52, 1), ("", 0, 52, 1)] + [("large", 100 + at, 52, 1) for at in places[2:]]
+    )
+    assert [r.address for r in found.where("rom_id = ''").collect()] == [None]
+
+
+def test_forks_are_made_without_windows_and_aggregates(spark):
+    made = archive_queries._forks(spark, SF)
+    assert "listagg" not in plan(made) and "Window" not in plan(made)
+    against_sql(spark, "a30_resource_maps", 5)
